@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tollhouse.llm.bpe import op8_batched_bpe
+from tollhouse.llm.jaccard import op6_jaccard_join
 from tollhouse.llm.packing import op5_harmonic_pack
+from tollhouse.llm.repeats import op7_radix_repeats
 from tollhouse.llm.sstable import op3_sstable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sstable": op3_sstable,
     "op5_harmonic_pack": op5_harmonic_pack,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op7_radix_repeats": op7_radix_repeats,
     "op8_batched_bpe": op8_batched_bpe,
 }
 ORACLES: dict[str, str] = {}
