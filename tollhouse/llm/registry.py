@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from tollhouse.llm.bpe import op8_batched_bpe
 from tollhouse.llm.jaccard import op6_jaccard_join
 from tollhouse.llm.packing import op5_harmonic_pack
+from tollhouse.llm.quality import op4_positive_unlabelled
 from tollhouse.llm.repeats import op7_radix_repeats
+from tollhouse.llm.sharding import OP2_SQL, op2_extendible_hashing
 from tollhouse.llm.sstable import op3_sstable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_extendible_hashing": op2_extendible_hashing,
     "op3_sstable": op3_sstable,
+    "op4_positive_unlabelled": op4_positive_unlabelled,
     "op5_harmonic_pack": op5_harmonic_pack,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_radix_repeats": op7_radix_repeats,
     "op8_batched_bpe": op8_batched_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_extendible_hashing": OP2_SQL}
