@@ -13,8 +13,10 @@ from tollhouse.llm.quality import op4_positive_unlabelled
 from tollhouse.llm.repeats import op7_radix_repeats
 from tollhouse.llm.sharding import OP2_SQL, op2_extendible_hashing
 from tollhouse.llm.sstable import op3_sstable
+from tollhouse.llm.webp import op1_webp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_webp": op1_webp,
     "op2_extendible_hashing": op2_extendible_hashing,
     "op3_sstable": op3_sstable,
     "op4_positive_unlabelled": op4_positive_unlabelled,
