@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tollhouse.llm.bpe import op8_batched_bpe
 from tollhouse.llm.jaccard import op6_jaccard_join
+from tollhouse.llm.mtree import OP9_SQL, op9_mtree_top_k
 from tollhouse.llm.packing import op5_harmonic_pack
 from tollhouse.llm.quality import op4_positive_unlabelled
 from tollhouse.llm.repeats import op7_radix_repeats
 from tollhouse.llm.sharding import OP2_SQL, op2_extendible_hashing
 from tollhouse.llm.sstable import op3_sstable
 from tollhouse.llm.webp import op1_webp
+from tollhouse.llm.wrapper import op10_wrapper_induction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_webp": op1_webp,
@@ -24,5 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_radix_repeats": op7_radix_repeats,
     "op8_batched_bpe": op8_batched_bpe,
+    "op9_mtree_top_k": op9_mtree_top_k,
+    "op10_wrapper_induction": op10_wrapper_induction,
 }
-ORACLES: dict[str, str] = {"op2_extendible_hashing": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_extendible_hashing": OP2_SQL, "op9_mtree_top_k": OP9_SQL}
