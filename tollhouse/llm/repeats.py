@@ -244,9 +244,9 @@ def _spans(texts: DataFrame, threshold: int) -> DataFrame:
     return spans.unionByName(found.join(single, ["key", "kind"]).select("tid", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to")))
 
 
-def _removed(texts: DataFrame, spans: DataFrame, threshold: int, with_text: bool) -> DataFrame:
+def _removed(texts: DataFrame, spans: DataFrame, threshold: int, with_text: bool, decoded: bool) -> DataFrame:
     """What is left of each text."""
-    fields = "tid long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    fields = "tid long, n_removed long, n_spans long, kept_sha256 string" + f", kept {'string' if decoded else 'binary'}" * with_text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -266,17 +266,19 @@ def _removed(texts: DataFrame, spans: DataFrame, threshold: int, with_text: bool
                         kept = b"".join(raw[e:s] for e, (s, _) in zip(ends, [*merged, (len(raw), 0)], strict=True))
                     else:
                         kept = raw
-                    rows.append((tid, len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept)[: 4 + with_text])
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 4 + with_text]
+                    rows.append((tid, len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if decoded else kept)[: 4 + with_text])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if decoded else pa.binary()][: 4 + with_text]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in fields.split(", ")])
 
     merged = spans.groupBy("tid").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     return texts.join(merged, "tid", "left").select("tid", "text", "copies", "spans").mapInArrow(run, fields)
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", threshold: int = THRESHOLD, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", threshold: int = THRESHOLD, with_text: bool = True, decoded: bool = False) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and, ``with_text``, the kept bytes as ``kept``.
 
+    ``decoded`` gives them as text, without characters of which only some bytes are kept.
+
     A byte is removed if a string of ``threshold`` bytes that covers it starts anywhere else
     too, in its own text or another's.  Texts are UTF-8; null is empty.  Texts shorter than
     the threshold lose nothing; repeated rows of longer texts lose everything.  Columns of
@@ -291,7 +293,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", threshold: int = THR
     texts = texts.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     texts.write.bucketBy(split_count(docs), "tid").option("path", shared_dir(spark, "texts")).option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
-    done = _removed(texts, _spans(texts, threshold), threshold, with_text)
+    done = _removed(texts, _spans(texts, threshold), threshold, with_text, decoded)
     out = own.withColumn("n_bytes", F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long"))
     return out.join(done.withColumnRenamed("tid", "__tid"), "__tid").drop("__tid")
 
