@@ -1,0 +1,150 @@
+"""Failure classes and circuit breakers over recorded outcomes."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+def classify_failure(df: DataFrame) -> DataFrame:
+    """``df`` (status, error_body, remaining_requests, remaining_tokens, transport_error) with failure_class.
+
+    Quota bodies beat the status; 429 is global where a rate header says that nothing is
+    left, else localized; server faults, overload and transport errors are degraded.
+    """
+    body = F.lower(F.coalesce("error_body", F.lit("")))
+    quota = body.contains("insufficient_quota") | body.contains("credit balance is too low") | body.contains("billing")
+    used_up = (F.col("remaining_requests") == "0") | (F.col("remaining_tokens") == "0")
+    return df.withColumn(
+        "failure_class",
+        F.when(quota & (F.col("status") >= 400), "insufficient_quota")
+        .when((F.col("status") == 429) & F.coalesce(used_up, F.lit(False)), "global_rate_limit")
+        .when(F.col("status") == 429, "localized_rate_limit")
+        .when((F.coalesce("transport_error", F.lit("")) != "") | F.col("status").isin(408, 529) | (F.col("status") >= 500), "provider_degraded")
+        .otherwise("none"),
+    )
+
+
+def failure_kind(df: DataFrame) -> DataFrame:
+    """``df`` with a fine-grained label of the failure, '' for none."""
+    error = F.lower(F.coalesce("transport_error", F.lit("")))
+    body = F.lower(F.coalesce("error_body", F.lit("")))
+    return df.withColumn(
+        "failure_kind",
+        F.when(error.contains("no such host"), "dns_failure")
+        .when(error.contains("connection refused"), "connection_refused")
+        .when(error.contains("timeout") | error.contains("deadline"), "timeout")
+        .when(error != "", "transport_error")
+        .when(body.contains("insufficient_quota"), F.concat("provider", F.lit("_insufficient_quota")))
+        .when((F.col("status") == 529) | body.contains("overloaded"), F.concat("provider", F.lit("_overloaded")))
+        .when(F.col("status") >= 400, F.concat(F.lit("http_"), F.col("status").cast("string")))
+        .otherwise(""),
+    )
+
+
+def error_detail(df: DataFrame, most: int = 200) -> DataFrame:
+    """``df`` with error_code and error_detail (``CODE: message``, cut at ``most`` characters) of the error envelope in error_body."""
+    code = F.coalesce(F.get_json_object("error_body", "$.error.code"), F.get_json_object("error_body", "$.error.type"), F.get_json_object("error_body", "$.error.status"), F.lit(""))
+    message = F.coalesce(F.get_json_object("error_body", "$.error.message"), F.lit(""))
+    whole = F.when(code == "", message).when(message == "", code).otherwise(F.concat(code, F.lit(": "), message))
+    return df.withColumns({"error_detail": F.substring(F.trim(whole), 1, most), "error_code": code})
+
+
+def parse_retry_after(value: Column, now: Column) -> Column:
+    """Seconds of a Retry-After value, a number or an HTTP date; the past is 0."""
+    seconds = F.when(value.rlike(r"^\s*\d+\s*$"), F.trim(value).cast("long"))
+    date = F.try_to_timestamp(F.regexp_extract(value, r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss"))
+    return F.coalesce(seconds, F.greatest(F.lit(0), F.ceil(date.cast("double") - now.cast("timestamp").cast("double"))))
+
+
+def failure_window_count(df: DataFrame, seconds: int = 120) -> DataFrame:
+    """Failures with the number of failures of the same provider and model in the ``seconds`` up to each, the lower bound excluded."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = W.partitionBy("provider", "model").orderBy("__us").rangeBetween(-seconds * 1_000_000 + 1, 0)
+    return df.withColumn("__us", micros).withColumn("failures", F.count("*").over(w)).drop("__us")
+
+
+_REPLAY = "request_id long, ts timestamp, provider string, model string, state_before string, action string"
+
+
+def breaker_replay(attempts: DataFrame, threshold: int = 5, window_s: int = 120, cooldown_s: int = 300, mode: str = "enforce") -> DataFrame:
+    """State and action of a breaker per provider and model for every attempt (failure_class, aborted).
+
+    Closed, it counts degraded failures within the window and opens at the threshold.  Open,
+    requests fail fast and their outcomes do not count.  Strictly after the cooldown the next
+    request is a probe: it closes the breaker and clears failures, opens it again, or, if
+    aborted, changes nothing.  In ``log`` mode nothing is blocked and no probe is sent.
+    Keys that never fail as often as the threshold are settled without replay.
+    """
+    failed = F.col("failure_class") == "provider_degraded"
+    hot = attempts.filter(failed).groupBy("provider", "model").agg(F.count("*").alias("__f")).filter(F.col("__f") >= threshold).drop("__f")
+    columns = ["request_id", "ts", "provider", "model", "failure_class", "aborted"]
+    calm = attempts.join(hot, ["provider", "model"], "left_anti").select("request_id", F.col("ts").cast("timestamp").alias("ts"), "provider", "model", F.lit("closed").alias("state_before"), F.lit("pass").alias("action"))
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "request_id"], kind="stable")
+        state, until, failures, out = "closed", None, [], []
+        window, cooldown = pd.Timedelta(seconds=window_s), pd.Timedelta(seconds=cooldown_s)
+        for r in pdf.itertuples():
+            if state == "open" and r.ts > until:
+                state = "half_open"
+            before, action = state, "pass"
+            if state == "open" and mode == "enforce":
+                action = "fast_fail"
+            elif state == "half_open" and mode == "enforce":
+                if r.aborted:
+                    action = "probe"
+                elif r.failure_class == "none":
+                    state, failures, action = "closed", [], "probe_closed"
+                else:
+                    state, until, action = "open", r.ts + cooldown, "probe_reopened"
+            else:
+                if state == "open" or (state == "half_open" and mode == "log"):
+                    action = "would_fail" if state == "open" else "pass"
+                if r.failure_class == "provider_degraded" and not r.aborted:
+                    failures = [t for t in failures if t > r.ts - window] + [r.ts]
+                    if len(failures) >= threshold and state == "closed":
+                        state, until, action = "open", r.ts + cooldown, "opened"
+            out.append((r.request_id, r.ts, r.provider, r.model, before, action))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _REPLAY.split(", ")])
+
+    busy = attempts.join(hot, ["provider", "model"], "left_semi").select(*columns).withColumn("ts", F.col("ts").cast("timestamp"))
+    return busy.groupBy("provider", "model").applyInPandas(replay, _REPLAY).unionByName(calm)
+
+
+def breaker_events(replayed: DataFrame) -> DataFrame:
+    """Circuit activity of a replay."""
+    return replayed.filter("action <> 'pass'").select("request_id", "ts", "provider", F.concat_ws(":", "provider", "model").alias("key"), F.col("action").alias("kind"))
+
+
+def force_open(attempts: DataFrame, cooldown_s: int = 300) -> DataFrame:
+    """Quota failures: the bare provider, open for one cooldown each."""
+    return attempts.filter("failure_class = 'insufficient_quota'").select("request_id", F.col("provider").alias("key"), F.col("ts").alias("opened_at"), (F.col("ts") + F.expr(f"INTERVAL {cooldown_s} SECONDS")).alias("open_until"))
+
+
+def provider_health(states: DataFrame) -> DataFrame:
+    """Per provider of rows (key, failures, state, cooldown_until): failures, the worst state and the earliest cooldown."""
+    rank = F.when(F.col("state") == "open", 2).when(F.col("state") == "half_open", 1).otherwise(0)
+    worst = F.max(rank)
+    return states.groupBy(F.split("key", ":")[0].alias("provider")).agg(F.sum("failures").alias("failures"), F.when(worst == 2, "open").when(worst == 1, "half_open").otherwise("closed").alias("state"), F.min("cooldown_until").alias("cooldown_until"))
+
+
+def provider_rollup_open(events: DataFrame, threshold: int, window_s: int = 300) -> DataFrame:
+    """(request_id, provider, ts, open, count) at each opening: different keys of the provider opened within the window up to it."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = W.partitionBy("provider").orderBy("__us").rangeBetween(-window_s * 1_000_000, 0)
+    opened = events.filter(F.col("kind").isin("opened", "probe_reopened")).withColumn("__us", micros)
+    return opened.withColumn("count", F.size(F.collect_set("key").over(w)).cast("long")).withColumn("open", F.col("count") >= threshold).select("request_id", "provider", "ts", "open", "count")
+
+
+def log_mode_counterfactual(attempts: DataFrame, **options) -> DataFrame:
+    """(day, key, would_have_fast_failed) if breakers had only watched."""
+    seen = breaker_replay(attempts, mode="log", **options).filter("action = 'would_fail'")
+    return seen.groupBy(F.to_date("ts").alias("day"), F.concat_ws(":", "provider", "model").alias("key")).agg(F.count("*").alias("would_have_fast_failed"))
+
+
+def timeout_credit_filter(attempts: DataFrame, hang_s: float) -> DataFrame:
+    """``attempts`` with credited: a timeout counts as a failure unless the caller cut the budget and the hang was shorter than ``hang_s``."""
+    return attempts.withColumn("credited", ~(F.col("caller_shortened") & (F.col("elapsed_s") < hang_s)))

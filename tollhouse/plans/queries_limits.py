@@ -1,0 +1,123 @@
+"""Queries of limits, failures and breakers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tollhouse.operators import failures as X
+from tollhouse.operators import limits as L
+from tollhouse.plans.adapter import Tables
+from tollhouse.plans.queries_cost import costed
+from tollhouse.plans.registry import query
+
+query("running_key_spend", """SELECT request_id, CAST(coalesce(sum(total_e4) OVER (PARTITION BY key_id, day ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior_day_e4,
+  CAST(coalesce(sum(total_e4) OVER (PARTITION BY key_id, date_trunc('month', day) ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior_month_e4 FROM cost""")(
+    lambda t: L.running_key_spend(costed(t)).select("request_id", "prior_day_e4", "prior_month_e4")
+)
+query("spend_cap_replay", """WITH a AS (SELECT c.request_id, c.key_id, c.day, c.ts, c.total_e4, coalesce(k.daily_limit_cents, 0) AS dl, coalesce(k.monthly_limit_cents, 0) AS ml,
+  coalesce(sum(c.total_e4) OVER (PARTITION BY c.key_id, c.day ORDER BY c.ts, c.request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pd FROM cost c LEFT JOIN keys k ON k.key_id = c.key_id),
+b AS (SELECT *, dl > 0 AND (pd + 99) // 100 >= dl AS db FROM a),
+m AS (SELECT *, coalesce(sum(CASE WHEN db THEN 0 ELSE total_e4 END) OVER (PARTITION BY key_id, date_trunc('month', day) ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pm FROM b)
+SELECT request_id, db OR (ml > 0 AND (pm + 99) // 100 >= ml) AS blocked, CASE WHEN db THEN 'daily' WHEN ml > 0 AND (pm + 99) // 100 >= ml THEN 'monthly' ELSE '' END AS reason FROM m""")(
+    lambda t: L.spend_cap_replay(costed(t), t.keys).select("request_id", "blocked", "reason")
+)
+query("spend_cap_reservation")(
+    lambda t: L.spend_cap_reservation(costed(t).select("request_id", "key_id", "day", "ts", "total_e4", (F.col("total_e4") + 100).alias("est_e4"), (F.col("ts") + F.expr("INTERVAL 20 SECONDS")).alias("done_ts")), t.keys)
+)
+_SCOPES = """WITH sc AS (SELECT u.*, 'global' AS kind, 'global' AS scope_key FROM usage u UNION ALL SELECT u.*, 'provider', 'provider:' || provider FROM usage u WHERE provider <> '' UNION ALL SELECT u.*, 'model', 'model:' || model FROM usage u WHERE model <> ''
+  UNION ALL SELECT u.*, 'key', 'key:' || key_id FROM usage u WHERE key_id <> '' UNION ALL SELECT u.*, 'user', 'user:' || user_id FROM usage u WHERE user_id <> '')
+"""
+query("scope_expand", _SCOPES + "SELECT request_id, kind, scope_key FROM sc")(lambda t: L.scope_expand(t.usage).select("request_id", "kind", "scope_key"))
+
+
+def _overrides(t: Tables) -> DataFrame:
+    key = F.concat(F.lit("key:"), "key_id")
+    return t.keys.filter("personal").select(key.alias("scope_key"), F.lit("minute").alias("win"), F.lit(9).cast("long").alias("req_limit"), F.lit(0).cast("long").alias("tok_limit"))
+
+
+query("effective_limits", _SCOPES + """SELECT DISTINCT s.scope_key, l.win, CASE WHEN k.key_id IS NOT NULL THEN 9 ELSE l.req_limit END AS req_limit, l.tok_limit FROM sc s JOIN limits l ON l.kind = s.kind
+LEFT JOIN keys k ON k.personal AND s.scope_key = 'key:' || k.key_id AND l.win = 'minute'""")(lambda t: L.effective_limits(L.scope_expand(t.usage), t.limits, _overrides(t)))
+query("rate_limit_usage", _SCOPES + """, w AS (SELECT s.scope_key, l.win, l.req_limit, l.tok_limit, CASE WHEN l.win = 'minute' THEN date_trunc('minute', s.ts) ELSE date_trunc('day', s.ts) END AS bucket, s.input_tokens + s.output_tokens AS tk FROM sc s JOIN limits l ON l.kind = s.kind),
+g AS (SELECT scope_key, win, bucket, req_limit, tok_limit, count(*) AS requests, CAST(sum(tk) AS BIGINT) AS tokens FROM w GROUP BY ALL)
+SELECT *, greatest(0, req_limit - requests) AS remaining, CASE WHEN req_limit > 0 AND requests > req_limit THEN 'requests' WHEN tok_limit > 0 AND tokens > tok_limit THEN 'tokens' ELSE '' END AS metric FROM g""")(
+    lambda t: L.rate_limit_usage(t.usage, t.limits).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+)
+query("rate_limit_replay_requests", """WITH a AS (SELECT *, row_number() OVER (PARTITION BY key_id, date_trunc('minute', ts) ORDER BY ts, request_id) <= 1 AS m FROM usage WHERE key_id <> ''),
+b AS (SELECT *, coalesce(sum(CASE WHEN m THEN 1 ELSE 0 END) OVER (PARTITION BY key_id, day ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM a)
+SELECT request_id, m AND p < 10 AS allowed, CASE WHEN NOT m THEN 'minute' WHEN p >= 10 THEN 'day' ELSE '' END AS "window" FROM b""")(
+    lambda t: L.rate_limit_replay_requests(t.usage, "key_id", 1, 10).select("request_id", "allowed", "window")
+)
+query("rate_limit_replay")(lambda t: L.rate_limit_replay(t.usage, "key_id", 2, 30_000, 14, 300_000))
+query("ratelimit_daily")(
+    lambda t: L.rate_limit_replay(t.usage, "key_id", 2, 30_000, 14, 300_000)
+    .join(t.usage.select("request_id", "day", "provider"), "request_id")
+    .groupBy("day", "provider")
+    .agg(F.count("*").alias("total"), F.count(F.when(F.col("allowed"), 1)).alias("allowed"), F.count(F.when(~F.col("allowed"), 1)).alias("blocked"), F.count(F.when(F.col("metric") == "tokens", 1)).alias("blocked_tokens"))
+)
+query("retry_after", "SELECT request_id, CAST(60 - CAST(epoch(ts) AS BIGINT) % 60 AS BIGINT) AS minute_left, CAST(86400 - CAST(floor(epoch(ts)) AS BIGINT) % 86400 AS BIGINT) AS day_left FROM usage".replace("CAST(epoch(ts) AS BIGINT) % 60", "CAST(floor(epoch(ts)) AS BIGINT) % 60"))(
+    lambda t: t.usage.select("request_id", L.retry_after(F.col("ts"), F.lit("minute")).alias("minute_left"), L.retry_after(F.col("ts"), F.lit("day")).alias("day_left"))
+)
+query("rate_limit_reconcile", """WITH r AS (SELECT key_id, ts, status, ts + INTERVAL 25 SECOND AS done_ts, input_tokens AS est, CASE WHEN status >= 500 THEN 0 ELSE input_tokens + output_tokens END AS act FROM usage WHERE key_id <> '')
+SELECT key_id, date_trunc('minute', ts) AS bucket, CAST(greatest(0, sum(CASE WHEN date_trunc('minute', ts) = date_trunc('minute', done_ts) AND status >= 500 AND act <= 0 THEN 0 ELSE 1 END)) AS BIGINT) AS requests,
+  CAST(greatest(0, sum(CASE WHEN date_trunc('minute', ts) = date_trunc('minute', done_ts) AND status >= 500 AND act <= 0 THEN 0 WHEN date_trunc('minute', ts) = date_trunc('minute', done_ts) THEN act ELSE est END)) AS BIGINT) AS tokens FROM r GROUP BY 1, 2""")(
+    lambda t: L.rate_limit_reconcile(t.usage.withColumns({"done_ts": F.col("ts") + F.expr("INTERVAL 25 SECONDS"), "est_tokens": F.col("input_tokens"), "actual_tokens": F.when(F.col("status") >= 500, 0).otherwise(F.col("input_tokens") + F.col("output_tokens"))}), "key_id").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+)
+
+# Failures
+
+_OUT = """out AS (SELECT request_id, ts, day, provider, model, status,
+  CASE WHEN status = 200 THEN NULL WHEN request_id % 10 = 2 THEN '{"error":{"code":"insufficient_quota","message":"You exceeded your quota"}}' ELSE '{"error":{"type":"overloaded_error","message":" Try later "}}' END AS error_body,
+  CASE WHEN status = 429 AND request_id % 8 = 3 THEN '0' ELSE '17' END AS remaining_requests, '100' AS remaining_tokens,
+  CASE WHEN status = 200 AND request_id % 50 = 1 THEN 'dial tcp: no such host' WHEN status = 200 AND request_id % 50 = 2 THEN 'context deadline exceeded' ELSE NULL END AS transport_error, request_id % 97 = 0 AS aborted FROM usage),
+cls AS (SELECT *, CASE WHEN status >= 400 AND contains(lower(coalesce(error_body, '')), 'insufficient_quota') THEN 'insufficient_quota' WHEN status = 429 AND remaining_requests = '0' THEN 'global_rate_limit' WHEN status = 429 THEN 'localized_rate_limit'
+  WHEN transport_error IS NOT NULL OR status >= 500 THEN 'provider_degraded' ELSE 'none' END AS failure_class FROM out)"""
+
+
+def outcomes(t: Tables) -> DataFrame:
+    """Upstream outcomes with bodies, headers and transport errors."""
+    i, s = F.col("request_id"), F.col("status")
+    return t.usage.select(
+        "request_id", "ts", "day", "provider", "model", "status",
+        F.when(s == 200, None).when(i % 10 == 2, '{"error":{"code":"insufficient_quota","message":"You exceeded your quota"}}').otherwise('{"error":{"type":"overloaded_error","message":" Try later "}}').alias("error_body"),
+        F.when((s == 429) & (i % 8 == 3), "0").otherwise("17").alias("remaining_requests"), F.lit("100").alias("remaining_tokens"),
+        F.when((s == 200) & (i % 50 == 1), "dial tcp: no such host").when((s == 200) & (i % 50 == 2), "context deadline exceeded").alias("transport_error"), (i % 97 == 0).alias("aborted"),
+    )
+
+
+query("classify_failure", f"WITH {_OUT} SELECT request_id, failure_class FROM cls")(lambda t: X.classify_failure(outcomes(t)).select("request_id", "failure_class"))
+query("failure_kind", f"""WITH {_OUT} SELECT request_id, CASE WHEN contains(transport_error, 'no such host') THEN 'dns_failure' WHEN contains(transport_error, 'deadline') THEN 'timeout' WHEN contains(coalesce(error_body, ''), 'insufficient_quota') THEN provider || '_insufficient_quota'
+  WHEN status = 529 OR contains(coalesce(error_body, ''), 'overloaded') THEN provider || '_overloaded' WHEN status >= 400 THEN 'http_' || status ELSE '' END AS failure_kind FROM out""")(lambda t: X.failure_kind(outcomes(t)).select("request_id", "failure_kind"))
+query("error_detail", f"""WITH {_OUT} SELECT request_id, CASE WHEN error_body IS NULL THEN '' WHEN contains(error_body, 'insufficient_quota') THEN 'insufficient_quota' ELSE 'overloaded_error' END AS error_code,
+  CASE WHEN error_body IS NULL THEN '' WHEN contains(error_body, 'insufficient_quota') THEN 'insufficient_quota: You exceeded your quota' ELSE 'overloaded_error:  Try later' END AS error_detail FROM out""")(lambda t: X.error_detail(outcomes(t)).select("request_id", "error_code", "error_detail"))
+query("parse_retry_after", "SELECT request_id, CASE WHEN request_id % 2 = 0 THEN request_id % 100 ELSE CAST(greatest(0, ceil(epoch(TIMESTAMP '2024-01-15 12:00:00') - epoch(ts))) AS BIGINT) END AS seconds FROM usage")(
+    lambda t: t.usage.select("request_id", X.parse_retry_after(F.when(F.col("request_id") % 2 == 0, (F.col("request_id") % 100).cast("string")).otherwise("Mon, 15 Jan 2024 12:00:00 GMT"), F.col("ts")).cast("long").alias("seconds"))
+)
+query("failure_window_count", f"""WITH {_OUT}, f AS (SELECT *, epoch_us(ts) AS us FROM cls WHERE failure_class = 'provider_degraded')
+SELECT request_id, count(*) OVER (PARTITION BY provider, model ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS failures FROM f""")(
+    lambda t: X.failure_window_count(X.classify_failure(outcomes(t)).filter("failure_class = 'provider_degraded'"), 3600).select("request_id", "failures")
+)
+
+
+def _replayed(t: Tables, **options) -> DataFrame:
+    return X.breaker_replay(X.classify_failure(outcomes(t)), **{"threshold": 3, "window_s": 7200, "cooldown_s": 5400} | options)
+
+
+query("breaker_replay")(lambda t: _replayed(t).drop("ts"))
+query("breaker_events")(lambda t: X.breaker_events(_replayed(t)).drop("ts"))
+query("circuit_activity_daily")(lambda t: X.breaker_events(_replayed(t)).groupBy(F.to_date("ts").alias("day"), "provider", "kind").agg(F.count("*").alias("n")))
+query("force_open", f"WITH {_OUT} SELECT request_id, provider AS key, ts AS opened_at, ts + INTERVAL 300 SECOND AS open_until FROM cls WHERE failure_class = 'insufficient_quota'")(lambda t: X.force_open(X.classify_failure(outcomes(t))))
+query("provider_health", """WITH st AS (SELECT provider || ':' || model AS key, count(*) FILTER (status >= 500) AS failures, CASE max(request_id) % 3 WHEN 0 THEN 'closed' WHEN 1 THEN 'open' ELSE 'half_open' END AS state, max(ts) AS cooldown_until FROM usage GROUP BY 1)
+SELECT split_part(key, ':', 1) AS provider, CAST(sum(failures) AS BIGINT) AS failures, CASE max(CASE state WHEN 'open' THEN 2 WHEN 'half_open' THEN 1 ELSE 0 END) WHEN 2 THEN 'open' WHEN 1 THEN 'half_open' ELSE 'closed' END AS state, min(cooldown_until) AS cooldown_until FROM st GROUP BY 1""")(
+    lambda t: X.provider_health(
+        t.usage.groupBy(F.concat_ws(":", "provider", "model").alias("key")).agg(F.count(F.when(F.col("status") >= 500, 1)).alias("failures"), F.when(F.max("request_id") % 3 == 0, "closed").when(F.max("request_id") % 3 == 1, "open").otherwise("half_open").alias("state"), F.max("ts").alias("cooldown_until"))
+    )
+)
+query("provider_rollup_open", f"""WITH {_OUT}, o AS (SELECT request_id, provider, model, ts, epoch_us(ts) AS us FROM cls WHERE failure_class = 'provider_degraded')
+SELECT a.request_id, a.provider, a.ts, count(DISTINCT b.model) >= 2 AS open, count(DISTINCT b.model) AS count FROM o a JOIN o b ON b.provider = a.provider AND b.us BETWEEN a.us - 3600000000 AND a.us GROUP BY 1, 2, 3""")(
+    lambda t: X.provider_rollup_open(X.classify_failure(outcomes(t)).filter("failure_class = 'provider_degraded'").select("request_id", "provider", "ts", F.col("model").alias("key"), F.lit("opened").alias("kind")), 2, 3600)
+)
+query("log_mode_counterfactual")(lambda t: X.log_mode_counterfactual(X.classify_failure(outcomes(t)), threshold=3, window_s=7200, cooldown_s=5400))
+query("timeout_credit_filter", "SELECT request_id, NOT (request_id % 4 = 0 AND request_id % 30 < 12) AS credited FROM usage WHERE status >= 500")(
+    lambda t: X.timeout_credit_filter(t.usage.filter("status >= 500").withColumns({"caller_shortened": F.col("request_id") % 4 == 0, "elapsed_s": (F.col("request_id") % 30).cast("double")}), 12.0).select("request_id", "credited")
+)
