@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from tollhouse.plans import queries_cost, queries_limits, queries_parse, queries_rollup  # noqa: F401
+    from tollhouse.plans import queries_cost, queries_limits, queries_parse, queries_pii, queries_rollup, queries_sources, queries_stream  # noqa: F401
 
 
 _load()
