@@ -85,7 +85,7 @@ def stream_breaker(attempts: DataFrame, threshold: int = 5, window_s: int = 120,
                     status, until, action = "open", now + cooldown_s, "opened"
             out.append((r.request_id, key[0], key[1], before, action))
         state.update((status, until, failures))
-        state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() + watermark_s + idle_s) * 1000)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["ts"].max().timestamp() + watermark_s + idle_s) * 1000))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _BREAKER.split(", ")])
 
     timed = attempts.withWatermark("ts", f"{watermark_s} seconds")
