@@ -16,10 +16,12 @@ candidates, at most postings / l, that it would verify, times its size.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollhouse.llm import words as W
@@ -34,7 +36,13 @@ FREQUENT = 1 << 17
 CHUNK_SHINGLES = 4_000_000
 #: A comparison of one shingle against reading one posting.
 VERIFY_COST = 1 / 8
-ROUNDS = 2
+#: Rounds of comparisons with a few classes at most; another one runs while there are more candidates a posting than
+#: ``MANY`` and the last one found more than this share of all links so far.  They save work and decide no result.
+ROUNDS, MANY, LEAST_GAIN = 4, 4, 0.05
+#: Columns of a set's parity bits.
+SKETCH = ("p0", "p1", "p2", "p3")
+#: Characters of text handled at once in a task.
+SLICE = 2_000_000
 #: Up to so many ids (16 bytes each) are broadcast to pick their texts; beyond, a shuffle join does.
 BROADCAST_IDS = 500_000
 
@@ -55,7 +63,7 @@ def _counts(docs: DataFrame, width: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
 
         for batch in batches:
-            for a, b in W.slices(batch["text"]):
+            for a, b in W.slices(batch["text"], SLICE):
                 held.append(text_shingles(batch["text"].slice(a, b - a), width)[0])
                 size += len(held[-1])
                 if size >= CHUNK_SHINGLES:
@@ -74,13 +82,14 @@ def _sets(docs: DataFrame, width: int, num: int, den: int, frequent: np.ndarray)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            for a, b in W.slices(batch["text"]):
+            for a, b in W.slices(batch["text"], SLICE):
                 part = batch.slice(a, b - a)
                 flat, bounds = text_shingles(part["text"], width)
                 mixed = mix(flat ^ np.uint64(0xD6E8FEB86659FD93))
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (flat, mixed)]
                 ones, twos = (s[bounds[1:]] - s[bounds[:-1]] for s in sums)
                 n = np.diff(bounds)
+                sketch = _sketches(flat, bounds)
                 rank = np.zeros(len(flat), dtype=np.int64)
                 if len(listed) and len(flat):
                     at = np.minimum(np.searchsorted(listed, flat), len(listed) - 1)
@@ -95,13 +104,30 @@ def _sets(docs: DataFrame, width: int, num: int, den: int, frequent: np.ndarray)
                     prefixes.append(own[:take].view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32()), pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)])))
                 key = mix(ones + np.uint64(3) * twos + n.astype(np.uint64))
-                columns = [part["doc_id"], part["row"], pa.array(n), pa.array(ones.view(np.int64)), pa.array(twos.view(np.int64)), pa.array(key.view(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "h1", "h2", "sid", "prefix"])
+                columns = [part["doc_id"], part["row"], pa.array(n), pa.array(ones.view(np.int64)), pa.array(twos.view(np.int64)), pa.array(key.view(np.int64)), lists, *map(pa.array, sketch)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "h1", "h2", "sid", "prefix", *SKETCH])
 
-    fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n long, h1 long, h2 long, sid long, prefix array<long>"
+    fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n long, h1 long, h2 long, sid long, prefix array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
     return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, fields)
 
 
+def _sketches(flat: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Per set, 256 parity bits in four columns: two sketches differ in no more bits than the sets differ in shingles."""
+    out = [np.zeros(len(bounds) - 1, dtype=np.int64) for _ in SKETCH]
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        bit = np.uint64(1) << (flat >> np.uint64(56) & np.uint64(63))
+        word = flat >> np.uint64(62)
+        for i, column in enumerate(out):
+            column[some] = np.bitwise_xor.reduceat(np.where(word == i, bit, np.uint64(0)), bounds[some]).view(np.int64)
+    return out
+
+
+def _differ(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    return reduce(add, [F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in SKETCH])
+
+
 def _shingles_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(sid, shingles) of the classes in ``wanted`` (sid, doc_id, row): one text each is read again."""
     n = wanted.count()
@@ -112,23 +138,43 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            for a, b in W.slices(batch["text"]):
+            for a, b in W.slices(batch["text"], SLICE):
                 part = batch.slice(a, b - a)
                 flat, bounds = text_shingles(part["text"], width)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part["sid"], lists], ["sid", "shingles"])
 
-    return texts.mapInArrow(run, "sid long, shingles array<long>").dropDuplicates(["sid"])
+    sets = stored(texts.mapInArrow(run, "sid long, shingles array<long>"), "shingles")
+    # More sets than classes: the very row that stands for a class is repeated.
+    return sets if sets.count() <= n else sets.dropDuplicates(["sid"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes that reach the similarity."""
+    pairs = stored(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    wanted = stored(classes.join(ids, "sid").select("sid", "first.doc_id", "first.row"), "wanted")
+    sets = _shingles_of(docs, wanted, width)
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     total = F.size("sa") + F.size("sb")
     return both.select("a", "b", shared.alias("i"), total.alias("t")).filter(F.col("i") * den >= (F.col("t") - F.col("i")) * num).select("a", "b")
 
 
+def _tried(marked: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """A pair for each class: of the pivots of its shingles, in another component, the one that most of them name, twice at least."""
+    salted = F.xxhash64("sid", F.lit(turn))
+    # Few rarer shingles before a common one: a text that others were made from, rather than one of its altered copies.
+    first = F.struct(F.col("at").alias("ab"), salted.alias("h"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("other"), *[F.col(c).alias(f"q{c}") for c in SKETCH])
+    pivots = marked.groupBy("shingle").agg(F.min(first).alias("p")).select("shingle", "p.b", "p.nb", "p.ab", "p.other", *[f"p.q{c}" for c in SKETCH])
+    near = marked.join(pivots, "shingle").filter("component <> other").filter((F.col("n") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("n") * num))
+    shared = F.ceil((F.col("n") + F.col("nb")) * num / (num + den))
+    near = near.filter((F.col("at") <= F.col("n") - shared + LEVELS - 1) & (F.col("ab") <= F.col("nb") - shared + LEVELS - 1))
+    near = near.filter(_differ("", "q") <= F.col("n") + F.col("nb") - 2 * shared)
+    named = near.groupBy("sid", "b").agg(F.count("*").alias("same")).filter("same > 1")
+    return named.groupBy("sid").agg(F.max(F.struct("same", "b")).alias("p")).select(F.col("sid").alias("a"), "p.b")
+
+
 def jaccard_components(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """(key, n_shingles, component_id) per row: linked where intersection / union >= num / den.
 
@@ -142,7 +188,7 @@ def jaccard_components(docs: DataFrame, key_col: str = "doc_id", text_col: str =
     top = _counts(docs, width).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
     frequent = np.array([r[0] for r in top.select("shingle").collect()], dtype=np.int64).view(np.uint64)
     rows = stored(_sets(docs, width, num, den, frequent), "sets")
-    classes = rows.filter("n > 0").groupBy("h1", "h2", "n", "sid").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.min("doc_id").alias("min_id"), F.first("prefix").alias("prefix"))
+    classes = rows.filter("n > 0").groupBy("h1", "h2", "n", "sid").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.min("doc_id").alias("min_id"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in SKETCH])
     classes = stored(classes, "classes")
 
     # Sets of n and n+1 shingles reach n/(n+1) at best: smaller ones link only with their equals.
@@ -150,10 +196,9 @@ def jaccard_components(docs: DataFrame, key_col: str = "doc_id", text_col: str =
     n = F.col("n")
     postings = (
         classes.filter(n >= least)
-        .select("sid", "n", F.posexplode("prefix").alias("at", "shingle"))
+        .select("sid", "n", *SKETCH, F.posexplode("prefix").alias("at", "shingle"))
         .withColumn("probe", F.greatest(F.lit(1), F.col("at") + 1 - n + F.ceil(n * num / den)))
         .withColumn("index", F.greatest(F.lit(1), F.col("at") + 1 - n + F.ceil(n * 2 * num / (num + den))))
-        .drop("at")
     )
     met = postings.groupBy("shingle").agg(F.count("*").alias("df"), F.max("n").alias("most"), F.min("n").alias("fewest")).filter("df > 1")
     postings = postings.join(met.select("shingle", "df"), "shingle")
@@ -162,36 +207,39 @@ def jaccard_components(docs: DataFrame, key_col: str = "doc_id", text_col: str =
     chosen = chosen.select("sid", F.array_position("cost", F.array_min("cost")).alias("level"))
     postings = stored(postings.join(chosen, "sid"), "postings")
 
-    links = None
-    labels = postings.select("sid").distinct().withColumn("component", F.col("sid"))
-    sets = stored(_shingles_of(docs, postings.select("sid").distinct().join(classes, "sid").select("sid", "first.doc_id", "first.row"), width), "shingles")
+    links, known = None, 0
+    marked = postings.withColumn("component", F.col("sid"))
     for turn in range(ROUNDS):
-        salted = F.xxhash64("sid", F.lit(turn))
-        near = postings if turn == 0 else postings.join(labels, "sid")
-        pivots = near.groupBy("shingle").agg(F.min(F.struct(salted.alias("h"), F.col("sid").alias("b"), F.col("n").alias("nb"))).alias("p")).select("shingle", "p.b", "p.nb")
-        tried = near.join(pivots, "shingle").filter("sid <> b").filter((F.col("n") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("n") * num))
-        if turn:
-            tried = tried.join(labels.select(F.col("sid").alias("b"), F.col("component").alias("other")), "b").filter("component <> other")
-        best = tried.groupBy("sid", "b").agg(F.count("*").alias("same")).groupBy("sid").agg(F.max(F.struct("same", "b")).alias("p"))
-        found = _verified(best.select(F.col("sid").alias("a"), "p.b"), sets, num, den)
+        found = _verified(_tried(marked, turn, num, den), docs, classes, width, num, den)
         links = stored(found if links is None else links.unionByName(found), "found")
-        grouped = connected_components(links)
-        labels = stored(_labelled(postings, grouped), "labels")
+        labels = connected_components(links).select(F.col("node").alias("sid"), F.col("component").alias("label"))
+        marked = postings.join(labels, "sid", "left").withColumn("component", F.coalesce("label", "sid")).drop("label")
+        # A shingle of one component has no candidates left; of the others, pairs across components count.
+        parts = marked.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+        mixed = parts.groupBy("shingle").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("parts")).filter("parts > 1")
+        mixed = stored(mixed, "mixed")
+        marked = stored(marked.join(mixed.select("shingle"), "shingle"), "marked")
+        left, places = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2), F.sum("all")).first()
+        before, known = known, links.count()
+        if (left or 0) <= MANY * (places or 0) or known - before <= known * LEAST_GAIN:
+            break
 
-    marked = postings.join(labels, "sid")
-    mixed = marked.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("shingle")
-    marked = stored(marked.join(mixed, "shingle"), "marked")
     s, r = marked.alias("s"), marked.filter(F.col("index") <= LEVELS).alias("r")
     smaller = (F.col("r.n") < F.col("s.n")) | ((F.col("r.n") == F.col("s.n")) & (F.col("r.sid") < F.col("s.sid")))
+    # Of the shingles that a linked pair shares, the l first lie within these places of both, for its own sizes.
+    shared = F.ceil((F.col("s.n") + F.col("r.n")) * num / (num + den))
+    early = (F.col("s.at") <= F.col("s.n") - shared + F.col("s.level") - 1) & (F.col("r.at") <= F.col("r.n") - shared + F.col("s.level") - 1)
+    # Nor can sets of these sizes differ more than that leaves open.
+    early = early & (_differ("s.", "r.") <= F.col("s.n") + F.col("r.n") - 2 * shared)
     pairs = (
         s.filter("s.probe <= s.level")
-        .join(r, (F.col("s.shingle") == F.col("r.shingle")) & smaller & (F.col("r.n") * den >= F.col("s.n") * num) & (F.col("r.index") <= F.col("s.level")) & (F.col("r.component") != F.col("s.component")))
+        .join(r, (F.col("s.shingle") == F.col("r.shingle")) & smaller & (F.col("r.n") * den >= F.col("s.n") * num) & (F.col("r.index") <= F.col("s.level")) & early & (F.col("r.component") != F.col("s.component")))
         .groupBy(F.col("s.sid").alias("a"), F.col("r.sid").alias("b"), F.col("s.level").alias("level"))
         .agg(F.count("*").alias("same"))
         .filter("same >= level")
         .select("a", "b")
     )
-    links = stored(links.unionByName(_verified(pairs, sets, num, den)), "links-all")
+    links = stored(links.unionByName(_verified(pairs, docs, classes, width, num, den)), "links-all")
     grouped = connected_components(links)
     of_class = classes.select("sid", "min_id").join(grouped.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     lowest = of_class.groupBy("component").agg(F.min("min_id").alias("component_id"))
@@ -201,11 +249,6 @@ def jaccard_components(docs: DataFrame, key_col: str = "doc_id", text_col: str =
     return some.unionByName(none)
 
 
-def _labelled(postings: DataFrame, grouped: DataFrame) -> DataFrame:
-    ids = postings.select("sid").distinct()
-    return ids.join(grouped.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-
-
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents at similarity 0.9 on shingles of three words."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

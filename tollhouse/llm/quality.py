@@ -24,6 +24,8 @@ from tollhouse.llm.shingles import flat_bytes, text_shingles, word_hashes
 #: Most positives and most unlabelled texts that the fit uses.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 8_000, 12_000
 STEPS, RATE, DECAY = 600, 0.05, 1e-4
+#: Characters of text handled at once in a task.
+SLICE = 2_000_000
 #: Used where labels name no negatives to estimate it from.
 DEFAULT_PRIOR = 0.8
 
@@ -138,7 +140,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", tex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            for a, b in W.slices(batch["text"]):
+            for a, b in W.slices(batch["text"], SLICE):
                 x = features(batch["text"].slice(a, b - a)).astype("<f4")
                 yield pa.RecordBatch.from_arrays([batch["key"].slice(a, b - a), batch["kind"].slice(a, b - a), pa.array([v.tobytes() for v in x], pa.binary())], ["key", "kind", "x"])
 
@@ -158,7 +160,7 @@ def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text",
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            for a, b in W.slices(batch["__text"]):
+            for a, b in W.slices(batch["__text"], SLICE):
                 part = batch.slice(a, b - a)
                 scores = np.full(b - a, 0.5) if model is None else model.score(features(part["__text"]))
                 yield pa.RecordBatch.from_arrays([*(part[n] for n in names), pa.array(scores)], [*names, out])
