@@ -48,8 +48,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur again; bytes of characters cut in two go as well."""
     done = remove_repeats(docs, threshold=PASSAGE_BYTES, decoded=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return done.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", n_chars).withColumnRenamed("kept", "text").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

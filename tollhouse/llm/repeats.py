@@ -17,6 +17,7 @@ repeated windows.  The digits of a window are taken from the most significant on
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -244,58 +245,72 @@ def _spans(texts: DataFrame, threshold: int) -> DataFrame:
     return spans.unionByName(found.join(single, ["key", "kind"]).select("tid", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to")))
 
 
-def _removed(texts: DataFrame, spans: DataFrame, threshold: int, with_text: bool, decoded: bool) -> DataFrame:
-    """What is left of each text."""
-    fields = "tid long, n_removed long, n_spans long, kept_sha256 string" + f", kept {'string' if decoded else 'binary'}" * with_text
+def _kept(rows: DataFrame, names: list[str], threshold: int, with_text: bool, decoded: bool) -> DataFrame:
+    """The columns ``names`` and what is left of each text; ``__spans`` lists what repeats, ``__copies`` how often the whole text occurs."""
+    kind, made = ("string", pa.string()) if decoded else ("binary", pa.binary())
+    schema = rows.select(*names).schema.add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    schema = schema.add("kept", kind) if with_text else schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            for a, b in W.slices(batch["text"]):
-                rows: list[tuple] = []
+            for a, b in W.slices(batch["__text"]):
                 part = batch.slice(a, b - a)
-                for tid, text, copies, spans in zip(part["tid"].to_pylist(), part["text"].to_pylist(), part["copies"].to_pylist(), part["spans"].to_pylist(), strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    merged: list[list[int]] = [[0, len(raw)]] if copies > 1 and len(raw) >= threshold else []
-                    for s in sorted((s["from"], s["to"]) for s in spans or ()):
-                        if merged and s[0] <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], s[1])
-                        else:
-                            merged.append([*s])
-                    if merged:
-                        ends = [0, *(e for _, e in merged)]
-                        kept = b"".join(raw[e:s] for e, (s, _) in zip(ends, [*merged, (len(raw), 0)], strict=True))
+                removed, counts, digests, left = [], [], [], []
+                for text, copies, n, spans in zip(part["__text"].to_pylist(), part["__copies"].to_pylist(), part["n_bytes"].to_pylist(), part["__spans"].to_pylist(), strict=True):
+                    raw = (text or "").encode("utf-8", "surrogatepass")
+                    if copies > 1:
+                        kept, merged = raw if n < threshold else b"", [[0, n]] * (n >= threshold)
                     else:
-                        kept = raw
-                    rows.append((tid, len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if decoded else kept)[: 4 + with_text])
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if decoded else pa.binary()][: 4 + with_text]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in fields.split(", ")])
+                        merged = []
+                        for s in sorted((s["from"], s["to"]) for s in spans or ()):
+                            if merged and s[0] <= merged[-1][1]:
+                                merged[-1][1] = max(merged[-1][1], s[1])
+                            else:
+                                merged.append([*s])
+                        ends = [0, *(e for _, e in merged)]
+                        kept = b"".join(raw[e:s] for e, (s, _) in zip(ends, [*merged, (len(raw), 0)], strict=True)) if merged else raw
+                    removed.append(n - len(kept))
+                    counts.append(len(merged))
+                    digests.append(hashlib.sha256(kept).hexdigest())
+                    left.append(kept.decode("utf-8", "ignore") if decoded else kept)
+                columns = [*(part[n] for n in names), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(left, made)] if with_text else columns, [f.name for f in schema.fields])
 
-    merged = spans.groupBy("tid").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-    return texts.join(merged, "tid", "left").select("tid", "text", "copies", "spans").mapInArrow(run, fields)
+    return rows.mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", threshold: int = THRESHOLD, with_text: bool = True, decoded: bool = False) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and, ``with_text``, the kept bytes as ``kept``.
 
-    ``decoded`` gives them as text, without characters of which only some bytes are kept.
+    ``decoded`` gives them as text, without characters of which only some bytes are kept; null stays null.
 
-    A byte is removed if a string of ``threshold`` bytes that covers it starts anywhere else
+    The column of the text itself is left out.  A byte is removed if a string of ``threshold`` bytes that covers it starts anywhere else
     too, in its own text or another's.  Texts are UTF-8; null is empty.  Texts shorter than
     the threshold lose nothing; repeated rows of longer texts lose everything.  Columns of
     the new names are replaced, all others pass through.  Texts are told apart by a 64-bit hash.
     """
     if threshold < 2 * GRAM:
         raise ValueError(f"the threshold is {2 * GRAM} bytes at least")
-    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "__tid"]
-    own = docs.drop(*new).withColumn("__tid", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    spark, name = docs.sparkSession, f"texts_{abs(hash(shared_dir(docs.sparkSession, 'x')))}"
-    texts = own.select(F.col("__tid").alias("tid"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    texts = texts.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    own = docs.drop(*new).withColumns({"__tid": F.xxhash64(text), "n_bytes": F.octet_length(text).cast("long")})
+    spark, name = docs.sparkSession, f"texts_{uuid.uuid4().hex}"
+    texts = own.select(F.col("__tid").alias("tid"), text.alias("text")).groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     texts.write.bucketBy(split_count(docs), "tid").option("path", shared_dir(spark, "texts")).option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
-    done = _removed(texts, _spans(texts, threshold), threshold, with_text, decoded)
-    out = own.withColumn("n_bytes", F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long"))
-    return out.join(done.withColumnRenamed("tid", "__tid"), "__tid").drop("__tid")
+    spans = _spans(texts, threshold).groupBy("tid").agg(F.collect_set(F.struct("from", "to")).alias("__spans"))
+    # From here on a text moves no more: rows join the one in its bucket, and rows of repeated texts need none, or a short one.
+    names = [c for c in own.columns if c not in (text_col, "__tid")]
+    rows = own.select("__tid", *[F.col(f"`{c}`") for c in names], F.when(F.col("n_bytes") < threshold, text).alias("__text"), F.col(f"`{text_col}`").isNull().alias("__null"))
+    rows = rows.join(texts.filter("copies > 1").select(F.col("tid").alias("__tid"), F.col("copies").alias("__copies")), "__tid", "left")
+    several = rows.filter("__copies > 1").withColumn("__spans", F.lit(None).cast("array<struct<from:int,to:int>>"))
+    single = rows.filter("__copies IS NULL").drop("__text", "__copies").join(texts.filter("copies = 1").select(F.col("tid").alias("__tid"), F.col("text").alias("__text"), F.col("copies").alias("__copies")), "__tid")
+    single = single.join(spans.withColumnRenamed("tid", "__tid"), "__tid", "left")
+    columns = [*names, "__null"]
+    done = _kept(single.select(*columns, "__text", "__copies", "__spans").unionByName(several.select(*columns, "__text", "__copies", "__spans")), columns, threshold, with_text, decoded)
+    if not with_text:
+        return done.drop("__null")
+    return done.withColumn("kept", F.when(~F.col("__null"), F.col("kept")) if decoded else F.col("kept")).drop("__null")
 
 
 def op7_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
