@@ -11,28 +11,38 @@ from tollhouse.operators import pricing as P
 from tollhouse.plans.adapter import Tables
 from tollhouse.plans.registry import query
 
-_ID = F.concat(F.lit("id-"), F.col("request_id").cast("string"))
-_IN, _OUT = F.col("input_tokens"), F.col("output_tokens")
 _ROW = "SELECT request_id, model AS usage_model, input_tokens AS usage_in, output_tokens AS usage_out, input_tokens + output_tokens AS usage_total, 'id-' || request_id AS usage_id, {finish} AS finish FROM usage"
 
 
+def _id() -> Column:
+    return F.concat(F.lit("id-"), F.col("request_id").cast("string"))
+
+
+def _in() -> Column:
+    return F.col("input_tokens")
+
+
+def _out() -> Column:
+    return F.col("output_tokens")
+
+
 def _s(**columns: Column) -> Column:
     return F.struct(*[c.alias(n) for n, c in columns.items()])
 
 
 def chat_body() -> Column:
     """A chat completion."""
-    return F.to_json(_s(id=_ID, model=F.col("model"), choices=F.array(_s(index=F.lit(0), finish_reason=F.lit("stop"))), usage=_s(prompt_tokens=_IN, completion_tokens=_OUT, total_tokens=_IN + _OUT)))
+    return F.to_json(_s(id=_id(), model=F.col("model"), choices=F.array(_s(index=F.lit(0), finish_reason=F.lit("stop"))), usage=_s(prompt_tokens=_in(), completion_tokens=_out(), total_tokens=_in() + _out())))
 
 
 def messages_body() -> Column:
     """A message."""
-    return F.to_json(_s(id=_ID, type=F.lit("message"), model=F.col("model"), stop_reason=F.lit("end_turn"), usage=_s(input_tokens=_IN, output_tokens=_OUT, cache_read_input_tokens=F.lit(5))))
+    return F.to_json(_s(id=_id(), type=F.lit("message"), model=F.col("model"), stop_reason=F.lit("end_turn"), usage=_s(input_tokens=_in(), output_tokens=_out(), cache_read_input_tokens=F.lit(5))))
 
 
 def generate_body() -> Column:
     """A generated content."""
-    return F.to_json(_s(modelVersion=F.concat(F.lit("models/"), "model"), responseId=_ID, candidates=F.array(_s(finishReason=F.lit("STOP"))), usageMetadata=_s(promptTokenCount=_IN, candidatesTokenCount=_OUT, totalTokenCount=_IN + _OUT)))
+    return F.to_json(_s(modelVersion=F.concat(F.lit("models/"), "model"), responseId=_id(), candidates=F.array(_s(finishReason=F.lit("STOP"))), usageMetadata=_s(promptTokenCount=_in(), candidatesTokenCount=_out(), totalTokenCount=_in() + _out())))
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -48,10 +58,10 @@ query("parse_chat_completion", _ROW.format(finish="'stop'"))(lambda t: _flat(S.p
 query("parse_messages_api", _ROW.format(finish="'end_turn'"))(lambda t: _flat(S.parse_messages_api(_body(t, messages_body()))))
 query("parse_generate_content", _ROW.format(finish="'STOP'"))(lambda t: _flat(S.parse_generate_content(_body(t, generate_body()))))
 query("parse_responses_api", _ROW.format(finish="'completed'"))(
-    lambda t: _flat(S.parse_responses_api(_body(t, F.to_json(_s(id=_ID, model=F.col("model"), output=F.array(_s(status=F.lit("in_progress")), _s(status=F.lit("completed"))), usage=_s(input_tokens=_IN, output_tokens=_OUT, total_tokens=_IN + _OUT))))))
+    lambda t: _flat(S.parse_responses_api(_body(t, F.to_json(_s(id=_id(), model=F.col("model"), output=F.array(_s(status=F.lit("in_progress")), _s(status=F.lit("completed"))), usage=_s(input_tokens=_in(), output_tokens=_out(), total_tokens=_in() + _out()))))))
 )
 query("parse_converse", _ROW.format(finish="'end_turn'").replace("model AS usage_model", "'' AS usage_model").replace("'id-' || request_id AS usage_id", "'' AS usage_id"))(
-    lambda t: _flat(S.parse_converse(_body(t, F.when(F.col("request_id") % 2 == 0, F.to_json(_s(stopReason=F.lit("end_turn"), usage=_s(inputTokens=_IN, outputTokens=_OUT)))).otherwise(F.to_json(_s(stop_reason=F.lit("end_turn"), usage=_s(input_tokens=_IN, output_tokens=_OUT)))))))
+    lambda t: _flat(S.parse_converse(_body(t, F.when(F.col("request_id") % 2 == 0, F.to_json(_s(stopReason=F.lit("end_turn"), usage=_s(inputTokens=_in(), outputTokens=_out())))).otherwise(F.to_json(_s(stop_reason=F.lit("end_turn"), usage=_s(input_tokens=_in(), output_tokens=_out())))))))
 )
 query("detect_body_shape", "SELECT request_id, CASE request_id % 4 WHEN 0 THEN 'chat' WHEN 1 THEN 'messages' WHEN 2 THEN 'generate' ELSE '' END AS shape FROM usage")(
     lambda t: S.detect_body_shape(_body(t, F.when(F.col("request_id") % 4 == 0, chat_body()).when(F.col("request_id") % 4 == 1, messages_body()).when(F.col("request_id") % 4 == 2, generate_body()).otherwise("not json"))).select("request_id", "shape")
@@ -64,17 +74,17 @@ def _lines(*parts: Column) -> Column:
 
 def sse_chat() -> Column:
     """A streamed chat."""
-    delta = F.to_json(_s(id=_ID, model=F.col("model"), choices=F.array(_s(delta=_s(content=F.lit("hi"))))))
-    end = F.to_json(_s(id=_ID, model=F.col("model"), choices=F.array(_s(finish_reason=F.lit("stop")))))
-    used = F.to_json(_s(id=_ID, model=F.col("model"), usage=_s(prompt_tokens=_IN, completion_tokens=_OUT, total_tokens=_IN + _OUT)))
+    delta = F.to_json(_s(id=_id(), model=F.col("model"), choices=F.array(_s(delta=_s(content=F.lit("hi"))))))
+    end = F.to_json(_s(id=_id(), model=F.col("model"), choices=F.array(_s(finish_reason=F.lit("stop")))))
+    used = F.to_json(_s(id=_id(), model=F.col("model"), usage=_s(prompt_tokens=_in(), completion_tokens=_out(), total_tokens=_in() + _out())))
     return _lines(delta, delta, end, used, F.lit("[DONE]"))
 
 
 def sse_messages() -> Column:
     """A streamed message; outputs are cumulative."""
-    start = F.to_json(_s(type=F.lit("message_start"), message=_s(id=_ID, model=F.col("model"), usage=_s(input_tokens=_IN, output_tokens=F.lit(1)))))
+    start = F.to_json(_s(type=F.lit("message_start"), message=_s(id=_id(), model=F.col("model"), usage=_s(input_tokens=_in(), output_tokens=F.lit(1)))))
     half = F.to_json(_s(type=F.lit("message_delta"), usage=_s(output_tokens=F.expr("output_tokens div 2"))))
-    end = F.to_json(_s(type=F.lit("message_delta"), delta=_s(stop_reason=F.lit("end_turn")), usage=_s(output_tokens=_OUT)))
+    end = F.to_json(_s(type=F.lit("message_delta"), delta=_s(stop_reason=F.lit("end_turn")), usage=_s(output_tokens=_out())))
     return F.concat(F.lit("event: message_start\n"), _lines(start), F.lit("event: message_delta\n"), _lines(half), F.lit("event: message_delta\n"), _lines(end))
 
 
@@ -84,7 +94,7 @@ query("parse_sse_generate", _ROW.format(finish="'STOP'"))(
     lambda t: _flat(S.parse_sse_generate(_body(t, F.when(F.col("request_id") % 2 == 0, _lines(generate_body(), generate_body())).otherwise(F.concat(F.lit("["), generate_body(), F.lit("]"))))))
 )
 query("parse_sse_responses", _ROW.format(finish="'completed'"))(
-    lambda t: _flat(S.parse_sse_responses(_body(t, _lines(F.to_json(_s(type=F.lit("response.created"))), F.to_json(_s(type=F.lit("response.completed"), response=_s(id=_ID, model=F.col("model"), status=F.lit("completed"), usage=_s(input_tokens=_IN, output_tokens=_OUT, total_tokens=_IN + _OUT))))))))
+    lambda t: _flat(S.parse_sse_responses(_body(t, _lines(F.to_json(_s(type=F.lit("response.created"))), F.to_json(_s(type=F.lit("response.completed"), response=_s(id=_id(), model=F.col("model"), status=F.lit("completed"), usage=_s(input_tokens=_in(), output_tokens=_out(), total_tokens=_in() + _out()))))))))
 )
 query("parse_usage", """SELECT request_id, provider, request_id % 13 = 0 AS parse_error, CASE WHEN request_id % 13 = 0 THEN NULL ELSE model END AS usage_model, CASE WHEN request_id % 13 = 0 THEN NULL ELSE input_tokens END AS usage_input_tokens,
   CASE WHEN request_id % 13 = 0 THEN NULL ELSE output_tokens END AS usage_output_tokens FROM usage""")(
@@ -120,5 +130,5 @@ query("scope_kind_label", "SELECT request_id, CASE request_id % 3 WHEN 0 THEN 'g
     lambda t: t.usage.select("request_id", I.scope_kind_label(F.when(F.col("request_id") % 3 == 0, "global").when(F.col("request_id") % 3 == 1, F.concat(F.lit("model:"), "model")).otherwise("user:ip:10.1.2.3")).alias("s")).select("request_id", "s.*")
 )
 query("estimate_tokens", "SELECT request_id, CASE WHEN request_id % 5 = 0 OR input_tokens > 20000 OR output_tokens // 5 = 0 THEN input_tokens // 4 ELSE output_tokens // 5 END AS est_tokens FROM usage")(
-    lambda t: P.estimate_tokens(t.usage.withColumns({"chars": F.when(F.col("request_id") % 5 == 0, 0).otherwise(_OUT), "bytes": _IN}), "chars", "bytes", 5, 4, 20_000).select("request_id", "est_tokens")
+    lambda t: P.estimate_tokens(t.usage.withColumns({"chars": F.when(F.col("request_id") % 5 == 0, 0).otherwise(_out()), "bytes": _in()}), "chars", "bytes", 5, 4, 20_000).select("request_id", "est_tokens")
 )
