@@ -137,7 +137,7 @@ class BatchedBPE:
         return [spelled[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
 
 
-_MADE: dict[str, W.Memo] = {}
+_MADE: dict[str, W.Memo] = W.held({})
 
 
 def memo(path: str) -> tuple[W.Memo, BatchedBPE]:

@@ -33,7 +33,7 @@ LEVELS = 4
 #: Shingles known as frequent: a bounded list (1 MB) that decides order only, never results.
 FREQUENT = 1 << 17
 #: Shingles counted together in a task before the counts are shuffled.
-CHUNK_SHINGLES = 4_000_000
+CHUNK_SHINGLES = 2_000_000
 #: A comparison of one shingle against reading one posting.
 VERIFY_COST = 1 / 8
 #: Rounds of comparisons with a few classes at most; another one runs while there are more candidates a posting than
@@ -42,7 +42,7 @@ ROUNDS, MANY, LEAST_GAIN = 4, 4, 0.05
 #: Columns of a set's parity bits.
 SKETCH = ("p0", "p1", "p2", "p3")
 #: Characters of text handled at once in a task.
-SLICE = 2_000_000
+SLICE = 500_000
 #: Up to so many ids (16 bytes each) are broadcast to pick their texts; beyond, a shuffle join does.
 BROADCAST_IDS = 500_000
 
@@ -51,6 +51,7 @@ def _counts(docs: DataFrame, width: int) -> DataFrame:
     """(shingle, documents) of shingles that repeat within a task's documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        W.release()
         held: list[np.ndarray] = []
         size = 0
 
@@ -81,6 +82,7 @@ def _sets(docs: DataFrame, width: int, num: int, den: int, frequent: np.ndarray)
     listed, place = frequent[order], order
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        W.release()
         for batch in batches:
             for a, b in W.slices(batch["text"], SLICE):
                 part = batch.slice(a, b - a)
@@ -137,6 +139,7 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     texts = rows.join(ids, rows.doc_id.eqNullSafe(F.col("__id")) & (rows.row == F.col("__row"))).select("sid", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        W.release()
         for batch in batches:
             for a, b in W.slices(batch["text"], SLICE):
                 part = batch.slice(a, b - a)

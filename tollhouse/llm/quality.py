@@ -25,7 +25,7 @@ from tollhouse.llm.shingles import flat_bytes, text_shingles, word_hashes
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 8_000, 12_000
 STEPS, RATE, DECAY = 600, 0.05, 1e-4
 #: Characters of text handled at once in a task.
-SLICE = 2_000_000
+SLICE = 500_000
 #: Used where labels name no negatives to estimate it from.
 DEFAULT_PRIOR = 0.8
 
@@ -139,6 +139,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", tex
     wanted = F.broadcast(trusted.unionByName(wild))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        W.release()
         for batch in batches:
             for a, b in W.slices(batch["text"], SLICE):
                 x = features(batch["text"].slice(a, b - a)).astype("<f4")
@@ -159,6 +160,7 @@ def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text",
     given = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("__text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        W.release()
         for batch in batches:
             for a, b in W.slices(batch["__text"], SLICE):
                 part = batch.slice(a, b - a)

@@ -73,8 +73,9 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, threshold: int) -> tuple[np.nda
 
 def _anchor_rows(texts: DataFrame, threshold: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        W.release()
         for batch in batches:
-            for a, b in W.slices(batch["text"], 4_000_000):
+            for a, b in W.slices(batch["text"], 1_000_000):
                 part = batch.slice(a, b - a)
                 raw, bounds = flat_bytes(part["text"])
                 if len(raw) > int(_PLACE):
@@ -96,6 +97,7 @@ def _members(found: DataFrame, threshold: int) -> DataFrame:
     left = threshold - GRAM
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        W.release()
         seen: set[tuple[int, int]] = set()
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         names = ["key", "kind", "tid", "at", "before", "after", "context"]
@@ -128,6 +130,7 @@ def _halved(groups: DataFrame, threshold: int) -> DataFrame:
     """Each row twice, for the windows in which the anchor stands early or late, where it has such windows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        W.release()
         for batch in batches:
             rows: list[dict] = []
             for x in batch.to_pylist():
@@ -188,6 +191,7 @@ def _compared(groups: DataFrame, threshold: int) -> DataFrame:
     """Repeated stretches of groups within the bound."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        W.release()
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         held: list[dict] = []
 
@@ -252,6 +256,7 @@ def _kept(rows: DataFrame, names: list[str], threshold: int, with_text: bool, de
     schema = schema.add("kept", kind) if with_text else schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        W.release()
         for batch in batches:
             for a, b in W.slices(batch["__text"]):
                 part = batch.slice(a, b - a)

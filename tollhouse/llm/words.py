@@ -129,6 +129,19 @@ def slices(texts: pa.Array, chars: int = BATCH_CHARS) -> Iterable[tuple[int, int
 
 
 _LIBRARY: dict[tuple[str, str], Memo] = {}
+_HELD: list[dict] = [_LIBRARY]
+
+
+def held(memos: dict) -> dict:
+    """A dictionary of this worker's memos, which ``release`` empties."""
+    _HELD.append(memos)
+    return memos
+
+
+def release() -> None:
+    """Gives up the memos of this worker: Spark uses a worker again for stages that need its memory for other things."""
+    for memos in _HELD:
+        memos.clear()
 
 
 def library_memo(path: str, chunker: Callable) -> Memo:
