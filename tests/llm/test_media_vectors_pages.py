@@ -95,3 +95,15 @@ def test_tree_matching():
     both = wrapper.merged(one, two)
     (div,) = both[5]
     assert [c[0] for c in div[5]] == ["p", "h1"] and div[5][1][2] == -1
+
+
+def wrapped(spark, pages):
+    """Main texts of pages of one host, in order."""
+    df = spark.createDataFrame([(i, "http://one.example/x", h) for i, h in enumerate(pages)], "page_id long, url string, html string").repartition(2)
+    return [r.main_text for r in sorted(wrapper.main_text(df).collect())]
+
+
+def test_headline_and_lead_stay(spark):
+    body = lambda i: f"Body {i} " + "and so on " * (200 if i else 9000)
+    pages = [f"<body><main><h1>Headline {i}</h1><div class=lead>Lead {i}</div><div class=body><div class=text>{body(i)}</div></div></main></body>" for i in range(4)]
+    assert wrapped(spark, pages) == [f"Headline {i} Lead {i} {body(i)}".strip() for i in range(4)]

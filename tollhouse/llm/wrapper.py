@@ -5,7 +5,7 @@ siblings folded into one node, is aligned with those of other pages of its host
 tree matching; nodes whose text stays the same are template, nodes whose text varies are
 slots.  Every page takes part: a task merges its pages of a host into one tree, whose size
 the template bounds, and those trees are merged by host.  The wrapper of a host is the path to
-the deepest container of nearly all varying text outside menus, notices and the like.  A
+the deepest container of all varying text outside menus, notices and the like.  A
 page's text is that of the node which aligns with this path.
 """
 
@@ -41,8 +41,6 @@ DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising s
 #: A start tag closes open elements of these kinds.
 CLOSES = {t: ("p",) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()} | {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("html body table td th ul ol dl div article section main aside nav header footer form".split())
-#: Share of the varying text that must lie within a child for the wrapper to lead there.
-SHARE = 0.9
 #: Different hosts that a task holds before it hands its trees on.
 HOSTS_AT_ONCE = 2_000
 
@@ -230,7 +228,7 @@ def wrapper(t: list) -> list[str]:
     while True:
         total = _mass(t)
         best = max(t[5], key=_mass, default=None)
-        if best is None or total == 0 or best[4] or _mass(best) < SHARE * total or best[0].split(".")[0] in TEXTUAL:
+        if best is None or total == 0 or best[4] or _mass(best) < total or best[0].split(".")[0] in TEXTUAL:
             return path
         path.append(best[0])
         t = best
