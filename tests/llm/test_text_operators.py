@@ -8,11 +8,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tollhouse.llm import bpe, jaccard, packing, quality, repeats, sharding, sstable
+from tollhouse.llm import bpe, jaccard, packing, quality, repeats, sharding, sstable, words
 from tollhouse.llm.common import shared_dir
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -220,3 +221,14 @@ def test_quality(spark, sf):
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
     assert quality.fit_quality(docs, labels.limit(0)) is None
     assert {r.score for r in quality.score_quality(table(spark, ODD), None).collect()} == {0.5}
+
+
+@pytest.mark.parametrize(("path", "chunker"), [(BYTE, words.spaced_chunks), (WORD, words.bare_chunks)])
+def test_words_of_nul_and_full_stops(path, chunker):
+    """Such a word first, last and between others: neither it nor an ending takes the other's ids."""
+    tok = Tokenizer.from_file(path)
+    for texts in (["a \0. \0,", "the cat. the end, \0."], ["the cat. the end,", "a \0. \0, \0.."], ["\0.", "end."]):
+        memo = words.Memo(lambda xs: [le(tok.encode(x, add_special_tokens=False).ids) for x in xs], chunker, words.spaced_text if chunker is words.spaced_chunks else str)
+        for t in [*texts, *reversed(texts)]:
+            ids, _ = memo.batch(pa.array([t]))
+            assert le(ids) == le(tok.encode(t, add_special_tokens=False).ids), repr(t)

@@ -60,6 +60,8 @@ class Memo:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], chunker: Callable[[pa.Array], tuple[pa.ListArray, np.ndarray]], spell: Callable[[str], str] = str):
         self.encode, self.chunker, self.spell = encode, chunker, spell
         self.known: dict[str, bytes] = {"": b""}
+        #: Ids of commas and full stops at the end of a word: apart from the words, any of which may stand in a text.
+        self.endings: dict[str, bytes] = {}
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and where each text's begin (one more at the end); null is empty."""
@@ -87,8 +89,8 @@ class Memo:
 
     def _ids(self, words: list[str]) -> list[bytes]:
         missing = [x for x in words if x not in self.known]
-        if len(self.known) + len(missing) > MEMO_CHUNKS:
-            self.known = {"": b""}
+        if len(self.known) + len(self.endings) + len(missing) > MEMO_CHUNKS:
+            self.known, self.endings = {"": b""}, {}
             missing = [x for x in words if x]
         if missing:
             self._learn(missing)
@@ -110,11 +112,11 @@ class Memo:
             else:
                 cores[x] = self.spell(x)
         for end in {e for _, e in ends.values()}:
-            if (key := "\0" + end) not in self.known:
-                self.known[key] = self.encode([end])[0]
+            if end not in self.endings:
+                self.endings[end] = self.encode([end])[0]
         self.known.update(zip(cores, self.encode(list(cores.values())), strict=True))
         for x, (core, end) in ends.items():
-            self.known[x] = self.known[core] + self.known["\0" + end]
+            self.known[x] = self.known[core] + self.endings[end]
 
 
 def slices(texts: pa.Array, chars: int = BATCH_CHARS) -> Iterable[tuple[int, int]]:
