@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollhouse.llm.common import stored
-from tollhouse.llm.jaccard import jaccard_components
+from tollhouse.llm.jaccard import jaccard_rows
 from tollhouse.llm.packing import harmonic_pack
 from tollhouse.llm.quality import fit_quality, score_quality
 from tollhouse.llm.repeats import remove_repeats
@@ -35,14 +35,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates; repeated rows count once."""
-    groups = stored(jaccard_components(docs, width=WIDTH, num=NUM, den=DEN), "groups")
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    """One row of each group of near duplicates, that of the smallest id; rows without shingles all stay.
+
+    Rows are told apart by id and text: other texts under the id of a row that goes stay.
+    """
+    groups = stored(jaccard_rows(docs, width=WIDTH, num=NUM, den=DEN), "groups").filter("n_shingles > 0")
+    stands = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row") == F.col("component_row"))
+    gone = groups.filter(~stands).select(F.col("doc_id").alias("__gone"), F.col("row").alias("__hash")).distinct()
     few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, docs.doc_id.eqNullSafe(F.col("__gone")), "left_anti")
-    if groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    rows = docs.withColumn("__row", F.xxhash64("text"))
+    same = rows.doc_id.eqNullSafe(F.col("__gone")) & (F.col("__row") == F.col("__hash"))
+    kept = rows.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    again = stored(groups.filter(stands).groupBy("doc_id", "row").count().filter("count > 1").select(F.col("doc_id").alias("__gone"), F.col("row").alias("__hash")), "again")
+    if not again.isEmpty():
+        # The very row that stands for its group is repeated.
+        once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "__row"])
+        kept = kept.join(again, same, "left_anti").unionByName(once)
+    return kept.drop("__row")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,20 +178,17 @@ def _tried(marked: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     return named.groupBy("sid").agg(F.max(F.struct("same", "b")).alias("p")).select(F.col("sid").alias("a"), "p.b")
 
 
-def jaccard_components(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """(key, n_shingles, component_id) per row: linked where intersection / union >= num / den.
+def jaccard_rows(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """``jaccard_components`` with row, the hash of the row's text, and component_row, that of the row which stands for its component.
 
-    A-Z are lowered and words are runs of characters other than space and 0x09-0x0D.
-    ``component_id`` is the smallest key that links reach.  Null, empty and wordless texts
-    have no shingles and link with nothing.  Rows with equal keys are nodes of their own but
-    share results where their texts do; a null key takes part and counts as larger than any
-    other.  Other columns are ignored; an empty table gives no rows.
+    The row that stands for a component is that of its smallest key, of those with equal
+    keys the one of the smallest hash; a row without shingles stands for itself.
     """
     docs = docs.select(F.col(f"`{key_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     top = _counts(docs, width).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
     frequent = np.array([r[0] for r in top.select("shingle").collect()], dtype=np.int64).view(np.uint64)
     rows = stored(_sets(docs, width, num, den, frequent), "sets")
-    classes = rows.filter("n > 0").groupBy("h1", "h2", "n", "sid").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.min("doc_id").alias("min_id"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in SKETCH])
+    classes = rows.filter("n > 0").groupBy("h1", "h2", "n", "sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in SKETCH])
     classes = stored(classes, "classes")
 
     # Sets of n and n+1 shingles reach n/(n+1) at best: smaller ones link only with their equals.
@@ -244,14 +241,26 @@ def jaccard_components(docs: DataFrame, key_col: str = "doc_id", text_col: str =
     )
     links = stored(links.unionByName(_verified(pairs, docs, classes, width, num, den)), "links-all")
     grouped = connected_components(links)
-    of_class = classes.select("sid", "min_id").join(grouped.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    lowest = of_class.groupBy("component").agg(F.min("min_id").alias("component_id"))
-    of_sid = of_class.join(lowest, "component").select("sid", "component_id")
-    some = rows.filter("n > 0").join(of_sid, "sid").select(F.col("doc_id").alias(key_col), F.col("n").alias("n_shingles"), "component_id")
-    none = rows.filter("n = 0").select(F.col("doc_id").alias(key_col), F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    of_class = classes.select("sid", "first").join(grouped.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    lowest = of_class.groupBy("component").agg(F.min("first").alias("first"))
+    of_sid = of_class.select("sid", "component").join(lowest, "component").select("sid", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("component_row"))
+    some = rows.filter("n > 0").join(of_sid, "sid").select(F.col("doc_id").alias(key_col), "row", F.col("n").alias("n_shingles"), "component_id", "component_row")
+    none = rows.filter("n = 0").select(F.col("doc_id").alias(key_col), "row", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("row").alias("component_row"))
     return some.unionByName(none)
 
 
+def jaccard_components(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """(key, n_shingles, component_id) per row: linked where intersection / union >= num / den.
+
+    A-Z are lowered and words are runs of characters other than space and 0x09-0x0D.
+    ``component_id`` is the smallest key that links reach.  Null, empty and wordless texts
+    have no shingles and link with nothing.  Rows with equal keys are nodes of their own but
+    share results where their texts do; a null key takes part and counts as larger than any
+    other.  Other columns are ignored; an empty table gives no rows.
+    """
+    return jaccard_rows(docs, key_col, text_col, width, num, den).drop("row", "component_row")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents at similarity 0.9 on shingles of three words."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
