@@ -107,3 +107,11 @@ def test_headline_and_lead_stay(spark):
     body = lambda i: f"Body {i} " + "and so on " * (200 if i else 9000)
     pages = [f"<body><main><h1>Headline {i}</h1><div class=lead>Lead {i}</div><div class=body><div class=text>{body(i)}</div></div></main></body>" for i in range(4)]
     assert wrapped(spark, pages) == [f"Headline {i} Lead {i} {body(i)}".strip() for i in range(4)]
+
+
+def test_constant_texts_go(spark):
+    """Blocks of neutral names and paragraphs that are the same on all pages go; copies of a page make nothing constant."""
+    page = lambda i: f"<body><div class=content><p>Read more of our stories</p><h1>Title {i}</h1><div class=box>An <b>offer</b> for you</div><p>Text {i} alpha</p><p>more {i} beta</p><div class=box>Box {i}</div></div></body>"
+    left = lambda i: f"Title {i} Text {i} alpha more {i} beta Box {i}"
+    assert wrapped(spark, [page(i) for i in range(5)]) == [left(i) for i in range(5)]
+    assert wrapped(spark, [page(0)] * 5 + [page(1)]) == [f"Read more of our stories Title {i} An offer for you Text {i} alpha more {i} beta Box {i}" for i in (0, 0, 0, 0, 0, 1)]
