@@ -115,3 +115,12 @@ def test_constant_texts_go(spark):
     left = lambda i: f"Title {i} Text {i} alpha more {i} beta Box {i}"
     assert wrapped(spark, [page(i) for i in range(5)]) == [left(i) for i in range(5)]
     assert wrapped(spark, [page(0)] * 5 + [page(1)]) == [f"Read more of our stories Title {i} An offer for you Text {i} alpha more {i} beta Box {i}" for i in (0, 0, 0, 0, 0, 1)]
+
+
+@pytest.mark.parametrize("name", ["class='page with-sidebar'", "class='no-sidebar'", "class=has-nav", "class=layout-footer", "id=legal-news", "class=related-work"])
+def test_names_of_main_text(spark, name):
+    """Without article or main, an element that holds most of the text stays; small ones of such names go."""
+    page = lambda i, n: f"<body><h1>Title {i}</h1><div {name}><div class=content><p>{f'word{i} ' * n}</p></div><div class=sidebar>Side {i}</div></div><div class=ad>Buy {i}</div></body>"
+    sizes = (30, 40, 4000, 20)
+    assert wrapped(spark, [page(i, n) for i, n in enumerate(sizes)]) == [f"Title {i} {f'word{i} ' * n}".strip() for i, n in enumerate(sizes)]
+    assert wrapped(spark, [page(0, 30)]) == [f"Title 0 {'word0 ' * 30}".strip()]

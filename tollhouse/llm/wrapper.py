@@ -74,7 +74,7 @@ def _made(tag: str, raw: str) -> Node:
         named = DROPPED_WORDS.intersection(w.lower() for w in _WORD.findall(names))
     kind = " ".join(sorted(x for x in attrs.get("class", "").split() if not any(c.isdigit() for c in x)))
     # Elements of other names are not alike, be it in their ids alone.
-    return Node(tag, (f"{tag}.{kind}" if kind else tag) + "".join(f"!{w}" for w in sorted(named)), out or bool(named))
+    return Node(tag, (f"{tag}.{kind}" if kind else tag) + "".join(f"!{w}" for w in sorted(named)), out, bool(named))
 
 
 def parse(text: str) -> Node:
