@@ -124,3 +124,11 @@ def test_names_of_main_text(spark, name):
     sizes = (30, 40, 4000, 20)
     assert wrapped(spark, [page(i, n) for i, n in enumerate(sizes)]) == [f"Title {i} {f'word{i} ' * n}".strip() for i, n in enumerate(sizes)]
     assert wrapped(spark, [page(0, 30)]) == [f"Title 0 {'word0 ' * 30}".strip()]
+
+
+@pytest.mark.parametrize("tag", ["font", "b", "div"])
+def test_deep_pages(spark, tag):
+    """Elements nested 5,000 deep, without end tags."""
+    deep = [f"<body><p>Start {i}</p>" + f"<{tag}>x{i} " * 5000 for i in range(2)]
+    wanted = [f"Start {i}" + f" x{i}" * 5000 for i in range(2)]
+    assert wrapped(spark, [*deep, "<body><p>Flat</p></body>"]) == [*wanted, "Flat"]
