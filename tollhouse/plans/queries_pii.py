@@ -179,3 +179,64 @@ _query("gov_id_gate", "documents", _GATE)(lambda docs: _gate(docs).drop("score")
 _query("id_gate_daily", "documents", f"WITH g AS ({_GATE}) SELECT DATE '2024-01-01' + CAST(request_id % 5 AS INT) AS day, count(*) AS with_images, count(*) FILTER (outcome = 'blocked') AS blocked, count(*) FILTER (outcome = 'cleared') AS cleared, count(*) FILTER (outcome = 'fail_open') AS fail_open FROM g GROUP BY 1")(
     lambda docs: X.id_gate_daily(_gate(docs).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("request_id") % 5).cast("int"))))
 )
+
+
+# The same operators over whole texts with all pattern entities.  DuckDB cannot follow the scores and check digits, so these have no SQL.
+
+
+def _all_scans(docs: DataFrame) -> DataFrame:
+    found = X.span_threshold(X.pii_detect(docs, "text"), "text")
+    kinds = F.array_distinct(F.transform("spans", lambda s: s["entity_type"]))
+    counts = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter("spans", lambda s: s["entity_type"] == k))))
+    rows = found.withColumns({"entity_counts": counts, "day": F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 5).cast("int"))})
+    return X.scan_outcome(rows, "text", F.col("doc_id") % 7 == 0, 4000)
+
+
+_query("pii_daily_all", "documents")(lambda docs: X.pii_daily(_all_scans(docs)))
+_query("pii_by_entity_all", "documents")(lambda docs: X.pii_by_entity(_all_scans(docs)))
+_query("pii_tier_counts_all", "documents")(lambda docs: X.pii_tier_counts(_all_scans(docs), "entity_counts").select("doc_id", "masked", "sealed", "redacted", "detected"))
+_query("dedupe_analyze_all", "documents")(lambda docs: X.dedupe_analyze(docs, "text").select("doc_id", F.to_json("spans").alias("spans")))
+_query("reformat_placeholders_all", "documents")(lambda docs: X.scrub_text(docs, "text").select("doc_id", X.reformat_placeholders(F.col("scrubbed"), "[", "]", True).alias("text")))
+
+
+@_query("range_detection_rate_all", "documents")
+def range_detection_rate_all(docs: DataFrame) -> DataFrame:
+    from tollhouse.operators.rollups import range_detection_rate as rate
+
+    return rate(X.pii_daily(_all_scans(docs)), 3)
+
+
+def _text_gate(docs: DataFrame) -> DataFrame:
+    return X.gov_id_gate(docs.select(F.col("doc_id").alias("request_id"), "text", (F.col("doc_id") % 3 == 1).alias("error")))
+
+
+_query("gov_id_gate_all", "documents")(_text_gate)
+_query("id_gate_daily_all", "documents")(lambda docs: X.id_gate_daily(_text_gate(docs).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("request_id") % 5).cast("int")))))
+
+
+def _bodies(turns: DataFrame) -> DataFrame:
+    """Chat bodies of the turns' own texts."""
+    message = F.struct("role", F.coalesce("text", F.lit("")).alias("content"))
+    return turns.withColumn("body", F.to_json(F.struct(F.lit("m").alias("model"), F.array(message).alias("messages"), F.struct(F.lit("a@corp.test").alias("note")).alias("metadata"))))
+
+
+_query("scrub_json_all", "conversations")(lambda turns: X.scrub_json(_bodies(turns), "body").select("conv_id", "turn", "scrubbed"))
+_query("mask_json_metadata_all", "conversations")(lambda turns: X.mask_json_metadata(_bodies(turns), "body").select("conv_id", "turn", "masked"))
+
+
+def _payload() -> F.Column:
+    return F.regexp_replace(F.base64(F.encode(F.repeat("text", 40), "UTF-8")), "[\r\n]", "")
+
+
+@_query("strip_images_all", "conversations")
+def strip_images_all(turns: DataFrame) -> DataFrame:
+    body = F.concat_ws(" ", "text", _payload(), F.lit("end"))
+    cut = X.strip_images(turns.withColumns({"body": body, "before": body}), "body")
+    return X.unstrip_images(cut.withColumn("stripped", F.col("body")), "body").select("conv_id", "turn", "stripped", (F.col("body") == F.col("before")).alias("whole"))
+
+
+@_query("extract_images_all", "conversations")
+def extract_images_all(turns: DataFrame) -> DataFrame:
+    part = F.struct(F.lit("image_url").alias("type"), F.struct(F.concat(F.lit("data:image/png;base64,"), _payload()).alias("url")).alias("image_url"))
+    body = F.to_json(F.struct(F.array(F.struct(F.array(part).alias("content"))).alias("messages")))
+    return X.extract_images(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), body.alias("body")), "body", 1 << 20)
