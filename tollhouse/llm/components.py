@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollhouse.llm.common import stored
+from tollhouse.llm.common import Steps
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -20,7 +20,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
     harm.  An empty table gives an empty one.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    edges = stored(edges, "links")
+    steps = Steps(links.sparkSession)
+    edges = steps.store(edges, "links")
     seen = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,7 +31,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "links")
+        edges = steps.store(small, "links")
         state = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if state == seen:
             break

@@ -6,11 +6,16 @@ and the first m-O+l and n-O+l of them share l at least, for every l.  Each docum
 its l from 1 to ``LEVELS`` by estimated cost: the postings that it would read plus the
 candidates, at most postings / l, that it would verify, times its size.
 
-* Documents with equal sets form one class beforehand; a class counts once.
+* Documents with equal sets form one class beforehand; a class counts once.  Its node is the
+  number of a row, so no hash of a set stands for it.
+* A posting is shuffled by shingle with its node, place and size alone; those of shingles
+  that no other document has go before anything else is attached.
 * Before all candidates are formed, each class is compared with a few classes that share its
   shingles, and classes so linked are labelled by component.  Candidates are then formed
   only between components: large families of near copies take linear work, and no link
   between components is lost.
+* Candidates are verified on their whole sets, made anew from texts that move compressed, to
+  the candidate's partner; partners of many candidates are split.
 """
 
 from __future__ import annotations
@@ -21,11 +26,12 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tollhouse.llm import words as W
-from tollhouse.llm.common import stored
+from tollhouse.llm.common import Steps
 from tollhouse.llm.components import connected_components
 from tollhouse.llm.shingles import mix, text_shingles
 
@@ -43,8 +49,14 @@ ROUNDS, MANY, LEAST_GAIN = 4, 4, 0.05
 SKETCH = ("p0", "p1", "p2", "p3")
 #: Characters of text handled at once in a task.
 SLICE = 500_000
-#: Up to so many ids (16 bytes each) are broadcast to pick their texts; beyond, a shuffle join does.
+#: Postings of shingles that more documents have carry the sets' parity bits.
+SKETCHED = 32
+#: Candidates of one partner that are compared with it in one task.
+TOGETHER = 256
+#: Up to so many ids (some 50 bytes each) or labels (16 bytes) are broadcast; beyond, a shuffle join does.
 BROADCAST_IDS = 500_000
+#: Different sets that a task remembers, so that copies that it meets again give no postings.
+REMEMBERED = 300_000
 
 
 def _counts(docs: DataFrame, width: int) -> DataFrame:
@@ -77,12 +89,13 @@ def _counts(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, row hash, set size, set hash and the prefix in the common order."""
+    """node, doc_id, row hash, set size, set hashes, parity bits and the prefix in the common order, null where the task gave it before."""
     order = np.argsort(frequent)
     listed, place = frequent[order], order
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         W.release()
+        met: set[tuple[int, int]] = set()
         for batch in batches:
             for a, b in W.slices(batch["text"], SLICE):
                 part = batch.slice(a, b - a)
@@ -98,19 +111,27 @@ def _sets(docs: DataFrame, width: int, num: int, den: int, frequent: np.ndarray)
                     hit = listed[at] == flat
                     rank[hit] = len(listed) - place[at[hit]]
                 prefixes = []
-                for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+                for i, j, key in zip(bounds.tolist(), bounds[1:].tolist(), zip(ones.tolist(), twos.tolist(), strict=True), strict=False):
+                    if key in met:
+                        prefixes.append(None)
+                        continue
+                    if len(met) >= REMEMBERED:
+                        met.clear()
+                    met.add(key)
                     size = j - i
                     take = min(size, size - -(-num * size // den) + LEVELS)
                     r = rank[i:j]
                     own = flat[i:j] if not r.any() else flat[i:j][np.argsort(r, kind="stable")]
                     prefixes.append(own[:take].view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32()), pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)])))
-                key = mix(ones + np.uint64(3) * twos + n.astype(np.uint64))
-                columns = [part["doc_id"], part["row"], pa.array(n), pa.array(ones.view(np.int64)), pa.array(twos.view(np.int64)), pa.array(key.view(np.int64)), lists, *map(pa.array, sketch)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "h1", "h2", "sid", "prefix", *SKETCH])
+                missing = np.array([p is None for p in prefixes] + [False], dtype=bool)
+                ends = np.concatenate([[0], np.cumsum([0 if p is None else len(p) for p in prefixes])])
+                values = pa.array(np.concatenate([*(p for p in prefixes if p is not None), np.empty(0, np.int64)]))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=missing), values)
+                columns = [part["node"], part["doc_id"], part["row"], pa.array(n), pa.array(ones.view(np.int64)), pa.array(twos.view(np.int64)), *map(pa.array, sketch), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "row", "n", "h1", "h2", *SKETCH, "prefix"])
 
-    fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n long, h1 long, h2 long, sid long, prefix array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
-    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, fields)
+    fields = f"node long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in SKETCH) + ", prefix array<long>"
+    return docs.select(F.monotonically_increasing_id().alias("node"), "doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, fields)
 
 
 def _sketches(flat: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -130,52 +151,112 @@ def _differ(a: str, b: str) -> Column:
     return reduce(add, [F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in SKETCH])
 
 
-def _shingles_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(sid, shingles) of the classes in ``wanted`` (sid, doc_id, row): one text each is read again."""
-    n = wanted.count()
-    ids = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
-    ids = ids.select("sid", F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
+def _moved(docs: DataFrame, moves: DataFrame, few: bool) -> DataFrame:
+    """(b, part, own, node, text) for each of ``moves`` (node, b, part, own, doc_id, row), the text compressed."""
     rows = docs.select("doc_id", "text").withColumn("row", F.xxhash64("text"))
-    texts = rows.join(ids, rows.doc_id.eqNullSafe(F.col("__id")) & (rows.row == F.col("__row"))).select("sid", "text")
+    ids = moves.select("node", "b", "part", "own", F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
+    texts = rows.join(F.broadcast(ids) if few else ids, rows.doc_id.eqNullSafe(F.col("__id")) & (rows.row == F.col("__row"))).select("b", "part", "own", "node", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         W.release()
+        pack = zstandard.ZstdCompressor().compress
+        met: set[tuple] = set()
         for batch in batches:
+            # The very row that stands for a class may be repeated.
+            keys = list(zip(*(batch[c].to_pylist() for c in ("b", "part", "own", "node")), strict=True))
+            fresh = [k not in met and not met.add(k) for k in keys]
+            met = met if len(met) < REMEMBERED else set()
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             for a, b in W.slices(batch["text"], SLICE):
                 part = batch.slice(a, b - a)
-                flat, bounds = text_shingles(part["text"], width)
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part["sid"], lists], ["sid", "shingles"])
+                packed = pa.array([pack(t.as_py().encode("utf-8", "surrogatepass")) for t in part["text"]], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("b", "part", "own", "node")), packed], ["b", "part", "own", "node", "packed"])
 
-    sets = stored(texts.mapInArrow(run, "sid long, shingles array<long>"), "shingles")
-    # More sets than classes: the very row that stands for a class is repeated.
-    return sets if sets.count() <= n else sets.dropDuplicates(["sid"])
+    return texts.mapInArrow(run, "b long, part int, own boolean, node long, packed binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, steps: Steps, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes that reach the similarity."""
-    pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = stored(classes.join(ids, "sid").select("sid", "first.doc_id", "first.row"), "wanted")
-    sets = _shingles_of(docs, wanted, width)
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    total = F.size("sa") + F.size("sb")
-    return both.select("a", "b", shared.alias("i"), total.alias("t")).filter(F.col("i") * den >= (F.col("t") - F.col("i")) * num).select("a", "b")
+    pairs = steps.store(pairs, "pairs")
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    moves = dealt.select(F.col("a").alias("node"), "b", "part", F.lit(False).alias("own"))
+    moves = moves.unionByName(dealt.select(F.col("b").alias("node"), "b", "part", F.lit(True).alias("own")).distinct())
+    moves = steps.store(moves.join(classes.select("node", "own.doc_id", "own.row"), "node"), "moves")
+    moved = _moved(docs, moves, moves.count() <= BROADCAST_IDS)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        W.release()
+        unpack = zstandard.ZstdDecompressor().decompress
+        key, own, last = None, np.empty(0, np.uint64), None
+        for batch in batches:
+            found: tuple[list[int], list[int]] = ([], [])
+            for b, part, is_own, node, packed in zip(*(batch[c].to_pylist() for c in ("b", "part", "own", "node")), batch["packed"], strict=True):
+                # Another task may have met the same row.
+                if last == (b, part, is_own, node):
+                    continue
+                last = (b, part, is_own, node)
+                flat = text_shingles(pa.array([unpack(packed.as_py()).decode("utf-8", "surrogatepass")], pa.large_string()), width)[0]
+                if is_own:
+                    key, own = (b, part), flat
+                    continue
+                if key != (b, part):
+                    raise RuntimeError("a candidate came without its partner")
+                shared = len(np.intersect1d(own, flat, assume_unique=True))
+                if shared * den >= (len(own) + len(flat) - shared) * num:
+                    found[0].append(node)
+                    found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+    return moved.repartition("b", "part").sortWithinPartitions("b", "part", F.desc("own"), "node").mapInArrow(run, "a long, b long")
 
 
 def _tried(marked: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """A pair for each class: of the pivots of its shingles, in another component, the one that most of them name, twice at least."""
-    salted = F.xxhash64("sid", F.lit(turn))
     # Few rarer shingles before a common one: a text that others were made from, rather than one of its altered copies.
-    first = F.struct(F.col("at").alias("ab"), salted.alias("h"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("other"), *[F.col(c).alias(f"q{c}") for c in SKETCH])
-    pivots = marked.groupBy("shingle").agg(F.min(first).alias("p")).select("shingle", "p.b", "p.nb", "p.ab", "p.other", *[f"p.q{c}" for c in SKETCH])
-    near = marked.join(pivots, "shingle").filter("component <> other").filter((F.col("n") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("n") * num))
-    shared = F.ceil((F.col("n") + F.col("nb")) * num / (num + den))
-    near = near.filter((F.col("at") <= F.col("n") - shared + LEVELS - 1) & (F.col("ab") <= F.col("nb") - shared + LEVELS - 1))
-    near = near.filter(_differ("", "q") <= F.col("n") + F.col("nb") - 2 * shared)
-    named = near.groupBy("sid", "b").agg(F.count("*").alias("same")).filter("same > 1")
-    return named.groupBy("sid").agg(F.max(F.struct("same", "b")).alias("p")).select(F.col("sid").alias("a"), "p.b")
+    order = Window.partitionBy("shingle").orderBy("at", F.xxhash64("node", F.lit(turn)), "node")
+    own = F.struct("node", "n", "at", "component", *SKETCH)
+    near = marked.withColumn("p", F.first(own).over(order)).filter("component <> p.component").filter((F.col("n") * den >= F.col("p.n") * num) & (F.col("p.n") * den >= F.col("n") * num))
+    shared = F.ceil((F.col("n") + F.col("p.n")) * num / (num + den))
+    near = near.filter((F.col("at") <= F.col("n") - shared + LEVELS - 1) & (F.col("p.at") <= F.col("p.n") - shared + LEVELS - 1))
+    near = near.filter(_differ("", "p.") <= F.col("n") + F.col("p.n") - 2 * shared)
+    named = near.groupBy("node", F.col("p.node").alias("b")).agg(F.count("*").alias("same")).filter("same > 1")
+    return named.groupBy("node").agg(F.max(F.struct("same", "b")).alias("p")).select(F.col("node").alias("a"), "p.b")
+
+
+def _postings(rows: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, n, at, shingle, level, parity bits) of the shingles that several rows have; level is the class's chosen l."""
+    # Sets of n and n+1 shingles reach n/(n+1) at best: smaller ones link only with their equals.
+    least = next(n for n in range(1, 1 << 20) if n * den >= num * (n + 1))
+    places = rows.filter(F.col("n") >= least).select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "shingle"))
+    met = places.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).filter("df > 1")
+    own = met.join(classes.select("node", *SKETCH), "node")
+    n, of_node = F.col("n"), Window.partitionBy("node")
+    probe = _probe(num, den)
+    cost = [F.coalesce(F.sum(F.when(probe <= k, F.col("df"))).over(of_node) * (1 + n * VERIFY_COST / k), F.lit(0.0)) for k in range(1, LEVELS + 1)]
+    chosen = own.withColumn("cost", F.array(*cost)).withColumn("level", F.array_position("cost", F.array_min("cost")).cast("int"))
+    return chosen.select("node", "n", "at", "shingle", "level", *[F.when(F.col("df") > SKETCHED, F.col(c)).otherwise(F.lit(0)).alias(c) for c in SKETCH])
+
+
+def _probe(num: int, den: int, of: str = "") -> Column:
+    """The least l for which a posting's place lies in the prefix against smaller sets."""
+    n = F.col(f"{of}n")
+    return F.greatest(F.lit(1), F.col(f"{of}at") + 1 - n + F.ceil(n * num / den))
+
+
+def _index(num: int, den: int, of: str = "") -> Column:
+    """The least l for which a posting's place lies in the prefix against larger sets."""
+    n = F.col(f"{of}n")
+    return F.greatest(F.lit(1), F.col(f"{of}at") + 1 - n + F.ceil(n * 2 * num / (num + den)))
+
+
+def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
+    """The postings of shingles of several components, with component, all (postings of the shingle) and same (those of its component too)."""
+    labels = connected_components(links).select("node", F.col("component").alias("label"))
+    labels = F.broadcast(labels) if labels.count() <= BROADCAST_IDS else labels
+    marked = postings.join(labels, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
+    marked = marked.withColumn("same", F.count("*").over(Window.partitionBy("shingle", "component")))
+    return marked.withColumn("all", F.count("*").over(Window.partitionBy("shingle"))).filter("`all` > same")
 
 
 def jaccard_rows(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -184,67 +265,56 @@ def jaccard_rows(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text
     The row that stands for a component is that of its smallest key, of those with equal
     keys the one of the smallest hash; a row without shingles stands for itself.
     """
+    steps = Steps(docs.sparkSession)
     docs = docs.select(F.col(f"`{key_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     top = _counts(docs, width).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
     frequent = np.array([r[0] for r in top.select("shingle").collect()], dtype=np.int64).view(np.uint64)
-    rows = stored(_sets(docs, width, num, den, frequent), "sets")
-    classes = rows.filter("n > 0").groupBy("h1", "h2", "n", "sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in SKETCH])
-    classes = stored(classes, "classes")
-
-    # Sets of n and n+1 shingles reach n/(n+1) at best: smaller ones link only with their equals.
-    least = next(n for n in range(1, 1 << 20) if n * den >= num * (n + 1))
-    n = F.col("n")
-    postings = (
-        classes.filter(n >= least)
-        .select("sid", "n", *SKETCH, F.posexplode("prefix").alias("at", "shingle"))
-        .withColumn("probe", F.greatest(F.lit(1), F.col("at") + 1 - n + F.ceil(n * num / den)))
-        .withColumn("index", F.greatest(F.lit(1), F.col("at") + 1 - n + F.ceil(n * 2 * num / (num + den))))
+    sets = steps.store(_sets(docs, width, num, den, frequent), "sets")
+    rows = steps.store(sets.select("doc_id", "row", "n", "h1", "h2"), "rows")
+    classes = sets.filter("n > 0").groupBy("h1", "h2", "n").agg(
+        F.min(F.struct("node", "doc_id", "row")).alias("own"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"),
+        *[F.first(c).alias(c) for c in SKETCH],
     )
-    met = postings.groupBy("shingle").agg(F.count("*").alias("df"), F.max("n").alias("most"), F.min("n").alias("fewest")).filter("df > 1")
-    postings = postings.join(met.select("shingle", "df"), "shingle")
-    cost = [F.sum(F.when(F.col("probe") <= k, F.col("df"))) * (1 + F.first("n") * VERIFY_COST / k) for k in range(1, LEVELS + 1)]
-    chosen = postings.filter(F.col("probe") <= LEVELS).groupBy("sid").agg(F.array(*[F.coalesce(c, F.lit(0.0)) for c in cost]).alias("cost"))
-    chosen = chosen.select("sid", F.array_position("cost", F.array_min("cost")).alias("level"))
-    postings = stored(postings.join(chosen, "sid"), "postings")
+    classes = steps.store(classes.withColumn("node", F.col("own.node")), "classes")
+    postings = steps.store(_postings(sets, classes, num, den), "postings")
+    steps.drop("sets")
 
     links, known = None, 0
-    marked = postings.withColumn("component", F.col("sid"))
+    marked = postings.withColumn("component", F.col("node"))
     for turn in range(ROUNDS):
-        found = _verified(_tried(marked, turn, num, den), docs, classes, width, num, den)
-        links = stored(found if links is None else links.unionByName(found), "found")
-        labels = connected_components(links).select(F.col("node").alias("sid"), F.col("component").alias("label"))
-        marked = postings.join(labels, "sid", "left").withColumn("component", F.coalesce("label", "sid")).drop("label")
-        # A shingle of one component has no candidates left; of the others, pairs across components count.
-        parts = marked.groupBy("shingle", "component").agg(F.count("*").alias("n"))
-        mixed = parts.groupBy("shingle").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("parts")).filter("parts > 1")
-        mixed = stored(mixed, "mixed")
-        marked = stored(marked.join(mixed.select("shingle"), "shingle"), "marked")
-        left, places = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2), F.sum("all")).first()
+        found = _verified(_tried(marked, turn, num, den), docs, classes, steps, width, num, den)
+        links = steps.store(found if links is None else links.unionByName(found), "found")
+        marked = steps.store(_labelled(postings, links), "marked")
+        # Pairs of postings of different components, and postings.
+        left, places = marked.agg(F.sum(F.col("all") - F.col("same")) / 2, F.count("*")).first()
         before, known = known, links.count()
-        if (left or 0) <= MANY * (places or 0) or known - before <= known * LEAST_GAIN:
+        if (left or 0) <= MANY * places or known - before <= known * LEAST_GAIN:
             break
+    steps.drop("postings")
 
-    s, r = marked.alias("s"), marked.filter(F.col("index") <= LEVELS).alias("r")
-    smaller = (F.col("r.n") < F.col("s.n")) | ((F.col("r.n") == F.col("s.n")) & (F.col("r.sid") < F.col("s.sid")))
+    s, r = marked.alias("s"), marked.filter(_index(num, den) <= LEVELS).alias("r")
+    smaller = (F.col("r.n") < F.col("s.n")) | ((F.col("r.n") == F.col("s.n")) & (F.col("r.node") < F.col("s.node")))
     # Of the shingles that a linked pair shares, the l first lie within these places of both, for its own sizes.
     shared = F.ceil((F.col("s.n") + F.col("r.n")) * num / (num + den))
     early = (F.col("s.at") <= F.col("s.n") - shared + F.col("s.level") - 1) & (F.col("r.at") <= F.col("r.n") - shared + F.col("s.level") - 1)
     # Nor can sets of these sizes differ more than that leaves open.
     early = early & (_differ("s.", "r.") <= F.col("s.n") + F.col("r.n") - 2 * shared)
     pairs = (
-        s.filter("s.probe <= s.level")
-        .join(r, (F.col("s.shingle") == F.col("r.shingle")) & smaller & (F.col("r.n") * den >= F.col("s.n") * num) & (F.col("r.index") <= F.col("s.level")) & early & (F.col("r.component") != F.col("s.component")))
-        .groupBy(F.col("s.sid").alias("a"), F.col("r.sid").alias("b"), F.col("s.level").alias("level"))
+        s.filter(_probe(num, den, "s.") <= F.col("s.level"))
+        .join(r, (F.col("s.shingle") == F.col("r.shingle")) & smaller & (F.col("r.n") * den >= F.col("s.n") * num) & (_index(num, den, "r.") <= F.col("s.level")) & early & (F.col("r.component") != F.col("s.component")))
+        .groupBy(F.col("s.node").alias("a"), F.col("r.node").alias("b"), F.col("s.level").alias("level"))
         .agg(F.count("*").alias("same"))
         .filter("same >= level")
         .select("a", "b")
     )
-    links = stored(links.unionByName(_verified(pairs, docs, classes, width, num, den)), "links-all")
+    links = steps.store(links.unionByName(_verified(pairs, docs, classes, steps, width, num, den)), "links-all")
+    steps.drop("marked", "found", "pairs", "moves")
     grouped = connected_components(links)
-    of_class = classes.select("sid", "first").join(grouped.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    lowest = of_class.groupBy("component").agg(F.min("first").alias("first"))
-    of_sid = of_class.select("sid", "component").join(lowest, "component").select("sid", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("component_row"))
-    some = rows.filter("n > 0").join(of_sid, "sid").select(F.col("doc_id").alias(key_col), "row", F.col("n").alias("n_shingles"), "component_id", "component_row")
+    of_class = classes.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = of_class.groupBy("component").agg(F.min("first").alias("lowest"))
+    of_class = of_class.join(lowest, "component").select("h1", "h2", "n", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.row").alias("component_row"))
+    some = rows.filter("n > 0").join(of_class, ["h1", "h2", "n"]).select(F.col("doc_id").alias(key_col), "row", F.col("n").alias("n_shingles"), "component_id", "component_row")
     none = rows.filter("n = 0").select(F.col("doc_id").alias(key_col), "row", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("row").alias("component_row"))
     return some.unionByName(none)
 
