@@ -232,3 +232,24 @@ def test_words_of_nul_and_full_stops(path, chunker):
         for t in [*texts, *reversed(texts)]:
             ids, _ = memo.batch(pa.array([t]))
             assert le(ids) == le(tok.encode(t, add_special_tokens=False).ids), repr(t)
+
+
+def test_prior():
+    """Positives among the unlabelled are counted without any negative label."""
+    rng = np.random.default_rng(3)
+    for share in (0.3, 0.6, 0.9):
+        good, bad = rng.normal(1, 1, (4000, 5)).astype("f4"), rng.normal(-1, 1, (4000, 5)).astype("f4")
+        n = int(share * 4000)
+        wild = np.concatenate([good[:n], bad[: 4000 - n]])
+        first = quality.fit_nnpu(rng.normal(1, 1, (3000, 5)).astype("f4"), wild[::2], quality.FIRST_PRIOR)
+        found = quality.estimated_prior(first.score(rng.normal(1, 1, (3000, 5)).astype("f4")), first.score(wild[1::2]))
+        assert abs(found - share) < 0.06
+
+
+def test_quality_of_repeated_keys(spark):
+    """A key of very many rows brings one text to the fit; null keys, texts and labels do no harm."""
+    docs = spark.range(3000).selectExpr("CASE WHEN id < 1000 THEN 7 WHEN id > 2900 THEN NULL ELSE id END AS doc_id", "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 < 3 THEN repeat('Good words here. ', 20) ELSE repeat('#$%', 50) END AS text")
+    labels = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 7 = 0 THEN NULL ELSE CAST(id % 5 IN (1, 2) AS INT) END AS quality")
+    model = quality.fit_quality(docs, labels.unionByName(labels))
+    got = {r.text: r.score for r in quality.score_quality(docs.select("text"), model).where("text IS NOT NULL").distinct().collect()}
+    assert got["Good words here. " * 20] > 0.5 > got["#$%" * 50]

@@ -268,7 +268,7 @@ def jaccard_rows(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text
     steps = Steps(docs.sparkSession)
     docs = docs.select(F.col(f"`{key_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     top = _counts(docs, width).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
-    frequent = np.array([r[0] for r in top.select("shingle").collect()], dtype=np.int64).view(np.uint64)
+    frequent = top.select("shingle").toArrow()["shingle"].to_numpy().astype(np.int64).view(np.uint64)
     sets = steps.store(_sets(docs, width, num, den, frequent), "sets")
     rows = steps.store(sets.select("doc_id", "row", "n", "h1", "h2"), "rows")
     classes = sets.filter("n > 0").groupBy("h1", "h2", "n").agg(

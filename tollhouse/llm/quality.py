@@ -5,8 +5,13 @@ A logistic model on features of the text is fitted by the non-negative unbiased
     prior * R(positives as 1) + max(0, R(unlabelled as 0) - prior * R(positives as 0)),
 
 from trusted positives, unlabelled texts and an estimated class prior.  When the second term
-turns negative, the step goes up its gradient instead (the non-negative correction).  The fit
-uses bounded samples, chosen by hash; every text is scored.
+turns negative, the step goes up its gradient instead (the non-negative correction).
+
+The prior comes from positives and unlabelled texts alone: a first model of one half of either
+ranks the other half, and above the best threshold, where next to all is positive, the share of
+unlabelled texts over that of positives is the prior (best bin estimation).
+
+The fit uses bounded samples, chosen by hash; every text is scored.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +32,8 @@ SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 8_000, 12_000
 STEPS, RATE, DECAY = 600, 0.05, 1e-4
 #: Characters of text handled at once in a task.
 SLICE = 500_000
-#: Used where labels name no negatives to estimate it from.
-DEFAULT_PRIOR = 0.8
+#: Prior of the first model, and the chance that the bounds of the estimate do not hold.
+FIRST_PRIOR, DELTA = 0.5, 0.1
 
 _KINDS = 14
 _KIND = np.zeros(256, dtype=np.int64)
@@ -82,22 +88,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives in ``unlabelled`` by the scores of both: the least ratio of the shares above a threshold, with its margin of error."""
+    p, u = np.sort(positive), np.sort(unlabelled)
+    above_p = 1 - np.searchsorted(p, p) / len(p)
+    above_u = 1 - np.searchsorted(u, p) / len(u)
+    margin = sum(np.sqrt(np.log(4 / DELTA) / 2 / len(x)) for x in (p, u))
+    best = np.argmin((above_u + margin) / above_p)
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Model:
     """A model of least non-negative risk, by Adam over whole samples; deterministic."""
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0)
+    n = len(positive) + len(unlabelled)
+    mean = (positive.sum(axis=0, dtype=np.float64) + unlabelled.sum(axis=0, dtype=np.float64)) / n
+    sides = [(x - mean.astype(np.float32)).astype(np.float32) for x in (positive, unlabelled)]
+    scale = np.sqrt(sum(np.einsum("ij,ij->j", x, x, dtype=np.float64) for x in sides) / n)
     scale[scale < 1e-3] = 1e-3
-    p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
-    w, b = np.zeros(both.shape[1] + 1), 1e-8
+    for x in sides:
+        x /= scale.astype(np.float32)
+        np.clip(x, -6, 6, out=x)
+    p, u = sides
+    w, b = np.zeros(p.shape[1] + 1), 1e-8
     first, second = np.zeros_like(w), np.zeros_like(w)
 
     def slope(x: np.ndarray, label: int) -> tuple[float, np.ndarray]:
         """Mean logistic loss and its gradient."""
-        z = x @ w[:-1] + w[-1]
+        z = x @ w[:-1].astype(np.float32) + np.float32(w[-1])
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         loss = np.logaddexp(0, -z if label else z).mean()
         d = (s - label) / len(x)
-        return loss, np.concatenate([d @ x, [d.sum()]])
+        return loss, np.concatenate([d.astype(np.float32) @ x, [d.sum()]]).astype(np.float64)
 
     for step in range(1, steps + 1):
         _, as_positive = slope(p, 1)
@@ -124,19 +145,17 @@ def _sampled(keys: DataFrame, most: int) -> DataFrame:
 def fit_quality(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = SAMPLE_POSITIVE, unlabelled: int = SAMPLE_UNLABELLED) -> Model | None:
     """The model of the rows that are not held out; None without positives.
 
-    The class prior is the share of 1 among the labels of rows not held out; the negatives
-    themselves are not used.  At most ``positives`` and ``unlabelled`` texts are read.
+    Of the labels only 1 is used; the prior is estimated from positives and unlabelled texts.
+    At most ``positives`` and ``unlabelled`` keys are read; of several texts under one key
+    (or labels of one) one counts.  Null keys and null labels take no part; an empty table
+    of documents or labels gives None.
     """
-    marks = labels.select(F.col(key_col).alias("key"), F.col(label_col).alias("mark")).filter(~held_out(F.col("key")) & F.col("key").isNotNull() & F.col("mark").isNotNull())
-    ones, zeros = marks.agg(F.count(F.when(F.col("mark") == 1, 1)), F.count(F.when(F.col("mark") == 0, 1))).first()
-    if not ones:
-        return None
-    prior = ones / (ones + zeros) if zeros else DEFAULT_PRIOR
+    trusted = labels.select(F.col(key_col).alias("key"), F.col(label_col).alias("mark")).filter((F.col("mark") == 1) & F.col("key").isNotNull()).filter(~held_out(F.col("key")))
     rows = docs.select(F.col(f"`{key_col}`").alias("key"), F.col(f"`{text_col}`").alias("text")).filter(~held_out(F.col("key")) & F.col("key").isNotNull())
-    trusted = _sampled(marks.filter("mark = 1").select("key"), positives).withColumn("kind", F.lit(1))
+    ones = _sampled(trusted.select("key"), positives).withColumn("kind", F.lit(1))
     wild = _sampled(rows.select("key"), unlabelled).withColumn("kind", F.lit(0))
     # Both samples are bounded by the parameters: 16 bytes a key.
-    wanted = F.broadcast(trusted.unionByName(wild))
+    wanted = F.broadcast(ones.unionByName(wild))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         W.release()
@@ -146,9 +165,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([batch["key"].slice(a, b - a), batch["kind"].slice(a, b - a), pa.array([v.tobytes() for v in x], pa.binary())], ["key", "kind", "x"])
 
     kind = docs.schema[key_col].dataType.simpleString()
-    found = rows.join(wanted, "key").select("key", "kind", "text").mapInArrow(run, f"key {kind}, kind int, x binary").toPandas().sort_values(["key", "kind"], kind="stable")
-    sides = [np.stack([np.frombuffer(v, "<f4") for v in found.x[found.kind == k]]).astype(np.float64) if (found.kind == k).any() else np.empty((0, N_FEATURES)) for k in (1, 0)]
-    return fit_nnpu(*sides, prior) if len(sides[0]) and len(sides[1]) else None
+    found = rows.join(wanted, "key").select("key", "kind", "text").mapInArrow(run, f"key {kind}, kind int, x binary")
+    found = found.groupBy("key", "kind").agg(F.min("x").alias("x")).toArrow().sort_by([("kind", "descending"), ("key", "ascending")])
+    x = np.frombuffer(b"".join(found["x"].to_pylist()), "<f4").reshape(-1, N_FEATURES)
+    n = pc.sum(found["kind"]).as_py() or 0
+    p, u = x[:n], x[n:]
+    if not len(p) or not len(u):
+        return None
+    if min(len(p), len(u)) < 2:
+        return fit_nnpu(p, u, FIRST_PRIOR)
+    first = fit_nnpu(p[::2], u[::2], FIRST_PRIOR)
+    return fit_nnpu(p, u, estimated_prior(first.score(p[1::2]), first.score(u[1::2])))
 
 
 def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
