@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollhouse.llm import words as W
-from tollhouse.llm.common import shared_dir, split_count, stored
+from tollhouse.llm.common import Steps, shared_dir, split_count
 from tollhouse.llm.shingles import flat_bytes, mix, powers
 
 THRESHOLD = 400
@@ -216,18 +217,21 @@ def _compared(groups: DataFrame, threshold: int) -> DataFrame:
 
 def _spans(texts: DataFrame, threshold: int) -> DataFrame:
     """(tid, from, to) of repeated bytes of different texts, overlapping."""
-    places = stored(_anchor_rows(texts, threshold), "anchors")
-    again = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    steps = Steps(texts.sparkSession)
+    places = steps.store(_anchor_rows(texts, threshold), "anchors")
+    # Stored, so that the join's sides come straight from their shuffles and Spark can split the rows of a hot anchor.
+    again = steps.store(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "again")
     shared = places.join(again, "h").groupBy("tid").agg(F.collect_list(F.struct("h", "at")).alias("places"))
-    members = stored(_members(texts.join(shared, "tid").select("tid", "text", "places"), threshold), "members")
-    kinds = members.groupBy("key", "kind").agg(F.count("*").alias("copies"))
+    members = steps.store(_members(texts.join(shared, "tid").select("tid", "text", "places"), threshold), "members")
+    steps.drop("anchors", "again")
+    kinds = steps.store(members.groupBy("key", "kind").agg(F.count("*").alias("copies")), "kinds")
     whole = members.drop("context").join(kinds.filter("copies > 1"), ["key", "kind"]).filter(F.col("before") + F.col("after") >= threshold)
     spans = whole.select("tid", (F.col("at") - F.col("before")).alias("from"), (F.col("at") + F.col("after")).alias("to"))
 
     left = threshold - GRAM
     contexts = members.filter("context IS NOT NULL").dropDuplicates(["key", "kind"]).join(kinds, ["key", "kind"])
     rows = contexts.select("key", "kind", F.col("key").alias("own_key"), F.col("kind").alias("own_kind"), "copies", F.lit(0).alias("low"), F.lit(left).alias("high"), "before", "after", "context")
-    found = None
+    levels: list[DataFrame] = []
     for depth in range(2 + left.bit_length()):
         classes = rows.groupBy("key", "kind").agg(F.sum("copies").alias("all"), F.min(F.struct("own_key", "own_kind")).alias("one"))
         of_key = classes.groupBy("key").agg(F.count("*").alias("different"), F.min("all").alias("fewest"))
@@ -235,16 +239,17 @@ def _spans(texts: DataFrame, threshold: int) -> DataFrame:
             met = rows.filter("copies = 1").drop("context").join(classes.filter("`all` > 1").drop("one"), ["key", "kind"])
             met = met.select("own_key", "own_kind", (-F.least("high", "before")).alias("from"), F.least(threshold - F.col("low"), F.col("after")).alias("to")).filter(F.col("to") - F.col("from") >= threshold)
             met = met.select(F.col("own_key").alias("key"), F.col("own_kind").alias("kind"), "from", "to")
-            found = met if found is None else found.unionByName(met)
         of_key = of_key.filter("different > 1 AND fewest = 1")
         ones = rows.join(classes, ["key", "kind"]).filter((F.col("own_key") == F.col("one.own_key")) & (F.col("own_kind") == F.col("one.own_kind")))
-        ones = stored(ones.join(of_key, "key").withColumn("copies", F.col("all")).drop("all", "one", "fewest"), "groups")
+        ones = steps.store(ones.join(of_key, "key").withColumn("copies", F.col("all")).drop("all", "one", "fewest"), "groups")
         small = _compared(ones.filter(F.col("different") <= GROUP).drop("different"), threshold)
-        found = small if found is None else found.unionByName(small)
+        levels.append(steps.store(small.unionByName(met) if depth else small, f"found-{depth}"))
         large = ones.filter(F.col("different") > GROUP).drop("different")
         if large.isEmpty():
             break
-        rows = stored(_halved(large, threshold), "halves")
+        rows = steps.store(_halved(large, threshold), "halves")
+    steps.drop("groups", "halves")
+    found = reduce(DataFrame.unionByName, levels)
     single = members.join(kinds.filter("copies = 1"), ["key", "kind"]).select("key", "kind", "tid", "at")
     return spans.unionByName(found.join(single, ["key", "kind"]).select("tid", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to")))
 
