@@ -128,7 +128,7 @@ def test_merge_snapshots(spark):
 
 def test_whole_texts_and_all_entities(spark, tmp_path):
     """Queries over whole texts against the row helpers and counts by hand."""
-    from tollhouse.plans.registry import QUERIES
+    from tollhouse.plans.catalog import QUERIES
 
     texts = {0: "mail a@corp.test or b@corp.test, ssn 123-45-6789", 1: "ssn 123-45-6789 card 4111 1111 1111 1111", 2: "passport no A12345678", 3: "driver licence D1234567", 5: "nothing", 6: None, 9: 'said "hi" to c@corp.test at 8.8.8.8'}
     spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")

@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from tollhouse.plans import registry
+from tollhouse.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -26,21 +26,21 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_against_sql(spark, sf, duck, name):
-    df = registry.QUERIES[name](spark, sf)
+    df = catalog.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     found = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    sql = duck.sql(registry.ORACLES[name])
+    sql = duck.sql(catalog.ORACLES[name])
     assert sorted(sql.columns) == columns
     wanted = sorted((tuple(plain(dict(zip(sql.columns, r, strict=True))[c]) for c in columns) for r in sql.fetchall()), key=repr)
     assert found == wanted
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_without_sql(spark, sf, name):
-    df = registry.QUERIES[name](spark, sf)
-    assert df.columns == registry.QUERIES[name](spark, sf).columns
+    df = catalog.QUERIES[name](spark, sf)
+    assert df.columns == catalog.QUERIES[name](spark, sf).columns
     df.collect()
 
 

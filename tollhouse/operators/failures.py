@@ -8,40 +8,102 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def classify_failure(df: DataFrame) -> DataFrame:
-    """``df`` (status, error_body, remaining_requests, remaining_tokens, transport_error) with failure_class.
+#: Bytes of an error body that are looked at; a JSON body cut there cannot be parsed and says nothing (fixed value).
+PEEK_BYTES = 512
+#: Seconds to wait from which a limit is taken for one of the whole account (fixed value).
+LONG_WAIT_S = 60
+_ENVELOPE = "error struct<code:string, type:string, status:string, message:string>"
+
+
+def _envelope(body: Column) -> Column:
+    """The ``error`` object of a body, null where it is not JSON or too long to be looked at."""
+    return F.from_json(F.when(F.octet_length(body) <= PEEK_BYTES, body), _ENVELOPE)["error"]
+
+
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
-    Quota bodies beat the status; 429 is global where a rate header says that nothing is
-    left, else localized; server faults, overload and transport errors are degraded.
+
+def classify_failure(df: DataFrame) -> DataFrame:
+    """``df`` (provider, status, error_body, remaining_requests, remaining_tokens, retry_after, transport_error, ts) with failure_class.
+
+    Transport errors are degraded, but a cancellation by the client is none; so is any status
+    below 400.  From 500 on all is degraded.  429 depends on the provider: without remaining
+    requests and tokens, or with a minute or more to wait, it is global, else localized;
+    openai's is insufficient_quota by the body's code, and global without any header; gemini's
+    is global if an exhausted resource's message names a quota.  Other providers' 429 and all
+    other client errors are none.  A null status without an error (no response) is degraded.
     """
-    body = F.lower(F.coalesce("error_body", F.lit("")))
-    quota = body.contains("insufficient_quota") | body.contains("credit balance is too low") | body.contains("billing")
-    used_up = (F.col("remaining_requests") == "0") | (F.col("remaining_tokens") == "0")
-    return df.withColumn(
-        "failure_class",
-        F.when(quota & (F.col("status") >= 400), "insufficient_quota")
-        .when((F.col("status") == 429) & F.coalesce(used_up, F.lit(False)), "global_rate_limit")
-        .when(F.col("status") == 429, "localized_rate_limit")
-        .when((F.coalesce("transport_error", F.lit("")) != "") | F.col("status").isin(408, 529) | (F.col("status") >= 500), "provider_degraded")
-        .otherwise("none"),
+    status, said = F.col("status"), F.col("__said")
+    left = [F.trim(_text(c)) for c in ("remaining_requests", "remaining_tokens")]
+    waits = F.coalesce(parse_retry_after(F.col("retry_after").cast("string"), F.col("ts")), F.lit(0)) >= LONG_WAIT_S
+    scope = F.when(((left[0] == "0") & (left[1] == "0")) | waits, "global_rate_limit").otherwise("localized_rate_limit")
+    bare = (_text("remaining_requests") == "") & (_text("remaining_tokens") == "") & (_text("retry_after") == "")
+    quota = (said["status"] == "RESOURCE_EXHAUSTED") & F.lower(said["message"]).contains("quota")
+    limited = (
+        F.when(F.col("provider") == "anthropic", scope)
+        .when(F.col("provider") == "openai", F.when(said["code"] == "insufficient_quota", "insufficient_quota").when(bare, "global_rate_limit").otherwise(scope))
+        .when(F.col("provider") == "gemini", F.when(quota, "global_rate_limit").otherwise("localized_rate_limit"))
+        .otherwise("none")
     )
+    failed = F.when(F.lower(_text("transport_error")).contains("context canceled"), "none").when(_text("transport_error") != "", "provider_degraded")
+    answered = F.when(status.isNull() | (status >= 500), "provider_degraded").when(status == 429, limited).otherwise("none")
+    return df.withColumn("__said", _envelope(F.col("error_body"))).withColumn("failure_class", F.coalesce(failed, answered)).drop("__said")
+
+
+#: Kinds of transport errors by what their messages contain, the first that holds (fixed values).
+TRANSPORT_KINDS = (
+    ("timeout budget exceeded", "timeout_budget_exceeded"),
+    ("context canceled", "client_canceled"),
+    ("unexpected eof", "unexpected_eof"),
+    ("connection reset", "connection_reset"),
+    ("connection refused", "connection_refused"),
+    ("tls handshake", "tls_handshake"),
+    ("no such host", "dns_failure"),
+    ("i/o timeout", "io_timeout"),
+    ("context deadline exceeded", "client_deadline_exceeded"),
+    ("handler timeout", "client_deadline_exceeded"),
+)
+#: Kinds that a provider's error body names, by provider, status, field and value (fixed values).
+BODY_KINDS = (
+    ("gemini", 503, "status", "UNAVAILABLE", "gemini_unavailable"),
+    ("gemini", 429, "status", "RESOURCE_EXHAUSTED", "gemini_resource_exhausted"),
+    ("gemini", 500, "status", "INTERNAL", "gemini_internal"),
+    ("gemini", 504, "status", "DEADLINE_EXCEEDED", "gemini_deadline_exceeded"),
+    ("anthropic", 529, "type", "overloaded_error", "anthropic_overloaded"),
+    ("anthropic", 529, "type", "", "anthropic_overloaded"),
+    ("anthropic", 429, "type", "rate_limit_error", "anthropic_rate_limit"),
+    ("anthropic", 500, "type", "api_error", "anthropic_api_error"),
+    ("anthropic", 504, "type", "timeout_error", "anthropic_timeout"),
+    ("anthropic", 413, "type", "request_too_large", "anthropic_request_too_large"),
+    ("openai", 429, "code", "insufficient_quota", "openai_insufficient_quota"),
+)
+#: Kinds by status alone (fixed values).
+STATUS_KINDS = {500: "http_500", 502: "http_502", 503: "http_503", 504: "http_504", 529: "http_overloaded"}
 
 
 def failure_kind(df: DataFrame) -> DataFrame:
-    """``df`` with a fine-grained label of the failure, '' for none."""
-    error = F.lower(F.coalesce("transport_error", F.lit("")))
-    body = F.lower(F.coalesce("error_body", F.lit("")))
-    return df.withColumn(
-        "failure_kind",
-        F.when(error.contains("no such host"), "dns_failure")
-        .when(error.contains("connection refused"), "connection_refused")
-        .when(error.contains("timeout") | error.contains("deadline"), "timeout")
-        .when(error != "", "transport_error")
-        .when(body.contains("insufficient_quota"), F.concat("provider", F.lit("_insufficient_quota")))
-        .when((F.col("status") == 529) | body.contains("overloaded"), F.concat("provider", F.lit("_overloaded")))
-        .when(F.col("status") >= 400, F.concat(F.lit("http_"), F.col("status").cast("string")))
-        .otherwise(""),
-    )
+    """``df`` (as for ``classify_failure``) with a fine-grained label of the failure, '' for none.
+
+    A transport error is told by its message, a response by what its provider's error body
+    names, else by its status; 429 by its failure class.
+    """
+    error, status, said = F.lower(_text("transport_error")), F.col("status"), F.col("__said")
+    broken = F.when(error.rlike(r"(^|[\s:])eof$") & ~error.contains("unexpected eof"), "eof")
+    for part, kind in TRANSPORT_KINDS:
+        broken = broken.when(error.contains(part), kind)
+    broken = broken.when(error.rlike(r"^(dial|read|write) (tcp|udp)"), "network_other").when(error != "", "unknown_transport")
+    named = F.lit(None).cast("string")
+    for provider, code, field, value, kind in BODY_KINDS:
+        named = F.coalesce(named, F.when((F.col("provider") == provider) & (status == code) & (F.coalesce(said[field], F.lit("")) == value), kind))
+    limited = F.when(F.col("__class") == "insufficient_quota", "http_429_quota").when(F.col("__class") == "global_rate_limit", "http_429_global").otherwise("http_429_local")
+    plain = F.when(status.isNull(), "nil_response").when(status < 400, "").when(status == 429, limited)
+    for code, kind in STATUS_KINDS.items():
+        plain = plain.when(status == code, kind)
+    plain = plain.when(status >= 500, "http_5xx_other").otherwise("http_4xx")
+    own = df.columns
+    classed = classify_failure(df).withColumn("__class", F.col("failure_class")).withColumn("__said", _envelope(F.col("error_body")))
+    return classed.withColumn("failure_kind", F.coalesce(broken, named, plain)).select(*own, "failure_kind")
 
 
 def error_detail(df: DataFrame, most: int = 200) -> DataFrame:
@@ -72,14 +134,16 @@ _REPLAY = "request_id long, ts timestamp, provider string, model string, state_b
 def breaker_replay(attempts: DataFrame, threshold: int = 5, window_s: int = 120, cooldown_s: int = 300, mode: str = "enforce") -> DataFrame:
     """State and action of a breaker per provider and model for every attempt (failure_class, aborted).
 
-    Closed, it counts degraded failures within the window and opens at the threshold.  Open,
-    requests fail fast and their outcomes do not count.  Strictly after the cooldown the next
+    Closed, it counts degraded failures within the window and opens at the threshold; an
+    exhausted quota opens it at once and counts as a failure.  Open, requests fail fast and
+    their outcomes do not count.  Strictly after the cooldown the next
     request is a probe: it closes the breaker and clears failures, opens it again, or, if
     aborted, changes nothing.  In ``log`` mode nothing is blocked and no probe is sent.
     Keys that never fail as often as the threshold are settled without replay.
     """
-    failed = F.col("failure_class") == "provider_degraded"
-    hot = attempts.filter(failed).groupBy("provider", "model").agg(F.count("*").alias("__f")).filter(F.col("__f") >= threshold).drop("__f")
+    failed = F.col("failure_class").isin("provider_degraded", "insufficient_quota")
+    forced = F.count(F.when(F.col("failure_class") == "insufficient_quota", 1))
+    hot = attempts.filter(failed).groupBy("provider", "model").agg(F.count("*").alias("__f"), forced.alias("__q")).filter((F.col("__f") >= threshold) | (F.col("__q") > 0)).drop("__f", "__q")
     columns = ["request_id", "ts", "provider", "model", "failure_class", "aborted"]
     calm = attempts.join(hot, ["provider", "model"], "left_anti").select("request_id", F.col("ts").cast("timestamp").alias("ts"), "provider", "model", F.lit("closed").alias("state_before"), F.lit("pass").alias("action"))
 
@@ -103,7 +167,10 @@ def breaker_replay(attempts: DataFrame, threshold: int = 5, window_s: int = 120,
             else:
                 if state == "open" or (state == "half_open" and mode == "log"):
                     action = "would_fail" if state == "open" else "pass"
-                if r.failure_class == "provider_degraded" and not r.aborted:
+                if r.failure_class == "insufficient_quota" and not r.aborted:
+                    failures = [t for t in failures if t > r.ts - window] + [r.ts]
+                    state, until, action = "open", r.ts + cooldown, "forced_open"
+                elif r.failure_class == "provider_degraded" and not r.aborted:
                     failures = [t for t in failures if t > r.ts - window] + [r.ts]
                     if len(failures) >= threshold and state == "closed":
                         state, until, action = "open", r.ts + cooldown, "opened"
@@ -119,6 +186,29 @@ def breaker_events(replayed: DataFrame) -> DataFrame:
     return replayed.filter("action <> 'pass'").select("request_id", "ts", "provider", F.concat_ws(":", "provider", "model").alias("key"), F.col("action").alias("kind"))
 
 
+#: Counts of circuit activity and the actions that each counts; none: all attempts.
+ACTIVITY = {
+    "checks_total": (),
+    "blocked_open": ("fast_fail",),
+    "probes_started": ("probe", "probe_closed", "probe_reopened"),
+    "probes_succeeded": ("probe_closed",),
+    "probes_failed": ("probe_reopened",),
+    "circuits_opened": ("opened", "forced_open"),
+}
+
+
+def circuit_activity_daily(replayed: DataFrame) -> DataFrame:
+    """(day, provider, ``ACTIVITY``) of a replay: each provider's counts, and those of all under an empty provider."""
+    counts = [F.count(F.when(F.col("action").isin(*actions), 1) if actions else "*").alias(name) for name, actions in ACTIVITY.items()]
+    daily = replayed.groupBy(F.to_date("ts").alias("day"), "provider").agg(*counts)
+    return daily.unionByName(daily.groupBy("day").agg(*[F.sum(n).alias(n) for n in ACTIVITY]).withColumn("provider", F.lit("")))
+
+
+def circuit_blocked_daily(replayed: DataFrame) -> DataFrame:
+    """(day, key, blocked): requests that failed fast, by breaker."""
+    return replayed.filter("action = 'fast_fail'").groupBy(F.to_date("ts").alias("day"), F.concat_ws(":", "provider", "model").alias("key")).agg(F.count("*").alias("blocked"))
+
+
 def force_open(attempts: DataFrame, cooldown_s: int = 300) -> DataFrame:
     """Quota failures: the bare provider, open for one cooldown each."""
     return attempts.filter("failure_class = 'insufficient_quota'").select("request_id", F.col("provider").alias("key"), F.col("ts").alias("opened_at"), (F.col("ts") + F.expr(f"INTERVAL {cooldown_s} SECONDS")).alias("open_until"))
@@ -132,11 +222,22 @@ def provider_health(states: DataFrame) -> DataFrame:
 
 
 def provider_rollup_open(events: DataFrame, threshold: int, window_s: int = 300) -> DataFrame:
-    """(request_id, provider, ts, open, count) at each opening: different keys of the provider opened within the window up to it."""
+    """(request_id, provider, ts, open, count) at each opening: keys of the provider that opened within the window up to it and have not recovered.
+
+    An opening holds from its time until the key opens again or recovers (``probe_closed``),
+    for less than the window; the count is a running sum of such beginnings and ends.  With a
+    threshold or window of 0 or less nothing is ever open.
+    """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = W.partitionBy("provider").orderBy("__us").rangeBetween(-window_s * 1_000_000, 0)
-    opened = events.filter(F.col("kind").isin("opened", "probe_reopened")).withColumn("__us", micros)
-    return opened.withColumn("count", F.size(F.collect_set("key").over(w)).cast("long")).withColumn("open", F.col("count") >= threshold).select("request_id", "provider", "ts", "open", "count")
+    kept = events.filter(F.col("kind").isin("opened", "probe_reopened", "probe_closed")).withColumn("__us", micros)
+    of_key = W.partitionBy("provider", "key").orderBy("__us", "request_id")
+    after = F.coalesce(F.lead("__us").over(of_key), F.lit((1 << 63) - 1))
+    opened = kept.withColumn("__end", F.least(after, F.col("__us") + window_s * 1_000_000)).filter(F.col("kind") != "probe_closed")
+    begins = opened.select("request_id", "provider", "ts", "__us", F.lit(1).alias("__n"))
+    ends = opened.select(F.lit(None).cast(opened.schema["request_id"].dataType).alias("request_id"), "provider", F.col("ts"), F.col("__end").alias("__us"), F.lit(-1).alias("__n"))
+    running = F.sum("__n").over(W.partitionBy("provider").orderBy("__us"))
+    counted = begins.unionByName(ends).withColumn("count", running if window_s > 0 else F.lit(0).cast("long")).filter("__n = 1")
+    return counted.withColumn("open", (F.col("count") >= threshold) if threshold > 0 else F.lit(False)).select("request_id", "provider", "ts", "open", "count")
 
 
 def log_mode_counterfactual(attempts: DataFrame, **options) -> DataFrame:

@@ -22,8 +22,8 @@ def spend_cap_replay(cost: DataFrame, keys: DataFrame) -> DataFrame:
 
     A request is blocked once the cents spent before it, rounded up, reach the cap; blocked
     requests are not charged.  Spend only grows, so what a period blocks is a suffix of it
-    and two running sums are exact: by day over all requests, then by month over those that
-    the day admits.
+    and running sums are exact: by day over all requests, by month over those that the day
+    admits, and, for the reason, by day once more over those that the month admits.
     """
     caps = keys.select("key_id", "daily_limit_cents", "monthly_limit_cents")
     rows = cost.join(caps, "key_id", "left").fillna(0, ["daily_limit_cents", "monthly_limit_cents"])
@@ -33,6 +33,9 @@ def spend_cap_replay(cost: DataFrame, keys: DataFrame) -> DataFrame:
     month = W.partitionBy("key_id", F.date_trunc("month", "day")).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
     spent = F.sum(F.when(~F.col("__day"), F.col("total_e4")).otherwise(0)).over(month)
     rows = rows.withColumn("__month", (F.col("monthly_limit_cents") > 0) & (cents(spent) >= F.col("monthly_limit_cents")))
+    # Once the month is spent, the day's sum stands still: what the month blocks is never charged.
+    charged = F.sum(F.when(~F.col("__month"), F.col("total_e4")).otherwise(0)).over(day)
+    rows = rows.withColumn("__day", (F.col("daily_limit_cents") > 0) & (cents(charged) >= F.col("daily_limit_cents")))
     reason = F.when(F.col("__day"), "daily").when(F.col("__month"), "monthly").otherwise("")
     return rows.withColumn("reason", reason).withColumn("blocked", F.col("reason") != "").drop("__day", "__month")
 
@@ -155,6 +158,18 @@ def rate_limit_replay(df: DataFrame, scope: str, rpm: int, tpm: int, rpd: int, t
     return rows.groupBy("scope", "day").applyInPandas(replay, out)
 
 
+def rate_limit_daily(decisions: DataFrame) -> DataFrame:
+    """(day, by, member, total, allowed, blocked): all decisions under an empty ``by``; by provider and by reason (metric and window) blocked ones alone."""
+    blocked = F.count(F.when(~F.col("allowed"), 1)).alias("blocked")
+    whole = decisions.groupBy("day").agg(F.count("*").alias("total"), F.count(F.when(F.col("allowed"), 1)).alias("allowed"), blocked).withColumns({"by": F.lit(""), "member": F.lit("")})
+    denied = decisions.filter("NOT allowed")
+    out = whole
+    for by, member in (("provider", F.col("provider")), ("reason", F.concat_ws(" per ", "metric", "win"))):
+        part = denied.groupBy("day", member.alias("member")).agg(F.count("*").alias("blocked")).withColumns({"by": F.lit(by), "total": F.lit(0).cast("long"), "allowed": F.lit(0).cast("long")})
+        out = out.unionByName(part)
+    return out.select("day", "by", "member", "total", "allowed", "blocked")
+
+
 def rate_limit_reconcile(df: DataFrame, scope: str) -> DataFrame:
     """Corrected counters per scope and minute from rows (ts, done_ts, est_tokens, actual_tokens, status).
 

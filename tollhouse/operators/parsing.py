@@ -6,6 +6,9 @@ of an event stream only the lines that carry usage or a type are parsed.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,10 +89,27 @@ def parse_converse(df: DataFrame, body_col: str = "response_body") -> DataFrame:
 
 
 def detect_body_shape(df: DataFrame, body_col: str = "response_body") -> DataFrame:
-    """``df`` with shape: chat, responses, generate, messages, or converse."""
-    has = lambda path: F.get_json_object(body_col, path).isNotNull()
-    shape = F.when(has("$.choices"), "chat").when(has("$.output"), "responses").when(has("$.usageMetadata"), "generate").when(has("$.usage.inputTokens"), "converse").when(has("$.usage"), "messages").otherwise("")
-    return df.withColumn("shape", shape)
+    """``df`` with shape: chat, responses, generate, messages, or converse, '' for others; by the top-level names of a body, parsed once."""
+    body, has = F.col(body_col), lambda k: F.array_contains("__keys", k)
+    converse = has("usage") & body.contains('"inputTokens"')
+    shape = F.when(has("choices"), "chat").when(converse, "converse").when(has("output"), "responses").when(has("usageMetadata"), "generate").when(has("usage"), "messages").otherwise("")
+    return df.withColumn("__keys", F.json_object_keys(body)).withColumn("shape", shape).drop("__keys")
+
+
+def detect_stream_shape(df: DataFrame, body_col: str = "response_body") -> DataFrame:
+    """``df`` with shape of a stream's events, whoever sent it: chat, responses, messages, generate or converse, '' for others."""
+    body = F.col(body_col)
+    any_of = lambda *parts: reduce(or_, [body.contains(p) for p in parts])
+    shape = (
+        F.when(F.ltrim(body).startswith("["), "generate")
+        .when(body.rlike(r'"type"\s*:\s*"response\.'), "responses")
+        .when(any_of('"chat.completion', '"choices"'), "chat")
+        .when(any_of('"message_start"', '"message_delta"'), "messages")
+        .when(any_of('"usageMetadata"', '"candidates"'), "generate")
+        .when(any_of('"inputTokens"', '"stopReason"'), "converse")
+        .otherwise("")
+    )
+    return df.withColumn("shape", F.coalesce(shape, F.lit("")))
 
 
 def _events(body: Column) -> Column:
@@ -97,7 +117,7 @@ def _events(body: Column) -> Column:
     lines = F.transform(F.filter(F.split(body, "\r?\n"), lambda x: x.startswith("data:")), lambda x: F.trim(F.substring(x, 6, 1 << 30)))
     end = F.array_position(lines, "[DONE]")
     lines = F.when(end > 0, F.slice(lines, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(lines)
-    return F.filter(lines, lambda x: x.contains('"usage') | x.contains('"type"') | x.contains('"model') | x.contains('"finish'))
+    return F.filter(lines, lambda x: x.contains('"usage') | x.contains('"type"') | x.contains('"model') | x.contains('"finish') | x.contains('"stopReason'))
 
 
 def _first(events: Column, f) -> Column:
@@ -118,11 +138,29 @@ def _try_last(events: Column, f) -> Column:
 
 
 def parse_sse_responses(df: DataFrame, body_col: str = "response_body") -> DataFrame:
-    """Streamed responses: usage of the terminal event."""
-    schema = f"type string, response struct<{_colons(_RESPONSES)}>"
+    """Streamed responses: the last event with tokens (in ``response``, else ``event``), the first model and id; zeros without one."""
+    inner = f"struct<{_colons(_RESPONSES)}>"
+    parsed = df.withColumn("__e", F.transform(_events(F.col(body_col)), lambda x: F.from_json(x, f"type string, response {inner}, event {inner}")))
+    said = F.transform(F.filter("__e", lambda j: j["type"].isin("response.created", "response.completed", "response.incomplete", "response.failed", "response.done")), lambda j: F.coalesce(j["response"], j["event"]))
+    parsed = parsed.withColumn("__s", said)
+    counted = lambda j: F.coalesce(j["usage"]["input_tokens"], F.lit(0)) + F.coalesce(j["usage"]["output_tokens"], F.lit(0)) + F.coalesce(j["usage"]["total_tokens"], F.lit(0)) > 0
+    used = F.filter("__s", counted)
+    parsed = parsed.withColumn("__r", F.get(used, F.size(used) - 1))
+    usage = _responses(F.col("__r"))
+    usage = usage.withField("model", F.coalesce(_first(F.col("__s"), lambda j: j["model"]), F.lit(""))).withField("id", F.coalesce(_first(F.col("__s"), lambda j: j["id"]), F.lit("")))
+    return parsed.withColumn("usage", usage).drop("__e", "__s", "__r")
+
+
+def parse_sse_converse(df: DataFrame, body_col: str = "response_body") -> DataFrame:
+    """Streamed converse events, framing taken off: usage of the metadata event, the stop reason of the message's end; zeros without them."""
+    fields = _colons(_CONVERSE)
+    schema = f"{_CONVERSE}, metadata struct<{fields}>, messageStop struct<{fields}>"
     parsed = df.withColumn("__e", F.transform(_events(F.col(body_col)), lambda x: F.from_json(x, schema)))
-    ended = F.filter("__e", lambda j: j["type"].isin("response.completed", "response.incomplete", "response.failed", "response.done"))
-    return parsed.withColumn("__r", F.get(ended, F.size(ended) - 1)["response"]).withColumn("usage", _responses(F.col("__r"))).drop("__e", "__r")
+    e = F.col("__e")
+    used = _try_last(e, lambda j: F.coalesce(j["metadata"]["usage"], j["usage"]))
+    stop = _try_last(e, lambda j: F.coalesce(j["messageStop"]["stopReason"], j["stopReason"]))
+    parsed = parsed.withColumn("__j", F.struct(stop.alias("stopReason"), F.lit(None).cast("string").alias("stop_reason"), used.alias("usage")))
+    return parsed.withColumn("usage", _converse(F.col("__j"))).drop("__e", "__j")
 
 
 def _colons(ddl: str) -> str:
@@ -159,23 +197,25 @@ def parse_sse_generate(df: DataFrame, body_col: str = "response_body") -> DataFr
 
 
 def parse_usage(df: DataFrame) -> DataFrame:
-    """One usage row a request (provider, is_streaming, response_body), malformed bodies as nulls with parse_error."""
-    shaped = detect_body_shape(df)
+    """One usage row a request (is_streaming, response_body), by the shape of its body whoever sent it; others are nulls with parse_error.
+
+    Each parser gets the bodies of its shape alone, so a body is parsed once.
+    """
     columns = df.columns
-    whole = {"chat": parse_chat_completion, "responses": parse_responses_api, "generate": parse_generate_content, "messages": parse_messages_api, "converse": parse_converse}
-    streams = {"openai": parse_sse_chat, "anthropic": parse_sse_messages, "gemini": parse_sse_generate}
-    every = shaped
-    for name, f in whole.items():
-        every = f(every).withColumnRenamed("usage", f"__{name}")
-    for name, f in streams.items():
-        every = f(every).withColumnRenamed("usage", f"__s_{name}")
-    usage = F.lit(None).cast(every.schema["__chat"].dataType)
-    for name in whole:
-        usage = F.when(~F.col("is_streaming") & (F.col("shape") == name), F.col(f"__{name}")).otherwise(usage)
-    for name in streams:
-        usage = F.when(F.col("is_streaming") & (F.col("provider") == name), F.col(f"__s_{name}")).otherwise(usage)
-    out = every.withColumn("usage", usage).select(*columns, "usage")
-    return out.select(*columns, *[F.col(f"usage.{f}").alias("response_id" if f == "id" else f"usage_{f}") for f in FIELDS], F.col("usage").isNull().alias("parse_error"))
+    shaped = detect_body_shape(df.withColumn("__b", F.when(~F.col("is_streaming"), F.col("response_body"))), "__b").withColumnRenamed("shape", "__whole")
+    shaped = detect_stream_shape(shaped.withColumn("__b", F.when(F.col("is_streaming"), F.col("response_body"))), "__b")
+    every = shaped.withColumn("__route", F.when(F.col("is_streaming"), F.concat(F.lit("sse_"), "shape")).otherwise(F.col("__whole"))).drop("__b", "__whole", "shape")
+    parsers = {
+        "chat": parse_chat_completion, "responses": parse_responses_api, "generate": parse_generate_content, "messages": parse_messages_api, "converse": parse_converse,
+        "sse_chat": parse_sse_chat, "sse_responses": parse_sse_responses, "sse_generate": parse_sse_generate, "sse_messages": parse_sse_messages, "sse_converse": parse_sse_converse,
+    }
+    for name, f in parsers.items():
+        every = f(every.withColumn("__b", F.when(F.col("__route") == name, F.col("response_body"))), "__b").withColumnRenamed("usage", f"__u_{name}").drop("__b")
+    usage = F.lit(None).cast(every.schema["__u_chat"].dataType)
+    for name in parsers:
+        usage = F.when(F.col("__route") == name, F.col(f"__u_{name}")).otherwise(usage)
+    out = every.withColumn("__u", usage).select(*columns, "__u")
+    return out.select(*columns, *[F.col(f"__u.{f}").alias("response_id" if f == "id" else f"usage_{f}") for f in FIELDS], F.col("__u").isNull().alias("parse_error"))
 
 
 def sse_event_histogram(df: DataFrame, body_col: str = "response_body") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tollhouse.operators import failures as X
 from tollhouse.operators import limits as L
+from tollhouse.operators import rollups as R
 from tollhouse.plans.adapter import Tables
 from tollhouse.plans.queries_cost import costed
 from tollhouse.plans.registry import query
@@ -18,8 +19,10 @@ query("running_key_spend", """SELECT request_id, CAST(coalesce(sum(total_e4) OVE
 query("spend_cap_replay", """WITH a AS (SELECT c.request_id, c.key_id, c.day, c.ts, c.total_e4, coalesce(k.daily_limit_cents, 0) AS dl, coalesce(k.monthly_limit_cents, 0) AS ml,
   coalesce(sum(c.total_e4) OVER (PARTITION BY c.key_id, c.day ORDER BY c.ts, c.request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pd FROM cost c LEFT JOIN keys k ON k.key_id = c.key_id),
 b AS (SELECT *, dl > 0 AND (pd + 99) // 100 >= dl AS db FROM a),
-m AS (SELECT *, coalesce(sum(CASE WHEN db THEN 0 ELSE total_e4 END) OVER (PARTITION BY key_id, date_trunc('month', day) ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pm FROM b)
-SELECT request_id, db OR (ml > 0 AND (pm + 99) // 100 >= ml) AS blocked, CASE WHEN db THEN 'daily' WHEN ml > 0 AND (pm + 99) // 100 >= ml THEN 'monthly' ELSE '' END AS reason FROM m""")(
+m AS (SELECT *, coalesce(sum(CASE WHEN db THEN 0 ELSE total_e4 END) OVER (PARTITION BY key_id, date_trunc('month', day) ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pm FROM b),
+n AS (SELECT *, ml > 0 AND (pm + 99) // 100 >= ml AS mb FROM m),
+o AS (SELECT *, coalesce(sum(CASE WHEN mb THEN 0 ELSE total_e4 END) OVER (PARTITION BY key_id, day ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pc FROM n)
+SELECT request_id, mb OR (dl > 0 AND (pc + 99) // 100 >= dl) AS blocked, CASE WHEN dl > 0 AND (pc + 99) // 100 >= dl THEN 'daily' WHEN mb THEN 'monthly' ELSE '' END AS reason FROM o""")(
     lambda t: L.spend_cap_replay(costed(t), t.keys).select("request_id", "blocked", "reason")
 )
 query("spend_cap_reservation")(
@@ -49,12 +52,7 @@ SELECT request_id, m AND p < 10 AS allowed, CASE WHEN NOT m THEN 'minute' WHEN p
     lambda t: L.rate_limit_replay_requests(t.usage, "key_id", 1, 10).select("request_id", "allowed", "window")
 )
 query("rate_limit_replay")(lambda t: L.rate_limit_replay(t.usage, "key_id", 2, 30_000, 14, 300_000))
-query("ratelimit_daily")(
-    lambda t: L.rate_limit_replay(t.usage, "key_id", 2, 30_000, 14, 300_000)
-    .join(t.usage.select("request_id", "day", "provider"), "request_id")
-    .groupBy("day", "provider")
-    .agg(F.count("*").alias("total"), F.count(F.when(F.col("allowed"), 1)).alias("allowed"), F.count(F.when(~F.col("allowed"), 1)).alias("blocked"), F.count(F.when(F.col("metric") == "tokens", 1)).alias("blocked_tokens"))
-)
+query("ratelimit_daily")(lambda t: L.rate_limit_daily(L.rate_limit_replay(t.usage, "key_id", 2, 30_000, 14, 300_000).join(t.usage.select("request_id", "day", "provider"), "request_id")))
 query("retry_after", "SELECT request_id, CAST(60 - CAST(epoch(ts) AS BIGINT) % 60 AS BIGINT) AS minute_left, CAST(86400 - CAST(floor(epoch(ts)) AS BIGINT) % 86400 AS BIGINT) AS day_left FROM usage".replace("CAST(epoch(ts) AS BIGINT) % 60", "CAST(floor(epoch(ts)) AS BIGINT) % 60"))(
     lambda t: t.usage.select("request_id", L.retry_after(F.col("ts"), F.lit("minute")).alias("minute_left"), L.retry_after(F.col("ts"), F.lit("day")).alias("day_left"))
 )
@@ -66,30 +64,37 @@ SELECT key_id, date_trunc('minute', ts) AS bucket, CAST(greatest(0, sum(CASE WHE
 
 # Failures
 
-_OUT = """out AS (SELECT request_id, ts, day, provider, model, status,
-  CASE WHEN status = 200 THEN NULL WHEN request_id % 10 = 2 THEN '{"error":{"code":"insufficient_quota","message":"You exceeded your quota"}}' ELSE '{"error":{"type":"overloaded_error","message":" Try later "}}' END AS error_body,
-  CASE WHEN status = 429 AND request_id % 8 = 3 THEN '0' ELSE '17' END AS remaining_requests, '100' AS remaining_tokens,
-  CASE WHEN status = 200 AND request_id % 50 = 1 THEN 'dial tcp: no such host' WHEN status = 200 AND request_id % 50 = 2 THEN 'context deadline exceeded' ELSE NULL END AS transport_error, request_id % 97 = 0 AS aborted FROM usage),
-cls AS (SELECT *, CASE WHEN status >= 400 AND contains(lower(coalesce(error_body, '')), 'insufficient_quota') THEN 'insufficient_quota' WHEN status = 429 AND remaining_requests = '0' THEN 'global_rate_limit' WHEN status = 429 THEN 'localized_rate_limit'
-  WHEN transport_error IS NOT NULL OR status >= 500 THEN 'provider_degraded' ELSE 'none' END AS failure_class FROM out)"""
+#: Recorded answers of providers: every status, body, header and transport error that the classes and kinds tell apart.
+_BODIES = """CASE WHEN status = 200 THEN NULL WHEN request_id % 10 = 7 THEN '{"error":{"code":"insufficient_quota","message":"You exceeded your quota"}}' WHEN request_id % 10 = 1 THEN '{"error":{"status":"RESOURCE_EXHAUSTED","message":"Quota exceeded for today"}}'
+  WHEN request_id % 10 = 5 THEN '{"error":{"status":"RESOURCE_EXHAUSTED","message":"slow down"}}' WHEN request_id % 10 = 3 THEN '{"error":{"type":"rate_limit_error","message":"billing"}}' WHEN request_id % 10 = 0 THEN '{"error":{"status":"INTERNAL","type":"api_error","message":"m"}}'
+  WHEN request_id % 10 = 8 THEN concat('{"error":{"status":"UNAVAILABLE","message":"', repeat('x', 600), '"}}') ELSE '{"error":{"type":"overloaded_error","status":"UNAVAILABLE","message":" Try later "}}' END"""
+_ERRORS = "CASE WHEN status <> 200 THEN NULL WHEN request_id % 50 = 1 THEN 'dial tcp: lookup x: no such host' WHEN request_id % 50 = 2 THEN 'Post x: context deadline exceeded' WHEN request_id % 50 = 3 THEN 'context canceled' WHEN request_id % 50 = 4 THEN 'Post x: EOF' WHEN request_id % 50 = 5 THEN 'unexpected EOF' WHEN request_id % 50 = 6 THEN 'read tcp a: broken pipe' WHEN request_id % 50 = 7 THEN 'odd' ELSE NULL END"
+_REQUESTS = "CASE WHEN status <> 429 OR request_id % 24 >= 18 THEN NULL WHEN request_id % 8 = 3 THEN '0' ELSE '17' END"
+_TOKENS = "CASE WHEN status <> 429 OR request_id % 24 >= 18 THEN NULL WHEN request_id % 16 = 3 THEN ' 0' ELSE '100' END"
+_WAIT = "CASE WHEN status <> 429 OR request_id % 24 >= 18 THEN NULL WHEN request_id % 5 = 1 THEN '75' WHEN request_id % 5 = 2 THEN '12' ELSE NULL END"
+_ANSWERS = f"request_id, ts, day, provider, model, status, {_BODIES} AS error_body, {_REQUESTS} AS remaining_requests, {_TOKENS} AS remaining_tokens, {_WAIT} AS retry_after, {_ERRORS} AS transport_error, request_id % 97 = 0 AS aborted"
+_OUT = f"""out AS (SELECT {_ANSWERS}, CASE WHEN length({_BODIES}) <= 512 THEN {_BODIES} END AS b FROM usage),
+cls AS (SELECT *, CASE WHEN transport_error = 'context canceled' THEN 'none' WHEN transport_error IS NOT NULL OR status >= 500 THEN 'provider_degraded' WHEN status <> 429 THEN 'none'
+  WHEN provider = 'openai' AND b->>'$.error.code' = 'insufficient_quota' THEN 'insufficient_quota'
+  WHEN provider = 'openai' AND remaining_requests IS NULL AND remaining_tokens IS NULL AND retry_after IS NULL THEN 'global_rate_limit'
+  WHEN provider = 'gemini' THEN CASE WHEN b->>'$.error.status' = 'RESOURCE_EXHAUSTED' AND (b->>'$.error.message') ILIKE '%quota%' THEN 'global_rate_limit' ELSE 'localized_rate_limit' END
+  WHEN trim(remaining_requests) = '0' AND trim(remaining_tokens) = '0' OR CAST(retry_after AS INT) >= 60 THEN 'global_rate_limit' ELSE 'localized_rate_limit' END AS failure_class FROM out)"""
 
 
 def outcomes(t: Tables) -> DataFrame:
     """Upstream outcomes with bodies, headers and transport errors."""
-    i, s = F.col("request_id"), F.col("status")
-    return t.usage.select(
-        "request_id", "ts", "day", "provider", "model", "status",
-        F.when(s == 200, None).when(i % 10 == 2, '{"error":{"code":"insufficient_quota","message":"You exceeded your quota"}}').otherwise('{"error":{"type":"overloaded_error","message":" Try later "}}').alias("error_body"),
-        F.when((s == 429) & (i % 8 == 3), "0").otherwise("17").alias("remaining_requests"), F.lit("100").alias("remaining_tokens"),
-        F.when((s == 200) & (i % 50 == 1), "dial tcp: no such host").when((s == 200) & (i % 50 == 2), "context deadline exceeded").alias("transport_error"), (i % 97 == 0).alias("aborted"),
-    )
+    return t.usage.selectExpr(*[f"{x} AS {name}" for name, x in (("error_body", _BODIES), ("remaining_requests", _REQUESTS), ("remaining_tokens", _TOKENS), ("retry_after", _WAIT), ("transport_error", _ERRORS), ("aborted", "request_id % 97 = 0"))], "request_id", "ts", "day", "provider", "model", "status")
 
 
 query("classify_failure", f"WITH {_OUT} SELECT request_id, failure_class FROM cls")(lambda t: X.classify_failure(outcomes(t)).select("request_id", "failure_class"))
-query("failure_kind", f"""WITH {_OUT} SELECT request_id, CASE WHEN contains(transport_error, 'no such host') THEN 'dns_failure' WHEN contains(transport_error, 'deadline') THEN 'timeout' WHEN contains(coalesce(error_body, ''), 'insufficient_quota') THEN provider || '_insufficient_quota'
-  WHEN status = 529 OR contains(coalesce(error_body, ''), 'overloaded') THEN provider || '_overloaded' WHEN status >= 400 THEN 'http_' || status ELSE '' END AS failure_kind FROM out""")(lambda t: X.failure_kind(outcomes(t)).select("request_id", "failure_kind"))
-query("error_detail", f"""WITH {_OUT} SELECT request_id, CASE WHEN error_body IS NULL THEN '' WHEN contains(error_body, 'insufficient_quota') THEN 'insufficient_quota' ELSE 'overloaded_error' END AS error_code,
-  CASE WHEN error_body IS NULL THEN '' WHEN contains(error_body, 'insufficient_quota') THEN 'insufficient_quota: You exceeded your quota' ELSE 'overloaded_error:  Try later' END AS error_detail FROM out""")(lambda t: X.error_detail(outcomes(t)).select("request_id", "error_code", "error_detail"))
+query("failure_kind", f"""WITH {_OUT} SELECT request_id, CASE WHEN transport_error LIKE '%no such host' THEN 'dns_failure' WHEN transport_error LIKE '%deadline exceeded' THEN 'client_deadline_exceeded' WHEN transport_error = 'context canceled' THEN 'client_canceled' WHEN transport_error = 'unexpected EOF' THEN 'unexpected_eof'
+  WHEN transport_error LIKE '%EOF' THEN 'eof' WHEN transport_error LIKE 'read tcp%' THEN 'network_other' WHEN transport_error IS NOT NULL THEN 'unknown_transport' WHEN status < 400 THEN ''
+  WHEN provider = 'gemini' AND status = 503 AND b->>'$.error.status' = 'UNAVAILABLE' THEN 'gemini_unavailable' WHEN provider = 'gemini' AND status = 429 AND b->>'$.error.status' = 'RESOURCE_EXHAUSTED' THEN 'gemini_resource_exhausted' WHEN provider = 'gemini' AND status = 500 AND b->>'$.error.status' = 'INTERNAL' THEN 'gemini_internal'
+  WHEN provider = 'anthropic' AND status = 529 AND coalesce(b->>'$.error.type', '') IN ('', 'overloaded_error') THEN 'anthropic_overloaded' WHEN provider = 'anthropic' AND status = 429 AND b->>'$.error.type' = 'rate_limit_error' THEN 'anthropic_rate_limit' WHEN provider = 'anthropic' AND status = 500 AND b->>'$.error.type' = 'api_error' THEN 'anthropic_api_error'
+  WHEN failure_class = 'insufficient_quota' THEN 'openai_insufficient_quota' WHEN status = 529 THEN 'http_overloaded' WHEN status >= 500 THEN 'http_' || status
+  WHEN failure_class = 'global_rate_limit' THEN 'http_429_global' ELSE 'http_429_local' END AS failure_kind FROM cls""")(lambda t: X.failure_kind(outcomes(t)).select("request_id", "failure_kind"))
+query("error_detail", f"""WITH {_OUT} SELECT request_id, coalesce(error_body->>'$.error.code', error_body->>'$.error.type', error_body->>'$.error.status', '') AS error_code,
+  left(trim(CASE WHEN error_body IS NULL THEN '' ELSE coalesce(error_body->>'$.error.code', error_body->>'$.error.type', error_body->>'$.error.status') || ': ' || (error_body->>'$.error.message') END), 200) AS error_detail FROM out""")(lambda t: X.error_detail(outcomes(t)).select("request_id", "error_code", "error_detail"))
 query("parse_retry_after", "SELECT request_id, CASE WHEN request_id % 2 = 0 THEN request_id % 100 ELSE CAST(greatest(0, ceil(epoch(TIMESTAMP '2024-01-15 12:00:00') - epoch(ts))) AS BIGINT) END AS seconds FROM usage")(
     lambda t: t.usage.select("request_id", X.parse_retry_after(F.when(F.col("request_id") % 2 == 0, (F.col("request_id") % 100).cast("string")).otherwise("Mon, 15 Jan 2024 12:00:00 GMT"), F.col("ts")).cast("long").alias("seconds"))
 )
@@ -100,12 +105,16 @@ SELECT request_id, count(*) OVER (PARTITION BY provider, model ORDER BY us RANGE
 
 
 def _replayed(t: Tables, **options) -> DataFrame:
-    return X.breaker_replay(X.classify_failure(outcomes(t)), **{"threshold": 3, "window_s": 7200, "cooldown_s": 5400} | options)
+    """Breakers that open by failures and by quota, probe, close and open again on this traffic."""
+    return X.breaker_replay(X.classify_failure(outcomes(t)), **{"threshold": 2, "window_s": 36_000, "cooldown_s": 43_200} | options)
 
 
 query("breaker_replay")(lambda t: _replayed(t).drop("ts"))
 query("breaker_events")(lambda t: X.breaker_events(_replayed(t)).drop("ts"))
-query("circuit_activity_daily")(lambda t: X.breaker_events(_replayed(t)).groupBy(F.to_date("ts").alias("day"), "provider", "kind").agg(F.count("*").alias("n")))
+query("circuit_activity_daily")(lambda t: X.circuit_activity_daily(_replayed(t)))
+query("circuit_blocked_daily")(lambda t: X.circuit_blocked_daily(_replayed(t)))
+query("range_circuit_activity")(lambda t: R.range_totals(X.circuit_activity_daily(_replayed(t)).filter("provider = ''"), list(X.ACTIVITY), 7))
+query("range_blocked_by_key")(lambda t: R.range_by(X.circuit_blocked_daily(_replayed(t)), "key", ["blocked"], 7))
 query("force_open", f"WITH {_OUT} SELECT request_id, provider AS key, ts AS opened_at, ts + INTERVAL 300 SECOND AS open_until FROM cls WHERE failure_class = 'insufficient_quota'")(lambda t: X.force_open(X.classify_failure(outcomes(t))))
 query("provider_health", """WITH st AS (SELECT provider || ':' || model AS key, count(*) FILTER (status >= 500) AS failures, CASE max(request_id) % 3 WHEN 0 THEN 'closed' WHEN 1 THEN 'open' ELSE 'half_open' END AS state, max(ts) AS cooldown_until FROM usage GROUP BY 1)
 SELECT split_part(key, ':', 1) AS provider, CAST(sum(failures) AS BIGINT) AS failures, CASE max(CASE state WHEN 'open' THEN 2 WHEN 'half_open' THEN 1 ELSE 0 END) WHEN 2 THEN 'open' WHEN 1 THEN 'half_open' ELSE 'closed' END AS state, min(cooldown_until) AS cooldown_until FROM st GROUP BY 1""")(
@@ -113,11 +122,14 @@ SELECT split_part(key, ':', 1) AS provider, CAST(sum(failures) AS BIGINT) AS fai
         t.usage.groupBy(F.concat_ws(":", "provider", "model").alias("key")).agg(F.count(F.when(F.col("status") >= 500, 1)).alias("failures"), F.when(F.max("request_id") % 3 == 0, "closed").when(F.max("request_id") % 3 == 1, "open").otherwise("half_open").alias("state"), F.max("ts").alias("cooldown_until"))
     )
 )
-query("provider_rollup_open", f"""WITH {_OUT}, o AS (SELECT request_id, provider, model, ts, epoch_us(ts) AS us FROM cls WHERE failure_class = 'provider_degraded')
-SELECT a.request_id, a.provider, a.ts, count(DISTINCT b.model) >= 2 AS open, count(DISTINCT b.model) AS count FROM o a JOIN o b ON b.provider = a.provider AND b.us BETWEEN a.us - 3600000000 AND a.us GROUP BY 1, 2, 3""")(
-    lambda t: X.provider_rollup_open(X.classify_failure(outcomes(t)).filter("failure_class = 'provider_degraded'").select("request_id", "provider", "ts", F.col("model").alias("key"), F.lit("opened").alias("kind")), 2, 3600)
+query("provider_rollup_open", f"""WITH {_OUT}, e AS (SELECT request_id, provider, model, ts, epoch_us(ts) AS us, CASE WHEN failure_class = 'provider_degraded' THEN 'opened' ELSE 'probe_closed' END AS kind FROM cls WHERE failure_class = 'provider_degraded' OR request_id % 40 = 9),
+l AS (SELECT a.request_id, a.provider, a.ts, b.model, arg_max(b.kind, (b.us, b.request_id)) AS kind, max(b.us) FILTER (b.kind = 'opened') AS us, a.us AS now FROM e a JOIN e b ON b.provider = a.provider AND (b.us, b.request_id) <= (a.us, a.request_id) AND b.us > a.us - 36000000000 WHERE a.kind = 'opened' GROUP BY a.request_id, a.provider, a.ts, b.model, a.us)
+SELECT request_id, provider, ts, count(*) FILTER (kind = 'opened') >= 2 AS open, count(*) FILTER (kind = 'opened') AS count FROM l GROUP BY 1, 2, 3""")(
+    lambda t: X.provider_rollup_open(
+        X.classify_failure(outcomes(t)).filter("failure_class = 'provider_degraded' OR request_id % 40 = 9").select("request_id", "provider", "ts", F.col("model").alias("key"), F.when(F.col("failure_class") == "provider_degraded", "opened").otherwise("probe_closed").alias("kind")), 2, 36_000
+    )
 )
-query("log_mode_counterfactual")(lambda t: X.log_mode_counterfactual(X.classify_failure(outcomes(t)), threshold=3, window_s=7200, cooldown_s=5400))
+query("log_mode_counterfactual")(lambda t: X.log_mode_counterfactual(X.classify_failure(outcomes(t)), threshold=2, window_s=36_000, cooldown_s=43_200))
 query("timeout_credit_filter", "SELECT request_id, NOT (request_id % 4 = 0 AND request_id % 30 < 12) AS credited FROM usage WHERE status >= 500")(
     lambda t: X.timeout_credit_filter(t.usage.filter("status >= 500").withColumns({"caller_shortened": F.col("request_id") % 4 == 0, "elapsed_s": (F.col("request_id") % 30).cast("double")}), 12.0).select("request_id", "credited")
 )

@@ -96,13 +96,46 @@ query("parse_sse_generate", _ROW.format(finish="'STOP'"))(
 query("parse_sse_responses", _ROW.format(finish="'completed'"))(
     lambda t: _flat(S.parse_sse_responses(_body(t, _lines(F.to_json(_s(type=F.lit("response.created"))), F.to_json(_s(type=F.lit("response.completed"), response=_s(id=_id(), model=F.col("model"), status=F.lit("completed"), usage=_s(input_tokens=_in(), output_tokens=_out(), total_tokens=_in() + _out()))))))))
 )
-query("parse_usage", """SELECT request_id, provider, request_id % 13 = 0 AS parse_error, CASE WHEN request_id % 13 = 0 THEN NULL ELSE model END AS usage_model, CASE WHEN request_id % 13 = 0 THEN NULL ELSE input_tokens END AS usage_input_tokens,
-  CASE WHEN request_id % 13 = 0 THEN NULL ELSE output_tokens END AS usage_output_tokens FROM usage""")(
-    lambda t: S.parse_usage(
-        t.usage.select("request_id", "provider", (F.col("request_id") % 2 == 0).alias("is_streaming"), F.when(F.col("request_id") % 13 == 0, None).when(F.col("request_id") % 2 == 0, F.when(F.col("provider") == "openai", sse_chat()).when(F.col("provider") == "anthropic", sse_messages()).otherwise(_lines(generate_body()))).otherwise(F.when(F.col("provider") == "openai", chat_body()).when(F.col("provider") == "anthropic", messages_body()).otherwise(generate_body())).alias("response_body"))
-    ).withColumn("parse_error", F.col("parse_error") | F.col("response_body").isNull())
-    .select("request_id", "provider", "parse_error", *[F.when(~F.col("parse_error"), F.col(c)).alias(c) for c in ("usage_model", "usage_input_tokens", "usage_output_tokens")])
+def converse_body() -> Column:
+    """A converse answer; its model is the request's."""
+    return F.to_json(_s(output=_s(message=_s(role=F.lit("assistant"))), stopReason=F.lit("end_turn"), usage=_s(inputTokens=_in(), outputTokens=_out(), totalTokens=_in() + _out())))
+
+
+def responses_body() -> Column:
+    """A response."""
+    return F.to_json(_s(id=_id(), model=F.col("model"), output=F.array(_s(status=F.lit("in_progress")), _s(status=F.lit("completed"))), usage=_s(input_tokens=_in(), output_tokens=_out(), total_tokens=_in() + _out())))
+
+
+def sse_responses() -> Column:
+    """A streamed response."""
+    made = F.to_json(_s(type=F.lit("response.created"), response=_s(id=_id(), model=F.col("model"))))
+    text = F.to_json(_s(type=F.lit("response.output_text.delta"), delta=F.lit('say "choices" and "message_start"')))
+    end = F.to_json(_s(type=F.lit("response.completed"), response=_s(id=_id(), model=F.col("model"), output=F.array(_s(status=F.lit("completed"))), usage=_s(input_tokens=_in(), output_tokens=_out(), total_tokens=_in() + _out()))))
+    return _lines(made, text, end)
+
+
+def sse_converse() -> Column:
+    """Events of a streamed converse answer."""
+    return _lines(F.to_json(_s(messageStop=_s(stopReason=F.lit("end_turn")))), F.to_json(_s(metadata=_s(usage=_s(inputTokens=_in(), outputTokens=_out(), totalTokens=_in() + _out())))))
+
+
+#: Bodies of all shapes in turn, whatever the provider; one is broken and one missing.
+def _bodies() -> Column:
+    every = (chat_body(), messages_body(), generate_body(), responses_body(), converse_body(), sse_chat(), sse_messages(), _lines(generate_body(), generate_body()), F.concat(F.lit("["), generate_body(), F.lit("]")), sse_responses(), sse_converse(), F.lit("{broken"), F.lit(None).cast("string"))
+    body = F.lit(None).cast("string")
+    for i, b in enumerate(every):
+        body = F.when(F.col("request_id") % 13 == i, b).otherwise(body)
+    return body
+
+
+query("parse_usage", """SELECT request_id, provider, request_id % 13 >= 11 AS parse_error, CASE WHEN request_id % 13 >= 11 THEN NULL WHEN request_id % 13 IN (4, 10) THEN '' ELSE model END AS usage_model, CASE WHEN request_id % 13 < 11 THEN input_tokens END AS usage_input_tokens,
+  CASE WHEN request_id % 13 < 11 THEN output_tokens END AS usage_output_tokens, CASE WHEN request_id % 13 < 11 THEN input_tokens + output_tokens END AS usage_total_tokens,
+  CASE request_id % 13 WHEN 0 THEN 'stop' WHEN 5 THEN 'stop' WHEN 1 THEN 'end_turn' WHEN 4 THEN 'end_turn' WHEN 6 THEN 'end_turn' WHEN 10 THEN 'end_turn' WHEN 3 THEN 'completed' WHEN 9 THEN 'completed' WHEN 11 THEN NULL WHEN 12 THEN NULL ELSE 'STOP' END AS usage_finish_reason FROM usage""")(
+    lambda t: S.parse_usage(t.usage.select("request_id", "provider", (F.col("request_id") % 13).between(5, 10).alias("is_streaming"), _bodies().alias("response_body"))).select(
+        "request_id", "provider", "parse_error", "usage_model", "usage_input_tokens", "usage_output_tokens", "usage_total_tokens", "usage_finish_reason"
+    )
 )
+query("parse_sse_converse", _ROW.format(finish="'end_turn'").replace("model AS usage_model", "'' AS usage_model").replace("'id-' || request_id AS usage_id", "'' AS usage_id"))(lambda t: _flat(S.parse_sse_converse(_body(t, sse_converse()))))
 query("sse_event_histogram", "SELECT request_id, k AS kind, n AS name, CAST(c AS BIGINT) AS n FROM usage, (VALUES ('event', 'message_start', 1), ('event', 'message_delta', 2), ('type', 'message_start', 1), ('type', 'message_delta', 2)) AS v(k, n, c)")(lambda t: S.sse_event_histogram(_body(t, sse_messages())))
 
 

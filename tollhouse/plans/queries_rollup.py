@@ -102,6 +102,9 @@ query("unknown_traffic", _STATUS + "SELECT request_id FROM st WHERE canonical =
 query("model_status_daily", _STATUS + "SELECT day, status, provider || ':' || model AS name, count(*) AS n FROM st WHERE status <> 'ok' GROUP BY 1, 2, 3")(
     lambda t: J.model_status(t.usage, t.catalog, t.retired).filter("status <> 'ok'").groupBy("day", "status", F.concat_ws(":", "provider", "model").alias("name")).agg(F.count("*").alias("n"))
 )
+query("range_by_name", _STATUS + ", d AS (SELECT day, provider || ':' || model AS name, count(*) AS n FROM st WHERE status <> 'ok' GROUP BY 1, 2), days AS (SELECT DISTINCT day FROM d ORDER BY day DESC LIMIT 7) SELECT name, CAST(sum(n) AS BIGINT) AS n FROM d WHERE day IN (SELECT day FROM days) GROUP BY 1")(
+    lambda t: R.range_by(J.model_status(t.usage, t.catalog, t.retired).filter("status <> 'ok'").groupBy("day", F.concat_ws(":", "provider", "model").alias("name")).agg(F.count("*").alias("n")), "name", ["n"], 7)
+)
 query("key_usage_join", f"SELECT k.key_id, k.provider, coalesce(c.s, 0) AS spend_e4, coalesce(c.n, 0) AS requests FROM keys k LEFT JOIN (SELECT key_id, CAST(sum(total_e4) AS BIGINT) AS s, count(*) AS n FROM cost WHERE day = DATE '{DAY}' GROUP BY 1) c ON c.key_id = k.key_id")(
     lambda t: J.key_usage_join(t.keys, costed(t), DAY).select("key_id", "provider", "spend_e4", "requests")
 )

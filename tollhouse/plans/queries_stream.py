@@ -89,6 +89,6 @@ def stream_day_archive(t: Tables) -> DataFrame:
 
 
 query("stream_breaker")(
-    lambda t: streamed(t, _timed(classify_failure(outcomes(t)).select("request_id", "ts", "provider", "model", "failure_class")), lambda s: J.stream_breaker(s, 3, 7200, 5400), "append")
+    lambda t: streamed(t, _timed(classify_failure(outcomes(t)).select("request_id", "ts", "provider", "model", "failure_class", "aborted")), lambda s: J.stream_breaker(s, 2, 36_000, 43_200), "append")
 )
-query("stream_rate_limit")(lambda t: streamed(t, _log(t), lambda s: J.stream_rate_limit(s, "key_id", 1), "append"))
+query("stream_rate_limit")(lambda t: streamed(t, _log(t), lambda s: J.stream_rate_limit(s, "key_id", 2, 30_000, 14, 300_000), "append"))

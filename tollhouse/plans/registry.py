@@ -22,10 +22,3 @@ def query(name: str, sql: str | None = None) -> Callable:
         return f
 
     return add
-
-
-def _load() -> None:
-    from tollhouse.plans import queries_cost, queries_limits, queries_parse, queries_pii, queries_rollup, queries_sources, queries_stream  # noqa: F401
-
-
-_load()

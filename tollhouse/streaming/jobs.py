@@ -58,7 +58,11 @@ _BREAKER = "request_id long, provider string, model string, state_before string,
 
 
 def stream_breaker(attempts: DataFrame, threshold: int = 5, window_s: int = 120, cooldown_s: int = 300, idle_s: int = 1800, watermark_s: int = 600) -> DataFrame:
-    """State and action of a breaker per provider and model as attempts (failure_class) come; keys idle for ``idle_s`` of event time are dropped."""
+    """State and action of a breaker per provider and model as attempts (failure_class, aborted) come, as ``breaker_replay`` gives them for whole logs.
+
+    An exhausted quota opens at once; an aborted attempt counts neither as a failure nor as a
+    probe's answer.  Keys idle for ``idle_s`` of event time are dropped.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -75,13 +79,17 @@ def stream_breaker(attempts: DataFrame, threshold: int = 5, window_s: int = 120,
             if status == "open":
                 action = "fast_fail"
             elif status == "half_open":
-                if r.failure_class == "none":
+                if r.aborted:
+                    action = "probe"
+                elif r.failure_class == "none":
                     status, failures, action = "closed", [], "probe_closed"
                 else:
                     status, until, action = "open", now + cooldown_s, "probe_reopened"
-            elif r.failure_class == "provider_degraded":
+            elif r.failure_class in ("provider_degraded", "insufficient_quota") and not r.aborted:
                 failures = [t for t in failures if t > now - window_s] + [now]
-                if len(failures) >= threshold:
+                if r.failure_class == "insufficient_quota":
+                    status, until, action = "open", now + cooldown_s, "forced_open"
+                elif len(failures) >= threshold:
                     status, until, action = "open", now + cooldown_s, "opened"
             out.append((r.request_id, key[0], key[1], before, action))
         state.update((status, until, failures))
@@ -92,20 +100,47 @@ def stream_breaker(attempts: DataFrame, threshold: int = 5, window_s: int = 120,
     return timed.groupBy("provider", "model").applyInPandasWithState(step, _BREAKER, "status string, until double, failures array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_rate_limit(df: DataFrame, scope: str, rpm: int) -> DataFrame:
-    """(request_id, scope, allowed): the first ``rpm`` requests of a scope's minute, as they come."""
+_LIMIT = "request_id long, scope string, allowed boolean, metric string, win string"
+
+
+def stream_rate_limit(df: DataFrame, scope: str, rpm: int, tpm: int = 0, rpd: int = 0, tpd: int = 0, watermark_s: int = 600, first_free: bool = True) -> DataFrame:
+    """(request_id, scope, allowed, metric, win) of a limiter of one kind of scope, as requests come; 0 is no limit.
+
+    The minute is checked before the day and requests before tokens (input_tokens and
+    output_tokens).  Each minute and day has counts of its own, so a late row meets those of
+    its own minute; counts go once the watermark has passed their window, and a scope's state
+    with the last of them.
+    """
+    limits = ((60, "minute", rpm, tpm), (86_400, "day", rpd, tpd))
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        minute, n = state.get if state.exists else (-1, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        used = {(a, b): [n, t] for a, b, n, t in zip(*state.get, strict=True)} if state.exists else {}
         out = []
         for r in pd.concat(parts).sort_values(["ts", "request_id"], kind="stable").itertuples():
-            now = int(r.ts.timestamp()) // 60
-            if now != minute:
-                minute, n = now, 0
-            allowed = n < rpm
-            n += allowed
-            out.append((r.request_id, key[0], bool(allowed)))
-        state.update((minute, n))
-        yield pd.DataFrame(out, columns=["request_id", "scope", "allowed"])
-
-    return df.filter(F.col(scope) != "").groupBy(scope).applyInPandasWithState(step, "request_id long, scope string, allowed boolean", "minute long, n long", "append", GroupStateTimeout.NoTimeout)
+            now, verdict = int(r.ts.timestamp()), ("", "")
+            counts = [used.setdefault((span, now // span), [0, 0]) for span, *_ in limits]
+            for (_, win, requests, tokens), (n, t) in zip(limits, counts, strict=True):
+                if requests > 0 and n + 1 > requests:
+                    verdict = ("requests", win)
+                elif tokens > 0 and t + r.tokens > tokens and not (first_free and t == 0):
+                    verdict = ("tokens", win)
+                if verdict[0]:
+                    break
+            if not verdict[0]:
+                for c in counts:
+                    c[0] += 1
+                    c[1] += int(r.tokens)
+            out.append((r.request_id, key[0], not verdict[0], *verdict))
+        done = state.getCurrentWatermarkMs() // 1000
+        used = {k: v for k, v in used.items() if (k[1] + 1) * k[0] > done}
+        state.update(tuple(map(list, zip(*[(*k, *v) for k, v in used.items()], strict=True))) if used else ([], [], [], []))
+        last = max([(k[1] + 1) * k[0] for k in used], default=0)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last * 1000))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _LIMIT.split(", ")])
+
+    tokens = F.coalesce(F.col("input_tokens"), F.lit(0)) + F.coalesce(F.col("output_tokens"), F.lit(0)) if tpm > 0 or tpd > 0 else F.lit(0)
+    timed = df.filter(F.col(scope) != "").withColumn("tokens", tokens.cast("long")).withWatermark("ts", f"{watermark_s} seconds")
+    return timed.groupBy(scope).applyInPandasWithState(step, _LIMIT, "span array<long>, number array<long>, requests array<long>, tokens array<long>", "append", GroupStateTimeout.EventTimeTimeout)
