@@ -62,6 +62,9 @@ def test_sstable(spark, tokenizer):
     assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in got)
     found = sstable.lookup_sstable(spark, out, [5, -3, None, 7]).collect()
     assert sorted(str(r.key) for r in found) == ["-3", "5", "5", "None"]
+    manifest = sstable.manifest_sstable(spark, out).collect()
+    assert sum(r.n for r in manifest) == len(rows) and sum(r.nulls for r in manifest) >= 1
+    assert sstable.lookup_sstable(spark, out, [10**12]).count() == 0 and sstable.lookup_sstable(spark, out, []).count() == 0
     empty = shared_dir(spark, "test")
     sstable.write_sstable(docs.limit(0), empty, BYTE)
     assert sstable.read_sstable(spark, empty).count() == 0

@@ -4,8 +4,9 @@ A piece of length r belongs to class k where capacity/(k+1) < r <= capacity/k, a
 sequence of class k takes exactly k pieces.  Each worker fills the sequences of each class
 by itself.  A document is cut so that its pieces nearly fill their classes.  What a worker
 has left over, fewer than k pieces a class, is numbered through all workers and fills
-sequences of the same class; what is then left, fewer than k pieces a class in all, is
-packed by first fit, a number of pieces that does not grow with the input.
+sequences of the same class; what is then left, fewer than k pieces a class in all, a number
+that does not grow with the input, is dealt to groups of some ``TOGETHER`` pieces, each packed
+by first fit.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from tollhouse.llm.common import stored
 CAPACITY = 2048
 #: A piece is cut on if k such pieces would leave more than this share of a sequence empty.
 SLACK = 1 / 32
+#: Pieces of the last rest that one task packs by first fit.
+TOGETHER = 4_096
 _SECOND, _THIRD = 1 << 61, 1 << 62
 
 
@@ -58,7 +61,8 @@ def harmonic_pack(docs: DataFrame, path: str, key_col: str = "doc_id", text_col:
 
     A document is its ids followed by ``end_id``.  Null and empty texts are documents of
     that one id.  Null and repeated keys are kept: every row is packed.  Other columns are
-    ignored.  An empty table gives no rows.  The ids are little-endian unsigned 32-bit.
+    ignored.  An empty table gives no rows.  Pieces of equal length are told apart by ids,
+    place and key; which of equal ones comes first changes nothing.  The ids are little-endian unsigned 32-bit.
     """
     given = docs.select(F.col(f"`{key_col}`").alias(key_col), F.col(f"`{text_col}`").alias("__text"))
     fields = _fields(given.schema.fields[0], with_ids)
@@ -126,10 +130,12 @@ def _left_over(rest: DataFrame, key_col: str, capacity: int) -> DataFrame:
         .withColumn("sequence_id", F.lit(_SECOND) + F.col("__class") * (1 << 40) + F.col("__bin"))
     )
     columns = [c for c in rest.columns if c not in ("__class", "__worker", "__index")]
-    last = numbered.filter(~full).select(*columns)
+    last = numbered.filter(~full)
+    groups = -(-last.count() // TOGETHER) or 1
+    last = last.select(*columns, F.pmod(F.xxhash64("__class", "__worker", "__index"), F.lit(groups)).alias("__group"))
 
-    def first_fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "ids_crc32", "start"], ascending=False, kind="stable").reset_index(drop=True)
+    def first_fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns="__group").sort_values(["length", "ids_crc32", "start", key_col], ascending=False, kind="stable").reset_index(drop=True)
         used: list[int] = []
         where, offset = [], []
         first = 0  # sequences before it are full
@@ -137,7 +143,7 @@ def _left_over(rest: DataFrame, key_col: str, capacity: int) -> DataFrame:
             b = next((b for b in range(first, len(used)) if used[b] + n <= capacity), len(used))
             if b == len(used):
                 used.append(0)
-            where.append(_THIRD + b)
+            where.append(_THIRD + (int(key[0]) << 32) + b)
             offset.append(used[b])
             used[b] += n
             while first < len(used) and used[first] == capacity:
@@ -145,7 +151,7 @@ def _left_over(rest: DataFrame, key_col: str, capacity: int) -> DataFrame:
         rows["sequence_id"], rows["offset"] = where, offset
         return rows
 
-    third = last.groupBy(F.lit("rest").alias("__group")).applyInPandas(first_fit, last.schema)
+    third = last.groupBy("__group").applyInPandas(first_fit, last.drop("__group").schema)
     return second.select(*columns).unionByName(third)
 
 

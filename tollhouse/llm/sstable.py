@@ -242,17 +242,53 @@ def read_sstable(spark: SparkSession, out: str, with_ids: bool = True) -> DataFr
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select("content").mapInArrow(read, fields)
 
 
+def manifest_sstable(spark: SparkSession, out: str) -> DataFrame:
+    """(path, low, high, n) of each shard below ``out``: its least and greatest key (null keys count as least) and entries; written beside the shards once."""
+    where = f"{out}/_manifest"
+    schema = "path string, low long, high long, nulls boolean, n long"
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, raw in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+                keys = [key for key, *_ in Shard(raw.as_py()).scan()]
+                some = [k for k in keys if k is not None]
+                rows.append({"path": path, "low": min(some, default=None), "high": max(some, default=None), "nulls": len(some) < len(keys), "n": len(keys)})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("nulls", pa.bool_()), ("n", pa.int64())]))
+
+    folder = spark._jvm.org.apache.hadoop.fs.Path(where)
+    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")):
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select("path", "content").mapInArrow(read, schema)
+        found.coalesce(1).write.mode("overwrite").parquet(where)
+    return spark.read.schema(schema).parquet(where)
+
+
 def lookup_sstable(spark: SparkSession, out: str, keys: list[int | None]) -> DataFrame:
-    """(key, ids) of the entries with the given keys, by binary search in each shard."""
+    """(key, ids) of the entries with the given keys: the manifest names the shards that may hold them, and only those are read and searched.
+
+    A shard is searched by its Bloom filter, its sparse index and one block a key.  Null asks
+    for the entries without a key; keys that no entry has give no row; no keys, no rows.
+    """
+    asked = sorted({k for k in keys if k is not None})
+    wanted = spark.createDataFrame([(k,) for k in asked], "key long")
+    manifest = manifest_sstable(spark, out)
+    held = manifest.join(F.broadcast(wanted), F.col("key").between(F.col("low"), F.col("high")), "left_semi")
+    if None in keys:
+        held = held.unionByName(manifest.filter("nulls")).distinct()
+    # At most a few shards a key.
+    paths = [r.path for r in held.select("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], "key long, ids binary")
+    every = asked + [None] * (None in keys)
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             for raw in batch["content"]:
                 shard = Shard(raw.as_py())
-                rows = [(k, ids.astype("<u4").tobytes()) for k in keys for ids in shard.get(k)]
+                rows = [(k, ids.astype("<u4").tobytes()) for k in every for ids in shard.get(k)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["key", "ids"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select("content").mapInArrow(find, "key long, ids binary")
+    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(find, "key long, ids binary")
 
 
 def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
