@@ -15,7 +15,6 @@ import zlib
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
@@ -134,24 +133,29 @@ def _left_over(rest: DataFrame, key_col: str, capacity: int) -> DataFrame:
     groups = -(-last.count() // TOGETHER) or 1
     last = last.select(*columns, F.pmod(F.xxhash64("__class", "__worker", "__index"), F.lit(groups)).alias("__group"))
 
-    def first_fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="__group").sort_values(["length", "ids_crc32", "start", key_col], ascending=False, kind="stable").reset_index(drop=True)
-        used: list[int] = []
-        where, offset = [], []
-        first = 0  # sequences before it are full
-        for n in rows["length"].tolist():
-            b = next((b for b in range(first, len(used)) if used[b] + n <= capacity), len(used))
-            if b == len(used):
-                used.append(0)
-            where.append(_THIRD + (int(key[0]) << 32) + b)
-            offset.append(used[b])
-            used[b] += n
-            while first < len(used) and used[first] == capacity:
-                first += 1
-        rows["sequence_id"], rows["offset"] = where, offset
-        return rows
-
-    third = last.groupBy("__group").applyInPandas(first_fit, last.drop("__group").schema)
+    made = last.drop("__group").schema
+
+    def first_fit(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        W.release()
+        group, used, first = None, [], 0  # sequences before ``first`` are full
+        for batch in batches:
+            where, offset = [], []
+            for own, n in zip(batch["__group"].to_pylist(), batch["length"].to_pylist(), strict=True):
+                if own != group:
+                    group, used, first = own, [], 0
+                b = next((b for b in range(first, len(used)) if used[b] + n <= capacity), len(used))
+                if b == len(used):
+                    used.append(0)
+                where.append(_THIRD + (own << 32) + b)
+                offset.append(used[b])
+                used[b] += n
+                while first < len(used) and used[first] == capacity:
+                    first += 1
+            given = {"sequence_id": pa.array(where, pa.int64()), "offset": pa.array(offset, pa.int64())}
+            yield pa.RecordBatch.from_arrays([given[c] if c in given else batch[c] for c in made.names], made.names)
+
+    order = [F.desc("length"), F.desc("ids_crc32"), F.desc("start"), F.desc(f"`{key_col}`")]
+    third = last.repartition("__group").sortWithinPartitions("__group", *order).mapInArrow(first_fit, made)
     return second.select(*columns).unionByName(third)
 
 

@@ -222,6 +222,7 @@ def read_sstable(spark: SparkSession, out: str, with_ids: bool = True) -> DataFr
     fields = "shard long, key long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        W.release()
         for batch in batches:
             for raw in batch["content"]:
                 shard = Shard(raw.as_py())
@@ -248,6 +249,7 @@ def manifest_sstable(spark: SparkSession, out: str) -> DataFrame:
     schema = "path string, low long, high long, nulls boolean, n long"
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        W.release()
         for batch in batches:
             rows = []
             for path, raw in zip(batch["path"].to_pylist(), batch["content"], strict=True):

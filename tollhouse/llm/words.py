@@ -9,6 +9,7 @@ Python strings, and only those that the worker has not met are encoded.  The mem
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -20,7 +21,7 @@ MEMO_CHUNKS = 1_200_000
 #: Longer chunks are not kept: they hardly return and fill the memo.
 MEMO_CHARS = 64
 #: Texts are taken together up to so many characters.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 
 #: Marks the first chunk of a text, which has nothing before it.
 FIRST = "\r"
@@ -141,9 +142,15 @@ def held(memos: dict) -> dict:
 
 
 def release() -> None:
-    """Gives up the memos of this worker: Spark uses a worker again for stages that need its memory for other things."""
+    """Gives up the memos of this worker, and their memory: Spark uses a worker again for stages that need it for other things."""
+    held = any(_HELD)
     for memos in _HELD:
         memos.clear()
+    if held:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
 
 def library_memo(path: str, chunker: Callable) -> Memo:
