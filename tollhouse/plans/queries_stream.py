@@ -48,7 +48,7 @@ def _timed(df: DataFrame) -> DataFrame:
 
 
 def _log(t: Tables) -> DataFrame:
-    return _timed(t.usage.select("request_id", "ts", "provider", "model", "key_id", "status", "input_tokens"))
+    return _timed(t.usage.select("request_id", "ts", "provider", "model", "key_id", "status", "input_tokens", "output_tokens"))
 
 
 query("stream_rollup", "SELECT date_trunc('hour', ts) AS hour, provider, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM usage GROUP BY 1, 2")(
@@ -91,4 +91,4 @@ def stream_day_archive(t: Tables) -> DataFrame:
 query("stream_breaker")(
     lambda t: streamed(t, _timed(classify_failure(outcomes(t)).select("request_id", "ts", "provider", "model", "failure_class", "aborted")), lambda s: J.stream_breaker(s, 2, 36_000, 43_200), "append")
 )
-query("stream_rate_limit")(lambda t: streamed(t, _log(t), lambda s: J.stream_rate_limit(s, "key_id", 2, 30_000, 14, 300_000), "append"))
+query("stream_rate_limit")(lambda t: streamed(t, _log(t), lambda s: J.stream_rate_limit(s, "key_id", 2, 30_000, 14, 300_000, watermark_s=60 * 86_400), "append"))
