@@ -124,9 +124,13 @@ def brute_repeats(texts, size):
     return [(i, len(b), sum(m), len(re.findall(b"\1+", bytes(m))), hashlib.sha256(bytes(x for x, y in zip(b, m, strict=True) if not y)).hexdigest()) for i, (b, m) in enumerate(zip(raws, marks, strict=True))]
 
 
-@pytest.mark.parametrize(("size", "group"), [(400, 256), (70, 3)])
-def test_repeats(spark, monkeypatch, size, group):
+@pytest.mark.parametrize(("size", "group", "weak"), [(400, 256, False), (70, 3, False), (70, 256, True)])
+def test_repeats(spark, monkeypatch, size, group, weak):
     monkeypatch.setattr(repeats, "GROUP", group)
+    if weak:
+        # Ids that many texts share, and texts longer than a piece.
+        monkeypatch.setattr(repeats, "text_id", lambda text: F.octet_length(text).cast("long") % 7)
+        monkeypatch.setattr(repeats, "PIECE", 150)
     rnd = random.Random(size)
     base = ["".join(rnd.choice("ab cdé\n") for _ in range(rnd.choice([0, size - 1, size, size + 50, 3 * size]))) for _ in range(5)]
     texts = []

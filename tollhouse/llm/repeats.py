@@ -24,17 +24,19 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollhouse.llm import words as W
-from tollhouse.llm.common import Steps, shared_dir, split_count
+from tollhouse.llm.common import Steps, deleted, shared_dir, split_count, stored
 from tollhouse.llm.shingles import flat_bytes, mix, powers
 
 THRESHOLD = 400
 GRAM = 32
 #: Different contexts that one task compares.
 GROUP = 256
+#: Bytes that are searched for anchors at once.
+PIECE = 1 << 22
 _PLACE = np.uint64((1 << 27) - 1)
 
 
@@ -50,7 +52,24 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, bounds: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors of all windows within one text each, and their hashes."""
+    """Places of the anchors of all windows within one text each, and their hashes.
+
+    Long texts are read in pieces that share ``threshold - 1`` bytes, so each window lies whole in one.
+    """
+    if len(raw) <= max(PIECE, 2 * threshold):
+        return _piece_anchors(raw, bounds, threshold)
+    size = max(PIECE, 2 * threshold)
+    places, hashes = [], []
+    for a in range(0, len(raw) - threshold + 1, size - threshold + 1):
+        b = min(a + size, len(raw))
+        place, h = _piece_anchors(raw[a:b], np.clip(bounds, a, b) - a, threshold)
+        places.append(place + a)
+        hashes.append(h)
+    place, first = np.unique(np.concatenate(places), return_index=True)
+    return place, np.concatenate(hashes)[first]
+
+
+def _piece_anchors(raw: np.ndarray, bounds: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     width = threshold - GRAM + 1
     hashes = gram_hashes(raw)
     if len(hashes) < width:
@@ -72,6 +91,11 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, threshold: int) -> tuple[np.nda
     return place, hashes[place]
 
 
+def text_id(text: Column) -> Column:
+    """First hash of a text."""
+    return F.xxhash64(text)
+
+
 def _anchor_rows(texts: DataFrame, threshold: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         W.release()
@@ -79,8 +103,6 @@ def _anchor_rows(texts: DataFrame, threshold: int) -> DataFrame:
             for a, b in W.slices(batch["text"], 1_000_000):
                 part = batch.slice(a, b - a)
                 raw, bounds = flat_bytes(part["text"])
-                if len(raw) > int(_PLACE):
-                    raise ValueError(f"a text has more than {int(_PLACE)} bytes")
                 place, hashes = anchors(raw, bounds, threshold)
                 of = np.searchsorted(bounds, place, side="right") - 1
                 tid = part["tid"].to_numpy(zero_copy_only=False)[of]
@@ -289,6 +311,30 @@ def _kept(rows: DataFrame, names: list[str], threshold: int, with_text: bool, de
     return rows.mapInArrow(run, schema)
 
 
+def _texts(own: DataFrame, text: Column, parts: int) -> tuple[DataFrame, DataFrame]:
+    """``own`` and its different texts (tid, text, copies), stored in buckets; no two texts share an id.
+
+    Where the first hash of different texts is equal, which the second one tells, those take
+    an id of both hashes, until none meet.
+    """
+    spark = own.sparkSession
+    while True:
+        name, path = f"texts_{uuid.uuid4().hex}", shared_dir(spark, "texts")
+        other = [F.min("__other").alias("low"), F.max("__other").alias("high")]
+        texts = own.select(F.col("__tid").alias("tid"), "__other", text.alias("text")).groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies"), *other)
+        texts.write.bucketBy(parts, "tid").option("path", path).option("compression", "zstd").saveAsTable(name)
+        met = spark.table(name).filter("low <> high").select(F.col("tid").alias("__met"))
+        n_met = met.count()
+        if not n_met:
+            return own, spark.table(name).drop("low", "high")
+        # Some pairs at 10^10 texts.
+        met = stored(met, "met")
+        own = own.join(F.broadcast(met) if n_met <= 100_000 else met, F.col("__tid") == F.col("__met"), "left")
+        own = own.withColumn("__tid", F.when(F.col("__met").isNull(), F.col("__tid")).otherwise(F.xxhash64("__tid", "__other"))).drop("__met")
+        spark.sql(f"DROP TABLE {name}")
+        deleted(spark, path)
+
+
 def remove_repeats(docs: DataFrame, text_col: str = "text", threshold: int = THRESHOLD, with_text: bool = True, decoded: bool = False) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and, ``with_text``, the kept bytes as ``kept``.
 
@@ -297,20 +343,17 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", threshold: int = THR
     The column of the text itself is left out.  A byte is removed if a string of ``threshold`` bytes that covers it starts anywhere else
     too, in its own text or another's.  Texts are UTF-8; null is empty.  Texts shorter than
     the threshold lose nothing; repeated rows of longer texts lose everything.  Columns of
-    the new names are replaced, all others pass through.  Texts are told apart by a 64-bit hash.
+    the new names are replaced, all others pass through.  Texts are told apart by two 64-bit hashes.
     """
     if threshold < 2 * GRAM:
         raise ValueError(f"the threshold is {2 * GRAM} bytes at least")
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    own = docs.drop(*new).withColumns({"__tid": F.xxhash64(text), "n_bytes": F.octet_length(text).cast("long")})
-    spark, name = docs.sparkSession, f"texts_{uuid.uuid4().hex}"
-    texts = own.select(F.col("__tid").alias("tid"), text.alias("text")).groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    texts.write.bucketBy(split_count(docs), "tid").option("path", shared_dir(spark, "texts")).option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
+    own = docs.drop(*new).withColumns({"__tid": text_id(text), "__other": F.xxhash64(F.lit(1), text), "n_bytes": F.octet_length(text).cast("long")})
+    own, texts = _texts(own, text, split_count(docs))
     spans = _spans(texts, threshold).groupBy("tid").agg(F.collect_set(F.struct("from", "to")).alias("__spans"))
     # From here on a text moves no more: rows join the one in its bucket, and rows of repeated texts need none, or a short one.
-    names = [c for c in own.columns if c not in (text_col, "__tid")]
+    names = [c for c in own.columns if c not in (text_col, "__tid", "__other")]
     rows = own.select("__tid", *[F.col(f"`{c}`") for c in names], F.when(F.col("n_bytes") < threshold, text).alias("__text"), F.col(f"`{text_col}`").isNull().alias("__null"))
     rows = rows.join(texts.filter("copies > 1").select(F.col("tid").alias("__tid"), F.col("copies").alias("__copies")), "__tid", "left")
     several = rows.filter("__copies > 1").withColumn("__spans", F.lit(None).cast("array<struct<from:int,to:int>>"))
