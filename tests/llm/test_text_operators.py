@@ -131,6 +131,7 @@ def test_repeats(spark, monkeypatch, size, group, weak):
         # Ids that many texts share, and texts longer than a piece.
         monkeypatch.setattr(repeats, "text_id", lambda text: F.octet_length(text).cast("long") % 7)
         monkeypatch.setattr(repeats, "PIECE", 150)
+        monkeypatch.setattr(repeats, "OFTEN", 3)
     rnd = random.Random(size)
     base = ["".join(rnd.choice("ab cdé\n") for _ in range(rnd.choice([0, size - 1, size, size + 50, 3 * size]))) for _ in range(5)]
     texts = []

@@ -47,7 +47,7 @@ class Steps:
     def store(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as ``stored`` gives it; an earlier table of that name goes when the new one is there."""
         path = shared_dir(self.spark, name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         self.drop(name)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)

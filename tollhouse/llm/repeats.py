@@ -35,6 +35,8 @@ THRESHOLD = 400
 GRAM = 32
 #: Different contexts that one task compares.
 GROUP = 256
+#: Copies of one context that a task of a shuffle may meet; above 2^16 times as many members, a 2^16th of those.
+OFTEN = 10_000
 #: Bytes that are searched for anchors at once.
 PIECE = 1 << 22
 _PLACE = np.uint64((1 << 27) - 1)
@@ -247,7 +249,12 @@ def _spans(texts: DataFrame, threshold: int) -> DataFrame:
     members = steps.store(_members(texts.join(shared, "tid").select("tid", "text", "places"), threshold), "members")
     steps.drop("anchors", "again")
     kinds = steps.store(members.groupBy("key", "kind").agg(F.count("*").alias("copies")), "kinds")
-    whole = members.drop("context").join(kinds.filter("copies > 1"), ["key", "kind"]).filter(F.col("before") + F.col("after") >= threshold)
+    # Contexts of very many copies, of which there are 65,535 at most, need no shuffle of their members.
+    often = max(OFTEN, (kinds.agg(F.sum("copies")).first()[0] or 0) >> 16)
+    hot = F.broadcast(kinds.filter(F.col("copies") > often).select("key", "kind"))
+    slim = members.drop("context").filter(F.col("before") + F.col("after") >= threshold)
+    rare = slim.join(hot, ["key", "kind"], "left_anti").join(kinds.filter((F.col("copies") > 1) & (F.col("copies") <= often)).drop("copies"), ["key", "kind"])
+    whole = slim.join(hot, ["key", "kind"], "left_semi").unionByName(rare)
     spans = whole.select("tid", (F.col("at") - F.col("before")).alias("from"), (F.col("at") + F.col("after")).alias("to"))
 
     left = threshold - GRAM
@@ -261,9 +268,10 @@ def _spans(texts: DataFrame, threshold: int) -> DataFrame:
             met = rows.filter("copies = 1").drop("context").join(classes.filter("`all` > 1").drop("one"), ["key", "kind"])
             met = met.select("own_key", "own_kind", (-F.least("high", "before")).alias("from"), F.least(threshold - F.col("low"), F.col("after")).alias("to")).filter(F.col("to") - F.col("from") >= threshold)
             met = met.select(F.col("own_key").alias("key"), F.col("own_kind").alias("kind"), "from", "to")
-        of_key = of_key.filter("different > 1 AND fewest = 1")
-        ones = rows.join(classes, ["key", "kind"]).filter((F.col("own_key") == F.col("one.own_key")) & (F.col("own_kind") == F.col("one.own_kind")))
-        ones = steps.store(ones.join(of_key, "key").withColumn("copies", F.col("all")).drop("all", "one", "fewest"), "groups")
+        # Which classes are compared is settled before their contexts move.
+        wanted = classes.join(of_key.filter("different > 1 AND fewest = 1").drop("fewest"), "key")
+        ones = rows.join(wanted, ["key", "kind"]).filter((F.col("own_key") == F.col("one.own_key")) & (F.col("own_kind") == F.col("one.own_kind")))
+        ones = steps.store(ones.withColumn("copies", F.col("all")).drop("all", "one"), "groups")
         small = _compared(ones.filter(F.col("different") <= GROUP).drop("different"), threshold)
         levels.append(steps.store(small.unionByName(met) if depth else small, f"found-{depth}"))
         large = ones.filter(F.col("different") > GROUP).drop("different")
