@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tollhouse.operators.replay import replayed
 
 #: Bytes of an error body that are looked at; a JSON body cut there cannot be parsed and says nothing (fixed value).
 PEEK_BYTES = 512
@@ -147,11 +150,18 @@ def breaker_replay(attempts: DataFrame, threshold: int = 5, window_s: int = 120,
     columns = ["request_id", "ts", "provider", "model", "failure_class", "aborted"]
     calm = attempts.join(hot, ["provider", "model"], "left_anti").select("request_id", F.col("ts").cast("timestamp").alias("ts"), "provider", "model", F.lit("closed").alias("state_before"), F.lit("pass").alias("action"))
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "request_id"], kind="stable")
-        state, until, failures, out = "closed", None, [], []
-        window, cooldown = pd.Timedelta(seconds=window_s), pd.Timedelta(seconds=cooldown_s)
-        for r in pdf.itertuples():
+    window, cooldown = pd.Timedelta(seconds=window_s), pd.Timedelta(seconds=cooldown_s)
+
+    def fresh():
+        state, until, failures = "closed", None, deque()
+
+        def failed_at(ts) -> None:
+            while failures and failures[0] <= ts - window:
+                failures.popleft()
+            failures.append(ts)
+
+        def decide(r) -> tuple:
+            nonlocal state, until
             if state == "open" and r.ts > until:
                 state = "half_open"
             before, action = state, "pass"
@@ -161,24 +171,26 @@ def breaker_replay(attempts: DataFrame, threshold: int = 5, window_s: int = 120,
                 if r.aborted:
                     action = "probe"
                 elif r.failure_class == "none":
-                    state, failures, action = "closed", [], "probe_closed"
+                    state, action = "closed", "probe_closed"
+                    failures.clear()
                 else:
                     state, until, action = "open", r.ts + cooldown, "probe_reopened"
             else:
-                if state == "open" or (state == "half_open" and mode == "log"):
-                    action = "would_fail" if state == "open" else "pass"
+                if state == "open":
+                    action = "would_fail"
                 if r.failure_class == "insufficient_quota" and not r.aborted:
-                    failures = [t for t in failures if t > r.ts - window] + [r.ts]
+                    failed_at(r.ts)
                     state, until, action = "open", r.ts + cooldown, "forced_open"
                 elif r.failure_class == "provider_degraded" and not r.aborted:
-                    failures = [t for t in failures if t > r.ts - window] + [r.ts]
+                    failed_at(r.ts)
                     if len(failures) >= threshold and state == "closed":
                         state, until, action = "open", r.ts + cooldown, "opened"
-            out.append((r.request_id, r.ts, r.provider, r.model, before, action))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _REPLAY.split(", ")])
+            return r.request_id, r.ts, r.provider, r.model, before, action
+
+        return decide
 
     busy = attempts.join(hot, ["provider", "model"], "left_semi").select(*columns).withColumn("ts", F.col("ts").cast("timestamp"))
-    return busy.groupBy("provider", "model").applyInPandas(replay, _REPLAY).unionByName(calm)
+    return replayed(busy, ["provider", "model"], ["ts", "request_id"], fresh, _REPLAY).unionByName(calm)
 
 
 def breaker_events(replayed: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tollhouse.operators.replay import replayed
+
 ORDER = ("ts", "request_id")
 
 
@@ -45,32 +49,36 @@ def spend_cap_reservation(attempts: DataFrame, keys: DataFrame, grace_s: int = 3
 
     Admission reserves the estimate; when the request is done, the cost is booked and the
     rest of the reservation is freed ``grace_s`` seconds later.  Decisions depend on earlier
-    ones, so a key and day is replayed in order; its rows stream through one task sorted.
+    ones, so a key and day is replayed in order; its rows stream through one task sorted, and
+    only what is still in reserve or unbooked is held.
     """
     caps = keys.select("key_id", "daily_limit_cents")
     rows = attempts.join(caps, "key_id", "left").fillna(0, ["daily_limit_cents"])
     out = "request_id long, key_id string, day date, allowed boolean, reserved_e4 long"
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*ORDER], kind="stable")
+    def fresh():
         booked = reserved = 0
-        open_: list[tuple] = []  # (time, booked change, reserved change)
-        result = []
-        for r in pdf.itertuples():
-            for x in sorted(x for x in open_ if x[0] <= r.ts):
-                booked += x[1]
-                reserved = max(0, reserved + x[2])
-            open_ = [x for x in open_ if x[0] > r.ts]
-            cap = r.daily_limit_cents
-            allowed = cap <= 0 or -(-(booked + reserved) // 100) < cap
-            result.append((r.request_id, r.key_id, r.day, allowed, reserved))
+        due: list[tuple] = []  # heap of (time, booked change, reserved change)
+
+        def decide(r) -> tuple:
+            nonlocal booked, reserved
+            while due and due[0][0] <= r.ts:
+                _, cost, freed = heapq.heappop(due)
+                booked += cost
+                reserved = max(0, reserved + freed)
+            allowed = r.daily_limit_cents <= 0 or -(-(booked + reserved) // 100) < r.daily_limit_cents
+            before = reserved
             if allowed:
                 reserved += r.est_e4
-                open_.append((r.done_ts, r.total_e4, 0))
-                open_.append((r.done_ts + pd.Timedelta(seconds=grace_s), 0, -r.est_e4))
-        return pd.DataFrame(result, columns=["request_id", "key_id", "day", "allowed", "reserved_e4"])
+                if r.done_ts == r.done_ts:  # one that never ends stays in reserve
+                    heapq.heappush(due, (r.done_ts, r.total_e4, 0))
+                    heapq.heappush(due, (r.done_ts + pd.Timedelta(seconds=grace_s), 0, -r.est_e4))
+            return r.request_id, r.key_id, r.day, allowed, before
+
+        return decide
 
-    return rows.groupBy("key_id", "day").applyInPandas(replay, out)
+    rows = rows.select("request_id", "key_id", "day", "ts", "done_ts", "est_e4", "total_e4", "daily_limit_cents")
+    return replayed(rows, ["key_id", "day"], [*ORDER], fresh, out)
 
 
 def scope_expand(df: DataFrame) -> DataFrame:
@@ -129,33 +137,30 @@ def rate_limit_replay(df: DataFrame, scope: str, rpm: int, tpm: int, rpd: int, t
     window's first request with tokens passes whatever it asks for.  A large request may be
     denied and a smaller one after it admitted, so a scope's day is replayed in order.
     """
-    rows = df.filter(F.col(scope) != "").select("request_id", "ts", "day", F.col(scope).alias("scope"), (F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
+    rows = df.filter(F.col(scope) != "").select("request_id", "ts", "day", F.unix_seconds(F.col("ts").cast("timestamp")).alias("seconds"), F.col(scope).alias("scope"), (F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
     out = "request_id long, scope string, allowed boolean, metric string, win string, lim long, remaining long, retry_after long"
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*ORDER], kind="stable")
+    def fresh():
         day_requests = day_tokens = minute_requests = minute_tokens = 0
         minute = None
-        result = []
-        for r in pdf.itertuples():
-            seconds = int(r.ts.timestamp())
-            if seconds // 60 != minute:
-                minute, minute_requests, minute_tokens = seconds // 60, 0, 0
-            verdict = None
-            for win, requests, tokens, most_requests, most_tokens, left in (("minute", minute_requests, minute_tokens, rpm, tpm, 60 - seconds % 60), ("day", day_requests, day_tokens, rpd, tpd, 86400 - seconds % 86400)):
+
+        def decide(r) -> tuple:
+            nonlocal day_requests, day_tokens, minute_requests, minute_tokens, minute
+            if r.seconds // 60 != minute:
+                minute, minute_requests, minute_tokens = r.seconds // 60, 0, 0
+            for win, requests, tokens, most_requests, most_tokens, length in (("minute", minute_requests, minute_tokens, rpm, tpm, 60), ("day", day_requests, day_tokens, rpd, tpd, 86400)):
+                left = length - r.seconds % length
                 if most_requests > 0 and requests + 1 > most_requests:
-                    verdict = ("requests", win, most_requests, max(0, most_requests - requests), left)
-                elif most_tokens > 0 and tokens + r.tokens > most_tokens and not (first_free and tokens == 0):
-                    verdict = ("tokens", win, most_tokens, max(0, most_tokens - tokens), left)
-                if verdict:
-                    break
-            if verdict is None:
-                minute_requests, minute_tokens = minute_requests + 1, minute_tokens + r.tokens
-                day_requests, day_tokens = day_requests + 1, day_tokens + r.tokens
-            result.append((r.request_id, r.scope, verdict is None, *(verdict or ("", "", 0, 0, 0))))
-        return pd.DataFrame(result, columns=[c.split()[0] for c in out.split(", ")])
-
-    return rows.groupBy("scope", "day").applyInPandas(replay, out)
+                    return r.request_id, r.scope, False, "requests", win, most_requests, max(0, most_requests - requests), left
+                if most_tokens > 0 and tokens + r.tokens > most_tokens and not (first_free and tokens == 0):
+                    return r.request_id, r.scope, False, "tokens", win, most_tokens, max(0, most_tokens - tokens), left
+            minute_requests, minute_tokens = minute_requests + 1, minute_tokens + r.tokens
+            day_requests, day_tokens = day_requests + 1, day_tokens + r.tokens
+            return r.request_id, r.scope, True, "", "", 0, 0, 0
+
+        return decide
+
+    return replayed(rows, ["scope", "day"], [*ORDER], fresh, out)
 
 
 def rate_limit_daily(decisions: DataFrame) -> DataFrame:
