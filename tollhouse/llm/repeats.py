@@ -253,7 +253,8 @@ def _spans(texts: DataFrame, threshold: int) -> DataFrame:
     often = max(OFTEN, (kinds.agg(F.sum("copies")).first()[0] or 0) >> 16)
     hot = F.broadcast(kinds.filter(F.col("copies") > often).select("key", "kind"))
     slim = members.drop("context").filter(F.col("before") + F.col("after") >= threshold)
-    rare = slim.join(hot, ["key", "kind"], "left_anti").join(kinds.filter((F.col("copies") > 1) & (F.col("copies") <= often)).drop("copies"), ["key", "kind"])
+    cold = slim.join(hot, ["key", "kind"], "left_anti")
+    rare = cold.join(kinds.filter((F.col("copies") > 1) & (F.col("copies") <= often)).drop("copies"), ["key", "kind"])
     whole = slim.join(hot, ["key", "kind"], "left_semi").unionByName(rare)
     spans = whole.select("tid", (F.col("at") - F.col("before")).alias("from"), (F.col("at") + F.col("after")).alias("to"))
 
@@ -280,7 +281,7 @@ def _spans(texts: DataFrame, threshold: int) -> DataFrame:
         rows = steps.store(_halved(large, threshold), "halves")
     steps.drop("groups", "halves")
     found = reduce(DataFrame.unionByName, levels)
-    single = members.join(kinds.filter("copies = 1"), ["key", "kind"]).select("key", "kind", "tid", "at")
+    single = cold.join(kinds.filter("copies = 1"), ["key", "kind"]).select("key", "kind", "tid", "at")
     return spans.unionByName(found.join(single, ["key", "kind"]).select("tid", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to")))
 
 
