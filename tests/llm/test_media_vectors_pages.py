@@ -69,6 +69,40 @@ def test_mtree(spark, monkeypatch, page):
     assert mtree.top_k(df.filter("vec_id < 3")).count() == 2
 
 
+def test_mtree_levels():
+    """Inner nodes above many routing objects find the nearest one and lose none within reach."""
+    rng = np.random.default_rng(5)
+    objects = np.concatenate([rng.normal(size=(1500, 4)) + 6 * rng.integers(0, 4, (1500, 1)), np.full((1, 4), 90.0)])
+    radii = rng.random(len(objects))
+    routes = np.arange(len(objects)) * 3
+    inner = mtree.Inner(routes, objects, radii)
+    assert len(inner.levels) == 3
+    x = np.concatenate([objects[:40], rng.normal(size=(40, 4)) * 5])
+    d = np.sqrt(((x[:, None] - objects[None]) ** 2).sum(axis=2))
+    assert [d[i, inner.nearest(q) // 3] for i, q in enumerate(x)] == pytest.approx(d.min(axis=1), abs=1e-5)
+    reach = rng.random(len(x)) * 2
+    reach[0] = np.inf
+    found = {(int(i), route // 3) for route, rows in inner.within(x, reach) for i in rows}
+    assert found >= set(zip(*(i.tolist() for i in np.nonzero(d - radii <= reach[:, None] - 1e-6)), strict=True))
+    assert found <= set(zip(*(i.tolist() for i in np.nonzero(d - radii <= reach[:, None] + 1e-6)), strict=True))
+
+
+def test_mtree_odd_vectors(spark, monkeypatch):
+    """Large whole numbers stay exact, vectors beyond 64 bits take no part, ids and vectors repeat, widths differ, columns clash."""
+    monkeypatch.setattr(mtree, "QUERIES", 2)
+    big = float(2**24 + 1)
+    rows = [(0, [big, 1.0]), (20, [big, 2.0]), (20, [big, 2.0]), (21, [big, 3.0]), (40, [1e30, 0.0]), (60, [1.7e308, 1.0]), (80, []), (None, [1.0, 1.0]), (3, [2.0]), (100, [-big])]
+    df = spark.createDataFrame([(i, v, 7, 8) for i, v in rows], "vec_id long, embedding array<double>, score long, route long")
+    part = [(i, [math.floor(64 * x) for x in v] + [0] * (2 - len(v))) for i, v in rows if i not in (None, 40, 60)]
+    wanted = []
+    for q, x in {i: v for i, v in part if i % 20 == 0}.items():
+        best = sorted((-(x[0] * y[0] + x[1] * y[1]), i) for i, y in part if i != q)[:20]
+        wanted += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in mtree.top_k(df).collect()) == sorted(wanted)
+    empty = spark.createDataFrame([(0, []), (20, [])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in mtree.top_k(empty).collect()) == [(0, 1, 20, 0), (20, 1, 0, 0)]
+
+
 PAGES = [
     ("http://a.test/1", "<html><head><title>T</title></head><body><nav><a>Home</a></nav><div class='page with-sidebar'><article><h1>One &amp; only</h1><p>First <b>bold</b> text.<br>Line<p>Second&nbsp;part</article></div><footer>foot</footer></body></html>", "One & only First bold text. Line Second part"),
     ("http://a.test/2", "<body><nav><a>Home</a></nav><div class='page with-sidebar'><article><h1>Two</h1><p>Other words</p><aside>ad</aside><script>var t='</p>';</script><div class=comments><p>nice</p></div></article></div><footer>foot</footer>", "Two Other words"),

@@ -4,18 +4,22 @@ Vectors get one more coordinate that brings all of them to the length of the lon
 (queries get 0 there): then the largest inner products are the smallest Euclidean distances.
 
 * Routing objects are vectors of a bounded sample; every vector belongs to the nearest one.
-  A page holds at most about ``PAGE`` vectors of one routing object, so a vector with very
-  many copies fills several pages.  A page's vectors lie in nodes of up to ``NODE``, each with
-  an object, a covering radius, the distance of its object from the routing object and the
-  distance of each entry from its own object: one row of the index.
-* Queries go in blocks of those with the same nearest routing object.  A block is searched in
-  the pages of that object first, which bounds the distance of its k-th neighbour; then in
-  every page that the bounds leave.  Nodes come in order of their lower bounds, and the
-  triangle inequality with the stored distances spares the computation of distances.
+  Above them stand levels of inner nodes of about ``FAN`` children, kept by the driver and
+  sent to tasks: they are as few as the routing objects whatever the table's size.
+* A page holds at most about ``PAGE`` vectors of one routing object, so a vector with very
+  many copies fills several pages.  A page's vectors lie in leaves of up to ``NODE``.  Every
+  node has an object, a covering radius and the distance of its object from its parent's;
+  every entry of a leaf has the distance from the leaf's object.
+* A query goes best first through the inner nodes to its nearest routing object and through
+  that object's pages, which bounds the distance of its k-th neighbour; then through each
+  subtree that the bound leaves.  Each query has its own queue of nodes by lower bound.  The
+  bounds come from stored distances first; a distance is computed only for the node that is
+  at the head of a queue, and its entries only where the triangle inequality leaves them.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 
 import numpy as np
@@ -30,13 +34,23 @@ from tollhouse.llm.common import stored
 PAGE, NODE = 1024, 64
 #: Most routing objects, and so rows of the sample that the index is fitted on.
 ROUTING = 2048
-BLOCK = 256
+#: Children of an inner node, about.
+FAN = 32
+#: Queries that are searched in a page at once; more go to other tasks.
+QUERIES = 4096
+#: Squared lengths from here on could give inner products beyond 64 bits.
+TOO_LONG = 2.0**62
+#: "No bound yet" and "no entry yet".
+LOW, NONE = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 #: Slack of distances, for rounding.
 SLACK = 1e-6
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, vector: floor(scale * x) as 64-bit integers, norm2) of the rows that take part."""
+    """(id, vector: floor(scale * x) as 64-bit integers, norm2) of the rows that take part.
+
+    A vector of a squared length of 2**62 or more takes no part, as one with non-finite components.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -45,8 +59,13 @@ def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFr
                 if i is None or not v.is_valid or v.values.null_count:
                     continue
                 x = np.asarray(v.values, dtype=np.float64)
-                if np.isfinite(x).all():
-                    q = np.floor(x * scale).astype(np.int64)
+                if not np.isfinite(x).all():
+                    continue
+                with np.errstate(over="ignore"):
+                    whole = np.floor(x * scale)
+                    fits = whole @ whole < TOO_LONG
+                if fits:
+                    q = whole.astype(np.int64)
                     ids.append(i)
                     vectors.append(q.tobytes())
                     norms.append(int(q @ q))
@@ -75,20 +94,107 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, square))
 
 
+def _spread(x: np.ndarray, n: int) -> list[int]:
+    """Up to ``n`` rows chosen farthest first."""
+    chosen = [0]
+    near = _distances(x, x[:1])[:, 0]
+    while len(chosen) < n and near.max() > 0:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, _distances(x, x[chosen[-1:]])[:, 0])
+    return chosen
+
+
+def _slack(most: float, norms: np.ndarray) -> np.ndarray:
+    return SLACK * (1 + np.sqrt(np.maximum(most, norms)))
+
+
+def _reach(most: float, norms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Distances beyond which no score of at least ``bounds`` lies."""
+    square = norms + most - 2 * np.maximum(bounds.astype(np.float64), -most - norms)
+    return np.where(bounds == LOW, np.inf, np.sqrt(np.maximum(0, square)) + _slack(most, norms))
+
+
+class Inner:
+    """The levels of nodes from the root's children down to the routing objects ``routes``.
+
+    Each level has its objects, covering radii of all vectors below, covering radii of the
+    routing objects below, and the distances of the objects from those of their parents;
+    ``children[i][j]`` are the nodes below node j of level i.
+    """
+
+    def __init__(self, routes: np.ndarray, objects: np.ndarray, radii: np.ndarray):
+        self.routes = routes
+        levels, children = [], []
+        cover = np.zeros(len(objects))
+        while len(objects) > FAN:
+            chosen = _spread(objects, -(-len(objects) // FAN))
+            d = _distances(objects, objects[chosen])
+            above = d.argmin(axis=1)
+            far = d[np.arange(len(objects)), above]
+            levels.append((objects, radii, cover, far))
+            children.append([np.flatnonzero(above == j) for j in range(len(chosen))])
+            wide, narrow = np.zeros(len(chosen)), np.zeros(len(chosen))
+            np.maximum.at(wide, above, far + radii)
+            np.maximum.at(narrow, above, far + cover)
+            objects, radii, cover = objects[chosen], wide, narrow
+        levels.append((objects, radii, cover, np.zeros(len(objects))))
+        self.levels, self.children = levels[::-1], children[::-1]
+
+    def nearest(self, x: np.ndarray) -> int:
+        """The routing object next to ``x``, best first."""
+        objects, _, cover, _ = self.levels[0]
+        d = _distances(x[None, :], objects)[0]
+        queue = [(d[j] - cover[j], 0, j, d[j]) for j in range(len(d))]
+        heapq.heapify(queue)
+        last = len(self.levels) - 1
+        best = d.min() if not last else np.inf
+        while True:
+            _, depth, j, far = heapq.heappop(queue)
+            if depth == last:
+                return int(self.routes[j])
+            objects, _, cover, above = self.levels[depth + 1]
+            below = self.children[depth][j]
+            below = below[np.abs(far - above[below]) - cover[below] <= best]
+            d = _distances(x[None, :], objects[below])[0]
+            if depth + 1 == last and len(d):
+                best = min(best, d.min() * (1 + SLACK) + SLACK)
+            for c, to in zip(below.tolist(), d.tolist(), strict=True):
+                heapq.heappush(queue, (to - cover[c], depth + 1, c, to))
+
+    def within(self, x: np.ndarray, reach: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(routing object, rows of ``x``) wherever a row's ball of radius ``reach`` meets that of the object."""
+        objects, radii, _, _ = self.levels[0]
+        d = _distances(x, objects)
+        level = [(j, np.flatnonzero(d[:, j] - radii[j] <= reach)) for j in range(len(objects))]
+        open_to = [(j, rows, d[rows, j]) for j, rows in level if len(rows)]
+        for children, (objects, radii, _, above) in zip(self.children, self.levels[1:], strict=True):
+            below = []
+            for j, rows, far in open_to:
+                for c in children[j].tolist():
+                    # By the stored distance, before any is computed.
+                    some = rows[np.abs(far - above[c]) - radii[c] <= reach[rows]]
+                    to = _distances(x[some], objects[c : c + 1])[:, 0]
+                    met = to - radii[c] <= reach[some]
+                    if met.any():
+                        below.append((c, some[met], to[met]))
+            open_to = below
+        return [(int(self.routes[j]), rows) for j, rows, _ in open_to]
+
+
 class Index:
-    """The routing objects and a DataFrame of nodes."""
+    """The inner nodes, the routing objects and a DataFrame of leaves."""
 
-    def __init__(self, nodes: DataFrame, routing: np.ndarray, radii: np.ndarray, pages: DataFrame, most: float, width: int, exact: bool):
-        self.nodes, self.routing, self.radii, self.pages = nodes, routing, radii, pages
+    def __init__(self, nodes: DataFrame, routing: np.ndarray, inner: Inner, pages: DataFrame, most: float, width: int, exact: bool):
+        self.nodes, self.routing, self.inner, self.pages = nodes, routing, inner, pages
         self.most, self.width, self.exact = most, width, exact
 
 
 def build_index(vectors: DataFrame) -> Index | None:
     """The M-tree of (id, vector, norm2) rows; None if there are none."""
-    n, most, width, size = vectors.agg(F.count("*"), F.max("norm2"), F.max(F.octet_length("vector")), F.sum("norm2")).first()
+    n, most, width = vectors.agg(F.count("*"), F.max("norm2"), F.max(F.octet_length("vector"))).first()
     if not n:
         return None
-    width //= 8
+    width = max(1, width // 8)
     wanted = min(ROUTING, -(-n // PAGE))
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(4 * wanted).select("vector").collect()
     distinct = list(dict.fromkeys(bytes(r.vector) for r in sample))[:wanted]
@@ -109,8 +215,8 @@ def build_index(vectors: DataFrame) -> Index | None:
     radii = np.full(len(routing), -1.0)
     for r in sizes.collect():
         radii[r.route] = r.radius
-    pages = sizes.select("route", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / PAGE) - 1).cast("int"))).alias("sub"), F.ceil(F.col("n") / PAGE).alias("subs"))
-    paged = placed.join(F.broadcast(sizes.select("route", F.ceil(F.col("n") / PAGE).alias("subs"))), "route")
+    pages = sizes.select("route", F.ceil(F.col("n") / PAGE).cast("int").alias("subs"))
+    paged = placed.join(F.broadcast(pages), "route")
     paged = paged.withColumn("sub", F.pmod(F.xxhash64("id"), "subs").cast("int"))
 
     def nodes_of(rows: pd.DataFrame) -> pd.DataFrame:
@@ -119,11 +225,7 @@ def build_index(vectors: DataFrame) -> Index | None:
         ids = rows["id"].to_numpy()
         top = routing[rows["route"].iloc[0]][None, :]
         # Objects: vectors spread over the page by farthest-first choice; entries go to the nearest.
-        chosen = [0]
-        near = _distances(x, x[:1])[:, 0]
-        while len(chosen) < -(-len(x) // NODE) * 2 and near.max() > 0:
-            chosen.append(int(near.argmax()))
-            near = np.minimum(near, _distances(x, x[chosen[-1:]])[:, 0])
+        chosen = _spread(x, -(-len(x) // NODE) * 2)
         d = _distances(x, x[chosen])
         of = d.argmin(axis=1)
         out = []
@@ -136,148 +238,126 @@ def build_index(vectors: DataFrame) -> Index | None:
 
     nodes = paged.groupBy("route", "sub").applyInPandas(nodes_of, "route int, sub int, object binary, radius double, parent double, ids binary, vectors binary, distances binary")
     exact = float(most) < 2**52
-    return Index(stored(nodes, "nodes"), routing, radii, pages, float(most), width, exact)
+    used = np.flatnonzero(radii >= 0)
+    return Index(stored(nodes, "nodes"), routing, Inner(used, routing[used], radii[used]), pages, float(most), width, exact)
 
 
-def _searched(index: Index, nodes: pd.DataFrame, blocks: pd.DataFrame, k: int, distant: bool) -> pd.DataFrame:
-    """The k best entries of one page for each query of the blocks, none worse than the query's bound."""
-    width, most, routing = index.width, index.most, index.routing
-    columns = ["query_id", "vec_id", "score"]
-    if not len(nodes) or not len(blocks):
-        return pd.DataFrame({c: np.empty(0, np.int64) for c in columns})
+def _searched(nodes: pd.DataFrame, queries: pd.DataFrame, root: np.ndarray, most: float, width: int, exact: bool, k: int) -> pd.DataFrame:
+    """The k best entries of one page under ``root`` for each of the queries, none worse than the query's bound."""
+    if not len(nodes) or not len(queries):
+        return pd.DataFrame({c: np.empty(0, np.int64) for c in ("query_id", "vec_id", "score")})
     objects = _lifted(_matrix(nodes["object"].tolist(), width), most)
     radii, parents = nodes["radius"].to_numpy(), nodes["parent"].to_numpy()
-    entries = [(np.frombuffer(i, np.int64), np.frombuffer(v, np.int64).reshape(-1, width), np.frombuffer(d, np.float64)) for i, v, d in zip(nodes["ids"], nodes["vectors"], nodes["distances"], strict=True)]
-    flat = [v.astype(np.float64) for _, v, _ in entries] if index.exact else [v for _, v, _ in entries]
-    top = routing[int(nodes["route"].iloc[0])][None, :]
-    found: list[tuple] = []
-    for raw_ids, raw, raw_bounds in zip(blocks["ids"], blocks["vectors"], blocks["bounds"], strict=True):
-        ids = np.frombuffer(raw_ids, np.int64)
-        q = np.frombuffer(raw, np.int64).reshape(len(ids), width)
-        plain = q.astype(np.float64)
-        lifted = np.concatenate([plain, np.zeros((len(q), 1))], axis=1)
-        norm = (plain * plain).sum(axis=1)
-        bound = np.frombuffer(raw_bounds, np.float64).copy()  # scores below it do not count
-        best: list[list[tuple[int, int]]] = [[] for _ in ids]
-        above = _distances(lifted, top)[:, 0]
-
-        def reach() -> np.ndarray:
-            return np.sqrt(np.maximum(0, norm + most - 2 * np.maximum(bound, -most - norm))) + SLACK * (1 + most**0.5)
-
-        # By the stored distance of a node's object from the routing object, before any distance is computed.
-        early = np.abs(above[:, None] - parents[None, :]) - radii[None, :]
-        for node in np.argsort(early.mean(axis=0), kind="stable").tolist():
-            near = reach()
-            active = np.flatnonzero(early[:, node] <= near)
-            if not len(active):
-                continue
-            to_object = _distances(lifted[active], objects[node : node + 1])[:, 0]
-            close = to_object - radii[node] <= near[active]
-            active, to_object = active[close], to_object[close]
-            if not len(active):
+    leaves = [(np.frombuffer(i, np.int64), np.frombuffer(v, np.int64).reshape(-1, width), np.frombuffer(d, np.float64)) for i, v, d in zip(nodes["ids"], nodes["vectors"], nodes["distances"], strict=True)]
+    if exact:
+        leaves = [(i, v.astype(np.float64), d) for i, v, d in leaves]
+    ids = queries["id"].to_numpy(np.int64)
+    bound = queries["bound"].to_numpy(np.int64).copy()
+    plain = _matrix(queries["vector"].tolist(), width)
+    given = plain if exact else np.stack([np.pad(x, (0, width - len(x))) for x in (np.frombuffer(v, np.int64) for v in queries["vector"])])
+    norms = (plain * plain).sum(axis=1)
+    lifted = np.concatenate([plain, np.zeros((len(plain), 1))], axis=1)
+    # A row of the queue holds one query's lower bounds of all leaves, from stored distances at first.
+    queue = np.abs(_distances(lifted, root[None, :]) - parents[None, :]) - radii[None, :]
+    to_object = np.full(queue.shape, np.nan)
+    keys, names = np.full((len(ids), k), NONE), np.zeros((len(ids), k), dtype=np.int64)
+    going = np.arange(len(ids))
+    while len(going):
+        head = queue[going].argmin(axis=1)
+        left = queue[going, head] <= _reach(most, norms[going], bound[going])
+        left &= queue[going, head] < np.inf
+        going, head = going[left], head[left]
+        measured = ~np.isnan(to_object[going, head])
+        rows, leaf = going[~measured], head[~measured]
+        to_object[rows, leaf] = np.sqrt(((lifted[rows] - objects[leaf]) ** 2).sum(axis=1))
+        queue[rows, leaf] = np.maximum(queue[rows, leaf], to_object[rows, leaf] - radii[leaf])
+        rows, leaf = going[measured], head[measured]
+        queue[rows, leaf] = np.inf
+        for opened in np.unique(leaf).tolist():
+            here = rows[leaf == opened]
+            own_ids, values, stored_d = leaves[opened]
+            near = _reach(most, norms[here], bound[here])
+            columns = np.flatnonzero((np.abs(to_object[here, opened][:, None] - stored_d[None, :]) <= near[:, None]).any(axis=0))
+            if not len(columns):
                 continue
-            own_ids, _, stored_d = entries[node]
-            open_entry = np.abs(to_object[:, None] - stored_d[None, :]) <= near[active][:, None]
-            columns_open = np.flatnonzero(open_entry.any(axis=0))
-            if not len(columns_open):
-                continue
-            values = flat[node][columns_open]
-            scores = (plain[active] @ values.T) if index.exact else q[active] @ values.T
-            candidates = own_ids[columns_open]
-            good = (scores >= bound[active][:, None]) & (candidates[None, :] != ids[active][:, None])
-            for row in np.flatnonzero(good.any(axis=1)).tolist():
-                a = int(active[row])
-                hits = np.flatnonzero(good[row])
-                merged = best[a] + [(-int(s), int(c)) for s, c in zip(scores[row, hits], candidates[hits], strict=True)]
-                merged.sort()
-                best[a] = merged[:k]
-                if len(best[a]) == k:
-                    bound[a] = max(bound[a], -best[a][-1][0])
-        found += [(int(i), c, -s) for i, b in zip(ids, best, strict=True) for s, c in b]
-    return pd.DataFrame(found, columns=columns) if found else pd.DataFrame({c: np.empty(0, np.int64) for c in columns})
-
-
-def _blocks(rows: pd.DataFrame, width: int) -> pd.DataFrame:
-    rows = rows.sort_values("id", kind="stable")
-    out = []
-    for at in range(0, len(rows), BLOCK):
-        part = rows.iloc[at : at + BLOCK]
-        x = _matrix(part["vector"].tolist(), width).astype(np.int64)
-        out.append((int(part["route"].iloc[0]), int(part["chunk"].iloc[0]), at, part["id"].to_numpy().astype(np.int64).tobytes(), x.tobytes(), part["bound"].to_numpy().astype(np.float64).tobytes()))
-    return pd.DataFrame(out, columns=["home", "chunk", "part", "ids", "vectors", "bounds"])
+            scores = (given[here] @ values[columns].T).astype(np.int64)
+            good = (scores >= bound[here][:, None]) & (own_ids[columns][None, :] != ids[here][:, None])
+            hit = np.flatnonzero(good.any(axis=1))
+            to = here[hit]
+            all_keys = np.concatenate([keys[to], np.where(good[hit], -scores[hit], NONE)], axis=1)
+            all_names = np.concatenate([names[to], np.broadcast_to(own_ids[columns], (len(hit), len(columns)))], axis=1)
+            order = np.lexsort((all_names, all_keys), axis=1)[:, :k]
+            keys[to], names[to] = np.take_along_axis(all_keys, order, axis=1), np.take_along_axis(all_names, order, axis=1)
+            full = to[keys[to, k - 1] != NONE]
+            bound[full] = np.maximum(bound[full], -keys[full, k - 1])
+    row, place = np.nonzero(keys != NONE)
+    return pd.DataFrame({"query_id": ids[row], "vec_id": names[row, place], "score": -keys[row, place]})
 
 
 def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, vec_id, score, rank) of the k largest inner products, ties to the smaller id; a query's own id does not count.
 
-    ``queries`` are (id, vector) rows of ``quantised``.
+    ``queries`` are (id, vector) rows of ``quantised``, one an id.  Equal entries of one id and score rank one after another.
     """
-    width, most, routing, radii = index.width, index.most, index.routing, index.radii
+    width, most, routing, inner, exact = index.width, index.most, index.routing, index.inner, index.exact
 
     def home(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch["vector"].to_pylist(), width)
-            d = _distances(np.concatenate([x, np.zeros((len(x), 1))], axis=1), routing)
-            near = np.where(radii[None, :] < 0, np.inf, d).argmin(axis=1) if len(x) else np.empty(0, int)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["vector"], pa.array(near.astype(np.int32))], ["id", "vector", "route"])
+            near = [inner.nearest(q) for q in np.concatenate([x, np.zeros((len(x), 1))], axis=1)]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["vector"], pa.array(near, pa.int32())], ["id", "vector", "route"])
 
-    fields = "home int, chunk int, part int, ids binary, vectors binary, bounds binary"
-    placed = stored(queries.select("id", "vector").mapInArrow(home, "id long, vector binary, route int"), "queries")
-    # A routing object near very many queries has them in several chunks.
-    sizes = placed.groupBy("route").agg(F.count("*").alias("n"))
-    placed = placed.join(F.broadcast(sizes), "route").withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (4 * BLOCK))).cast("int")).drop("n")
-    result = "query_id long, vec_id long, score long"
+    def others(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        """A row for each query and routing object that its bound leaves, but for its home."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = _matrix(part["vector"].to_pylist(), width)
+                reach = _reach(most, (x * x).sum(axis=1), part["bound"].to_numpy())
+                homes = part["route"].to_numpy()
+                for route, rows in inner.within(np.concatenate([x, np.zeros((len(x), 1))], axis=1), reach):
+                    rows = rows[homes[rows] != route]
+                    taken = part.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([taken["id"], taken["vector"], taken["bound"], pa.array(np.full(len(rows), route, dtype=np.int32))], ["id", "vector", "bound", "route"])
 
-    def run(pairs: DataFrame, distant: bool) -> DataFrame:
-        def one(_, nodes: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-            return _searched(index_free, nodes, blocks, k, distant)
+    def run(pairs: DataFrame) -> DataFrame:
+        """The pages of each pair's routing object searched; its queries in groups of about ``QUERIES``, each beside the page."""
 
-        index_free = Index(None, routing, radii, None, most, width, index.exact)
-        return index.nodes.groupBy("route", "sub").cogroup(pairs.groupBy("route", "sub")).applyInPandas(one, result)
+        def groups() -> DataFrame:
+            return pairs.groupBy("route").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))
 
-    first = placed.withColumn("bound", F.lit(float("-inf"))).groupBy("route", "chunk").applyInPandas(lambda r: _blocks(r, width), fields)
-    near = stored(run(first.join(index.pages.select("route", "sub"), F.col("home") == F.col("route")), False), "near")
-    order = Wd.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kept = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    bounds = kept.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("bound"))
-    bounded = placed.join(bounds, "id", "left").fillna(float("-inf"), ["bound"])
-    second = bounded.groupBy("route", "chunk").applyInPandas(lambda r: _blocks(r, width), fields)
+        dealt = pairs.join(F.broadcast(groups()), "route").withColumn("group", F.pmod(F.xxhash64("id"), "groups").cast("int"))
+        dealt = dealt.join(F.broadcast(index.pages.select("route", "subs")), "route").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+        leaves = index.nodes.join(F.broadcast(groups()), "route").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
 
-    def routes(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        """A row for each routing object whose ball some query of the block may need."""
-        for batch in batches:
-            for i, row in enumerate(batch.to_pylist()):
-                ids = np.frombuffer(row["ids"], np.int64)
-                q = np.frombuffer(row["vectors"], np.int64).reshape(len(ids), width).astype(np.float64)
-                norm = (q * q).sum(axis=1)
-                bound = np.frombuffer(row["bounds"], np.float64)
-                far = np.sqrt(np.maximum(0, norm + most - 2 * np.maximum(bound, -most - norm))) + SLACK * (1 + most**0.5)
-                d = _distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1), routing)
-                open_to = np.flatnonzero(((d - radii[None, :] <= far[:, None]) & (radii >= 0)[None, :]).any(axis=0))
-                open_to = open_to[open_to != row["home"]]
-                part = batch.slice(i, 1)
-                for at in range(0, len(open_to), 64):
-                    some = open_to[at : at + 64]
-                    taken = part.take(pa.array(np.zeros(len(some), dtype=np.int64)))
-                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(some.astype(np.int32))], [*batch.schema.names, "route"])
-
-    pairs = second.mapInArrow(routes, fields + ", route int").join(index.pages.select("route", "sub"), "route")
-    more = run(pairs, True)
-    return near.unionByName(more).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        def one(key: tuple, nodes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            return _searched(nodes, rows, routing[int(key[0])], most, width, exact, k)
+
+        by = ("route", "sub", "group")
+        return leaves.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(one, "query_id long, vec_id long, score long")
+
+    placed = stored(queries.select("id", "vector").mapInArrow(home, "id long, vector binary, route int"), "queries")
+    near = stored(run(placed.withColumn("bound", F.lit(LOW).cast("long"))), "near")
+    order = Wd.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    bounds = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    bounded = placed.join(bounds, "id", "left").select("id", "vector", "route", F.coalesce("bound", F.lit(LOW).cast("long")).alias("bound"))
+    pairs = stored(bounded.mapInArrow(others, "id long, vector binary, bound long, route int"), "pairs")
+    return near.unionByName(run(pairs)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best rows for each row whose id is a multiple of ``every``.
 
     Rows without an id, and vectors that are null or hold null or non-finite components, take
-    no part.  Shorter vectors are taken to end in zeros.  Rows of equal ids are one query
-    and never match one another.  Other columns are ignored; an empty table gives no rows.
+    no part, nor do those of a scaled squared length of 2**62 or more, whose scores 64 bits
+    might not hold.  Shorter vectors are taken to end in zeros.  Rows of equal ids are one
+    query (of the smallest stored vector) and never match one another.  Other columns are ignored; an empty table gives no rows.
     """
     vectors = stored(quantised(df, id_col, vector_col, scale), "vectors")
     index = build_index(vectors)
     if index is None:
         return vectors.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
-    queries = vectors.filter(F.col("id") % every == 0).dropDuplicates(["id"])
+    queries = vectors.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector"))
     return search(index, queries, k).select("query_id", "rank", "vec_id", "score")
 
 
