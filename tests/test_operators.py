@@ -153,3 +153,56 @@ def test_whole_texts_and_all_entities(spark, tmp_path):
     assert {r.request_id // 1000: bytes(r.bytes).decode() for r in run("extract_images_all")} == {i: t * 40 for i, t in texts.items() if t}
     stripped = {r.conv_id: r for r in run("strip_images_all")}
     assert stripped[0].stripped == f"{texts[0]} __IMAGE__ end" and all(r.whole for r in stripped.values())
+
+
+def test_token_stats_by_brute_force(spark):
+    import math
+    import random
+    import statistics
+
+    draw = random.Random(3)
+    given = [(f"g{i % 3}", draw.choice([None, 1, 5, 5, 9, 1000, draw.randrange(50)]), draw.randrange(1, 9)) for i in range(400)] + [("one", 7, 2), ("none", None, 4)]
+    df = spark.createDataFrame(given, "g string, tokens long, chars long").repartition(5)
+    found = {r.g: r for r in pricing.token_stats(df, ["g"]).collect()}
+    assert set(found) == {g for g, _, _ in given}
+    for g, r in found.items():
+        ranked = sorted((t for k, t, _ in given if k == g), key=lambda t: -1 if t is None else t)
+        known = [t for t in ranked if t is not None]
+        assert (r.p50, r.p95) == (ranked[len(ranked) // 2], ranked[math.ceil(0.95 * len(ranked)) - 1])
+        if not known:
+            assert (r["mean"], r.stdev, r.per_1k_chars) == (None, None, None)
+            continue
+        assert (r["mean"], r.stdev) == pytest.approx((statistics.fmean(known), statistics.pstdev(known)))
+        assert r.per_1k_chars == pytest.approx(sum(known) * 1000 / sum(c for k, _, c in given if k == g))
+    assert pricing.token_stats(df.limit(0), ["g"]).count() == 0
+
+
+def test_collapse_ties_and_nulls(spark):
+    df = spark.createDataFrame([(None, 9, 1), ("a", 5, 2), ("b", 5, 3), ("c", 1, 4), ("d", None, 5)], "member string, v long, n long")
+    found = rollups.topn_collapse_all_measures(df, "member", "v", ["v", "n"], 2)
+    assert {tuple(r) for r in found.collect()} == {(None, 9, 1), ("a", 5, 2), ("(and 3 others)", 6, 12)}
+    assert {tuple(r) for r in rollups.topn_collapse_all_measures(df, "member", "v", ["n"], 5).collect()} == {(m, n) for m, _, n in df.collect()}
+    assert rollups.topn_collapse_all_measures(df.limit(0), "member", "v", ["v"], 2).count() == 0
+
+
+def test_conversations_stream(spark):
+    turns = [(c, t, f"from u{t % 3}@corp.test and x{c}@corp.test to u{t % 2}@corp.test") for c in (1, 2, None) for t in range(7)] + [(1, 7, None), (1, 8, ""), (1, 3, "again u9@corp.test")]
+    df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn int, text string, registry string").repartition(4)
+    got = redact.scrub_conversation(df, "conv_id", "turn", "text").collect()
+    assert len(got) == len(turns)
+    found = {(r.conv_id, r.turn, r.scrubbed): ({x.placeholder: x.original for x in r.registry}, r.originals) for r in got}
+    for c in (1, 2, None):
+        registry = pii.Registry()
+        for _, t, text in sorted((x for x in turns if x[0] == c), key=lambda x: (x[1], x[2] or "")):
+            scrubbed = None if text is None else pii.scrub(text, registry)
+            own, originals = found[c, t, scrubbed]
+            assert originals == len(registry.known)
+            if text:
+                assert own and pii.restore(scrubbed, [{"placeholder": p, "original": o, "policy": "MASK"} for p, o in own.items()])[0] == text
+            else:
+                assert not own
+
+
+def test_dates_of_birth():
+    found = [(s["start"], s["end"], round(s["score"], 6)) for s in pii.detect("born 01/02/1990, seen 2001-12-31, not 13/02/1990", ["DATE_OF_BIRTH"])]
+    assert found == [(5, 15, 0.85), (22, 32, 0.85)]

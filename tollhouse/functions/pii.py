@@ -16,30 +16,31 @@ POLICY = {
 TIERS = ("MASK", "SEAL", "REDACT")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Patterns and scores of the entity types (fixed values).
-PATTERNS: dict[str, tuple[str, float]] = {
-    "EMAIL_ADDRESS": (r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", 1.0),
-    "IP_ADDRESS": (rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b", 0.95),
-    "US_SSN": (r"\b(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}\b", 0.85),
-    "US_ITIN": (r"\b9\d{2}-(?:[78]\d|5\d|6[0-5]|9[0-24-9])-\d{4}\b", 0.85),
-    "CREDIT_CARD": (r"\b(?:\d[ -]?){12,18}\d\b", 1.0),
-    "IBAN_CODE": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 1.0),
-    "PHONE_NUMBER": (r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)", 0.75),
-    "DATE_OF_BIRTH": (r"\b(?:(?:0[1-9]|1[0-2])[/-](?:0[1-9]|[12]\d|3[01])[/-](?:19|20)\d{2}|(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01]))\b", 0.4),
-    "US_STREET_ADDRESS": (r"\b\d{1,5}\s+[A-Za-z0-9][A-Za-z0-9\s.\-]{0,80}?,\s*[A-Za-z][A-Za-z\s.\-]{1,60}?,\s*[A-Z]{2}\s+\d{5}(?:-\d{4})?\b", 0.6),
-    "US_PASSPORT": (r"\b(?:[A-Z]\d{8}|\d{9})\b", 0.1),
-    "US_DRIVER_LICENSE": (r"\b[A-Z]\d{7,12}\b", 0.3),
-    "US_BANK_NUMBER": (r"\b\d{8,17}\b", 0.05),
-}
+PATTERNS: tuple[tuple[str, str, float], ...] = (
+    ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", 1.0),
+    ("IP_ADDRESS", rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b", 0.95),
+    ("US_SSN", r"\b(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}\b", 0.85),
+    ("US_ITIN", r"\b9\d{2}-(?:[78]\d|5\d|6[0-5]|9[0-24-9])-\d{4}\b", 0.85),
+    ("CREDIT_CARD", r"\b(?:\d[ -]?){12,18}\d\b", 1.0),
+    ("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 1.0),
+    ("PHONE_NUMBER", r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)", 0.75),
+    ("DATE_OF_BIRTH", r"\b(0[1-9]|1[0-2])[\/\-](0[1-9]|[12]\d|3[01])[\/\-](19|20)\d{2}\b", 0.4),
+    ("DATE_OF_BIRTH", r"\b(19|20)\d{2}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])\b", 0.4),
+    ("US_STREET_ADDRESS", r"\b\d{1,5}\s+[A-Za-z0-9][A-Za-z0-9\s.\-]{0,80}?,\s*[A-Za-z][A-Za-z\s.\-]{1,60}?,\s*[A-Z]{2}\s+\d{5}(?:-\d{4})?\b", 0.6),
+    ("US_PASSPORT", r"\b(?:[A-Z]\d{8}|\d{9})\b", 0.1),
+    ("US_DRIVER_LICENSE", r"\b[A-Z]\d{7,12}\b", 0.3),
+    ("US_BANK_NUMBER", r"\b\d{8,17}\b", 0.05),
+)
 #: Words that raise a score when they stand before a match (fixed values).
 CONTEXT: dict[str, tuple[str, ...]] = {
-    "DATE_OF_BIRTH": ("born", "dob", "birth", "birthday", "birthdate"),
+    "DATE_OF_BIRTH": ("born", "dob", "birth", "birthday", "birthdate", "date", "of"),
     "US_PASSPORT": ("passport", "travel document"),
     "US_DRIVER_LICENSE": ("driver", "license", "licence", "dl"),
     "US_BANK_NUMBER": ("account", "bank", "acct", "routing"),
     "US_SSN": ("ssn", "social security"),
     "PHONE_NUMBER": ("phone", "call", "tel", "mobile"),
 }
-_COMPILED = {k: (re.compile(p), s) for k, (p, s) in PATTERNS.items()}
+_COMPILED = [(k, re.compile(p), s) for k, p, s in PATTERNS]
 _CONTEXT = {k: re.compile(r"\b(?:" + "|".join(map(re.escape, w)) + r")\b", re.I) for k, w in CONTEXT.items()}
 _STREET = (" street", " st", " avenue", " ave", " road", " rd", " boulevard", " blvd", " lane", " ln", " drive", " dr", " court", " ct", " place", " pl", " way")
 _TEST_DOMAINS = ("@example.com", "@example.org", "@example.net", "@test.com", "@localhost")
@@ -71,7 +72,7 @@ def detect(text: str, entities: list[str] | None = None) -> list[dict]:
     out = []
     if not any(c in text for c in "0123456789@"):
         return out
-    for kind, (pattern, score) in _COMPILED.items():
+    for kind, pattern, score in _COMPILED:
         if entities is not None and kind not in entities:
             continue
         for m in pattern.finditer(text):
@@ -140,6 +141,7 @@ class Registry:
     def __init__(self) -> None:
         self.counts: Counter = Counter()
         self.known: dict[tuple[str, str], str] = {}
+        self.used: dict[tuple[str, str], str] = {}
 
     def placeholder(self, kind: str, original: str) -> str:
         """The token that stands for an original."""
@@ -149,12 +151,18 @@ class Registry:
         if (original, tier) not in self.known:
             self.counts[kind] += 1
             self.known[original, tier] = f"<PII_{kind}_{self.counts[kind]}>"
+        self.used[original, tier] = self.known[original, tier]
         return self.known[original, tier]
 
     def rows(self) -> list[dict]:
         """(placeholder, original, policy)."""
         return [{"placeholder": p, "original": o, "policy": t} for (o, t), p in self.known.items()]
 
+    def taken(self) -> list[dict]:
+        """(placeholder, original, policy) of those given out since the last call."""
+        used, self.used = self.used, {}
+        return [{"placeholder": p, "original": o, "policy": t} for (o, t), p in used.items()]
+
 
 def redact(text: str, spans: list[dict]) -> str:
     """Each span as ``[REDACTED:TYPE]``."""

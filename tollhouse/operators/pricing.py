@@ -111,17 +111,26 @@ def estimate_tokens(df: DataFrame, chars_col: str, bytes_col: str, chars_per_tok
 def token_stats(df: DataFrame, by: list[str], tokens: str = "tokens", chars: str = "chars") -> DataFrame:
     """Mean, median (element n // 2), 95th percentile (element ceil(0.95 n) - 1), population deviation and tokens per 1,000 characters.
 
-    Both percentiles come from ranks, so a group of any size is sorted by Spark and never gathered in a row.
+    Rows are counted per group and value before they move; ranks are running counts over the
+    distinct values, so a group is as large as its values differ.  Null values stand first in
+    rank and count in nothing else.
     """
     w = W.partitionBy(*by)
-    ranked = df.withColumn("__r", F.row_number().over(w.orderBy(tokens)) - 1).withColumn("__n", F.count("*").over(w))
-    at = lambda place: F.max(F.when(F.col("__r") == place, F.col(tokens)))
-    return ranked.groupBy(*by).agg(
-        F.avg(tokens).alias("mean"),
-        at(F.expr("__n div 2")).alias("p50"),
-        at(F.expr("(95 * __n + 99) div 100 - 1")).alias("p95"),
-        F.stddev_pop(tokens).alias("stdev"),
-        (F.sum(tokens) * 1000 / F.sum(chars)).alias("per_1k_chars"),
+    counted = df.groupBy(*by, tokens).agg(F.count("*").alias("__n"), F.sum(chars).alias("__chars"))
+    placed = counted.withColumns({
+        "__upto": F.sum("__n").over(w.orderBy(tokens)),
+        "__all": F.sum("__n").over(w),
+        "__known": F.when(F.col(tokens).isNotNull(), F.col("__n")),
+        "__sum": F.col(tokens) * F.col("__n"),
+    })
+    placed = placed.withColumn("__mean", F.sum("__sum").over(w) / F.sum("__known").over(w))
+    at = lambda place: F.max(F.when((F.col("__upto") > place) & (F.col("__upto") - F.col("__n") <= place), F.col(tokens)))
+    return placed.groupBy(*by).agg(
+        F.first("__mean").alias("mean"),
+        at(F.expr("__all div 2")).alias("p50"),
+        at(F.expr("(95 * __all + 99) div 100 - 1")).alias("p95"),
+        F.sqrt(F.sum(F.col("__n") * F.pow(F.col(tokens) - F.col("__mean"), 2)) / F.sum("__known")).alias("stdev"),
+        (F.sum("__sum") * 1000 / F.sum("__chars")).alias("per_1k_chars"),
     )
 
 

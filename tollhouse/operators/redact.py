@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollhouse.functions import pii
+from tollhouse.operators.replay import replayed
 
 SPANS = "array<struct<start:int,end:int,entity_type:string,score:double>>"
 REGISTRY = "array<struct<placeholder:string,original:string,policy:string>>"
@@ -122,20 +123,28 @@ def scrub_json(df: DataFrame, body_col: str) -> DataFrame:
 
 
 def scrub_conversation(df: DataFrame, conv_col: str, order_col: str, text_col: str) -> DataFrame:
-    """(conversation, turn, scrubbed, registry): one registry for all turns of a conversation.
+    """(conversation, turn, scrubbed, registry, originals): a placeholder stands for one original through a conversation.
 
-    A conversation is one group; its turns stream in order of ``order_col``.
+    ``registry`` has the placeholders of the turn itself; those of all turns are the
+    conversation's.  ``originals`` counts the conversation's up to this turn.  Turns stream in
+    order of ``order_col`` (ties by text), so a task holds a conversation's originals and none
+    of its turns.  Null texts stay null; turns without a conversation are one conversation.
     """
-    schema = f"{conv_col} {df.schema[conv_col].dataType.simpleString()}, {order_col} {df.schema[order_col].dataType.simpleString()}, scrubbed string, registry {REGISTRY}"
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (conv_col, order_col)}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fresh() -> Callable[[tuple], tuple]:
         registry = pii.Registry()
-        pdf = pdf.sort_values(order_col, kind="stable")
-        scrubbed = [None if t is None else pii.scrub(t, registry) for t in pdf[text_col]]
-        rows = registry.rows()
-        return pd.DataFrame({conv_col: pdf[conv_col], order_col: pdf[order_col], "scrubbed": scrubbed, "registry": [rows] * len(pdf)})
 
-    return df.select(conv_col, order_col, text_col).groupBy(conv_col).applyInPandas(run, schema)
+        def decide(row: tuple) -> tuple:
+            conv, order, text = (v if v == v else None for v in row)
+            scrubbed = None if text is None else pii.scrub(text, registry)
+            return conv, order, scrubbed, registry.taken(), len(registry.known)
+
+        return decide
+
+    schema = f"__conv {kinds[conv_col]}, __turn {kinds[order_col]}, scrubbed string, registry {REGISTRY}, originals int"
+    turns = df.select(F.col(conv_col).alias("conv"), F.col(order_col).alias("turn"), F.col(text_col).alias("text"))
+    return replayed(turns, ["conv"], ["turn", "text"], fresh, schema).withColumnsRenamed({"__conv": conv_col, "__turn": order_col})
 
 
 def restore_text(df: DataFrame, text_col: str, registry_col: str = "registry", json_escape: bool = False) -> DataFrame:

@@ -114,10 +114,16 @@ def topn_with_other(df: DataFrame, by: list[str], value: str, name: str, n: int,
 
 
 def topn_collapse_all_measures(df: DataFrame, name: str, value: str, measures: list[str], n: int = 10) -> DataFrame:
-    """The display form: the rest under ``(and k others)`` with all its measures summed."""
-    ranked = df.withColumn("rank", F.row_number().over(W.orderBy(F.desc(value), name)))
-    folded = ranked.groupBy(F.when(F.col("rank") <= n, F.col(name)).alias("__name")).agg(*[F.sum(m).alias(m) for m in measures], F.count("*").alias("__k"))
-    return folded.select(F.coalesce("__name", F.concat(F.lit("(and "), F.col("__k").cast("string"), F.lit(" others)"))).alias(name), *measures)
+    """The display form: the rest under ``(and k others)`` with all its measures summed.
+
+    ``df`` is an aggregate, a row a member.  The ``n`` largest are a limit, and so small
+    enough to broadcast; nothing sorts all members.  A null member among them keeps its row.
+    """
+    top = df.orderBy(F.desc(value), name).limit(n).select(F.struct(F.col(name).alias("name")).alias("__top"))
+    marked = df.join(F.broadcast(top), F.col(name).eqNullSafe(F.col("__top.name")), "left")
+    folded = marked.groupBy("__top").agg(*[F.sum(m).alias(m) for m in measures], F.count("*").alias("__k"))
+    others = F.concat(F.lit("(and "), F.col("__k").cast("string"), F.lit(" others)"))
+    return folded.select(F.when(F.col("__top").isNull(), others).otherwise(F.col("__top.name")).alias(name), *measures)
 
 
 def donut_slices(df: DataFrame, name: str, value: str, n: int = 8) -> DataFrame:

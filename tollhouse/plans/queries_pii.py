@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tollhouse.operators import redact as X
@@ -139,7 +140,7 @@ def pii_tier_counts(docs: DataFrame) -> DataFrame:
 @_query("scrub_conversation", "conversations")
 def scrub_conversation(turns: DataFrame) -> DataFrame:
     with_mail = turns.withColumn("text", F.concat_ws(" ", "text", F.concat(F.lit("write to c"), F.col("conv_id").cast("string"), F.lit("@corp.test or c"), (F.col("turn") % 2).cast("string"), F.lit("@corp.test"))))
-    return X.scrub_conversation(with_mail, "conv_id", "turn", "text").select("conv_id", "turn", "scrubbed", F.size("registry").alias("originals"))
+    return X.scrub_conversation(with_mail, "conv_id", "turn", "text").select("conv_id", "turn", "scrubbed", F.max("originals").over(W.partitionBy("conv_id")).alias("originals"))
 
 
 @_query("scrub_json", "conversations", """SELECT conv_id, turn, '{"model":"m","messages":[{"role":"' || role || '","content":"mail <PII_EMAIL_ADDRESS_1> now"}],"metadata":{"note":"a@corp.test"}}' AS scrubbed FROM conversations""")
