@@ -10,10 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tollhouse.operators import failures, limits, parsing
-from tollhouse.plans import catalog
 from tollhouse.plans.adapter import Tables
-from tollhouse.plans.queries_limits import outcomes
-from tollhouse.streaming import jobs
 
 START = dt.datetime(2024, 1, 1)
 QUOTA = '{"error":{"code":"insufficient_quota","message":"billing"}}'
@@ -71,51 +68,6 @@ def test_recovered_keys_leave_the_rollup(spark):
     assert got == {0: (1, False), 1: (2, True), 3: (2, True), 4: (2, True), 5: (3, True), 6: (3, True), 7: (2, True)}
 
 
-def test_breaker_forced_open(spark):
-    items = [(0, "insufficient_quota"), (1, "none"), (301, "provider_degraded"), (602, "none"), (603, "none")]
-    df = spark.createDataFrame([(i, START + dt.timedelta(seconds=s), "p", "m", c, False) for i, (s, c) in enumerate(items)], "request_id long, ts timestamp, provider string, model string, failure_class string, aborted boolean")
-    assert [r.action for r in sorted(failures.breaker_replay(df, 3, 120, 300).collect())] == ["forced_open", "fast_fail", "probe_reopened", "probe_closed", "pass"]
-
-
-def looped(rows, threshold, window, cooldown):
-    """A breaker in plain steps."""
-    state = defaultdict(lambda: ["closed", None, []])
-    for r in sorted(rows, key=lambda r: (r.ts, r.request_id)):
-        own = state[r.provider, r.model]
-        before = "half_open" if own[0] == "open" and r.ts > own[1] else own[0]
-        own[0], action = before, "pass"
-        failed = r.failure_class in ("provider_degraded", "insufficient_quota") and not r.aborted
-        if before == "open":
-            action = "fast_fail"
-        elif before == "half_open" and r.aborted:
-            action = "probe"
-        elif before == "half_open":
-            action = "probe_closed" if r.failure_class == "none" else "probe_reopened"
-            own[:] = ["closed", None, []] if action == "probe_closed" else ["open", r.ts + cooldown, own[2]]
-        elif failed:
-            own[2] = [t for t in own[2] if t > r.ts - window] + [r.ts]
-            if r.failure_class == "insufficient_quota" or len(own[2]) >= threshold:
-                action = "forced_open" if r.failure_class == "insufficient_quota" else "opened"
-                own[:2] = ["open", r.ts + cooldown]
-        yield r.request_id, before, action
-
-
-def test_breaker_queries_against_a_loop(spark, sf):
-    rows = failures.classify_failure(outcomes(Tables(spark, sf))).collect()
-    wanted = sorted(looped(rows, 2, dt.timedelta(seconds=36_000), dt.timedelta(seconds=43_200)))
-    actions = {a for *_, a in wanted}
-    assert {"opened", "fast_fail", "probe_closed", "probe_reopened"} <= actions
-    assert sorted((r.request_id, r.state_before, r.action) for r in catalog.QUERIES["breaker_replay"](spark, sf).collect()) == wanted
-    assert catalog.QUERIES["breaker_events"](spark, sf).count() == sum(a != "pass" for *_, a in wanted)
-    day = {r.request_id: r.ts.date() for r in rows}
-    blocked = sum(a == "fast_fail" for *_, a in wanted)
-    activity = catalog.QUERIES["circuit_activity_daily"](spark, sf).filter("provider = ''").collect()
-    assert {r.day: (r.checks_total, r.probes_started) for r in activity} == {d: (sum(day[i] == d for i, *_ in wanted), sum(day[i] == d and a.startswith("probe") for i, _, a in wanted)) for d in {*day.values()}}
-    assert sum(r.blocked_open for r in activity) == blocked == catalog.QUERIES["circuit_blocked_daily"](spark, sf).agg(F.sum("blocked")).first()[0]
-    last = sorted({*day.values()})[-7:]
-    assert catalog.QUERIES["range_circuit_activity"](spark, sf).first().blocked_open == sum(a == "fast_fail" and day[i] in last for i, _, a in wanted)
-
-
 def test_rate_limits_by_reason(spark, sf):
     t = Tables(spark, sf)
     decided = limits.rate_limit_replay(t.usage, "key_id", 1, 30_000, 3, 60_000).join(t.usage.select("request_id", "day", "provider"), "request_id")
@@ -132,42 +84,6 @@ def test_rate_limits_by_reason(spark, sf):
     assert got == {k: tuple(v) for k, v in wanted.items()} and any(k[1] == "reason" for k in got)
 
 
-def _streamed(spark, df, job, tmp_path, files=1):
-    df.coalesce(files).write.parquet(f"{tmp_path}/in")
-    source = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    out = job(source)
-    out.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("parquet").option("path", f"{tmp_path}/out").start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{tmp_path}/out")
-
-
-def test_stream_limiter_keeps_earlier_minutes(spark, tmp_path):
-    """A row of an earlier minute neither resets the count nor escapes it."""
-    at = [(0, 5), (1, 61), (2, 10), (3, 62), (4, 63), (5, 20)]
-    first, late = at[:3], at[3:]
-    schema = "request_id long, ts timestamp, key_id string, input_tokens long, output_tokens long"
-    df = lambda items: spark.createDataFrame([(i, START + dt.timedelta(seconds=s), "k", 10, 0) for i, s in items], schema)
-    source_dir = f"{tmp_path}/in"
-    for part in (first, late):
-        df(part).coalesce(1).write.mode("append").parquet(source_dir)
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
-    jobs.stream_rate_limit(source, "key_id", 2).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("parquet").option("path", f"{tmp_path}/out").start().awaitTermination()
-    allowed = sorted(r.request_id for r in spark.read.parquet(f"{tmp_path}/out").filter("allowed").collect())
-    # Two of each minute, whichever file came first.
-    assert len(allowed) == 4 and sum(i in allowed for i in (0, 2, 5)) == 2 and sum(i in allowed for i in (1, 3, 4)) == 2
-
-
-def test_stream_forms_agree_with_replays(spark, sf, tmp_path):
-    t = Tables(spark, sf)
-    limited = _streamed(spark, t.usage.select("request_id", F.col("ts").cast("timestamp").alias("ts"), "key_id", "input_tokens", "output_tokens"), lambda s: jobs.stream_rate_limit(s, "key_id", 1, 30_000, 3, 60_000), tmp_path / "a")
-    wanted = limits.rate_limit_replay(t.usage, "key_id", 1, 30_000, 3, 60_000)
-    names = ("request_id", "allowed", "metric", "win")
-    assert sorted(tuple(r[c] for c in names) for r in limited.collect()) == sorted(tuple(r[c] for c in names) for r in wanted.collect())
-    attempts = failures.classify_failure(outcomes(t)).select("request_id", F.col("ts").cast("timestamp").alias("ts"), "provider", "model", "failure_class", "aborted")
-    seen = _streamed(spark, attempts, lambda s: jobs.stream_breaker(s, 2, 36_000, 43_200, idle_s=10**7), tmp_path / "b")
-    names = ("request_id", "state_before", "action")
-    assert sorted(tuple(r[c] for c in names) for r in seen.collect()) == sorted(tuple(r[c] for c in names) for r in failures.breaker_replay(attempts, 2, 36_000, 43_200).collect())
-
-
 def _stream(*events):
     return "".join(f"data: {e if isinstance(e, str) else json.dumps(e)}\n\n" for e in events)
 

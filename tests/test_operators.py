@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tollhouse.functions import ids, pii
-from tollhouse.operators import failures, joins, limits, pricing, redact, rollups
+from tollhouse.operators import breaker, failures, joins, limits, pricing, redact, rollups
 
 
 def rows(df, *columns):
@@ -69,11 +69,11 @@ def _attempts(spark, items):
 
 def test_breaker(spark):
     bad, good = "provider_degraded", "none"
-    got = failures.breaker_replay(_attempts(spark, [(0, bad), (1, bad), (2, bad), (3, good), (302, good), (303, bad), (304, good)]), 3, 120, 300)
+    got = breaker.breaker_replay(_attempts(spark, [(0, bad), (1, bad), (2, bad), (3, good), (302, good), (303, bad), (304, good)]), 3, 120, 300)
     assert [r.action for r in sorted(got.collect())] == ["pass", "pass", "opened", "fast_fail", "fast_fail", "probe_reopened", "fast_fail"]
-    slid = failures.breaker_replay(_attempts(spark, [(0, bad), (100, bad), (120, bad), (121, bad)]), 3, 120, 300)
+    slid = breaker.breaker_replay(_attempts(spark, [(0, bad), (100, bad), (120, bad), (121, bad)]), 3, 120, 300)
     assert [r.action for r in sorted(slid.collect())] == ["pass", "pass", "pass", "opened"]
-    calm = failures.breaker_replay(_attempts(spark, [(0, bad), (1, good)]), 3)
+    calm = breaker.breaker_replay(_attempts(spark, [(0, bad), (1, good)]), 3)
     assert rows(calm, "request_id", "action") == [(0, "pass"), (1, "pass")]
 
 

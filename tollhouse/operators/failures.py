@@ -1,16 +1,11 @@
-"""Failure classes and circuit breakers over recorded outcomes."""
+"""Failure classes and kinds of recorded outcomes, and what is read from breakers' openings."""
 
 from __future__ import annotations
 
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tollhouse.operators.replay import replayed
-
 #: Bytes of an error body that are looked at; a JSON body cut there cannot be parsed and says nothing (fixed value).
 PEEK_BYTES = 512
 #: Seconds to wait from which a limit is taken for one of the whole account (fixed value).
@@ -131,96 +126,6 @@ def failure_window_count(df: DataFrame, seconds: int = 120) -> DataFrame:
     return df.withColumn("__us", micros).withColumn("failures", F.count("*").over(w)).drop("__us")
 
 
-_REPLAY = "request_id long, ts timestamp, provider string, model string, state_before string, action string"
-
-
-def breaker_replay(attempts: DataFrame, threshold: int = 5, window_s: int = 120, cooldown_s: int = 300, mode: str = "enforce") -> DataFrame:
-    """State and action of a breaker per provider and model for every attempt (failure_class, aborted).
-
-    Closed, it counts degraded failures within the window and opens at the threshold; an
-    exhausted quota opens it at once and counts as a failure.  Open, requests fail fast and
-    their outcomes do not count.  Strictly after the cooldown the next
-    request is a probe: it closes the breaker and clears failures, opens it again, or, if
-    aborted, changes nothing.  In ``log`` mode nothing is blocked and no probe is sent.
-    Keys that never fail as often as the threshold are settled without replay.
-    """
-    failed = F.col("failure_class").isin("provider_degraded", "insufficient_quota")
-    forced = F.count(F.when(F.col("failure_class") == "insufficient_quota", 1))
-    hot = attempts.filter(failed).groupBy("provider", "model").agg(F.count("*").alias("__f"), forced.alias("__q")).filter((F.col("__f") >= threshold) | (F.col("__q") > 0)).drop("__f", "__q")
-    columns = ["request_id", "ts", "provider", "model", "failure_class", "aborted"]
-    calm = attempts.join(hot, ["provider", "model"], "left_anti").select("request_id", F.col("ts").cast("timestamp").alias("ts"), "provider", "model", F.lit("closed").alias("state_before"), F.lit("pass").alias("action"))
-
-    window, cooldown = pd.Timedelta(seconds=window_s), pd.Timedelta(seconds=cooldown_s)
-
-    def fresh():
-        state, until, failures = "closed", None, deque()
-
-        def failed_at(ts) -> None:
-            while failures and failures[0] <= ts - window:
-                failures.popleft()
-            failures.append(ts)
-
-        def decide(r) -> tuple:
-            nonlocal state, until
-            if state == "open" and r.ts > until:
-                state = "half_open"
-            before, action = state, "pass"
-            if state == "open" and mode == "enforce":
-                action = "fast_fail"
-            elif state == "half_open" and mode == "enforce":
-                if r.aborted:
-                    action = "probe"
-                elif r.failure_class == "none":
-                    state, action = "closed", "probe_closed"
-                    failures.clear()
-                else:
-                    state, until, action = "open", r.ts + cooldown, "probe_reopened"
-            else:
-                if state == "open":
-                    action = "would_fail"
-                if r.failure_class == "insufficient_quota" and not r.aborted:
-                    failed_at(r.ts)
-                    state, until, action = "open", r.ts + cooldown, "forced_open"
-                elif r.failure_class == "provider_degraded" and not r.aborted:
-                    failed_at(r.ts)
-                    if len(failures) >= threshold and state == "closed":
-                        state, until, action = "open", r.ts + cooldown, "opened"
-            return r.request_id, r.ts, r.provider, r.model, before, action
-
-        return decide
-
-    busy = attempts.join(hot, ["provider", "model"], "left_semi").select(*columns).withColumn("ts", F.col("ts").cast("timestamp"))
-    return replayed(busy, ["provider", "model"], ["ts", "request_id"], fresh, _REPLAY).unionByName(calm)
-
-
-def breaker_events(replayed: DataFrame) -> DataFrame:
-    """Circuit activity of a replay."""
-    return replayed.filter("action <> 'pass'").select("request_id", "ts", "provider", F.concat_ws(":", "provider", "model").alias("key"), F.col("action").alias("kind"))
-
-
-#: Counts of circuit activity and the actions that each counts; none: all attempts.
-ACTIVITY = {
-    "checks_total": (),
-    "blocked_open": ("fast_fail",),
-    "probes_started": ("probe", "probe_closed", "probe_reopened"),
-    "probes_succeeded": ("probe_closed",),
-    "probes_failed": ("probe_reopened",),
-    "circuits_opened": ("opened", "forced_open"),
-}
-
-
-def circuit_activity_daily(replayed: DataFrame) -> DataFrame:
-    """(day, provider, ``ACTIVITY``) of a replay: each provider's counts, and those of all under an empty provider."""
-    counts = [F.count(F.when(F.col("action").isin(*actions), 1) if actions else "*").alias(name) for name, actions in ACTIVITY.items()]
-    daily = replayed.groupBy(F.to_date("ts").alias("day"), "provider").agg(*counts)
-    return daily.unionByName(daily.groupBy("day").agg(*[F.sum(n).alias(n) for n in ACTIVITY]).withColumn("provider", F.lit("")))
-
-
-def circuit_blocked_daily(replayed: DataFrame) -> DataFrame:
-    """(day, key, blocked): requests that failed fast, by breaker."""
-    return replayed.filter("action = 'fast_fail'").groupBy(F.to_date("ts").alias("day"), F.concat_ws(":", "provider", "model").alias("key")).agg(F.count("*").alias("blocked"))
-
-
 def force_open(attempts: DataFrame, cooldown_s: int = 300) -> DataFrame:
     """Quota failures: the bare provider, open for one cooldown each."""
     return attempts.filter("failure_class = 'insufficient_quota'").select("request_id", F.col("provider").alias("key"), F.col("ts").alias("opened_at"), (F.col("ts") + F.expr(f"INTERVAL {cooldown_s} SECONDS")).alias("open_until"))
@@ -252,12 +157,6 @@ def provider_rollup_open(events: DataFrame, threshold: int, window_s: int = 300)
     return counted.withColumn("open", (F.col("count") >= threshold) if threshold > 0 else F.lit(False)).select("request_id", "provider", "ts", "open", "count")
 
 
-def log_mode_counterfactual(attempts: DataFrame, **options) -> DataFrame:
-    """(day, key, would_have_fast_failed) if breakers had only watched."""
-    seen = breaker_replay(attempts, mode="log", **options).filter("action = 'would_fail'")
-    return seen.groupBy(F.to_date("ts").alias("day"), F.concat_ws(":", "provider", "model").alias("key")).agg(F.count("*").alias("would_have_fast_failed"))
-
-
 def timeout_credit_filter(attempts: DataFrame, hang_s: float) -> DataFrame:
     """``attempts`` with credited: a timeout counts as a failure unless the caller cut the budget and the hang was shorter than ``hang_s``."""
     return attempts.withColumn("credited", ~(F.col("caller_shortened") & (F.col("elapsed_s") < hang_s)))

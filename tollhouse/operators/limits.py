@@ -130,6 +130,38 @@ def retry_after(ts: Column, win: Column) -> Column:
     return F.when(win == "minute", 60 - seconds % 60).otherwise(86400 - seconds % 86400)
 
 
+class Limiter:
+    """Counters of one scope in its current minute and day; requests must not go back in time."""
+
+    def __init__(self, rpm: int, tpm: int, rpd: int, tpd: int, first_free: bool = True):
+        self.windows = (("minute", 60, rpm, tpm), ("day", 86_400, rpd, tpd))
+        self.first_free = first_free
+        self.used = [[-1, 0, 0], [-1, 0, 0]]  # number of the window, requests, tokens
+
+    def check(self, seconds: int, tokens: int) -> tuple | None:
+        """Metric, window, limit, what is left and seconds to wait, of the first limit that a request exceeds."""
+        for (win, length, most_requests, most_tokens), used in zip(self.windows, self.used, strict=True):
+            if used[0] != seconds // length:
+                used[:] = seconds // length, 0, 0
+            if most_requests > 0 and used[1] + 1 > most_requests:
+                return "requests", win, most_requests, max(0, most_requests - used[1]), length - seconds % length
+            if most_tokens > 0 and used[2] + tokens > most_tokens and not (self.first_free and used[2] == 0):
+                return "tokens", win, most_tokens, max(0, most_tokens - used[2]), length - seconds % length
+        return None
+
+    def charge(self, tokens: int) -> None:
+        for used in self.used:
+            used[1] += 1
+            used[2] += tokens
+
+    def decide(self, seconds: int, tokens: int) -> tuple | None:
+        """``check``, and the charge if nothing is exceeded."""
+        denied = self.check(seconds, tokens)
+        if denied is None:
+            self.charge(tokens)
+        return denied
+
+
 def rate_limit_replay(df: DataFrame, scope: str, rpm: int, tpm: int, rpd: int, tpd: int, first_free: bool = True) -> DataFrame:
     """Decisions of a limiter of one kind of scope: allowed, metric, win, lim, remaining and retry_after.
 
@@ -141,22 +173,11 @@ def rate_limit_replay(df: DataFrame, scope: str, rpm: int, tpm: int, rpd: int, t
     out = "request_id long, scope string, allowed boolean, metric string, win string, lim long, remaining long, retry_after long"
 
     def fresh():
-        day_requests = day_tokens = minute_requests = minute_tokens = 0
-        minute = None
+        limiter = Limiter(rpm, tpm, rpd, tpd, first_free)
 
         def decide(r) -> tuple:
-            nonlocal day_requests, day_tokens, minute_requests, minute_tokens, minute
-            if r.seconds // 60 != minute:
-                minute, minute_requests, minute_tokens = r.seconds // 60, 0, 0
-            for win, requests, tokens, most_requests, most_tokens, length in (("minute", minute_requests, minute_tokens, rpm, tpm, 60), ("day", day_requests, day_tokens, rpd, tpd, 86400)):
-                left = length - r.seconds % length
-                if most_requests > 0 and requests + 1 > most_requests:
-                    return r.request_id, r.scope, False, "requests", win, most_requests, max(0, most_requests - requests), left
-                if most_tokens > 0 and tokens + r.tokens > most_tokens and not (first_free and tokens == 0):
-                    return r.request_id, r.scope, False, "tokens", win, most_tokens, max(0, most_tokens - tokens), left
-            minute_requests, minute_tokens = minute_requests + 1, minute_tokens + r.tokens
-            day_requests, day_tokens = day_requests + 1, day_tokens + r.tokens
-            return r.request_id, r.scope, True, "", "", 0, 0, 0
+            denied = limiter.decide(r.seconds, r.tokens)
+            return (r.request_id, r.scope, denied is None, *(denied or ("", "", 0, 0, 0)))
 
         return decide
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tollhouse.operators import breaker as B
 from tollhouse.operators import failures as X
 from tollhouse.operators import limits as L
 from tollhouse.operators import rollups as R
@@ -104,17 +105,20 @@ SELECT request_id, count(*) OVER (PARTITION BY provider, model ORDER BY us RANGE
 )
 
 
-def _replayed(t: Tables, **options) -> DataFrame:
-    """Breakers that open by failures and by quota, probe, close and open again on this traffic."""
-    return X.breaker_replay(X.classify_failure(outcomes(t)), **{"threshold": 2, "window_s": 36_000, "cooldown_s": 43_200} | options)
+#: Thresholds at which this traffic opens breakers by failures, by quota and by the rollup, probes, closes and opens them again.
+BREAKERS = {"threshold": 2, "window_s": 36_000, "cooldown_s": 43_200, "rollup_threshold": 4, "rollup_window_s": 43_200, "bucket_s": 86_400}
+
+
+def _replayed(t: Tables) -> DataFrame:
+    return B.breaker_replay(X.classify_failure(outcomes(t)), **BREAKERS)
 
 
 query("breaker_replay")(lambda t: _replayed(t).drop("ts"))
-query("breaker_events")(lambda t: X.breaker_events(_replayed(t)).drop("ts"))
-query("circuit_activity_daily")(lambda t: X.circuit_activity_daily(_replayed(t)))
-query("circuit_blocked_daily")(lambda t: X.circuit_blocked_daily(_replayed(t)))
-query("range_circuit_activity")(lambda t: R.range_totals(X.circuit_activity_daily(_replayed(t)).filter("provider = ''"), list(X.ACTIVITY), 7))
-query("range_blocked_by_key")(lambda t: R.range_by(X.circuit_blocked_daily(_replayed(t)), "key", ["blocked"], 7))
+query("breaker_events")(lambda t: B.breaker_events(_replayed(t)).drop("ts"))
+query("circuit_activity_daily")(lambda t: B.circuit_activity_daily(_replayed(t)))
+query("circuit_blocked_daily")(lambda t: B.circuit_blocked_daily(_replayed(t)))
+query("range_circuit_activity")(lambda t: R.range_totals(B.circuit_activity_daily(_replayed(t)).filter("provider = ''"), list(B.ACTIVITY), 7))
+query("range_blocked_by_key")(lambda t: R.range_by(B.circuit_blocked_daily(_replayed(t)), "key", ["blocked"], 7))
 query("force_open", f"WITH {_OUT} SELECT request_id, provider AS key, ts AS opened_at, ts + INTERVAL 300 SECOND AS open_until FROM cls WHERE failure_class = 'insufficient_quota'")(lambda t: X.force_open(X.classify_failure(outcomes(t))))
 query("provider_health", """WITH st AS (SELECT provider || ':' || model AS key, count(*) FILTER (status >= 500) AS failures, CASE max(request_id) % 3 WHEN 0 THEN 'closed' WHEN 1 THEN 'open' ELSE 'half_open' END AS state, max(ts) AS cooldown_until FROM usage GROUP BY 1)
 SELECT split_part(key, ':', 1) AS provider, CAST(sum(failures) AS BIGINT) AS failures, CASE max(CASE state WHEN 'open' THEN 2 WHEN 'half_open' THEN 1 ELSE 0 END) WHEN 2 THEN 'open' WHEN 1 THEN 'half_open' ELSE 'closed' END AS state, min(cooldown_until) AS cooldown_until FROM st GROUP BY 1""")(
@@ -122,14 +126,18 @@ SELECT split_part(key, ':', 1) AS provider, CAST(sum(failures) AS BIGINT) AS fai
         t.usage.groupBy(F.concat_ws(":", "provider", "model").alias("key")).agg(F.count(F.when(F.col("status") >= 500, 1)).alias("failures"), F.when(F.max("request_id") % 3 == 0, "closed").when(F.max("request_id") % 3 == 1, "open").otherwise("half_open").alias("state"), F.max("ts").alias("cooldown_until"))
     )
 )
+def rollup_events(t: Tables) -> DataFrame:
+    """Openings and recoveries of keys, as events of breakers."""
+    kept = X.classify_failure(outcomes(t)).filter("failure_class = 'provider_degraded' OR request_id % 40 = 9")
+    return kept.select("request_id", "provider", "ts", F.col("model").alias("key"), F.when(F.col("failure_class") == "provider_degraded", "opened").otherwise("probe_closed").alias("kind"))
+
+
 query("provider_rollup_open", f"""WITH {_OUT}, e AS (SELECT request_id, provider, model, ts, epoch_us(ts) AS us, CASE WHEN failure_class = 'provider_degraded' THEN 'opened' ELSE 'probe_closed' END AS kind FROM cls WHERE failure_class = 'provider_degraded' OR request_id % 40 = 9),
 l AS (SELECT a.request_id, a.provider, a.ts, b.model, arg_max(b.kind, (b.us, b.request_id)) AS kind, max(b.us) FILTER (b.kind = 'opened') AS us, a.us AS now FROM e a JOIN e b ON b.provider = a.provider AND (b.us, b.request_id) <= (a.us, a.request_id) AND b.us > a.us - 36000000000 WHERE a.kind = 'opened' GROUP BY a.request_id, a.provider, a.ts, b.model, a.us)
 SELECT request_id, provider, ts, count(*) FILTER (kind = 'opened') >= 2 AS open, count(*) FILTER (kind = 'opened') AS count FROM l GROUP BY 1, 2, 3""")(
-    lambda t: X.provider_rollup_open(
-        X.classify_failure(outcomes(t)).filter("failure_class = 'provider_degraded' OR request_id % 40 = 9").select("request_id", "provider", "ts", F.col("model").alias("key"), F.when(F.col("failure_class") == "provider_degraded", "opened").otherwise("probe_closed").alias("kind")), 2, 36_000
-    )
+    lambda t: X.provider_rollup_open(rollup_events(t), 2, 36_000)
 )
-query("log_mode_counterfactual")(lambda t: X.log_mode_counterfactual(X.classify_failure(outcomes(t)), threshold=2, window_s=36_000, cooldown_s=43_200))
+query("log_mode_counterfactual")(lambda t: B.log_mode_counterfactual(X.classify_failure(outcomes(t)), **BREAKERS))
 query("timeout_credit_filter", "SELECT request_id, NOT (request_id % 4 = 0 AND request_id % 30 < 12) AS credited FROM usage WHERE status >= 500")(
     lambda t: X.timeout_credit_filter(t.usage.filter("status >= 500").withColumns({"caller_shortened": F.col("request_id") % 4 == 0, "elapsed_s": (F.col("request_id") % 30).cast("double")}), 12.0).select("request_id", "credited")
 )

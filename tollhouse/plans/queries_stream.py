@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollhouse.operators.failures import classify_failure
-from tollhouse.plans.adapter import Tables
-from tollhouse.plans.queries_limits import outcomes
-from tollhouse.plans.registry import query
+from tollhouse.plans.adapter import PRELUDE, Tables
+from tollhouse.plans.queries_limits import BREAKERS, outcomes, rollup_events
+from tollhouse.plans.registry import ORACLES, query
 from tollhouse.streaming import jobs as J
 
 
@@ -20,14 +20,22 @@ def _base(t: Tables) -> str:
     return f"{base}/tollhouse-stream-{uuid.uuid4().hex}"
 
 
-def streamed(t: Tables, rows: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+#: Seconds by which rows may come late in the streams that decide in order: the log covers 30 days.
+LATE_S = 60 * 86_400
+
+
+def streamed(t: Tables, rows: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str, closed: bool = False) -> DataFrame:
     """What a job makes of rows that come as a stream, in batches of files.
 
-    In append mode the result goes to files.  In update mode each batch replaces the rows
+    Rows are dealt to the files by their id's hash, so times jump back and forth.  If ``closed``, two
+    files of one later row without an id follow: the watermark passes all others.  In append mode the result goes to files.  In update mode each batch replaces the rows
     of its groups: batches are written with their number, and the last row of a group counts.
     """
     base = _base(t)
     rows.repartition(4, "request_id").write.parquet(f"{base}/in")
+    for i in range(2 if closed else 0):
+        beat = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else (F.max("ts") + F.expr(f"INTERVAL {2 * LATE_S + i} SECONDS")).alias("ts") for f in rows.schema]
+        t.spark.read.parquet(f"{base}/in").agg(*beat).write.mode("append").parquet(f"{base}/in")
     source = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     out = job(source)
     writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
@@ -88,7 +96,14 @@ def stream_day_archive(t: Tables) -> DataFrame:
     return t.spark.read.schema("day date, provider string, requests long").parquet(f"{base}/out")
 
 
-query("stream_breaker")(
-    lambda t: streamed(t, _timed(classify_failure(outcomes(t)).select("request_id", "ts", "provider", "model", "failure_class", "aborted")), lambda s: J.stream_breaker(s, 2, 36_000, 43_200), "append")
-)
-query("stream_rate_limit")(lambda t: streamed(t, _log(t), lambda s: J.stream_rate_limit(s, "key_id", 2, 30_000, 14, 300_000, watermark_s=60 * 86_400), "append"))
+_ATTEMPTS = ("request_id", "ts", "provider", "model", "failure_class", "aborted")
+_ORDERED = {k: v for k, v in BREAKERS.items() if k != "bucket_s"}
+
+
+query("stream_breaker")(lambda t: streamed(t, _timed(classify_failure(outcomes(t)).select(*_ATTEMPTS)), lambda s: J.stream_breaker(s, **_ORDERED, watermark_s=LATE_S), "append", True))
+query("stream_rate_limit")(lambda t: streamed(t, _log(t), lambda s: J.stream_rate_limit(s, "key_id", 2, 30_000, 14, 300_000, watermark_s=LATE_S), "append", True))
+
+
+@query("stream_provider_rollup", ORACLES["provider_rollup_open"].removeprefix(PRELUDE).lstrip(",\n").replace("request_id, provider, ts, count(*) FILTER (kind = 'opened') >= 2", "request_id, provider, count(*) FILTER (kind = 'opened') >= 2").replace("GROUP BY 1, 2, 3", "GROUP BY request_id, provider, ts"))
+def stream_provider_rollup(t: Tables) -> DataFrame:
+    return streamed(t, _timed(rollup_events(t)), lambda s: J.stream_provider_rollup(s, 2, 36_000, LATE_S), "append", True)

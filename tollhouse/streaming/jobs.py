@@ -5,15 +5,17 @@ They take and return streaming DataFrames; windows need a timestamp column ``ts`
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tollhouse.operators.breaker import Breakers
+from tollhouse.operators.limits import Limiter
 from tollhouse.operators.redact import redact_text
+from tollhouse.streaming.ordered import in_order
 
 
 def stream_rollup(df: DataFrame, watermark: str = "26 hours") -> DataFrame:
@@ -54,93 +56,77 @@ def stream_history_sink(df: DataFrame, base: str, stream: str, checkpoint: str,
     return rows.writeStream.partitionBy("dt", "hour").format("json").option("compression", "gzip").option("path", f"{base}/{stream}").option("checkpointLocation", checkpoint).trigger(processingTime=trigger)
 
 
-_BREAKER = "request_id long, provider string, model string, state_before string, action string"
+_BREAKER = "request_id long, provider string, model string, state_before string, action string, key string, opens boolean"
 
 
-def stream_breaker(attempts: DataFrame, threshold: int = 5, window_s: int = 120, cooldown_s: int = 300, idle_s: int = 1800, watermark_s: int = 600) -> DataFrame:
-    """State and action of a breaker per provider and model as attempts (failure_class, aborted) come, as ``breaker_replay`` gives them for whole logs.
+def stream_breaker(attempts: DataFrame, threshold: int = 5, window_s: int = 120, cooldown_s: int = 300, rollup_threshold: int = 0, rollup_window_s: int = 300, watermark_s: int = 600) -> DataFrame:
+    """What ``breaker_replay`` answers to whole logs, for attempts (failure_class, aborted) in whatever order they come.
 
-    An exhausted quota opens at once; an aborted attempt counts neither as a failure nor as a
-    probe's answer.  Keys idle for ``idle_s`` of event time are dropped.
+    A provider's attempts wait until the watermark has passed them.  Closed keys without late
+    failures are forgotten, a provider with nothing to remember altogether.
     """
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        status, until, failures = state.get if state.exists else ("closed", 0.0, [])
-        failures, out = list(failures), []
-        rows = pd.concat(parts).sort_values(["ts", "request_id"], kind="stable")
-        for r in rows.itertuples():
-            now = r.ts.timestamp()
-            if status == "open" and now > until:
-                status = "half_open"
-            before, action = status, "pass"
-            if status == "open":
-                action = "fast_fail"
-            elif status == "half_open":
-                if r.aborted:
-                    action = "probe"
-                elif r.failure_class == "none":
-                    status, failures, action = "closed", [], "probe_closed"
+    def step(key: tuple, memory: dict | None, rows: Iterable) -> tuple[dict | None, list[tuple]]:
+        own, out, now = Breakers(key[0], threshold, window_s, cooldown_s, "enforce", rollup_threshold, rollup_window_s), [], 0
+        if memory:
+            own.load(memory)
+        for r in rows:
+            now = r.us
+            state, action, by, opens = own.decide(now, r.model, r.failure_class, r.aborted)
+            out.append((r.request_id, key[0], r.model, state, action, by, opens))
+        own.forget(now)
+        return own.dump() if own.keys or own.opened else None, out
+
+    given = {"provider": "", "model": "", "failure_class": "none", "aborted": False}
+    rows = attempts.select("request_id", "ts", *[F.coalesce(c, F.lit(x)).alias(c) for c, x in given.items()])
+    return in_order(rows, ["provider"], "request_id long, us long, model string, failure_class string, aborted boolean", _BREAKER, ["us", "request_id"], step, watermark_s)
+
+
+def stream_provider_rollup(events: DataFrame, threshold: int, window_s: int = 300, watermark_s: int = 600) -> DataFrame:
+    """(request_id, provider, open, count) at each opening, as ``provider_rollup_open`` gives it, for events (key, kind) in whatever order.
+
+    The state is the time of each key's latest opening; keys leave it when they recover or
+    their opening is older than the window.
+    """
+    out = "request_id long, provider string, open boolean, count long"
+
+    def step(key: tuple, memory: dict | None, rows: Iterable) -> tuple[dict | None, list[tuple]]:
+        opened, found = memory or {}, []
+        for now, together in itertools.groupby(rows, key=lambda r: r.us):
+            openings = []
+            for r in together:
+                if r.kind == "probe_closed":
+                    opened.pop(r.key, None)
                 else:
-                    status, until, action = "open", now + cooldown_s, "probe_reopened"
-            elif r.failure_class in ("provider_degraded", "insufficient_quota") and not r.aborted:
-                failures = [t for t in failures if t > now - window_s] + [now]
-                if r.failure_class == "insufficient_quota":
-                    status, until, action = "open", now + cooldown_s, "forced_open"
-                elif len(failures) >= threshold:
-                    status, until, action = "open", now + cooldown_s, "opened"
-            out.append((r.request_id, key[0], key[1], before, action))
-        state.update((status, until, failures))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["ts"].max().timestamp() + watermark_s + idle_s) * 1000))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _BREAKER.split(", ")])
-
-    timed = attempts.withWatermark("ts", f"{watermark_s} seconds")
-    return timed.groupBy("provider", "model").applyInPandasWithState(step, _BREAKER, "status string, until double, failures array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+                    opened[r.key] = now
+                    openings.append(r.request_id)
+            opened = {k: t for k, t in opened.items() if t > now - window_s * 1_000_000}
+            n = len(opened) if window_s > 0 else 0
+            found += [(i, key[0], n >= threshold > 0, n) for i in openings]
+        return opened or None, found
+
+    rows = events.filter(F.col("request_id").isNull() | F.col("kind").isin("opened", "probe_reopened", "probe_closed")).select("request_id", "ts", F.coalesce("provider", F.lit("")).alias("provider"), "key", "kind")
+    return in_order(rows, ["provider"], "request_id long, us long, key string, kind string", out, ["us", "request_id"], step, watermark_s)
 
 
 _LIMIT = "request_id long, scope string, allowed boolean, metric string, win string"
 
 
 def stream_rate_limit(df: DataFrame, scope: str, rpm: int, tpm: int = 0, rpd: int = 0, tpd: int = 0, watermark_s: int = 600, first_free: bool = True) -> DataFrame:
-    """(request_id, scope, allowed, metric, win) of a limiter of one kind of scope, as requests come; 0 is no limit.
+    """(request_id, scope, allowed, metric, win) as ``rate_limit_replay`` gives them for whole logs, for requests in whatever order they come; 0 is no limit.
 
-    The minute is checked before the day and requests before tokens (input_tokens and
-    output_tokens).  Each minute and day has counts of its own, so a late row meets those of
-    its own minute; counts go once the watermark has passed their window, and a scope's state
-    with the last of them.
+    A scope's requests wait until the watermark has passed them; its counters go with its day.
     """
-    limits = ((60, "minute", rpm, tpm), (86_400, "day", rpd, tpd))
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        used = {(a, b): [n, t] for a, b, n, t in zip(*state.get, strict=True)} if state.exists else {}
-        out = []
-        for r in pd.concat(parts).sort_values(["ts", "request_id"], kind="stable").itertuples():
-            now, verdict = int(r.ts.timestamp()), ("", "")
-            counts = [used.setdefault((span, now // span), [0, 0]) for span, *_ in limits]
-            for (_, win, requests, tokens), (n, t) in zip(limits, counts, strict=True):
-                if requests > 0 and n + 1 > requests:
-                    verdict = ("requests", win)
-                elif tokens > 0 and t + r.tokens > tokens and not (first_free and t == 0):
-                    verdict = ("tokens", win)
-                if verdict[0]:
-                    break
-            if not verdict[0]:
-                for c in counts:
-                    c[0] += 1
-                    c[1] += int(r.tokens)
-            out.append((r.request_id, key[0], not verdict[0], *verdict))
-        done = state.getCurrentWatermarkMs() // 1000
-        used = {k: v for k, v in used.items() if (k[1] + 1) * k[0] > done}
-        state.update(tuple(map(list, zip(*[(*k, *v) for k, v in used.items()], strict=True))) if used else ([], [], [], []))
-        last = max([(k[1] + 1) * k[0] for k in used], default=0)
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last * 1000))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _LIMIT.split(", ")])
-
-    tokens = F.coalesce(F.col("input_tokens"), F.lit(0)) + F.coalesce(F.col("output_tokens"), F.lit(0)) if tpm > 0 or tpd > 0 else F.lit(0)
-    timed = df.filter(F.col(scope) != "").withColumn("tokens", tokens.cast("long")).withWatermark("ts", f"{watermark_s} seconds")
-    return timed.groupBy(scope).applyInPandasWithState(step, _LIMIT, "span array<long>, number array<long>, requests array<long>, tokens array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+    def step(key: tuple, memory: list | None, rows: Iterable) -> tuple[list | None, list[tuple]]:
+        limiter, out = Limiter(rpm, tpm, rpd, tpd, first_free), []
+        if memory:
+            limiter.used = memory
+        for r in rows:
+            denied = limiter.decide(r.us // 1_000_000, r.tokens)
+            out.append((r.request_id, key[0], denied is None, *(denied or ("", ""))[:2]))
+        return limiter.used if out or memory else None, out
+
+    tokens = F.coalesce(F.col("input_tokens"), F.lit(0)) + F.coalesce(F.col("output_tokens"), F.lit(0))
+    rows = df.filter(F.col("request_id").isNull() | (F.col(scope) != "")).select("request_id", "ts", F.coalesce(scope, F.lit("")).alias("scope"), tokens.cast("long").alias("tokens"))
+    return in_order(rows, ["scope"], "request_id long, us long, tokens long", _LIMIT, ["us", "request_id"], step, watermark_s)
