@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import heapq
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tollhouse.operators.replay import replayed
 
 ORDER = ("ts", "request_id")
+EPOCH = dt.datetime(1970, 1, 1)
 
 
 def running_key_spend(cost: DataFrame) -> DataFrame:
@@ -44,41 +45,95 @@ def spend_cap_replay(cost: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).withColumn("blocked", F.col("reason") != "").drop("__day", "__month")
 
 
-def spend_cap_reservation(attempts: DataFrame, keys: DataFrame, grace_s: int = 30) -> DataFrame:
-    """``attempts`` (est_e4, total_e4, done_ts) with allowed and reserved_e4, the cents in reserve before each decision.
+class _Reserved:
+    """What one period of a key has booked and in reserve; the reserve never falls below 0."""
+
+    def __init__(self, cap_cents: int):
+        self.cap, self.period, self.booked, self.reserved = cap_cents, None, 0, 0
+
+    def at(self, period) -> _Reserved:
+        if period != self.period:
+            self.period, self.booked, self.reserved = period, 0, 0
+        return self
+
+    def reserve(self, estimate: int) -> bool:
+        """Whether what is booked and in reserve leaves room; the estimate is then in reserve."""
+        room = self.cap <= 0 or -(-(self.booked + self.reserved) // 100) < self.cap
+        self.add(estimate if room and self.cap > 0 else 0)
+        return room
+
+    def add(self, change: int) -> None:
+        self.reserved = max(0, self.reserved + change)
+
 
-    Admission reserves the estimate; when the request is done, the cost is booked and the
-    rest of the reservation is freed ``grace_s`` seconds later.  Decisions depend on earlier
-    ones, so a key and day is replayed in order; its rows stream through one task sorted, and
-    only what is still in reserve or unbooked is held.
+def spend_cap_reservation(attempts: DataFrame, keys: DataFrame, grace_s: int = 30) -> DataFrame:
+    """Decisions of a daily and a monthly cap together on ``attempts`` (request_id, key_id, ts, est_e4, total_e4, done_ts).
+
+    Gives allowed, reason ('daily', 'monthly' or '') and day_reserved_e4 and month_reserved_e4,
+    what was in reserve before.  A request reserves its estimate with the day, then with the
+    month; if the month has no room, the day's reservation is undone.  When it is done, its cost
+    is booked and takes the estimate's place in the reserve, which it leaves ``grace_s`` seconds
+    later.  Both happen to the day and month of that time: a reservation made before midnight
+    and settled after stays with its day, and the new day's reserve never falls below 0.  One
+    that is never done stays in reserve.  An estimate of 0 or less only reads what is booked.
+    Caps of 0 or less are none, null amounts are 0, null keys a key of their own.
+
+    Decisions of a key follow one another.  A key's log is cut where a month begins after
+    all that came before has settled; each piece streams through a task that holds only
+    what is still to settle.
     """
-    caps = keys.select("key_id", "daily_limit_cents")
-    rows = attempts.join(caps, "key_id", "left").fillna(0, ["daily_limit_cents"])
-    out = "request_id long, key_id string, day date, allowed boolean, reserved_e4 long"
+    caps = keys.select("key_id", "daily_limit_cents", "monthly_limit_cents")
+    rows = attempts.join(caps, "key_id", "left").fillna(0, ["daily_limit_cents", "monthly_limit_cents", "est_e4", "total_e4"])
+    rows = rows.withColumns({"ts": F.col("ts").cast("timestamp"), "done_ts": F.col("done_ts").cast("timestamp")})
+    month = F.date_trunc("month", "ts")
+    settled = F.coalesce(F.col("done_ts") + F.expr(f"INTERVAL {grace_s} SECONDS"), F.col("ts"))
+    months = rows.groupBy("key_id", month.alias("__month")).agg(F.max(F.greatest(settled, "ts")).alias("__over"))
+    of_key = W.partitionBy("key_id").orderBy("__month")
+    cut = (F.max("__over").over(of_key.rowsBetween(W.unboundedPreceding, -1)) < F.col("__month")).cast("int")
+    months = months.withColumn("__cut", F.coalesce(cut, F.lit(0))).withColumn("piece", F.sum("__cut").over(of_key)).select(F.col("key_id").alias("__key"), "__month", "piece")
+    rows = rows.join(months, rows.key_id.eqNullSafe(F.col("__key")) & (month == F.col("__month")))
+    micros = {c: F.unix_micros(c) for c in ("ts", "done_ts")}
+    rows = rows.select("request_id", "key_id", "piece", *[F.coalesce(v, F.lit(-1)).alias(f"{c}_us") for c, v in micros.items()], "est_e4", "total_e4", "daily_limit_cents", "monthly_limit_cents")
+    out = "request_id long, key_id string, allowed boolean, reason string, day_reserved_e4 long, month_reserved_e4 long"
 
     def fresh():
-        booked = reserved = 0
-        due: list[tuple] = []  # heap of (time, booked change, reserved change)
+        day = month = None
+        due: list[tuple] = []  # heap of (time, order, booked, change of the reserve)
+
+        def periods(us: int) -> tuple[_Reserved, _Reserved]:
+            now = EPOCH + dt.timedelta(microseconds=us)
+            return day.at((now.year, now.month, now.day)), month.at((now.year, now.month))
 
         def decide(r) -> tuple:
-            nonlocal booked, reserved
-            while due and due[0][0] <= r.ts:
-                _, cost, freed = heapq.heappop(due)
-                booked += cost
-                reserved = max(0, reserved + freed)
-            allowed = r.daily_limit_cents <= 0 or -(-(booked + reserved) // 100) < r.daily_limit_cents
-            before = reserved
-            if allowed:
-                reserved += r.est_e4
-                if r.done_ts == r.done_ts:  # one that never ends stays in reserve
-                    heapq.heappush(due, (r.done_ts, r.total_e4, 0))
-                    heapq.heappush(due, (r.done_ts + pd.Timedelta(seconds=grace_s), 0, -r.est_e4))
-            return r.request_id, r.key_id, r.day, allowed, before
+            nonlocal day, month
+            if day is None:
+                day, month = _Reserved(r.daily_limit_cents), _Reserved(r.monthly_limit_cents)
+            while due and due[0][0] <= r.ts_us:
+                us, _, cost, change = heapq.heappop(due)
+                for period in periods(us):
+                    period.booked += cost
+                    if period.cap > 0:
+                        period.add(change)
+            today, this_month = periods(r.ts_us)
+            before = today.reserved, this_month.reserved
+            estimate = max(0, r.est_e4)
+            if estimate:
+                reason = "" if today.reserve(estimate) else "daily"
+                if not reason and not this_month.reserve(estimate):
+                    reason = "monthly"
+                    if today.cap > 0:
+                        today.add(-estimate)
+            else:
+                full = [p.cap > 0 and -(-p.booked // 100) >= p.cap for p in (today, this_month)]
+                reason = "daily" if full[0] else "monthly" if full[1] else ""
+            if not reason and r.done_ts_us >= 0:
+                heapq.heappush(due, (r.done_ts_us, r.request_id, r.total_e4, r.total_e4 - estimate if estimate else 0))
+                heapq.heappush(due, (r.done_ts_us + grace_s * 1_000_000, r.request_id, 0, -r.total_e4 if estimate else 0))
+            return r.request_id, r.key_id, not reason, reason, *before
 
         return decide
 
-    rows = rows.select("request_id", "key_id", "day", "ts", "done_ts", "est_e4", "total_e4", "daily_limit_cents")
-    return replayed(rows, ["key_id", "day"], [*ORDER], fresh, out)
+    return replayed(rows, ["key_id", "piece"], ["ts_us", "request_id"], fresh, out)
 
 
 def scope_expand(df: DataFrame) -> DataFrame:
@@ -184,6 +239,89 @@ def rate_limit_replay(df: DataFrame, scope: str, rpm: int, tpm: int, rpd: int, t
     return replayed(rows, ["scope", "day"], [*ORDER], fresh, out)
 
 
+_ADMITTED = "request_id long, ts timestamp, unit long, day date, provider string, model string, key_id string, user_id string, tokens long, allowed boolean, scope_key string, metric string, win string, lim long, retry_after long"
+SCOPES = (("provider", "provider"), ("model", "model"), ("key", "key_id"), ("user", "user_id"))
+
+
+def rate_limit_admission(df: DataFrame, limits: DataFrame, overrides: DataFrame, first_free: bool = True, unit_s: int = 60) -> DataFrame:
+    """Decisions on ``df`` (request_id, ts, provider, model, key_id, user_id, input_tokens, output_tokens) by all its scopes together.
+
+    ``limits`` and ``overrides`` are those of ``effective_limits``.  Scopes are checked in the order of
+    ``scope_expand``, of each the minute before the day and requests before tokens; the first
+    limit exceeded denies the request (scope_key, metric, win, lim, retry_after), and only a
+    request that none denies is charged to all.  With ``first_free`` a window's first request
+    with tokens passes whatever it asks for.  Empty and null members have no scope but
+    ``global``, null tokens are 0.
+
+    ``global`` couples all decisions of a day, but only by what the day has used so far.  So units of
+    ``unit_s`` seconds (whole minutes that divide a day) are replayed side by side, each from
+    assumed use of its scopes, at first none.  The use that follows from the decisions is
+    summed by scope and unit and becomes the next assumption, until it is that which the
+    decisions were taken with: then they are those of one pass in order.  Every round settles
+    one more unit of a day at least, in practice a few rounds settle all; settled days are
+    not replayed again.
+    """
+    if unit_s % 60 or 86_400 % unit_s:
+        raise ValueError("unit_s must be whole minutes that divide a day")
+    ts = F.col("ts").cast("timestamp")
+    members = [F.coalesce(c, F.lit("")).alias(c) for _, c in SCOPES]
+    tokens = F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))
+    rows = df.select("request_id", ts.alias("ts"), F.floor(F.unix_seconds(ts) / unit_s).cast("long").alias("unit"), F.to_date(ts).alias("day"), *members, tokens.cast("long").alias("tokens"))
+    present = scope_expand(rows.select("unit", "day", *[c for _, c in SCOPES])).select("unit", "day", "kind", "scope_key").distinct()
+    each = effective_limits(present, limits, overrides).groupBy("scope_key").agg(*[F.max(F.when(F.col("win") == w, F.col(c))).alias(n) for w, c, n in (("minute", "req_limit", "rpm"), ("minute", "tok_limit", "tpm"), ("day", "req_limit", "rpd"), ("day", "tok_limit", "tpd"))])
+    scopes = present.drop("kind").join(each, "scope_key", "left").fillna(0, ["rpm", "tpm", "rpd", "tpd"])
+    scopes = scopes.withColumns({"requests": F.lit(0).cast("long"), "used": F.lit(0).cast("long")}).checkpoint()
+    decided = None
+    while True:
+        found = _units(rows, scopes, first_free).checkpoint()
+        used = scope_expand(found.filter("allowed")).groupBy("unit", "scope_key").agg(F.count("*").alias("__r"), F.sum("tokens").alias("__t"))
+        before = W.partitionBy("day", "scope_key").orderBy("unit").rowsBetween(W.unboundedPreceding, -1)
+        sums = {n: F.coalesce(F.sum(F.coalesce(c, F.lit(0))).over(before), F.lit(0)) for n, c in (("__requests", "__r"), ("__used", "__t"))}
+        after = scopes.join(used, ["unit", "scope_key"], "left").withColumns(sums).drop("__r", "__t").checkpoint()
+        open_days = after.filter("requests <> __requests OR used <> __used").select("day").distinct()
+        settled = found.join(open_days, "day", "left_anti")
+        decided = settled if decided is None else decided.unionByName(settled)
+        if open_days.isEmpty():
+            return decided.drop("unit", "day")
+        rows = rows.join(open_days, "day", "left_semi").checkpoint()
+        scopes = after.join(open_days, "day", "left_semi").drop("requests", "used").withColumnsRenamed({"__requests": "requests", "__used": "used"})
+
+
+def _units(rows: DataFrame, scopes: DataFrame, first_free: bool) -> DataFrame:
+    """``_ADMITTED`` of ``rows``: each unit replayed from what ``scopes`` say its day has used."""
+
+    def fresh():
+        limiters: dict[str, Limiter] = {}
+
+        def decide(r) -> tuple | None:
+            seconds = r.us // 1_000_000
+            if r.head:
+                own = limiters[r.scope_key] = Limiter(r.rpm, r.tpm, r.rpd, r.tpd, first_free)
+                own.used[1] = [seconds // 86_400, r.requests, r.used]
+                return None
+            names = ["global", *[f"{k}:{v}" for (k, _), v in zip(SCOPES, (r.provider, r.model, r.key_id, r.user_id), strict=True) if v]]
+            denied, scope = None, ""
+            for name in names:
+                denied = limiters[name].check(seconds, r.tokens)
+                if denied:
+                    scope = name
+                    break
+            else:
+                for name in names:
+                    limiters[name].charge(r.tokens)
+            metric, win, lim, _, wait = denied or ("", "", 0, 0, 0)
+            return r.request_id, r.ts, r.unit, r.day, r.provider, r.model, r.key_id, r.user_id, r.tokens, not scope, scope, metric, win, lim, wait
+
+        return decide
+
+    heads = scopes.withColumns({"head": F.lit(True), "us": F.unix_micros(F.col("day").cast("timestamp"))})
+    both = rows.withColumns({"head": F.lit(False), "us": F.unix_micros("ts")}).unionByName(heads, allowMissingColumns=True)
+    counts = ["rpm", "tpm", "rpd", "tpd", "requests", "used", "tokens", "request_id"]
+    # Ids and counts that a kind of row has not are 0, so that all stay whole numbers in pandas.
+    both = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts}).withColumn("last", F.when(F.col("head"), F.lit(-1)).otherwise(F.col("us")))
+    return replayed(both, ["unit"], ["last", "request_id"], fresh, _ADMITTED)
+
+
 def rate_limit_daily(decisions: DataFrame) -> DataFrame:
     """(day, by, member, total, allowed, blocked): all decisions under an empty ``by``; by provider and by reason (metric and window) blocked ones alone."""
     blocked = F.count(F.when(~F.col("allowed"), 1)).alias("blocked")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 
 def replayed(rows: DataFrame, keys: list[str], order: list[str], fresh: Callable[[], Callable[[tuple], tuple]], schema: str) -> DataFrame:
-    """A row of ``schema`` for each of ``rows``, decided in the order of ``order`` within equal ``keys``.
+    """A row of ``schema`` for each of ``rows`` for which the decider has one, decided in the order of ``order`` within equal ``keys``.
 
     ``fresh`` gives a new decider, a function of a row, for each key.  Rows stream through a
     task sorted, in Arrow batches, so only the decider's state is held, whatever rows a key has.
@@ -25,7 +25,8 @@ def replayed(rows: DataFrame, keys: list[str], order: list[str], fresh: Callable
                 own = tuple(v if v == v else None for v in (getattr(r, k) for k in keys))
                 if decide is None or own != last:
                     last, decide = own, fresh()
-                found.append(decide(r))
+                if (said := decide(r)) is not None:
+                    found.append(said)
             if found:
                 yield pd.DataFrame(found, columns=names)
 

@@ -26,8 +26,10 @@ o AS (SELECT *, coalesce(sum(CASE WHEN mb THEN 0 ELSE total_e4 END) OVER (PARTIT
 SELECT request_id, mb OR (dl > 0 AND (pc + 99) // 100 >= dl) AS blocked, CASE WHEN dl > 0 AND (pc + 99) // 100 >= dl THEN 'daily' WHEN mb THEN 'monthly' ELSE '' END AS reason FROM o""")(
     lambda t: L.spend_cap_replay(costed(t), t.keys).select("request_id", "blocked", "reason")
 )
+#: Requests take up to an hour here, so that some are settled after midnight, and some never end.
+_DONE = "CASE WHEN request_id % 50 <> 0 THEN ts + make_interval(0, 0, 0, 0, 0, 0, request_id % 3600) END"
 query("spend_cap_reservation")(
-    lambda t: L.spend_cap_reservation(costed(t).select("request_id", "key_id", "day", "ts", "total_e4", (F.col("total_e4") + 100).alias("est_e4"), (F.col("ts") + F.expr("INTERVAL 20 SECONDS")).alias("done_ts")), t.keys)
+    lambda t: L.spend_cap_reservation(costed(t).select("request_id", "key_id", "ts", "total_e4", (F.col("total_e4") + F.col("request_id") % 7 * 40 - 40).alias("est_e4"), F.expr(_DONE).alias("done_ts")), t.keys)
 )
 _SCOPES = """WITH sc AS (SELECT u.*, 'global' AS kind, 'global' AS scope_key FROM usage u UNION ALL SELECT u.*, 'provider', 'provider:' || provider FROM usage u WHERE provider <> '' UNION ALL SELECT u.*, 'model', 'model:' || model FROM usage u WHERE model <> ''
   UNION ALL SELECT u.*, 'key', 'key:' || key_id FROM usage u WHERE key_id <> '' UNION ALL SELECT u.*, 'user', 'user:' || user_id FROM usage u WHERE user_id <> '')
@@ -53,7 +55,14 @@ SELECT request_id, m AND p < 10 AS allowed, CASE WHEN NOT m THEN 'minute' WHEN p
     lambda t: L.rate_limit_replay_requests(t.usage, "key_id", 1, 10).select("request_id", "allowed", "window")
 )
 query("rate_limit_replay")(lambda t: L.rate_limit_replay(t.usage, "key_id", 2, 30_000, 14, 300_000))
-query("ratelimit_daily")(lambda t: L.rate_limit_daily(L.rate_limit_replay(t.usage, "key_id", 2, 30_000, 14, 300_000).join(t.usage.select("request_id", "day", "provider"), "request_id")))
+
+
+def _admitted(t: Tables) -> DataFrame:
+    return L.rate_limit_admission(t.usage, t.limits, _overrides(t), unit_s=3600)
+
+
+query("rate_limit_admission")(lambda t: _admitted(t).select("request_id", "allowed", "scope_key", "metric", "win", "lim", "retry_after"))
+query("ratelimit_daily")(lambda t: L.rate_limit_daily(_admitted(t).withColumn("day", F.to_date("ts"))))
 query("retry_after", "SELECT request_id, CAST(60 - CAST(epoch(ts) AS BIGINT) % 60 AS BIGINT) AS minute_left, CAST(86400 - CAST(floor(epoch(ts)) AS BIGINT) % 86400 AS BIGINT) AS day_left FROM usage".replace("CAST(epoch(ts) AS BIGINT) % 60", "CAST(floor(epoch(ts)) AS BIGINT) % 60"))(
     lambda t: t.usage.select("request_id", L.retry_after(F.col("ts"), F.lit("minute")).alias("minute_left"), L.retry_after(F.col("ts"), F.lit("day")).alias("day_left"))
 )
