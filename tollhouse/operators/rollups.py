@@ -12,18 +12,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _money() -> list[Column]:
-    return [F.sum("total_e4").alias("spend_e4"), F.sum("input_e4").alias("input_spend_e4"), F.sum("output_e4").alias("output_spend_e4"), F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")]
+#: Measures of cost and the column that each sums; none: rows are counted.
+MEASURES = {"spend_e4": "total_e4", "input_spend_e4": "input_e4", "output_spend_e4": "output_e4", "requests": None, "input_tokens": "input_tokens", "output_tokens": "output_tokens"}
+
+
+def measures() -> list[Column]:
+    """``MEASURES`` as aggregates."""
+    return [(F.sum(c) if c else F.count("*")).alias(name) for name, c in MEASURES.items()]
 
 
 def cost_totals_daily(cost: DataFrame) -> DataFrame:
     """Money, requests and tokens of each day."""
-    return cost.groupBy("day").agg(*_money())
+    return cost.groupBy("day").agg(*measures())
 
 
 def cost_by(cost: DataFrame, column: str, prefix: str = "") -> DataFrame:
     """The same by day and member of a dimension; empty members are left out."""
-    return cost.filter((F.col(column) != "") & F.col(column).isNotNull()).groupBy("day", F.concat(F.lit(prefix), column).alias("member")).agg(*_money())
+    return cost.filter((F.col(column) != "") & F.col(column).isNotNull()).groupBy("day", F.concat(F.lit(prefix), column).alias("member")).agg(*measures())
 
 
 def cost_by_provider(cost: DataFrame) -> DataFrame:
@@ -74,7 +79,7 @@ def usage_by_scope(usage: DataFrame) -> DataFrame:
 
 def rollup_hourly(cost: DataFrame, metric: str = "cost") -> DataFrame:
     """Totals of each hour."""
-    return cost.groupBy("day", "hour").agg(*_money()).withColumn("metric", F.lit(metric))
+    return cost.groupBy("day", "hour").agg(*measures()).withColumn("metric", F.lit(metric))
 
 
 def rollup_monthly_key_spend(cost: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollhouse.operators.failures import classify_failure
+from tollhouse.operators.rollups import MEASURES
 from tollhouse.plans.adapter import PRELUDE, Tables
 from tollhouse.plans.queries_limits import BREAKERS, outcomes, rollup_events
 from tollhouse.plans.registry import ORACLES, query
@@ -24,6 +25,13 @@ def _base(t: Tables) -> str:
 LATE_S = 60 * 86_400
 
 
+def _close(t: Tables, rows: DataFrame, base: str) -> None:
+    """Adds two files of one later row without an id each: the watermark passes all others."""
+    for i in range(2):
+        beat = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else (F.max("ts") + F.expr(f"INTERVAL {2 * LATE_S + i} SECONDS")).alias("ts") for f in rows.schema]
+        t.spark.read.parquet(f"{base}/in").agg(*beat).write.mode("append").parquet(f"{base}/in")
+
+
 def streamed(t: Tables, rows: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str, closed: bool = False) -> DataFrame:
     """What a job makes of rows that come as a stream, in batches of files.
 
@@ -33,9 +41,8 @@ def streamed(t: Tables, rows: DataFrame, job: Callable[[DataFrame], DataFrame],
     """
     base = _base(t)
     rows.repartition(4, "request_id").write.parquet(f"{base}/in")
-    for i in range(2 if closed else 0):
-        beat = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else (F.max("ts") + F.expr(f"INTERVAL {2 * LATE_S + i} SECONDS")).alias("ts") for f in rows.schema]
-        t.spark.read.parquet(f"{base}/in").agg(*beat).write.mode("append").parquet(f"{base}/in")
+    if closed:
+        _close(t, rows, base)
     source = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     out = job(source)
     writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
@@ -59,9 +66,26 @@ def _log(t: Tables) -> DataFrame:
     return _timed(t.usage.select("request_id", "ts", "provider", "model", "key_id", "status", "input_tokens", "output_tokens"))
 
 
-query("stream_rollup", "SELECT date_trunc('hour', ts) AS hour, provider, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM usage GROUP BY 1, 2")(
-    lambda t: _latest(streamed(t, _log(t), lambda s: J.stream_rollup(s, "60 days"), "update"), ["hour", "provider"], ["requests", "input_tokens"]).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
-)
+_MEASURES = """CAST(sum(total_e4) AS BIGINT) AS spend_e4, CAST(sum(input_e4) AS BIGINT) AS input_spend_e4, CAST(sum(output_e4) AS BIGINT) AS output_spend_e4,
+  count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens"""
+
+
+def _cost_log(t: Tables) -> DataFrame:
+    return _timed(t.usage.select("request_id", "ts", "provider", "model", "key_id", "user_id", "input_tokens", "output_tokens"))
+
+
+def _costs(t: Tables, source: DataFrame) -> DataFrame:
+    return J.stream_costs(source, J.stream_prices(t.usage, t.pricing, t.catalog), t.pricing)
+
+
+def _rolled(t: Tables, by: str, dims: list[str]) -> DataFrame:
+    out = streamed(t, _cost_log(t), lambda s: J.stream_rollup(_costs(t, s), by, dims, f"{LATE_S} seconds"), "update")
+    return _latest(out, [by, *dims], [*MEASURES]).withColumn(by, F.col(by).cast("timestamp_ntz"))
+
+
+query("stream_rollup", f"SELECT date_trunc('hour', ts) AS hour, provider, {_MEASURES} FROM cost GROUP BY 1, 2")(lambda t: _rolled(t, "hour", ["provider"]))
+query("stream_rollup_daily", f"SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, provider, model, {_MEASURES} FROM cost GROUP BY 1, 2, 3")(lambda t: _rolled(t, "day", ["provider", "model"]))
+query("stream_rollup_monthly", f"SELECT CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, key_id, {_MEASURES} FROM cost GROUP BY 1, 2")(lambda t: _rolled(t, "month", ["key_id"]))
 query("stream_rate_usage", "SELECT date_trunc('minute', ts) AS bucket, key_id, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS tokens FROM usage GROUP BY 1, 2")(
     lambda t: _latest(streamed(t, _log(t), lambda s: J.stream_rate_usage(s, watermark="60 days"), "update"), ["bucket", "key_id"], ["requests", "tokens"]).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 )
@@ -86,14 +110,21 @@ def stream_history_sink(t: Tables) -> DataFrame:
     return t.spark.read.schema("request_id long, dt string, hour string").json(f"{base}/usage").groupBy("dt", "hour").agg(F.count("*").alias("n"))
 
 
-@query("stream_day_archive")
+_DIMS = " UNION ALL ".join(f"SELECT 'cost' AS metric, day, '{dim}' AS dim, {member} AS member, {_MEASURES} FROM cost{where} GROUP BY ALL" for dim, member, where in (("total", "''", ""), ("provider", "provider", ""), ("model", "model", ""), ("key", "key_id", " WHERE key_id <> ''"), ("user", "user_id", " WHERE user_id <> ''")))
+
+
+@query("stream_day_archive", _DIMS)
 def stream_day_archive(t: Tables) -> DataFrame:
-    base = _base(t)
-    rows = _log(t)
-    rows.write.parquet(f"{base}/in")
-    source = t.spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-    J.stream_day_archive(source, f"{base}/out", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema("day date, provider string, requests long").parquet(f"{base}/out")
+    """All days of the log are closed by later rows without an id; a second job over the same log finds them archived."""
+    base, rows = _base(t), _cost_log(t)
+    rows.repartition(4, "request_id").write.parquet(f"{base}/in")
+    _close(t, rows, base)
+    for job in "ab":
+        source = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+        days = J.day_deltas(_costs(t, source), f"{LATE_S} seconds")
+        J.stream_day_archive(days, f"{base}/archive", f"{base}/state-{job}").trigger(availableNow=True).start().awaitTermination()
+    last = t.usage.agg(F.to_date(F.max("ts")).alias("last"))
+    return J.read_archive(t.spark, f"{base}/archive").join(last, F.col("day") <= F.col("last")).select("metric", "day", "dim", "member", *MEASURES)
 
 
 _ATTEMPTS = ("request_id", "ts", "provider", "model", "failure_class", "aborted")

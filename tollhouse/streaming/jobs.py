@@ -8,19 +8,43 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tollhouse.operators.breaker import Breakers
 from tollhouse.operators.limits import Limiter
+from tollhouse.operators.pricing import price_tiered, price_with_fallback, request_cost
 from tollhouse.operators.redact import redact_text
+from tollhouse.operators.rollups import MEASURES, measures
 from tollhouse.streaming.ordered import in_order
 
 
-def stream_rollup(df: DataFrame, watermark: str = "26 hours") -> DataFrame:
-    """Requests and tokens per UTC hour and provider; late rows count until the watermark."""
-    return df.withWatermark("ts", watermark).groupBy(F.window("ts", "1 hour").alias("w"), "provider").agg(F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens")).select(F.col("w.start").alias("hour"), "provider", "requests", "input_tokens")
+#: How long a rollup's state of an hour, a day and a month takes late rows (fixed values).
+RETENTION = {"hour": "26 hours", "day": "48 hours", "month": "35 days"}
+
+
+def stream_prices(known: DataFrame, pricing: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(provider, model, matched_model, is_estimate) of ``known`` names, for ``stream_costs``: names are matched once, outside the stream."""
+    names = known.select("provider", "model").distinct().withColumn("input_tokens", F.lit(0).cast("long"))
+    return price_with_fallback(names, pricing, catalog).select("provider", "model", "matched_model", "is_estimate")
+
+
+def stream_costs(df: DataFrame, matched: DataFrame, pricing: DataFrame) -> DataFrame:
+    """A stream of requests with matched_model, prices and costs by a join with static tables; unknown names cost 0."""
+    named = df.join(matched, ["provider", "model"], "left").withColumn("is_estimate", F.coalesce("is_estimate", F.lit(False)))
+    return request_cost(price_tiered(named, pricing, model_col="matched_model"))
+
+
+def stream_rollup(costs: DataFrame, by: str, dims: list[str], watermark: str | None = None) -> DataFrame:
+    """All measures of cost (``rollups.MEASURES``) of each UTC ``by`` (hour, day or month) and ``dims``; late rows count until the retention is over.
+
+    The result has ``by`` as a timestamp at its start.  One job for each granularity: each has its own
+    watermark, so an hour's state goes after a day and a month's after the month that follows.
+    """
+    start = F.date_trunc(by, "ts")
+    rows = costs.withColumn(by, start).withWatermark(by, watermark or RETENTION[by])
+    return rows.groupBy(by, *dims).agg(*measures())
 
 
 def stream_rate_usage(df: DataFrame, scope: str = "key_id", watermark: str = "10 minutes") -> DataFrame:
@@ -33,11 +57,52 @@ def stream_failure_rate(df: DataFrame, window: str = "120 seconds", slide: str =
     return df.filter("status >= 500").withWatermark("ts", watermark).groupBy(F.window("ts", window, slide).alias("w"), "provider", "model").agg(F.count("*").alias("failures")).select(F.col("w.end").alias("until"), "provider", "model", "failures")
 
 
-def stream_day_archive(df: DataFrame, path: str, checkpoint: str, watermark: str = "48 hours") -> DataStreamWriter:
-    """Writes each closed UTC day and provider once, as (day, provider, requests), by append after the watermark."""
-    days = df.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day").alias("w"), "provider").agg(F.count("*").alias("requests"))
-    rows = days.select(F.to_date("w.start").alias("day"), "provider", "requests")
-    return rows.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+def day_deltas(costs: DataFrame, watermark: str = RETENTION["day"]) -> DataFrame:
+    """(metric, day, dim, member and all measures) of closed UTC days, for ``stream_day_archive``: totals and each dimension that has a member."""
+    named = [F.when(F.col(c) != "", F.struct(F.lit(k).alias("dim"), F.col(c).alias("member"))) for k, c in (("provider", "provider"), ("model", "model"), ("key", "key_id"), ("user", "user_id"))]
+    each = F.explode(F.array_compact(F.array(F.struct(F.lit("total").alias("dim"), F.lit("").alias("member")), *named))).alias("d")
+    rows = costs.select("ts", each, "total_e4", "input_e4", "output_e4", "input_tokens", "output_tokens").withWatermark("ts", watermark)
+    days = rows.groupBy(F.window("ts", "1 day").alias("w"), "d").agg(*measures())
+    return days.select(F.lit("cost").alias("metric"), F.to_date("w.start").alias("day"), "d.*", *MEASURES)
+
+
+def archive_batch(batch: DataFrame, number: int, path: str, writer: str) -> None:
+    """Merges closed days (metric, day, …) into ``path/days``, each (metric, day) as a whole and by one writer alone.
+
+    A ledger in ``path/ledger`` says which writer archived a day with which batch.  Days that
+    another writer or batch has archived are left as they are; a batch that runs again, even after
+    it failed between data and ledger, replaces its own days by the same rows.
+    """
+    spark = batch.sparkSession
+    ledger = f"{path}/ledger"
+    fields = "metric string, day date, writer string, batch long"
+    known = spark.read.schema(fields).parquet(ledger) if _exists(spark, ledger) else spark.createDataFrame([], fields)
+    theirs = known.filter((F.col("writer") != writer) | (F.col("batch") != number))
+    rows = batch.join(theirs, ["metric", "day"], "left_anti").persist()
+    rows.repartition("metric", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric", "day").parquet(f"{path}/days")
+    mine = known.filter((F.col("writer") == writer) & (F.col("batch") == number))
+    new = rows.select("metric", "day").distinct().join(mine, ["metric", "day"], "left_anti")
+    new.withColumns({"writer": F.lit(writer), "batch": F.lit(number).cast("long")}).coalesce(1).write.mode("append").parquet(ledger)
+    rows.unpersist()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """The days that ``stream_day_archive`` has closed; both filters on metric and day prune folders."""
+    fields = ", ".join(f"{m} long" for m in MEASURES)
+    return spark.read.schema(f"dim string, member string, {fields}, metric string, day date").parquet(f"{path}/days")
+
+
+def stream_day_archive(days: DataFrame, path: str, checkpoint: str, writer: str = "") -> DataStreamWriter:
+    """Writes closed days, such as ``day_deltas`` gives them, once: after the watermark, merged by (metric, day).
+
+    ``writer`` names this job (its checkpoint, if empty) in the ledger.
+    """
+    return days.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: archive_batch(df, n, path, writer or checkpoint))
 
 
 def stream_dedupe_requests(df: DataFrame, watermark: str = "10 minutes") -> DataFrame:
