@@ -209,29 +209,93 @@ def leaked(text: str, registry: list[dict] | None) -> int:
 
 
 _IMAGE = re.compile(r"^(?:data:image/[a-z0-9.+-]+;base64,)?[A-Za-z0-9+/\r\n]{1024,}={0,2}$")
-_USER_KEYS = frozenset({"content", "text", "input", "prompt", "arguments", "output", "query"})
 _SYSTEM_KEYS = frozenset({"tools", "functions", "schema", "json_schema", "response_format", "tool_choice", "metadata", "model", "id", "role", "type", "name", "url"})
 
 
-def scrub_json(body: str, registry: Registry) -> str:
-    """A chat body with user content scrubbed: texts under content, parts, inputs and arguments; keys, schemas, ids and images stay."""
+#: Fields of request bodies that hold text of users, by provider: the field and the fields that one of must enclose it; "*" is any place, "" the top alone (fixed values).
+TEXT_FIELDS = {
+    "openai": {"content": ("messages",), "text": ("content", "input"), "input": ("",), "prompt": ("",), "arguments": ("tool_calls", "function", "input"), "output": ("tool_calls", "function", "input")},
+    "anthropic": {
+        "system": ("*",), "content": ("messages", "tool_result", "output"), "text": ("parts", "content", "message", "system"), "input": ("tool_use", "tool_calls", "function_call"),
+        "arguments": ("tool_calls", "function"), "output": ("tool_calls", "function"),
+    },
+    "gemini": {"text": ("parts", "content", "message")},
+    "bedrock": {"text": ("content", "system", "toolResult"), "content": ("tool_result", "toolResult")},
+}
+#: Fields whose objects are text as a whole, their keys left out; all of a group must enclose them (fixed values).
+OBJECT_FIELDS = {
+    "anthropic": {"input": (("tool_use",),)},
+    "gemini": {"args": (("functionCall",), ("function_call",)), "response": (("functionResponse",), ("function_response",))},
+    "bedrock": {"input": (("toolUse",),), "json": (("toolResult", "content"),)},
+}
+#: Fields whose lists hold texts themselves (fixed values).
+LIST_FIELDS = {"openai": ("input",)}
+
+
+def _providers(name: str | None) -> list[str]:
+    """The provider whose rules hold; all for one that is not known."""
+    return [name] if name in TEXT_FIELDS else [*TEXT_FIELDS]
+
+
+def json_leaves(body: str, provider: str | None = None) -> tuple[object, list[tuple[object, object, str, bool]]]:
+    """The value of a body and its texts of users in order: (container, key, text, whether it is an object's JSON).
+
+    A body that is no JSON object or list is one text by itself, without a container.
+    """
     try:
         value = json.loads(body)
     except ValueError:
-        return scrub(body, registry)
+        value = None
     if not isinstance(value, (dict, list)):
-        return scrub(body, registry)
-
-    def walk(x, inside: bool):
-        if isinstance(x, dict):
-            return {k: v if k in _SYSTEM_KEYS else walk(v, inside or k in _USER_KEYS) for k, v in x.items()}
-        if isinstance(x, list):
-            return [walk(v, inside) for v in x]
-        if isinstance(x, str) and inside and not _IMAGE.match(x):
-            return scrub(x, registry)
-        return x
-
-    return json.dumps(walk(value, False), ensure_ascii=False, separators=(",", ":"))
+        return None, [(None, None, body, False)]
+    names, found = _providers(provider), []
+
+    def is_text(path: tuple, key: str) -> bool:
+        return any(o == "*" or (o == "" and not path) or o in path for n in names for o in TEXT_FIELDS[n].get(key, ()))
+
+    def is_object(path: tuple, key: str) -> bool:
+        return any(all(o in path for o in group) for n in names for group in OBJECT_FIELDS.get(n, {}).get(key, ()))
+
+    todo: list[tuple] = [(value, ())]
+    while todo:
+        own, path = todo.pop()
+        is_list = isinstance(own, list)
+        listed = is_list and any(o in path for n in names for o in LIST_FIELDS.get(n, ()))
+        below = []
+        for key, child in enumerate(own) if is_list else own.items():
+            if isinstance(child, str):
+                if (listed if is_list else is_text(path, key)) and not _IMAGE.match(child):
+                    found.append((own, key, child, False))
+            elif isinstance(child, (dict, list)):
+                if not is_list and is_object(path, key):
+                    found.append((own, key, json.dumps(child, ensure_ascii=False, separators=(",", ":")), True))
+                else:
+                    below.append((child, path if is_list else (*path, key)))
+        todo += reversed(below)
+    return value, found
+
+
+def leaf_spans(text: str, is_object: bool) -> list[dict]:
+    """Final spans of a text of ``json_leaves``; keys and schemas of an object are not looked at."""
+    return final_spans(mask_json_metadata(text) if is_object else text)
+
+
+def put_leaves(body: str, provider: str | None, spans: list[list[dict]], registry: Registry) -> str:
+    """A body with the spans of each of its texts (in their order) as placeholders."""
+    value, found = json_leaves(body, provider)
+    for (own, key, text, is_object), marks in zip(found, spans, strict=True):
+        for s in reversed(marks):
+            text = text[: s["start"]] + registry.placeholder(s["entity_type"], text[s["start"] : s["end"]]) + text[s["end"] :]
+        if own is None:
+            return text
+        if is_object:
+            try:
+                own[key] = json.loads(text)
+            except ValueError:
+                continue
+        else:
+            own[key] = text
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
 def mask_json_metadata(body: str) -> str:

@@ -117,9 +117,44 @@ def scrub_text(df: DataFrame, text_col: str, helper: Callable[[str, pii.Registry
     return df.withColumn("__r", udf(F.col(text_col))).select(*[c for c in df.columns if c not in ("scrubbed", "registry")], "__r.*")
 
 
-def scrub_json(df: DataFrame, body_col: str) -> DataFrame:
-    """``df`` with chat bodies scrubbed in their user content only."""
-    return scrub_text(df, body_col, pii.scrub_json)
+def scrub_json(df: DataFrame, body_col: str, provider_col: str | None = None) -> DataFrame:
+    """``df`` with request bodies scrubbed where their provider's format holds text of users, and the registry of placeholders.
+
+    Bodies are taken apart into such texts; each different text of the table is analysed
+    once, whatever bodies have it; then bodies are put together again with the spans found.
+    Without a provider, or one that is not known, the fields of all providers count.  A body that
+    is not JSON, or is a single value, is a text; null stays null.  Equal bodies of a
+    provider are taken apart once.
+    """
+
+    @F.pandas_udf("array<struct<at:int,text:string,object:boolean>>")
+    def leaves(bodies: pd.Series, providers: pd.Series) -> pd.Series:
+        taken = ([] if b is None else pii.json_leaves(b, p)[1] for b, p in zip(bodies, providers, strict=True))
+        return pd.Series([[{"at": i, "text": text, "object": is_object} for i, (_, _, text, is_object) in enumerate(found)] for found in taken])
+
+    @F.pandas_udf(SPANS)
+    def analysed(texts: pd.Series, objects: pd.Series) -> pd.Series:
+        return pd.Series([pii.leaf_spans(t, o) for t, o in zip(texts, objects, strict=True)])
+
+    @F.pandas_udf(f"scrubbed string, registry {REGISTRY}")
+    def put(bodies: pd.Series, providers: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        rows = []
+        for b, p, s in zip(bodies, providers, spans, strict=True):
+            registry = pii.Registry()
+            rows.append((None if b is None else pii.put_leaves(b, p, [_records(x["spans"]) for x in _records(s)], registry), registry.rows()))
+        return pd.DataFrame(rows, columns=["scrubbed", "registry"])
+
+    own = [c for c in df.columns if c not in ("scrubbed", "registry")]
+    provider = F.col(provider_col) if provider_col else F.lit(None).cast("string")
+    key = F.sha2(F.concat(F.coalesce(provider, F.lit("")), F.lit("\x00"), F.col(body_col)), 256)
+    keyed = df.select(*own).withColumns({"__body": key, "__provider": provider})
+    parts = keyed.filter(F.col(body_col).isNotNull()).select("__body", F.explode(leaves(F.col(body_col), "__provider")).alias("l"))
+    parts = parts.select("__body", "l.at", "l.text", "l.object", F.sha2(F.concat(F.col("l.object").cast("string"), F.col("l.text")), 256).alias("__text"))
+    once = parts.select("__text", "text", "object").dropDuplicates(["__text"]).select("__text", analysed("text", "object").alias("spans"))
+    places = parts.select("__body", "at", "__text").distinct()
+    found = places.join(once, "__text").groupBy("__body").agg(F.sort_array(F.collect_list(F.struct("at", "spans"))).alias("__spans"))
+    joined = keyed.join(found, "__body", "left").withColumn("__r", put(F.col(body_col), "__provider", F.coalesce("__spans", F.array().cast(f"array<struct<at:int,spans:{SPANS}>>"))))
+    return joined.select(*own, "__r.*")
 
 
 def scrub_conversation(df: DataFrame, conv_col: str, order_col: str, text_col: str) -> DataFrame:

@@ -221,7 +221,24 @@ def _bodies(turns: DataFrame) -> DataFrame:
     return turns.withColumn("body", F.to_json(F.struct(F.lit("m").alias("model"), F.array(message).alias("messages"), F.struct(F.lit("a@corp.test").alias("note")).alias("metadata"))))
 
 
-_query("scrub_json_all", "conversations")(lambda turns: X.scrub_json(_bodies(turns), "body").select("conv_id", "turn", "scrubbed"))
+def _provider_bodies(turns: DataFrame) -> DataFrame:
+    """Each turn's whole text as a request body in the format of one of four providers."""
+    text = F.coalesce("text", F.lit(""))
+    say = lambda **fields: F.struct(*[v.alias(k) for k, v in fields.items()])
+    tool = say(toolUse=say(name=F.lit("find"), input=say(note=text)))
+    bodies = (
+        ("openai", say(model=F.lit("m"), input=F.array(text, F.lit("again")), metadata=say(note=text))),
+        ("anthropic", say(system=text, messages=F.array(say(role=F.col("role"), content=F.array(say(type=F.lit("text"), text=text)))))),
+        ("gemini", say(contents=F.array(say(parts=F.array(say(text=text, functionCall=say(name=F.lit("f"), args=say(who=text)))))))),
+        ("bedrock", say(messages=F.array(say(role=F.col("role"), content=F.array(say(text=text), say(text=F.lit("end"))))), toolConfig=tool)),
+    )
+    which, body, provider = F.pmod(F.hash("conv_id", "turn"), F.lit(len(bodies))), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (name, value) in enumerate(bodies):
+        body, provider = F.when(which == i, F.to_json(value)).otherwise(body), F.when(which == i, name).otherwise(provider)
+    return turns.withColumns({"body": body, "provider": provider})
+
+
+_query("scrub_json_all", "conversations")(lambda turns: X.scrub_json(_provider_bodies(turns), "body", "provider").select("conv_id", "turn", "provider", "scrubbed"))
 _query("mask_json_metadata_all", "conversations")(lambda turns: X.mask_json_metadata(_bodies(turns), "body").select("conv_id", "turn", "masked"))
 
 

@@ -13,6 +13,7 @@ from tollhouse.operators.rollups import MEASURES
 from tollhouse.plans.adapter import PRELUDE, Tables
 from tollhouse.plans.queries_limits import BREAKERS, outcomes, rollup_events
 from tollhouse.plans.registry import ORACLES, query
+from tollhouse.sources.history_source import read_chunks
 from tollhouse.streaming import jobs as J
 
 
@@ -100,14 +101,14 @@ query("stream_redact", "SELECT request_id, 'mail [REDACTED:EMAIL_ADDRESS] now' A
 )
 
 
-@query("stream_history_sink", "SELECT strftime(ts, '%Y-%m-%d') AS dt, strftime(ts, '%H') AS hour, count(*) AS n FROM usage GROUP BY 1, 2")
+@query("stream_history_sink", "SELECT request_id, provider, input_tokens, strftime(ts, '%Y-%m-%d') AS dt, strftime(ts, '%H') AS hour, 'edge' AS role, 'i-1' AS instance FROM usage")
 def stream_history_sink(t: Tables) -> DataFrame:
     base = _base(t)
     rows = _log(t)
     rows.write.parquet(f"{base}/in")
     source = t.spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-    J.stream_history_sink(source, base, "usage", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema("request_id long, dt string, hour string").json(f"{base}/usage").groupBy("dt", "hour").agg(F.count("*").alias("n"))
+    J.stream_history_sink(source, base, "usage", f"{base}/state", max_records=100, role="edge", instance="i-1").trigger(availableNow=True).start().awaitTermination()
+    return read_chunks(t.spark, base, "usage", "request_id long, provider string, input_tokens long")
 
 
 _DIMS = " UNION ALL ".join(f"SELECT 'cost' AS metric, day, '{dim}' AS dim, {member} AS member, {_MEASURES} FROM cost{where} GROUP BY ALL" for dim, member, where in (("total", "''", ""), ("provider", "provider", ""), ("model", "model", ""), ("key", "key_id", " WHERE key_id <> ''"), ("user", "user_id", " WHERE user_id <> ''")))

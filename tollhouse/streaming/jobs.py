@@ -17,6 +17,7 @@ from tollhouse.operators.limits import Limiter
 from tollhouse.operators.pricing import price_tiered, price_with_fallback, request_cost
 from tollhouse.operators.redact import redact_text
 from tollhouse.operators.rollups import MEASURES, measures
+from tollhouse.sources import history_source
 from tollhouse.streaming.ordered import in_order
 
 
@@ -115,10 +116,20 @@ def stream_redact(df: DataFrame, text_col: str) -> DataFrame:
     return redact_text(df, text_col)
 
 
-def stream_history_sink(df: DataFrame, base: str, stream: str, checkpoint: str, trigger: str = "5 minutes") -> DataStreamWriter:
-    """Rows as JSON lines in folders of day and hour."""
-    rows = df.withColumns({"dt": F.date_format("ts", "yyyy-MM-dd"), "hour": F.date_format("ts", "HH")})
-    return rows.writeStream.partitionBy("dt", "hour").format("json").option("compression", "gzip").option("path", f"{base}/{stream}").option("checkpointLocation", checkpoint).trigger(processingTime=trigger)
+def stream_history_sink(
+    df: DataFrame, base: str, stream: str, checkpoint: str, trigger: str = "5 minutes", max_records: int = history_source.MAX_RECORDS, max_bytes: int = history_source.MAX_BYTES,
+    role: str = "sidecar", instance: str = "spark", streams: tuple[str, ...] | None = None,
+) -> DataStreamWriter | None:
+    """Writes rows as chunks of gzip JSON lines by day and hour, of at most ``max_records`` rows and ``max_bytes`` bytes of text (a longer row is alone).
+
+    A chunk is as old as ``trigger`` at most.  It appears when its batch commits and belongs to
+    ``role`` and ``instance``.  A stream that ``streams`` does not list is not written: None.
+    """
+    if streams is not None and stream not in streams:
+        return None
+    history_source.register(df.sparkSession)
+    writer = history_source.chunk_rows(df, stream).writeStream.format("history").option("path", f"{base}/{stream}").option("checkpointLocation", checkpoint)
+    return writer.option("maxRecords", max_records).option("maxBytes", max_bytes).option("role", role).option("instance", instance).trigger(processingTime=trigger)
 
 
 _BREAKER = "request_id long, provider string, model string, state_before string, action string, key string, opens boolean"
