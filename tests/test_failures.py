@@ -101,6 +101,12 @@ BODIES = [
     ("openai", False, "[1, 2", None),
     ("openai", True, "data: hello\n\n", None),
     ("openai", None, "{}", None),
+    ("openai", None, json.dumps({"choices": [], "model": "m", "usage": {"prompt_tokens": 7, "completion_tokens": 3}}), ("m", 7, 3)),
+    ("openai", None, _stream({"model": "m", "choices": []}, {"model": "m", "choices": [], "usage": {"prompt_tokens": 7, "completion_tokens": 3}}, "[DONE]"), ("m", 7, 3)),
+    ("openai", True, json.dumps({"choices": [], "model": "m", "usage": {"prompt_tokens": 7, "completion_tokens": 3}}), ("m", 7, 3)),
+    ("anthropic", True, "\n " + json.dumps({"model": "m", "usage": USAGE}), ("m", 7, 3)),
+    ("openai", True, json.dumps({"error": {"message": "no"}}), None),
+    ("openai", None, None, None),
 ]
 
 

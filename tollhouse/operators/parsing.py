@@ -199,12 +199,16 @@ def parse_sse_generate(df: DataFrame, body_col: str = "response_body") -> DataFr
 def parse_usage(df: DataFrame) -> DataFrame:
     """One usage row a request (is_streaming, response_body), by the shape of its body whoever sent it; others are nulls with parse_error.
 
-    Each parser gets the bodies of its shape alone, so a body is parsed once.
+    A JSON object that answers a streaming request is read as a whole body, for providers answer
+    errors and some requests so; where it is not known whether a request streams, the body says
+    so.  Each parser gets the bodies of its shape alone, so a body is parsed once.
     """
     columns = df.columns
-    shaped = detect_body_shape(df.withColumn("__b", F.when(~F.col("is_streaming"), F.col("response_body"))), "__b").withColumnRenamed("shape", "__whole")
-    shaped = detect_stream_shape(shaped.withColumn("__b", F.when(F.col("is_streaming"), F.col("response_body"))), "__b")
-    every = shaped.withColumn("__route", F.when(F.col("is_streaming"), F.concat(F.lit("sse_"), "shape")).otherwise(F.col("__whole"))).drop("__b", "__whole", "shape")
+    whole = F.coalesce(~F.col("is_streaming"), F.lit(False)) | F.coalesce(F.col("response_body").rlike(r"^\s*\{"), F.lit(False))
+    body = F.col("response_body")
+    shaped = detect_body_shape(df.withColumn("__w", whole).withColumn("__b", F.when(F.col("__w"), body)), "__b").withColumnRenamed("shape", "__whole")
+    shaped = detect_stream_shape(shaped.withColumn("__b", F.when(~F.col("__w"), body)), "__b")
+    every = shaped.withColumn("__route", F.when(F.col("__w"), F.col("__whole")).otherwise(F.concat(F.lit("sse_"), "shape"))).drop("__b", "__w", "__whole", "shape")
     parsers = {
         "chat": parse_chat_completion, "responses": parse_responses_api, "generate": parse_generate_content, "messages": parse_messages_api, "converse": parse_converse,
         "sse_chat": parse_sse_chat, "sse_responses": parse_sse_responses, "sse_generate": parse_sse_generate, "sse_messages": parse_sse_messages, "sse_converse": parse_sse_converse,

@@ -221,6 +221,11 @@ def scan_outcome(df: DataFrame, text_col: str, failed: Column, max_bytes: int =
     return df.withColumn("outcome", F.when(F.octet_length(text_col) > max_bytes, "oversize").when(failed, f"fail_{fail_mode}").otherwise("ok"))
 
 
+def scanned_text(df: DataFrame, text_col: str, outcome_col: str = "outcome") -> DataFrame:
+    """``df`` with its text only where the scan went well: what was too long or failed has no findings."""
+    return df.withColumn(text_col, F.when(F.col(outcome_col) == "ok", F.col(text_col)))
+
+
 def gov_id_gate(images: DataFrame, least: float = 0.4) -> DataFrame:
     """(request_id, outcome, entity_type, score) of rows (request_id, text, error): a passport or licence blocks, whatever else failed."""
     spans = pii_detect(images, "text", ["US_PASSPORT", "US_DRIVER_LICENSE"])

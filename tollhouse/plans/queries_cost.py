@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tollhouse.functions.surface import register_all
 from tollhouse.operators import pricing as P
 from tollhouse.operators import rollups as R
 from tollhouse.plans.adapter import Tables
@@ -100,3 +101,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY spend_e4 DESC, memb
 SELECT day, CASE WHEN rn <= 2 THEN member ELSE 'other_provider' END AS member, CAST(sum(spend_e4) AS BIGINT) AS spend_e4 FROM r GROUP BY 1, 2""")
 def topn_with_other(t: Tables) -> DataFrame:
     return R.topn_with_other(R.cost_by_provider(costed(t)), ["day"], "spend_e4", "member", 2, "provider")
+
+
+@query("sql_functions", "SELECT request_id, key_id[1:12] AS masked_start, length(key_id) > 12 AS hashed, input_e4, CAST(60 - CAST(floor(epoch(ts)) AS BIGINT) % 60 AS BIGINT) AS left, provider FROM cost")
+def sql_functions(t: Tables) -> DataFrame:
+    """The registered SQL functions over priced requests."""
+    register_all(t.spark)
+    text = """SELECT request_id, substring(mask_key_id(key_id), 1, 12) AS masked_start, length(mask_key_id(key_id)) = 21 AS hashed, cost_e4(input_tokens, price_in) AS input_e4,
+        seconds_left(CAST(ts AS TIMESTAMP), 'minute') AS left, breaker_provider(concat(provider, ':', model)) AS provider FROM {rows}"""
+    return t.spark.sql(text, rows=costed(t))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tollhouse.functions.surface import register_all
 from tollhouse.operators import redact as X
 from tollhouse.plans.registry import ORACLES, QUERIES
 
@@ -104,14 +105,18 @@ def scan_outcome(docs: DataFrame) -> DataFrame:
     return X.scan_outcome(docs, "text", F.col("doc_id") % 7 == 0, 4000, "closed").select("doc_id", "outcome")
 
 
-_SCANS = "scans AS (SELECT doc_id, DATE '2024-01-01' + CAST(doc_id % 5 AS INT) AS day, source, (SELECT count(*) FROM ({found}) y WHERE y.doc_id = d.doc_id) AS n, CASE WHEN strlen(text) > 4000 THEN 'oversize' WHEN doc_id % 7 = 0 THEN 'fail_open' ELSE 'ok' END AS outcome FROM documents d)".format(found=_FOUND)
+_SCANS = "scans AS (SELECT doc_id, DATE '2024-01-01' + CAST(doc_id % 5 AS INT) AS day, source, CASE WHEN strlen(text) > 4000 OR doc_id % 7 = 0 THEN 0 ELSE (SELECT count(*) FROM ({found}) y WHERE y.doc_id = d.doc_id) END AS n, CASE WHEN strlen(text) > 4000 THEN 'oversize' WHEN doc_id % 7 = 0 THEN 'fail_open' ELSE 'ok' END AS outcome FROM documents d)".format(found=_FOUND)
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
+    """Documents with the outcome of their scan, too long and failed ones without their text."""
+    return X.scanned_text(X.scan_outcome(docs, "text", F.col("doc_id") % 7 == 0, 4000), "text")
 
 
 def _scans(docs: DataFrame) -> DataFrame:
-    found = X.pii_detect(docs, "text", ["EMAIL_ADDRESS"])
+    found = X.pii_detect(_scanned(docs), "text", ["EMAIL_ADDRESS"])
     counts = F.when(F.size("spans") > 0, F.create_map(F.lit("EMAIL_ADDRESS"), F.size("spans"))).otherwise(F.create_map().cast("map<string,int>"))
-    rows = found.withColumns({"entity_counts": counts, "day": F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 5).cast("int"))})
-    return X.scan_outcome(rows, "text", F.col("doc_id") % 7 == 0, 4000)
+    return found.withColumns({"entity_counts": counts, "day": F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 5).cast("int"))})
 
 
 _DAILY = """SELECT day, count(*) AS requests_scanned, count(*) FILTER (n > 0) AS requests_with_pii, CAST(sum(n) AS BIGINT) AS entities_total, count(*) FILTER (outcome = 'fail_open') AS fail_open,
@@ -186,11 +191,10 @@ _query("id_gate_daily", "documents", f"WITH g AS ({_GATE}) SELECT DATE '2024-01-
 
 
 def _all_scans(docs: DataFrame) -> DataFrame:
-    found = X.span_threshold(X.pii_detect(docs, "text"), "text")
+    found = X.span_threshold(X.pii_detect(_scanned(docs), "text"), "text")
     kinds = F.array_distinct(F.transform("spans", lambda s: s["entity_type"]))
     counts = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter("spans", lambda s: s["entity_type"] == k))))
-    rows = found.withColumns({"entity_counts": counts, "day": F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 5).cast("int"))})
-    return X.scan_outcome(rows, "text", F.col("doc_id") % 7 == 0, 4000)
+    return found.withColumns({"entity_counts": counts, "day": F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 5).cast("int"))})
 
 
 _query("pii_daily_all", "documents")(lambda docs: X.pii_daily(_all_scans(docs)))
@@ -258,3 +262,19 @@ def extract_images_all(turns: DataFrame) -> DataFrame:
     part = F.struct(F.lit("image_url").alias("type"), F.struct(F.concat(F.lit("data:image/png;base64,"), _payload()).alias("url")).alias("image_url"))
     body = F.to_json(F.struct(F.array(F.struct(F.array(part).alias("content"))).alias("messages")))
     return X.extract_images(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), body.alias("body")), "body", 1 << 20)
+
+
+@_query("sql_spans", "documents", f"SELECT doc_id, v AS value, count(*) AS n FROM ({_FOUND}) y GROUP BY ALL")
+def sql_spans(docs: DataFrame) -> DataFrame:
+    """E-mail addresses as a table function gives them to SQL."""
+    spark = docs.sparkSession
+    register_all(spark)
+    return spark.sql("SELECT doc_id, value, count(*) AS n FROM {docs}, LATERAL pii_spans(text) WHERE entity_type = 'EMAIL_ADDRESS' GROUP BY ALL", docs=docs.select("doc_id", "text"))
+
+
+@_query("sql_redact_all", "documents")
+def sql_redact_all(docs: DataFrame) -> DataFrame:
+    """Whole texts redacted from SQL."""
+    spark = docs.sparkSession
+    register_all(spark)
+    return spark.sql("SELECT doc_id, redact_text(text) AS redacted FROM {docs}", docs=docs.select("doc_id", "text"))

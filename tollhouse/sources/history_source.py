@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
 from tollhouse.sources.history import STREAMS
 
@@ -60,10 +60,12 @@ class HistoryReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
-            name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
+            name = f.attribute[0] if isinstance(f, (EqualTo, In, IsNotNull)) and len(f.attribute) == 1 else None
             if name not in _FIELDS:
                 yield f
                 continue
+            if isinstance(f, IsNotNull):
+                continue  # every chunk has all fields
             values = {f.value} if isinstance(f, EqualTo) else set(f.value)
             self.wanted[name] = self.wanted[name] & values if name in self.wanted else values
 
