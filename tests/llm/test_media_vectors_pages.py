@@ -166,3 +166,49 @@ def test_deep_pages(spark, tag):
     deep = [f"<body><p>Start {i}</p>" + f"<{tag}>x{i} " * 5000 for i in range(2)]
     wanted = [f"Start {i}" + f" x{i}" * 5000 for i in range(2)]
     assert wrapped(spark, [*deep, "<body><p>Flat</p></body>"]) == [*wanted, "Flat"]
+
+
+@pytest.mark.parametrize("shape", ["<form id=aspnetForm>{}</form>", "<form><article>{}</article></form>", "<form><fieldset><main>{}</main></fieldset></form>", "<form><div class=content>{}</div></form>", "<form role=search><input></form><form>{}</form>"])
+def test_pages_in_a_form(spark, shape):
+    """A form around the page's text stays; small forms and their buttons go."""
+    page = lambda i: "<body><form class=login><label>Sign in</label><input><button>Go</button></form>" + shape.format(f"<h1>Title {i}</h1><p>{f'word{i} ' * 40}</p><select><option>x</select>") + "</body>"
+    wanted = [f"Title {i} {f'word{i} ' * 40}".strip() for i in range(4)]
+    assert wrapped(spark, [page(i) for i in range(4)]) == wanted
+    assert wrapped(spark, [page(0)]) == wanted[:1]
+
+
+@pytest.mark.parametrize("tag, name", [("p", "share-price"), ("div", "notice-of-motion"), ("div", "ad-hoc"), ("section", "related-work"), ("div", "article-header"), ("p", "no-comment")])
+def test_names_inside_an_article(spark, tag, name):
+    """A name counts as a whole: one that merely begins like an advert's condemns nothing."""
+    page = lambda i: f"<body><article><header><h1>Head {i}</h1></header><{tag} class='{name}'>Kept {i} text</{tag}><p>{f'body{i} ' * 30}</p><div class='share-buttons'>Share {i}</div><div class=ads>Buy {i}</div></article></body>"
+    wanted = [f"Head {i} Kept {i} text {f'body{i} ' * 30}".strip() for i in range(4)]
+    assert wrapped(spark, [page(i) for i in range(4)]) == wanted
+    assert wrapped(spark, [page(0)]) == wanted[:1]
+
+
+def test_place_decides_beside_an_article(spark):
+    """What stands beside the article goes whatever its name, unless it holds most of what varies; the page's heading stays."""
+    page = lambda i, n: f"<body><div class=x1>Aside {i}</div><h1>Title {i}</h1><article><p>{f'main{i} ' * 20}</p></article><section class=x2>{f'more{i} ' * n}</section></body>"
+    assert wrapped(spark, [page(i, 3) for i in range(4)]) == [f"Title {i} {f'main{i} ' * 20}".strip() for i in range(4)]
+    assert wrapped(spark, [page(i, 100) for i in range(4)]) == [f"Title {i} {f'main{i} ' * 20}{f'more{i} ' * 100}".strip() for i in range(4)]
+
+
+def test_given_pages_do_not_need_names(spark, sf):
+    """The advert of the given pages goes by its place: another class gives the same text."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    renamed = pages.selectExpr("page_id", "url", "replace(html, 'class=\"ad\"', 'class=\"q\"') AS html")
+    assert renamed.filter("html LIKE '%class=\"q\"%'").count() > 0
+    assert {r.page_id: r.main_text for r in wrapper.main_text(renamed).collect()} == {r.page_id: r.main_text for r in wrapper.main_text(pages).collect()}
+
+
+def test_given_pages_change_by_their_template(spark, sf):
+    """A constant line put into the articles of the given hosts goes by induction alone, and is kept where pages are taken one by one."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").filter("html LIKE '%</article>%'")
+    added = pages.selectExpr("page_id", "url", "replace(html, '</article>', '<p class=\"z\">Read more of our stories</p></article>') AS html")
+    many = added.groupBy(wrapper._host("url").alias("h")).count().filter("count >= 3").collect()
+    hosts = {r.h for r in many}
+    before = {r.page_id: r.main_text for r in wrapper.main_text(pages).collect()}
+    after = wrapper.main_text(added).withColumn("h", wrapper._host("url")).collect()
+    by_template = [r for r in after if r.h in hosts]
+    assert by_template and all(r.main_text == before[r.page_id] for r in by_template)
+    assert all(wrapper.extract(r.html).endswith("Read more of our stories") for r in by_template)

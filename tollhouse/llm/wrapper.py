@@ -33,11 +33,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not parsed.
 RAW = frozenset("script style textarea title xmp noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements that never hold main text.
-DROPPED = frozenset("head nav header footer aside form script style noscript template iframe object svg canvas button select option input textarea dialog menu audio video map title xmp noframes datalist fieldset".split())
+#: Elements that never hold main text; headers of an article or main element are none of these.
+DROPPED = frozenset("head nav header footer aside script style noscript template iframe object svg canvas button select option input textarea dialog menu audio video map title xmp noframes datalist".split())
+#: Elements that hold main text only where they hold a large part of the host's varying text: whole pages may lie in a form.
+DOUBTED = frozenset("form fieldset".split())
+MAIN = ("article", "main")
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in a class or id that mark an element outside the main text, where it holds no large part of the host's varying text.
+#: Words that, with words of ``PLACES`` at most, make up a class or id of an element outside the main text, where it holds no large part of the host's varying text.
 DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations trending widget comment comments commentlist disqus respond reply replies pagination pager toolbar skip copyright disclaimer legal paywall toast".split())
+PLACES = frozenset("area bar block bottom box button buttons container content div element float group holder icons inline inner item items left line links list module outer page panel primary right row secondary section site slot sticky strip text top unit widget wrap wrapper zone".split())
 #: A start tag closes open elements of these kinds.
 CLOSES = {t: ("p",) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()} | {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("html body table td th ul ol dl div article section main aside nav header footer form".split())
@@ -64,14 +68,19 @@ class Node:
 
 def _made(tag: str, raw: str) -> Node:
     if not raw.strip(" /\n\t"):
-        return Node(tag, tag, tag in DROPPED)
+        return Node(tag, tag, tag in DROPPED, tag in DOUBTED)
     attrs = {m[1].lower(): next((v for v in m.groups()[1:] if v is not None), "") for m in _ATTR.finditer(raw)}
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
     out = tag in DROPPED or attrs.get("role", "").lower() in DROPPED_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
     out = out or "display:none" in attrs.get("style", "").replace(" ", "").lower()
     named: set[str] = set()
-    if not out and tag not in ("html", "body", "main", "article") and names != " ":
-        named = DROPPED_WORDS.intersection(w.lower() for w in _WORD.findall(names))
+    if not out and tag not in ("html", "body", *MAIN):
+        # A name counts as a whole: "share-buttons" does, "share-price" does not.
+        for name in names.split():
+            words = {w.lower() for w in _WORD.findall(name)}
+            if words <= DROPPED_WORDS | PLACES:
+                named |= words & DROPPED_WORDS
+        named |= {tag} & DOUBTED
     kind = " ".join(sorted(x for x in attrs.get("class", "").split() if not any(c.isdigit() for c in x)))
     # Elements of other names are not alike, be it in their ids alone.
     return Node(tag, (f"{tag}.{kind}" if kind else tag) + "".join(f"!{w}" for w in sorted(named)), out, bool(named))
@@ -133,17 +142,36 @@ def _below(root: Node) -> list[Node]:
 
 
 def _settle(root: Node) -> None:
-    """An element around an article or main element stays, whatever its names say; inline elements of running text alone are plain."""
+    """What an element's place says of it.
+
+    One around an article or main element stays, whatever its names say, and so does a header
+    inside.  What stands beside them, headings of the page aside, is outside the main text as if its name
+    said so.  Inline elements of running text alone are plain.
+    """
     held: set[int] = set()
+    headed: set[int] = set()
     for node in reversed(_below(root)):
         inside = node.elements()
         if any(id(x) in held for x in inside):
             held.add(id(node))
             if node.tag not in DROPPED:
                 node.out = node.named = False
-        if node.tag in ("article", "main"):
+        if node.tag in MAIN and not node.out:
             held.add(id(node))
+        if node.tag == "h1" or any(id(x) in headed for x in inside):
+            headed.add(id(node))
         node.plain = node.tag in VOID or (node.tag in INLINE and not node.named and all(x.plain or x.out for x in inside))
+    stack = [(root, False)]
+    while stack:
+        node, within = stack.pop()
+        within = within or node.tag in MAIN
+        if within and node.tag == "header":
+            node.out = False
+        for x in node.elements():
+            if within or id(x) in held:
+                stack.append((x, within))
+            elif id(node) in held and not x.plain and id(x) not in headed:
+                x.named = True
 
 
 def own_text(node: Node) -> str:
