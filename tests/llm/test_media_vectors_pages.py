@@ -88,17 +88,22 @@ def test_mtree_levels():
 
 
 def test_mtree_odd_vectors(spark, monkeypatch):
-    """Large whole numbers stay exact, vectors beyond 64 bits take no part, ids and vectors repeat, widths differ, columns clash."""
+    """Large whole numbers stay exact, vectors beyond 64 bits rank by their true scores, ids and vectors repeat, widths differ, columns clash."""
+    monkeypatch.setattr(mtree, "BLOCK", 3)
     monkeypatch.setattr(mtree, "QUERIES", 2)
     big = float(2**24 + 1)
-    rows = [(0, [big, 1.0]), (20, [big, 2.0]), (20, [big, 2.0]), (21, [big, 3.0]), (40, [1e30, 0.0]), (60, [1.7e308, 1.0]), (80, []), (None, [1.0, 1.0]), (3, [2.0]), (100, [-big])]
+    rows = [(0, [big, 1.0]), (20, [big, 2.0]), (20, [big, 2.0]), (21, [big, 3.0]), (40, [1e30, 0.0]), (60, [1.7e308, 1.0]), (61, [1.7e308, -1e300]), (62, [-1e25, 3.0]), (63, [3e9, 1.0]), (80, []), (None, [1.0, 1.0]), (3, [2.0]), (100, [-big])]
     df = spark.createDataFrame([(i, v, 7, 8) for i, v in rows], "vec_id long, embedding array<double>, score long, route long")
-    part = [(i, [math.floor(64 * x) for x in v] + [0] * (2 - len(v))) for i, v in rows if i not in (None, 40, 60)]
+    exact = lambda x: math.floor(64 * x) if math.isfinite(64 * x) else 64 * int(x)
+    part = [(i, [exact(x) for x in v] + [0] * (2 - len(v))) for i, v in rows if i is not None]
     wanted = []
     for q, x in {i: v for i, v in part if i % 20 == 0}.items():
         best = sorted((-(x[0] * y[0] + x[1] * y[1]), i) for i, y in part if i != q)[:20]
-        wanted += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+        wanted += [(q, r + 1, i, max(-mtree.MOST, min(mtree.MOST, -s))) for r, (s, i) in enumerate(best)]
     assert sorted(tuple(r) for r in mtree.top_k(df).collect()) == sorted(wanted)
+    assert any(w[3] == mtree.MOST for w in wanted) and any(w[3] == -mtree.MOST for w in wanted)
+    only = df.filter("vec_id IN (40, 60, 61)")
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in mtree.top_k(only).collect()) == [(40, 1, 60), (40, 2, 61), (60, 1, 61), (60, 2, 40)]
     empty = spark.createDataFrame([(0, []), (20, [])], "vec_id long, embedding array<double>")
     assert sorted(tuple(r) for r in mtree.top_k(empty).collect()) == [(0, 1, 20, 0), (20, 1, 0, 0)]
 

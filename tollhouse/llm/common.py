@@ -9,18 +9,22 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the folder that all executors share (``spark.checkpoint.dir``).
 
-    Where a session on one machine names none, as in tests, one is set for it; on a cluster
-    that is an error, for executors do not see each other's disks.
+    Where a session on one machine names none, as in tests, a folder of this process serves; on a
+    cluster that is an error, for executors do not see each other's disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tollhouse-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="tollhouse-shared-"))
+        base = _local[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

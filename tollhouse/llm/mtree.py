@@ -20,7 +20,9 @@ Vectors get one more coordinate that brings all of them to the length of the lon
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,8 +40,12 @@ ROUTING = 2048
 FAN = 32
 #: Queries that are searched in a page at once; more go to other tasks.
 QUERIES = 4096
-#: Squared lengths from here on could give inner products beyond 64 bits.
+#: Vectors of squared lengths from here on are kept out of the tree: their inner products may be beyond 64 bits.
 TOO_LONG = 2.0**62
+#: Rows of a block of such vectors, and of the rows that it is compared with.
+BLOCK = 512
+#: Largest score that the result holds; larger ones are given as this, smaller than its negative as that.
+MOST = 2**63 - 1
 #: "No bound yet" and "no entry yet".
 LOW, NONE = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 #: Slack of distances, for rounding.
@@ -47,14 +53,15 @@ SLACK = 1e-6
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, vector: floor(scale * x) as 64-bit integers, norm2) of the rows that take part.
+    """(id, vector: floor(scale * x), norm2, long) of the rows that take part.
 
-    A vector of a squared length of 2**62 or more takes no part, as one with non-finite components.
+    Vectors are 64-bit integers, but doubles (whole numbers) where ``long`` says that the squared length
+    is 2**62 or more.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            ids, vectors, norms = [], [], []
+            ids, vectors, norms, long = [], [], [], []
             for i, v in zip(batch["id"].to_pylist(), batch["vector"], strict=True):
                 if i is None or not v.is_valid or v.values.null_count:
                     continue
@@ -64,15 +71,53 @@ def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFr
                 with np.errstate(over="ignore"):
                     whole = np.floor(x * scale)
                     fits = whole @ whole < TOO_LONG
-                if fits:
-                    q = whole.astype(np.int64)
-                    ids.append(i)
-                    vectors.append(q.tobytes())
-                    norms.append(int(q @ q))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vectors, pa.binary()), pa.array(norms, pa.int64())], ["id", "vector", "norm2"])
+                if not fits and not np.isfinite(whole).all():
+                    # Only the product with the scale is too large for a double.
+                    whole = np.array([int(c) * scale if np.isinf(w) else int(w) for c, w in zip(x, whole, strict=True)], dtype=object)
+                ids.append(i)
+                long.append(not fits)
+                q = whole.astype(np.int64) if fits else np.zeros(0, np.int64)
+                vectors.append(q.tobytes() if fits else json.dumps([str(int(c)) for c in whole]).encode())
+                norms.append(int(q @ q))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vectors, pa.binary()), pa.array(norms, pa.int64()), pa.array(long, pa.bool_())], ["id", "vector", "norm2", "long"])
 
     given = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("vector"))
-    return given.mapInArrow(run, "id long, vector binary, norm2 long")
+    return given.mapInArrow(run, "id long, vector binary, norm2 long, long boolean")
+
+
+def _exact(vector: bytes, long: bool) -> list[int]:
+    return [int(c) for c in json.loads(vector)] if long else np.frombuffer(vector, np.int64).tolist()
+
+
+def _order_of(score: int) -> tuple[int, int, str]:
+    """A score as 64 bits hold it, its side beyond them (1, -1 or 0), and a text that sorts such scores upwards."""
+    if abs(score) <= MOST:
+        return score, 0, ""
+    digits = str(abs(score))
+    key = f"{len(digits):06d}{digits}"
+    return (MOST, 1, key) if score > 0 else (-MOST, -1, key.translate(str.maketrans("0123456789", "9876543210")))
+
+
+def compared(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, side, key): the k best ``rows`` for each query of each pair of blocks, by whole numbers of any size.
+
+    Both are (id, vector, long); every query meets every row in one pair of blocks.
+    """
+    sizes = [max(1, -(-df.count() // BLOCK)) for df in (queries, rows)]
+    dealt = lambda df, n, own: df.withColumn(own, F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int"))
+    left = dealt(queries, sizes[0], "a").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(sizes[1] - 1))))
+    right = dealt(rows, sizes[1], "b").withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(sizes[0] - 1))))
+
+    def best(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        values = [(int(i), _exact(v, big)) for i, v, big in zip(given["id"], given["vector"], given["long"], strict=True)]
+        out = []
+        for i, v, big in zip(asked["id"], asked["vector"], asked["long"], strict=True):
+            x = _exact(v, big)
+            scored = ((-sum(c * d for c, d in zip(x, y, strict=False)), j) for j, y in values if j != i)
+            out += [(int(i), j, *_order_of(-s)) for s, j in heapq.nsmallest(k, scored)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "side", "key"])
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, "query_id long, vec_id long, score long, side int, key string")
 
 
 def _matrix(vectors: Iterable[bytes], width: int) -> np.ndarray:
@@ -349,16 +394,33 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     """(query_id, rank, vec_id, score): the ``k`` best rows for each row whose id is a multiple of ``every``.
 
     Rows without an id, and vectors that are null or hold null or non-finite components, take
-    no part, nor do those of a scaled squared length of 2**62 or more, whose scores 64 bits
-    might not hold.  Shorter vectors are taken to end in zeros.  Rows of equal ids are one
+    no part.  Vectors of a scaled squared length of 2**62 or more stay out of the tree: they are
+    compared with all queries, and those among the queries with all rows, in blocks of whole
+    numbers of any size.  Scores rank by their true value; one beyond 64 bits is given as
+    ``MOST`` or its negative.  Shorter vectors are taken to end in zeros.  Rows of equal ids are one
     query (of the smallest stored vector) and never match one another.  Other columns are ignored; an empty table gives no rows.
     """
-    vectors = stored(quantised(df, id_col, vector_col, scale), "vectors")
+    every_vector = stored(quantised(df, id_col, vector_col, scale), "vectors")
+    vectors = every_vector.filter("NOT long").drop("long")
+    asked = every_vector.filter(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("long", "vector")).alias("v")).select("id", "v.vector", "v.long")
     index = build_index(vectors)
-    if index is None:
+    found = []
+    if index is not None:
+        plain = search(index, asked.filter("NOT long").select("id", "vector"), k)
+        found.append(plain.select("query_id", "vec_id", "score", F.lit(0).alias("side"), F.lit("").alias("key")))
+    long = every_vector.filter("long")
+    if not long.isEmpty():
+        ids = ["id", "vector", "long"]
+        found.append(compared(asked, long.select(*ids), k))
+        if index is not None:
+            found.append(compared(asked.filter("long"), every_vector.filter("NOT long").select(*ids), k))
+    if not found:
         return vectors.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
-    queries = vectors.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector"))
-    return search(index, queries, k).select("query_id", "rank", "vec_id", "score")
+    if len(found) == 1 and index is not None:
+        return plain.select("query_id", "rank", "vec_id", "score")
+    order = Wd.partitionBy("query_id").orderBy(F.desc("side"), F.desc("score"), F.desc("key"), "vec_id")
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
