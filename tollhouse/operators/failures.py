@@ -120,10 +120,16 @@ def parse_retry_after(value: Column, now: Column) -> Column:
 
 
 def failure_window_count(df: DataFrame, seconds: int = 120) -> DataFrame:
-    """Failures with the number of failures of the same provider and model in the ``seconds`` up to each, the lower bound excluded."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = W.partitionBy("provider", "model").orderBy("__us").rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return df.withColumn("__us", micros).withColumn("failures", F.count("*").over(w)).drop("__us")
+    """Failures with the number of failures of the same provider and model in the ``seconds`` up to each, the lower bound excluded.
+
+    Time is cut into pieces of the window's length, and each failure is looked at in its own
+    piece and in the one after: a task sorts two pieces of a key at most.
+    """
+    length = seconds * 1_000_000
+    rows = df.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = rows.withColumn("__at", F.explode(F.array(F.struct((F.floor(F.col("__us") / length)).alias("piece"), F.lit(True).alias("own")), F.struct((F.floor(F.col("__us") / length) + 1).alias("piece"), F.lit(False).alias("own")))))
+    w = W.partitionBy("provider", "model", "__at.piece").orderBy("__us").rangeBetween(-length + 1, 0)
+    return rows.withColumn("failures", F.count("*").over(w)).filter("__at.own").drop("__us", "__at")
 
 
 def force_open(attempts: DataFrame, cooldown_s: int = 300) -> DataFrame:
@@ -138,7 +144,7 @@ def provider_health(states: DataFrame) -> DataFrame:
     return states.groupBy(F.split("key", ":")[0].alias("provider")).agg(F.sum("failures").alias("failures"), F.when(worst == 2, "open").when(worst == 1, "half_open").otherwise("closed").alias("state"), F.min("cooldown_until").alias("cooldown_until"))
 
 
-def provider_rollup_open(events: DataFrame, threshold: int, window_s: int = 300) -> DataFrame:
+def provider_rollup_open(events: DataFrame, threshold: int, window_s: int = 300, bucket_s: int = 3600) -> DataFrame:
     """(request_id, provider, ts, open, count) at each opening: keys of the provider that opened within the window up to it and have not recovered.
 
     An opening holds from its time until the key opens again or recovers (``probe_closed``),
@@ -152,8 +158,14 @@ def provider_rollup_open(events: DataFrame, threshold: int, window_s: int = 300)
     opened = kept.withColumn("__end", F.least(after, F.col("__us") + window_s * 1_000_000)).filter(F.col("kind") != "probe_closed")
     begins = opened.select("request_id", "provider", "ts", "__us", F.lit(1).alias("__n"))
     ends = opened.select(F.lit(None).cast(opened.schema["request_id"].dataType).alias("request_id"), "provider", F.col("ts"), F.col("__end").alias("__us"), F.lit(-1).alias("__n"))
-    running = F.sum("__n").over(W.partitionBy("provider").orderBy("__us"))
-    counted = begins.unionByName(ends).withColumn("count", running if window_s > 0 else F.lit(0).cast("long")).filter("__n = 1")
+    both = begins.unionByName(ends).withColumn("__bucket", F.floor(F.col("__us") / (bucket_s * 1_000_000)))
+    # Sums of earlier buckets, then those within a bucket: no provider's log meets in one task.
+    sums = both.groupBy("provider", "__bucket").agg(F.sum("__n").alias("__sum"))
+    earlier = W.partitionBy("provider").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(F.col("provider").alias("__p"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    both = both.join(sums, both.provider.eqNullSafe(F.col("__p")) & (F.col("__bucket") == F.col("__b")))
+    running = F.col("__before") + F.sum("__n").over(W.partitionBy("provider", "__bucket").orderBy("__us"))
+    counted = both.withColumn("count", running if window_s > 0 else F.lit(0).cast("long")).filter("__n = 1")
     return counted.withColumn("open", (F.col("count") >= threshold) if threshold > 0 else F.lit(False)).select("request_id", "provider", "ts", "open", "count")
 
 

@@ -15,11 +15,25 @@ ORDER = ("ts", "request_id")
 EPOCH = dt.datetime(1970, 1, 1)
 
 
+def _before(rows: DataFrame, amount: Column) -> DataFrame:
+    """``rows`` (key_id, day, …) with __today and __month: ``amount`` of the key's earlier rows of the day, and of the month.
+
+    The month is the sum of its earlier days, which are added up by day first, and of the
+    day's own: a task sorts a day of a key at most.
+    """
+    day = W.partitionBy("key_id", "day").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("__amount", F.coalesce(amount, F.lit(0)).cast("long"))
+    daily = rows.groupBy("key_id", "day").agg(F.sum("__amount").alias("__sum"))
+    earlier = W.partitionBy("key_id", F.date_trunc("month", "day")).orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    daily = daily.select(F.col("key_id").alias("__key"), F.col("day").alias("__of"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__days"))
+    rows = rows.join(daily, rows.key_id.eqNullSafe(F.col("__key")) & rows.day.eqNullSafe(F.col("__of")))
+    today = F.coalesce(F.sum("__amount").over(day), F.lit(0))
+    return rows.withColumn("__today", today).withColumn("__month", F.col("__today") + F.col("__days")).drop("__amount", "__days", "__key", "__of")
+
+
 def running_key_spend(cost: DataFrame) -> DataFrame:
     """``cost`` with what its key spent before it in the day and in the month."""
-    day = W.partitionBy("key_id", "day").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
-    month = W.partitionBy("key_id", F.date_trunc("month", "day")).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
-    return cost.withColumns({"prior_day_e4": F.coalesce(F.sum("total_e4").over(day), F.lit(0)), "prior_month_e4": F.coalesce(F.sum("total_e4").over(month), F.lit(0))})
+    return _before(cost, F.col("total_e4")).withColumnsRenamed({"__today": "prior_day_e4", "__month": "prior_month_e4"})
 
 
 def spend_cap_replay(cost: DataFrame, keys: DataFrame) -> DataFrame:
@@ -32,17 +46,14 @@ def spend_cap_replay(cost: DataFrame, keys: DataFrame) -> DataFrame:
     """
     caps = keys.select("key_id", "daily_limit_cents", "monthly_limit_cents")
     rows = cost.join(caps, "key_id", "left").fillna(0, ["daily_limit_cents", "monthly_limit_cents"])
-    cents = lambda e4: F.ceil(F.coalesce(e4, F.lit(0)) / 100)
-    day = W.partitionBy("key_id", "day").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("__day", (F.col("daily_limit_cents") > 0) & (cents(F.sum("total_e4").over(day)) >= F.col("daily_limit_cents")))
-    month = W.partitionBy("key_id", F.date_trunc("month", "day")).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
-    spent = F.sum(F.when(~F.col("__day"), F.col("total_e4")).otherwise(0)).over(month)
-    rows = rows.withColumn("__month", (F.col("monthly_limit_cents") > 0) & (cents(spent) >= F.col("monthly_limit_cents")))
+    full = lambda spent, cap: (F.col(cap) > 0) & (F.ceil(F.col(spent) / 100) >= F.col(cap))
+    rows = _before(rows, F.col("total_e4")).withColumn("__full", full("__today", "daily_limit_cents")).drop("__today", "__month")
+    rows = _before(rows, F.when(~F.col("__full"), F.col("total_e4"))).withColumn("__spent", full("__month", "monthly_limit_cents")).drop("__today", "__month")
     # Once the month is spent, the day's sum stands still: what the month blocks is never charged.
-    charged = F.sum(F.when(~F.col("__month"), F.col("total_e4")).otherwise(0)).over(day)
-    rows = rows.withColumn("__day", (F.col("daily_limit_cents") > 0) & (cents(charged) >= F.col("daily_limit_cents")))
-    reason = F.when(F.col("__day"), "daily").when(F.col("__month"), "monthly").otherwise("")
-    return rows.withColumn("reason", reason).withColumn("blocked", F.col("reason") != "").drop("__day", "__month")
+    day = W.partitionBy("key_id", "day").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("__charged", F.coalesce(F.sum(F.when(~F.col("__spent"), F.col("total_e4")).otherwise(0)).over(day), F.lit(0)))
+    reason = F.when(full("__charged", "daily_limit_cents"), "daily").when(F.col("__spent"), "monthly").otherwise("")
+    return rows.withColumn("reason", reason).withColumn("blocked", F.col("reason") != "").drop("__full", "__spent", "__charged")
 
 
 class _Reserved:
