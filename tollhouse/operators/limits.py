@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tollhouse.operators.replay import replayed
+from tollhouse.operators.replay import replayed, stepped
 
 ORDER = ("ts", "request_id")
 EPOCH = dt.datetime(1970, 1, 1)
@@ -281,20 +281,20 @@ def rate_limit_admission(df: DataFrame, limits: DataFrame, overrides: DataFrame,
     present = scope_expand(rows.select("unit", "day", *[c for _, c in SCOPES])).select("unit", "day", "kind", "scope_key").distinct()
     each = effective_limits(present, limits, overrides).groupBy("scope_key").agg(*[F.max(F.when(F.col("win") == w, F.col(c))).alias(n) for w, c, n in (("minute", "req_limit", "rpm"), ("minute", "tok_limit", "tpm"), ("day", "req_limit", "rpd"), ("day", "tok_limit", "tpd"))])
     scopes = present.drop("kind").join(each, "scope_key", "left").fillna(0, ["rpm", "tpm", "rpd", "tpd"])
-    scopes = scopes.withColumns({"requests": F.lit(0).cast("long"), "used": F.lit(0).cast("long")}).checkpoint()
+    scopes = stepped(scopes.withColumns({"requests": F.lit(0).cast("long"), "used": F.lit(0).cast("long")}))
     decided = None
     while True:
-        found = _units(rows, scopes, first_free).checkpoint()
+        found = stepped(_units(rows, scopes, first_free))
         used = scope_expand(found.filter("allowed")).groupBy("unit", "scope_key").agg(F.count("*").alias("__r"), F.sum("tokens").alias("__t"))
         before = W.partitionBy("day", "scope_key").orderBy("unit").rowsBetween(W.unboundedPreceding, -1)
         sums = {n: F.coalesce(F.sum(F.coalesce(c, F.lit(0))).over(before), F.lit(0)) for n, c in (("__requests", "__r"), ("__used", "__t"))}
-        after = scopes.join(used, ["unit", "scope_key"], "left").withColumns(sums).drop("__r", "__t").checkpoint()
+        after = stepped(scopes.join(used, ["unit", "scope_key"], "left").withColumns(sums).drop("__r", "__t"))
         open_days = after.filter("requests <> __requests OR used <> __used").select("day").distinct()
         settled = found.join(open_days, "day", "left_anti")
         decided = settled if decided is None else decided.unionByName(settled)
         if open_days.isEmpty():
             return decided.drop("unit", "day")
-        rows = rows.join(open_days, "day", "left_semi").checkpoint()
+        rows = stepped(rows.join(open_days, "day", "left_semi"))
         scopes = after.join(open_days, "day", "left_semi").drop("requests", "used").withColumnsRenamed({"__requests": "requests", "__used": "used"})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -31,3 +32,16 @@ def replayed(rows: DataFrame, keys: list[str], order: list[str], fresh: Callable
                 yield pd.DataFrame(found, columns=names)
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def stepped(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the session's shared folder (``spark.checkpoint.dir``): lineage ends at files that outlive executors.
+
+    Where a session on one machine names none, as in tests, one is set; on a cluster that is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tollhouse-shared-"))
+    return df.checkpoint()

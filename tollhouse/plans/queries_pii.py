@@ -242,7 +242,8 @@ def _provider_bodies(turns: DataFrame) -> DataFrame:
     return turns.withColumns({"body": body, "provider": provider})
 
 
-_query("scrub_json_all", "conversations")(lambda turns: X.scrub_json(_provider_bodies(turns), "body", "provider").select("conv_id", "turn", "provider", "scrubbed"))
+_query("scrub_json_all", "conversations")(lambda turns: X.scrub_json(_bodies(turns), "body").select("conv_id", "turn", "scrubbed"))
+_query("scrub_json_by_provider", "conversations")(lambda turns: X.scrub_json(_provider_bodies(turns), "body", "provider").select("conv_id", "turn", "provider", "scrubbed"))
 _query("mask_json_metadata_all", "conversations")(lambda turns: X.mask_json_metadata(_bodies(turns), "body").select("conv_id", "turn", "masked"))
 
 

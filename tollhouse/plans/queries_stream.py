@@ -136,6 +136,6 @@ query("stream_breaker")(lambda t: streamed(t, _timed(classify_failure(outcomes(t
 query("stream_rate_limit")(lambda t: streamed(t, _log(t), lambda s: J.stream_rate_limit(s, "key_id", 2, 30_000, 14, 300_000, watermark_s=LATE_S), "append", True))
 
 
-@query("stream_provider_rollup", ORACLES["provider_rollup_open"].removeprefix(PRELUDE).lstrip(",\n").replace("request_id, provider, ts, count(*) FILTER (kind = 'opened') >= 2", "request_id, provider, count(*) FILTER (kind = 'opened') >= 2").replace("GROUP BY 1, 2, 3", "GROUP BY request_id, provider, ts"))
+@query("stream_provider_rollup", "WITH " + ORACLES["provider_rollup_open"].removeprefix(PRELUDE).lstrip(",\n").replace("request_id, provider, ts, count(*) FILTER (kind = 'opened') >= 2", "request_id, provider, count(*) FILTER (kind = 'opened') >= 2").replace("GROUP BY 1, 2, 3", "GROUP BY request_id, provider, ts"))
 def stream_provider_rollup(t: Tables) -> DataFrame:
     return streamed(t, _timed(rollup_events(t)), lambda s: J.stream_provider_rollup(s, 2, 36_000, LATE_S), "append", True)
