@@ -107,6 +107,11 @@ BODIES = [
     ("anthropic", True, "\n " + json.dumps({"model": "m", "usage": USAGE}), ("m", 7, 3)),
     ("openai", True, json.dumps({"error": {"message": "no"}}), None),
     ("openai", None, None, None),
+    # A text of that name in one event hides no other; nothing counts behind the end; a broken line is passed over.
+    ("openai", True, _stream({"type": "response.output_text.delta", "delta": 'say "usage"'}, {"type": "response.completed", "response": {"model": "m", "usage": USAGE}}), ("m", 7, 3)),
+    ("anthropic", True, _stream({"type": "message_start", "message": {"model": "m", "usage": {"input_tokens": 7, "output_tokens": 1}}}, {"type": "error", "message": "text"}, {"type": "message_delta", "usage": {"output_tokens": 3}}), ("m", 7, 3)),
+    ("openai", True, _stream({"model": "m", "choices": [], "usage": {"prompt_tokens": 7, "completion_tokens": 3}}, "[DONE] ", {"model": "m", "choices": [], "usage": {"prompt_tokens": 9}}).replace("\n", "\r\n"), ("m", 7, 3)),
+    ("openai", True, _stream('{broken "usage', {"model": "m", "choices": [], "usage": {"prompt_tokens": 7, "completion_tokens": 3}}), ("m", 7, 3)),
 ]
 
 

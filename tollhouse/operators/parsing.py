@@ -11,6 +11,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 FIELDS = ("model", "input_tokens", "output_tokens", "total_tokens", "thought_tokens", "cache_read_tokens", "cache_creation_tokens", "id", "finish_reason")
 _COUNTS = FIELDS[1:7]
@@ -113,54 +114,63 @@ def detect_stream_shape(df: DataFrame, body_col: str = "response_body") -> DataF
 
 
 def _events(body: Column) -> Column:
-    """Payloads of the data lines of a stream that carry usage, a type or choices, up to [DONE]."""
-    lines = F.transform(F.filter(F.split(body, "\r?\n"), lambda x: x.startswith("data:")), lambda x: F.trim(F.substring(x, 6, 1 << 30)))
-    end = F.array_position(lines, "[DONE]")
-    lines = F.when(end > 0, F.slice(lines, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(lines)
-    return F.filter(lines, lambda x: x.contains('"usage') | x.contains('"type"') | x.contains('"model') | x.contains('"finish') | x.contains('"stopReason'))
+    """Payloads of the data lines of a stream that carry usage, a type, a model or an end, up to [DONE]."""
+    said = F.get(F.split(body, r"(?:^|\n)data: *\[DONE\] *(?:\r?\n|\r?\z)", 2), F.lit(0))
+    return F.regexp_extract_all(said, F.lit(r'(?:^|\n)data:((?=[^\n]*"(?:usage|type"|model|finish|stopReason))[^\n]*)'), F.lit(1))
 
 
-def _first(events: Column, f) -> Column:
-    return F.get(F.filter(F.transform(events, f), lambda x: x.isNotNull()), F.lit(0))
+def _read(body: Column, schema: str) -> Column:
+    return F.transform(_events(body), lambda x: F.from_json(x, schema))
 
 
-def parse_sse_chat(df: DataFrame, body_col: str = "response_body") -> DataFrame:
-    """Streamed chat: first model and id, last finish reason, the chunk with usage; zeros without one."""
-    parsed = df.withColumn("__e", F.transform(_events(F.col(body_col)), lambda x: F.from_json(x, _CHAT)))
-    e = F.col("__e")
-    usage = _try_last(e, lambda j: j["usage"])
-    return parsed.withColumn("__u", usage).withColumn("usage", _usage(model=_first(e, lambda j: j["model"]), id=_first(e, lambda j: j["id"]), finish_reason=_try_last(e, lambda j: F.get(j["choices"], F.lit(0))["finish_reason"]), input_tokens=F.col("__u.prompt_tokens"), output_tokens=F.col("__u.completion_tokens"), total_tokens=F.col("__u.total_tokens"), thought_tokens=F.col("__u.completion_tokens_details.reasoning_tokens"), cache_read_tokens=F.col("__u.prompt_tokens_details.cached_tokens"))).drop("__e", "__u")
+def _first(values: Column) -> Column:
+    return F.get(F.array_compact(values), F.lit(0))
 
 
-def _try_last(events: Column, f) -> Column:
-    found = F.filter(F.transform(events, f), lambda x: x.isNotNull())
-    return F.get(found, F.size(found) - 1)
+def _last(values: Column) -> Column:
+    return F.try_element_at(F.array_compact(values), F.lit(-1))
 
 
-def parse_sse_responses(df: DataFrame, body_col: str = "response_body") -> DataFrame:
-    """Streamed responses: the last event with tokens (in ``response``, else ``event``), the first model and id; zeros without one."""
-    inner = f"struct<{_colons(_RESPONSES)}>"
-    parsed = df.withColumn("__e", F.transform(_events(F.col(body_col)), lambda x: F.from_json(x, f"type string, response {inner}, event {inner}")))
-    said = F.transform(F.filter("__e", lambda j: j["type"].isin("response.created", "response.completed", "response.incomplete", "response.failed", "response.done")), lambda j: F.coalesce(j["response"], j["event"]))
-    parsed = parsed.withColumn("__s", said)
-    counted = lambda j: F.coalesce(j["usage"]["input_tokens"], F.lit(0)) + F.coalesce(j["usage"]["output_tokens"], F.lit(0)) + F.coalesce(j["usage"]["total_tokens"], F.lit(0)) > 0
-    used = F.filter("__s", counted)
-    parsed = parsed.withColumn("__r", F.get(used, F.size(used) - 1))
-    usage = _responses(F.col("__r"))
-    usage = usage.withField("model", F.coalesce(_first(F.col("__s"), lambda j: j["model"]), F.lit(""))).withField("id", F.coalesce(_first(F.col("__s"), lambda j: j["id"]), F.lit("")))
-    return parsed.withColumn("usage", usage).drop("__e", "__s", "__r")
+def _with(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def parse_sse_converse(df: DataFrame, body_col: str = "response_body") -> DataFrame:
-    """Streamed converse events, framing taken off: usage of the metadata event, the stop reason of the message's end; zeros without them."""
-    fields = _colons(_CONVERSE)
-    schema = f"{_CONVERSE}, metadata struct<{fields}>, messageStop struct<{fields}>"
-    parsed = df.withColumn("__e", F.transform(_events(F.col(body_col)), lambda x: F.from_json(x, schema)))
-    e = F.col("__e")
-    used = _try_last(e, lambda j: F.coalesce(j["metadata"]["usage"], j["usage"]))
-    stop = _try_last(e, lambda j: F.coalesce(j["messageStop"]["stopReason"], j["stopReason"]))
-    parsed = parsed.withColumn("__j", F.struct(stop.alias("stopReason"), F.lit(None).cast("string").alias("stop_reason"), used.alias("usage")))
-    return parsed.withColumn("usage", _converse(F.col("__j"))).drop("__e", "__j")
+def _chat_stream(e: Column) -> Column:
+    finish = _last(F.transform(e, lambda j: F.get(j["choices"], F.lit(0))["finish_reason"]))
+    return _with(_last(e["usage"]), lambda u: _usage(model=_first(e["model"]), id=_first(e["id"]), finish_reason=finish, input_tokens=u["prompt_tokens"], output_tokens=u["completion_tokens"], total_tokens=u["total_tokens"], thought_tokens=u["completion_tokens_details"]["reasoning_tokens"], cache_read_tokens=u["prompt_tokens_details"]["cached_tokens"]))
+
+
+def _responses_stream(e: Column) -> Column:
+    kinds = ("response.created", "response.completed", "response.incomplete", "response.failed", "response.done")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    counted = lambda j: zero(j["usage"]["input_tokens"]) + zero(j["usage"]["output_tokens"]) + zero(j["usage"]["total_tokens"]) > 0
+
+    def read(said: Column) -> Column:
+        usage = _with(_last(F.filter(said, counted)), _responses)
+        return usage.withField("model", F.coalesce(_first(said["model"]), F.lit(""))).withField("id", F.coalesce(_first(said["id"]), F.lit("")))
+
+    return _with(F.transform(F.filter(e, lambda j: j["type"].isin(*kinds)), lambda j: F.coalesce(j["response"], j["event"])), read)
+
+
+def _converse_stream(e: Column) -> Column:
+    names = [f.name for f in StructType.fromDDL(_CONVERSE)["usage"].dataType.fields]
+    alike = lambda u: F.when(u.isNotNull(), F.struct(*[u[n].alias(n) for n in names]))
+    used = _last(F.transform(e, lambda j: F.coalesce(alike(j["metadata"]["usage"]), alike(j["usage"]))))
+    stop = _last(F.transform(e, lambda j: F.coalesce(j["messageStop"]["stopReason"], j["stopReason"])))
+    return _with(F.struct(stop.alias("stopReason"), F.lit(None).cast("string").alias("stop_reason"), used.alias("usage")), _converse)
+
+
+def _messages_stream(e: Column) -> Column:
+    pick = lambda name: F.coalesce(_last(e["usage"][name]), _first(e["message"]["usage"][name]))
+    thoughts = F.aggregate(e["delta"]["thinking"], F.lit(0), lambda a, x: a + F.coalesce(F.length(x), F.lit(0)))
+    counts = F.struct(pick("input_tokens").alias("i"), pick("output_tokens").alias("o"))
+    return _with(counts, lambda c: _usage(model=_first(e["message"]["model"]), id=_first(e["message"]["id"]), finish_reason=_last(e["delta"]["stop_reason"]), input_tokens=c["i"], output_tokens=c["o"], total_tokens=F.coalesce(c["i"], F.lit(0)) + F.coalesce(c["o"], F.lit(0)), thought_tokens=F.floor(thoughts / 4), cache_read_tokens=pick("cache_read_input_tokens"), cache_creation_tokens=pick("cache_creation_input_tokens")))
+
+
+def _generate_stream(e: Column) -> Column:
+    finish = _last(F.transform(e, lambda j: F.get(j["candidates"], F.lit(0))["finishReason"]))
+    return _with(_last(F.filter(e, lambda j: j["usageMetadata"].isNotNull())), _generate).withField("finish_reason", F.coalesce(finish, F.lit("")))
 
 
 def _colons(ddl: str) -> str:
@@ -172,28 +182,57 @@ def _colons(ddl: str) -> str:
     return ", ".join(out)
 
 
+def _union(*schemas: str) -> str:
+    """One schema of all fields of the given ones; structs of one name are united, equal fields kept once."""
+
+    def united(types: list[StructType]) -> StructType:
+        fields: dict[str, list] = {}
+        for t in types:
+            for f in t.fields:
+                fields.setdefault(f.name, []).append(f.dataType)
+        return StructType([StructField(name, united(found) if isinstance(found[0], StructType) else found[0]) for name, found in fields.items()])
+
+    return united([StructType.fromDDL(s) for s in schemas]).toDDL()
+
+
+_RESPONSE_EVENTS = f"type string, response struct<{_colons(_RESPONSES)}>, event struct<{_colons(_RESPONSES)}>"
+_MESSAGE_EVENTS = f"type string, message struct<{_colons(_MESSAGES)}>, usage struct<input_tokens:bigint, output_tokens:bigint, cache_read_input_tokens:bigint, cache_creation_input_tokens:bigint>, delta struct<stop_reason:string, thinking:string>"
+_CONVERSE_EVENTS = f"{_CONVERSE}, metadata struct<{_colons(_CONVERSE)}>, messageStop struct<{_colons(_CONVERSE)}>"
+
+
+def _streamed(df: DataFrame, events: Column, f) -> DataFrame:
+    return df.withColumn("__e", events).withColumn("usage", f(F.col("__e"))).drop("__e")
+
+
+def parse_sse_chat(df: DataFrame, body_col: str = "response_body") -> DataFrame:
+    """Streamed chat: first model and id, last finish reason, the chunk with usage; zeros without one."""
+    return _streamed(df, _read(F.col(body_col), _CHAT), _chat_stream)
+
+
+def parse_sse_responses(df: DataFrame, body_col: str = "response_body") -> DataFrame:
+    """Streamed responses: the last event with tokens (in ``response``, else ``event``), the first model and id; zeros without one."""
+    return _streamed(df, _read(F.col(body_col), _RESPONSE_EVENTS), _responses_stream)
+
+
+def parse_sse_converse(df: DataFrame, body_col: str = "response_body") -> DataFrame:
+    """Streamed converse events, framing taken off: usage of the metadata event, the stop reason of the message's end; zeros without them."""
+    return _streamed(df, _read(F.col(body_col), _CONVERSE_EVENTS), _converse_stream)
+
+
 def parse_sse_messages(df: DataFrame, body_col: str = "response_body") -> DataFrame:
     """Streamed messages: input and cache from the start, the last (cumulative) output, thoughts as thinking characters / 4."""
-    schema = f"type string, message struct<{_colons(_MESSAGES)}>, usage struct<input_tokens:bigint, output_tokens:bigint, cache_read_input_tokens:bigint, cache_creation_input_tokens:bigint>, delta struct<stop_reason:string, thinking:string>"
-    parsed = df.withColumn("__e", F.transform(_events(F.col(body_col)), lambda x: F.from_json(x, schema)))
-    e = F.col("__e")
-    pick = lambda name: F.coalesce(_try_last(e, lambda j: j["usage"][name]), _first(e, lambda j: j["message"]["usage"][name]))
-    thoughts = F.aggregate(e, F.lit(0), lambda a, j: a + F.coalesce(F.length(j["delta"]["thinking"]), F.lit(0)))
-    parsed = parsed.withColumns({"__in": pick("input_tokens"), "__out": pick("output_tokens"), "__read": pick("cache_read_input_tokens"), "__made": pick("cache_creation_input_tokens"), "__t": thoughts})
-    usage = _usage(model=_first(e, lambda j: j["message"]["model"]), id=_first(e, lambda j: j["message"]["id"]), finish_reason=_try_last(e, lambda j: j["delta"]["stop_reason"]), input_tokens=F.col("__in"), output_tokens=F.col("__out"), total_tokens=F.coalesce("__in", F.lit(0)) + F.coalesce("__out", F.lit(0)), thought_tokens=F.expr("__t div 4"), cache_read_tokens=F.col("__read"), cache_creation_tokens=F.col("__made"))
-    return parsed.withColumn("usage", usage).drop("__e", "__in", "__out", "__read", "__made", "__t")
+    return _streamed(df, _read(F.col(body_col), _MESSAGE_EVENTS), _messages_stream)
+
+
+def _read_or_listed(body: Column, schema: str) -> Column:
+    """Events of a stream, or the items of a JSON array."""
+    listed = F.from_json(body, f"array<{StructType.fromDDL(schema).simpleString()}>")
+    return F.when(F.ltrim(body).startswith("["), listed).otherwise(_read(body, schema))
 
 
 def parse_sse_generate(df: DataFrame, body_col: str = "response_body") -> DataFrame:
     """Streamed generation, as events or as a JSON array: the last chunk with usageMetadata."""
-    schema = _GENERATE
-    lines = F.transform(_events(F.col(body_col)), lambda x: F.from_json(x, schema))
-    array = F.from_json(F.col(body_col), f"array<struct<{_colons(schema)}>>")
-    parsed = df.withColumn("__e", F.when(F.ltrim(F.col(body_col)).startswith("["), array).otherwise(lines))
-    used = F.filter("__e", lambda j: j["usageMetadata"].isNotNull())
-    finish = _try_last(F.col("__e"), lambda j: F.get(j["candidates"], F.lit(0))["finishReason"])
-    parsed = parsed.withColumns({"__j": F.get(used, F.size(used) - 1), "__f": finish})
-    return parsed.withColumn("usage", _generate(F.col("__j")).withField("finish_reason", F.coalesce("__f", F.lit("")))).drop("__e", "__j", "__f")
+    return _streamed(df, _read_or_listed(F.col(body_col), _GENERATE), _generate_stream)
 
 
 def parse_usage(df: DataFrame) -> DataFrame:
@@ -201,24 +240,30 @@ def parse_usage(df: DataFrame) -> DataFrame:
 
     A JSON object that answers a streaming request is read as a whole body, for providers answer
     errors and some requests so; where it is not known whether a request streams, the body says
-    so.  Each parser gets the bodies of its shape alone, so a body is parsed once.
+    so.  A body is parsed once: whole ones with the fields of all shapes, events of streams
+    likewise, but those of responses apart, whose ``delta`` is a text.
     """
-    columns = df.columns
-    whole = F.coalesce(~F.col("is_streaming"), F.lit(False)) | F.coalesce(F.col("response_body").rlike(r"^\s*\{"), F.lit(False))
-    body = F.col("response_body")
-    shaped = detect_body_shape(df.withColumn("__w", whole).withColumn("__b", F.when(F.col("__w"), body)), "__b").withColumnRenamed("shape", "__whole")
-    shaped = detect_stream_shape(shaped.withColumn("__b", F.when(~F.col("__w"), body)), "__b")
-    every = shaped.withColumn("__route", F.when(F.col("__w"), F.col("__whole")).otherwise(F.concat(F.lit("sse_"), "shape"))).drop("__b", "__w", "__whole", "shape")
-    parsers = {
-        "chat": parse_chat_completion, "responses": parse_responses_api, "generate": parse_generate_content, "messages": parse_messages_api, "converse": parse_converse,
-        "sse_chat": parse_sse_chat, "sse_responses": parse_sse_responses, "sse_generate": parse_sse_generate, "sse_messages": parse_sse_messages, "sse_converse": parse_sse_converse,
+    columns, body = df.columns, F.col("response_body")
+    whole = F.coalesce(~F.col("is_streaming"), F.lit(False)) | F.coalesce(body.rlike(r"^\s*\{"), F.lit(False))
+    split = df.select("*", whole.alias("__w")).select("*", F.when(F.col("__w"), body).alias("__b"), F.when(~F.col("__w"), body).alias("__s"))
+    shaped = detect_stream_shape(detect_body_shape(split, "__b").withColumnRenamed("shape", "__whole"), "__s")
+    route = F.when(F.col("__w"), F.col("__whole")).otherwise(F.concat(F.lit("sse_"), "shape"))
+    routed = shaped.select(*columns, "__b", "__s", route.alias("__route"))
+    known, responses = F.col("__route") != "", F.col("__route") == "sse_responses"
+    parsed = routed.select(
+        *columns,
+        "__route",
+        F.from_json(F.when(known, F.col("__b")), _union(_CHAT, _RESPONSES, _MESSAGES, _GENERATE, _CONVERSE)).alias("__j"),
+        _read_or_listed(F.when(~responses & (F.col("__route") != "sse_"), F.col("__s")), _union(_CHAT, _MESSAGE_EVENTS, _GENERATE, _CONVERSE_EVENTS)).alias("__e"),
+        _read(F.when(responses, F.col("__s")), _RESPONSE_EVENTS).alias("__r"),
+    )
+    j, e, r = F.col("__j"), F.col("__e"), F.col("__r")
+    shapes = {
+        "chat": _chat(j), "responses": _responses(j), "generate": _generate(j), "messages": _messages(j), "converse": _converse(j),
+        "sse_chat": _chat_stream(e), "sse_responses": _responses_stream(r), "sse_generate": _generate_stream(e), "sse_messages": _messages_stream(e), "sse_converse": _converse_stream(e),
     }
-    for name, f in parsers.items():
-        every = f(every.withColumn("__b", F.when(F.col("__route") == name, F.col("response_body"))), "__b").withColumnRenamed("usage", f"__u_{name}").drop("__b")
-    usage = F.lit(None).cast(every.schema["__u_chat"].dataType)
-    for name in parsers:
-        usage = F.when(F.col("__route") == name, F.col(f"__u_{name}")).otherwise(usage)
-    out = every.withColumn("__u", usage).select(*columns, "__u")
+    usage = reduce(lambda found, shape: found.when(F.col("__route") == shape[0], shape[1]), shapes.items(), F)
+    out = parsed.select(*columns, usage.alias("__u"))
     return out.select(*columns, *[F.col(f"__u.{f}").alias("response_id" if f == "id" else f"usage_{f}") for f in FIELDS], F.col("__u").isNull().alias("parse_error"))
 
 
