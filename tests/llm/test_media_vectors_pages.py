@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tollhouse.llm import mtree, webp, wrapper
 
@@ -69,6 +70,30 @@ def test_mtree(spark, monkeypatch, page):
     assert mtree.top_k(df.filter("vec_id < 3")).count() == 2
 
 
+@pytest.mark.parametrize("copies", [0, 300])
+def test_mtree_splits(spark, monkeypatch, copies):
+    """Full nodes split by their own vectors, level below level; copies of one vector fill pages by a hash; scores stay exact and most pages unseen."""
+    for name, value in {"PAGE": 8, "NODE": 4, "ROUTING": 2, "SPLIT": 2, "DEALT": 64, "QUERIES": 5}.items():
+        monkeypatch.setattr(mtree, name, value)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(24, 6)) * 40
+    x = np.concatenate([np.floor(centres[rng.integers(0, 24, 700)] + rng.normal(size=(700, 6))), np.full((copies, 6), 3.0)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    score = x @ x.T
+    wanted = set()
+    for q in range(0, len(x), 20):
+        best = sorted((-int(score[q, i]), i) for i in range(len(x)) if i != q)[:5]
+        wanted |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in mtree.top_k(df, k=5, scale=1).collect()} == wanted
+    index = mtree.build_index(mtree.quantised(df, "vec_id", "embedding", 1))
+    assert index.levels and sum(len(np.frombuffer(r.ids, np.int64)) for r in index.nodes.select("ids").collect()) == len(x)
+    sizes = [r.n for r in index.nodes.groupBy("node", "sub").agg(F.sum(F.octet_length("ids") / 8).alias("n")).collect()]
+    assert max(sizes) <= 3 * mtree.PAGE and len(sizes) >= len(x) // 16
+    many = [r.subs for r in index.pages.collect() if r.subs > 1]
+    assert len(many) <= (1 if copies else 0) + 2 and bool(copies) <= bool(many)
+
+
 def test_mtree_levels():
     """Inner nodes above many routing objects find the nearest one and lose none within reach."""
     rng = np.random.default_rng(5)

@@ -6,13 +6,16 @@ Vectors get one more coordinate that brings all of them to the length of the lon
 * Routing objects are vectors of a bounded sample; every vector belongs to the nearest one.
   Above them stand levels of inner nodes of about ``FAN`` children, kept by the driver and
   sent to tasks: they are as few as the routing objects whatever the table's size.
-* A page holds at most about ``PAGE`` vectors of one routing object, so a vector with very
-  many copies fills several pages.  A page's vectors lie in leaves of up to ``NODE``.  Every
+* A routing object or node with more than two pages of vectors is split: vectors drawn from
+  its own become objects of up to about ``SPLIT`` nodes below it, its vectors go to the nearest
+  one, and so on down.  These nodes are rows of DataFrames and grow with the table.  A node
+  that is not split is a page; only one that is (almost) all copies of a vector is dealt to
+  several pages by a hash.  A page's vectors lie in leaves of up to ``NODE``.  Every
   node has an object, a covering radius and the distance of its object from its parent's;
   every entry of a leaf has the distance from the leaf's object.
-* A query goes best first through the inner nodes to its nearest routing object and through
-  that object's pages, which bounds the distance of its k-th neighbour; then through each
-  subtree that the bound leaves.  Each query has its own queue of nodes by lower bound.  The
+* A query goes best first through the inner nodes to its nearest routing object and down to
+  the nearest pages that hold enough vectors, which bounds the distance of its k-th neighbour;
+  then through each subtree that the bound leaves.  Each query has its own queue of nodes by lower bound.  The
   bounds come from stored distances first; a distance is computed only for the node that is
   at the head of a queue, and its entries only where the triangle inequality leaves them.
 """
@@ -38,6 +41,8 @@ PAGE, NODE = 1024, 64
 ROUTING = 2048
 #: Children of an inner node, about.
 FAN = 32
+#: Most nodes wanted below one that is split, and vectors that one task gives to them.
+SPLIT, DEALT = 512, 65536
 #: Queries that are searched in a page at once; more go to other tasks.
 QUERIES = 4096
 #: Vectors of squared lengths from here on are kept out of the tree: their inner products may be beyond 64 bits.
@@ -227,19 +232,48 @@ class Inner:
 
 
 class Index:
-    """The inner nodes, the routing objects and a DataFrame of leaves."""
+    """The inner nodes, the levels of nodes below the routing objects and a DataFrame of leaves."""
 
-    def __init__(self, nodes: DataFrame, routing: np.ndarray, inner: Inner, pages: DataFrame, most: float, width: int, exact: bool):
-        self.nodes, self.routing, self.inner, self.pages = nodes, routing, inner, pages
+    def __init__(self, nodes: DataFrame, levels: list[DataFrame], inner: Inner, pages: DataFrame, most: float, width: int, exact: bool):
+        self.nodes, self.levels, self.inner, self.pages = nodes, levels, inner, pages
         self.most, self.width, self.exact = most, width, exact
 
 
+def _split(rows: DataFrame, full: DataFrame, most: float, width: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The vectors of the nodes ``full`` (node, n) at new nodes below, and those nodes' (parent, node, object).
+
+    Objects are drawn by a hash of the id: about twice as many as pages, sixteen more against
+    bad luck.  A node's vectors are dealt to tasks of about ``DEALT``, each beside all its objects.
+    """
+    wanted = F.least(F.ceil(F.col("n") / PAGE), F.lit(SPLIT)) * 2 + 16
+    within = rows.select("id", "vector", "node").join(full, "node")
+    drawn = within.filter(F.expr("pmod(xxhash64(id, %d), n)" % depth) < wanted)
+    name = F.concat_ws("/", "node", F.hex(F.xxhash64("vector")))
+    objects = stored(drawn.groupBy(F.col("node").alias("parent"), name.alias("node")).agg(F.min("vector").alias("object")), "objects")
+    groups = F.ceil(F.col("n") / DEALT).cast("int")
+    dealt = within.select("id", "vector", "node", F.pmod(F.xxhash64("vector", "id"), groups).cast("int").alias("group"))
+    beside = objects.join(full.withColumnRenamed("node", "parent"), "parent").select("parent", "node", "object", F.explode(F.sequence(F.lit(0), groups - 1)).alias("group"))
+
+    def given(key: tuple, mine: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(above):
+            return mine.assign(far=np.inf)[["id", "vector", "node", "far"]]
+        pivots, names = _lifted(_matrix(above["object"].tolist(), width), most), above["node"].to_numpy()
+        near, far = np.zeros(len(mine), np.int64), np.zeros(len(mine))
+        for at in range(0, len(mine), 2048):
+            d = _distances(_lifted(_matrix(mine["vector"].iloc[at : at + 2048].tolist(), width), most), pivots)
+            near[at : at + 2048], far[at : at + 2048] = d.argmin(axis=1), d.min(axis=1)
+        return pd.DataFrame({"id": mine["id"], "vector": mine["vector"], "node": names[near], "far": far})
+
+    moved = dealt.groupBy("node", "group").cogroup(beside.groupBy("parent", "group")).applyInPandas(given, "id long, vector binary, node string, far double")
+    return stored(moved, "placed"), objects
+
+
 def build_index(vectors: DataFrame) -> Index | None:
     """The M-tree of (id, vector, norm2) rows; None if there are none."""
     n, most, width = vectors.agg(F.count("*"), F.max("norm2"), F.max(F.octet_length("vector"))).first()
     if not n:
         return None
-    width = max(1, width // 8)
+    width, most = max(1, width // 8), float(most)
     wanted = min(ROUTING, -(-n // PAGE))
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(4 * wanted).select("vector").collect()
     distinct = list(dict.fromkeys(bytes(r.vector) for r in sample))[:wanted]
@@ -249,50 +283,65 @@ def build_index(vectors: DataFrame) -> Index | None:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                x = _lifted(_matrix(part["vector"].to_pylist(), width), most)
-                d = _distances(x, routing)
+                d = _distances(_lifted(_matrix(part["vector"].to_pylist(), width), most), routing)
                 near = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([part["id"], part["vector"], pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(x)), near])], ["id", "vector", "route", "far"])
+                yield pa.RecordBatch.from_arrays([part["id"], part["vector"], pa.array(near.astype(str)), pa.array(d[np.arange(len(d)), near])], ["id", "vector", "node", "far"])
 
-    placed = stored(vectors.select("id", "vector").mapInArrow(nearest, "id long, vector binary, route int, far double"), "placed")
+    def measured(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("node").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+
+    rows = stored(vectors.select("id", "vector").mapInArrow(nearest, "id long, vector binary, node string, far double"), "placed")
+    sizes = stored(measured(rows), "sizes")
     # One row a routing object: bounded by ROUTING.
-    sizes = placed.groupBy("route").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
     radii = np.full(len(routing), -1.0)
     for r in sizes.collect():
-        radii[r.route] = r.radius
-    pages = sizes.select("route", F.ceil(F.col("n") / PAGE).cast("int").alias("subs"))
-    paged = placed.join(F.broadcast(pages), "route")
-    paged = paged.withColumn("sub", F.pmod(F.xxhash64("id"), "subs").cast("int"))
-
-    def nodes_of(rows: pd.DataFrame) -> pd.DataFrame:
+        radii[int(r.node)] = r.radius
+    levels, settled, counted = [], [], []
+    full = sizes.filter((F.col("n") > 2 * PAGE) & (F.col("radius") > 0)).select("node", "n")
+    while not full.isEmpty():
+        settled.append(rows.join(full, "node", "left_anti"))
+        counted.append(sizes.join(full, "node", "left_anti"))
+        rows, objects = _split(rows, full, most, width, len(levels))
+        parents = full.select(F.col("node").alias("parent"), F.col("n").alias("all"))
+        sizes = stored(measured(rows).join(objects, "node").join(parents, "parent"), "sizes")
+        levels.append(sizes.select("parent", "node", "object", "radius", "n"))
+        # One that keeps nearly all vectors is made of copies: no object parts them.
+        full = sizes.filter((F.col("n") > 2 * PAGE) & (F.col("radius") > 0) & (F.col("n") < 0.9 * F.col("all"))).select("node", "n")
+    rows = reduce(DataFrame.unionByName, settled, rows)
+    sizes = reduce(DataFrame.unionByName, [c.select("node", "n") for c in counted], sizes.select("node", "n"))
+    pages = stored(sizes.select("node", F.when(F.col("n") > 2 * PAGE, F.ceil(F.col("n") / PAGE)).otherwise(1).cast("int").alias("subs")), "pages")
+    copies = pages.filter("subs > 1")
+    paged = rows.join(copies, "node", "left").withColumn("sub", F.coalesce(F.pmod(F.xxhash64("id"), "subs").cast("int"), F.lit(0)))
+
+    def nodes_of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
         x = _lifted(_matrix(rows["vector"].tolist(), width), most)
         ids = rows["id"].to_numpy()
-        top = routing[rows["route"].iloc[0]][None, :]
-        # Objects: vectors spread over the page by farthest-first choice; entries go to the nearest.
+        # Objects: vectors spread over the page by farthest-first choice; entries go to the nearest.  The first is the page's own.
         chosen = _spread(x, -(-len(x) // NODE) * 2)
         d = _distances(x, x[chosen])
         of = d.argmin(axis=1)
+        whole = x[:, :-1].astype(np.int64)
         out = []
         for k, c in enumerate(chosen):
             members = np.flatnonzero(of == k)
             for at in range(0, len(members), NODE):
                 m = members[at : at + NODE]
-                out.append((int(rows["route"].iloc[0]), int(rows["sub"].iloc[0]), x[c, :-1].astype(np.int64).tobytes(), float(d[m, k].max()), float(_distances(x[c : c + 1], top)[0, 0]), ids[m].tobytes(), x[m, :-1].astype(np.int64).tobytes(), d[m, k].tobytes()))
-        return pd.DataFrame(out, columns=["route", "sub", "object", "radius", "parent", "ids", "vectors", "distances"])
+                out.append((*key, whole[0].tobytes(), whole[c].tobytes(), float(d[m, k].max()), float(d[c, 0]), ids[m].tobytes(), whole[m].tobytes(), d[m, k].tobytes()))
+        return pd.DataFrame(out, columns=["node", "sub", "top", "object", "radius", "parent", "ids", "vectors", "distances"])
 
-    nodes = paged.groupBy("route", "sub").applyInPandas(nodes_of, "route int, sub int, object binary, radius double, parent double, ids binary, vectors binary, distances binary")
-    exact = float(most) < 2**52
+    nodes = paged.select("id", "vector", "node", "sub").groupBy("node", "sub").applyInPandas(nodes_of, "node string, sub int, top binary, object binary, radius double, parent double, ids binary, vectors binary, distances binary")
     used = np.flatnonzero(radii >= 0)
-    return Index(stored(nodes, "nodes"), routing, Inner(used, routing[used], radii[used]), pages, float(most), width, exact)
+    return Index(stored(nodes, "nodes"), levels, Inner(used, routing[used], radii[used]), pages, most, width, most < 2**52)
 
 
-def _searched(nodes: pd.DataFrame, queries: pd.DataFrame, root: np.ndarray, most: float, width: int, exact: bool, k: int) -> pd.DataFrame:
-    """The k best entries of one page under ``root`` for each of the queries, none worse than the query's bound."""
+def _searched(nodes: pd.DataFrame, queries: pd.DataFrame, most: float, width: int, exact: bool, k: int) -> pd.DataFrame:
+    """The k best entries of one page for each of the queries, none worse than the query's bound."""
     if not len(nodes) or not len(queries):
         return pd.DataFrame({c: np.empty(0, np.int64) for c in ("query_id", "vec_id", "score")})
     objects = _lifted(_matrix(nodes["object"].tolist(), width), most)
     radii, parents = nodes["radius"].to_numpy(), nodes["parent"].to_numpy()
+    root = _lifted(_matrix(nodes["top"].tolist()[:1], width), most)
     leaves = [(np.frombuffer(i, np.int64), np.frombuffer(v, np.int64).reshape(-1, width), np.frombuffer(d, np.float64)) for i, v, d in zip(nodes["ids"], nodes["vectors"], nodes["distances"], strict=True)]
     if exact:
         leaves = [(i, v.astype(np.float64), d) for i, v, d in leaves]
@@ -303,7 +352,7 @@ def _searched(nodes: pd.DataFrame, queries: pd.DataFrame, root: np.ndarray, most
     norms = (plain * plain).sum(axis=1)
     lifted = np.concatenate([plain, np.zeros((len(plain), 1))], axis=1)
     # A row of the queue holds one query's lower bounds of all leaves, from stored distances at first.
-    queue = np.abs(_distances(lifted, root[None, :]) - parents[None, :]) - radii[None, :]
+    queue = np.abs(_distances(lifted, root) - parents[None, :]) - radii[None, :]
     to_object = np.full(queue.shape, np.nan)
     keys, names = np.full((len(ids), k), NONE), np.zeros((len(ids), k), dtype=np.int64)
     going = np.arange(len(ids))
@@ -344,49 +393,81 @@ def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
 
     ``queries`` are (id, vector) rows of ``quantised``, one an id.  Equal entries of one id and score rank one after another.
     """
-    width, most, routing, inner, exact = index.width, index.most, index.routing, index.inner, index.exact
+    width, most, inner, exact = index.width, index.most, index.inner, index.exact
 
     def home(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch["vector"].to_pylist(), width)
             near = [inner.nearest(q) for q in np.concatenate([x, np.zeros((len(x), 1))], axis=1)]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["vector"], pa.array(near, pa.int32())], ["id", "vector", "route"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["vector"], pa.array([LOW] * len(near), pa.int64()), pa.array([str(j) for j in near], pa.string())], ["id", "vector", "bound", "node"])
 
-    def others(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        """A row for each query and routing object that its bound leaves, but for its home."""
+    def reached(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        """A row for each query and routing object that its bound leaves."""
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 x = _matrix(part["vector"].to_pylist(), width)
                 reach = _reach(most, (x * x).sum(axis=1), part["bound"].to_numpy())
-                homes = part["route"].to_numpy()
                 for route, rows in inner.within(np.concatenate([x, np.zeros((len(x), 1))], axis=1), reach):
-                    rows = rows[homes[rows] != route]
                     taken = part.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([taken["id"], taken["vector"], taken["bound"], pa.array(np.full(len(rows), route, dtype=np.int32))], ["id", "vector", "bound", "route"])
+                    yield pa.RecordBatch.from_arrays([taken["id"], taken["vector"], taken["bound"], pa.array([str(route)] * len(rows), pa.string())], ["id", "vector", "bound", "node"])
+
+    def grouped(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs dealt to groups of about ``QUERIES`` a node, and each node's groups."""
+        groups = pairs.groupBy("node").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))
+        hot = groups.filter("groups > 1").withColumnRenamed("groups", "many")
+        dealt = pairs.join(hot, "node", "left").withColumn("group", F.coalesce(F.pmod(F.xxhash64("id"), "many").cast("int"), F.lit(0))).drop("many")
+        return dealt, groups.select("node", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+
+    def down(pairs: DataFrame, level: DataFrame, home: bool) -> DataFrame:
+        """The pairs one level down: at all nodes that a query's bound leaves, or at the nearest with more than k vectors; those at pages stay."""
+
+        def one(key: tuple, asked: pd.DataFrame, below: pd.DataFrame) -> pd.DataFrame:
+            columns = ["id", "vector", "bound", "node"]
+            if not len(asked) or not len(below):
+                return asked[columns]
+            x = _matrix(asked["vector"].tolist(), width)
+            d = _distances(np.concatenate([x, np.zeros((len(x), 1))], axis=1), _lifted(_matrix(below["object"].tolist(), width), most))
+            if home:
+                order = d.argsort(axis=1, kind="stable")
+                before = np.cumsum(below["n"].to_numpy()[order], axis=1) - below["n"].to_numpy()[order]
+                met = np.zeros(d.shape, bool)
+                np.put_along_axis(met, order, before <= k, axis=1)
+            else:
+                reach = _reach(most, (x * x).sum(axis=1), asked["bound"].to_numpy(np.int64))
+                met = d - below["radius"].to_numpy()[None, :] <= reach[:, None]
+            rows, to = np.nonzero(met)
+            return asked.iloc[rows].assign(node=below["node"].to_numpy()[to])[columns]
+
+        dealt, groups = grouped(pairs)
+        below = level.join(groups.withColumnRenamed("node", "parent"), "parent")
+        return dealt.groupBy("node", "group").cogroup(below.groupBy("parent", "group")).applyInPandas(one, "id long, vector binary, bound long, node string")
+
+    def descended(pairs: DataFrame, home: bool) -> DataFrame:
+        for level in index.levels:
+            pairs = stored(down(pairs, level, home), "pairs")
+        return pairs
 
     def run(pairs: DataFrame) -> DataFrame:
-        """The pages of each pair's routing object searched; its queries in groups of about ``QUERIES``, each beside the page."""
-
-        def groups() -> DataFrame:
-            return pairs.groupBy("route").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))
-
-        dealt = pairs.join(F.broadcast(groups()), "route").withColumn("group", F.pmod(F.xxhash64("id"), "groups").cast("int"))
-        dealt = dealt.join(F.broadcast(index.pages.select("route", "subs")), "route").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-        leaves = index.nodes.join(F.broadcast(groups()), "route").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        """The pages of each pair's node searched; its queries in groups of about ``QUERIES``, each beside the page."""
+        dealt, groups = grouped(pairs)
+        dealt = dealt.join(index.pages, "node").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
 
-        def one(key: tuple, nodes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-            return _searched(nodes, rows, routing[int(key[0])], most, width, exact, k)
+        def one(nodes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            return _searched(nodes, rows, most, width, exact, k)
 
-        by = ("route", "sub", "group")
-        return leaves.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(one, "query_id long, vec_id long, score long")
+        by = ("node", "sub", "group")
+        return index.nodes.join(groups, "node").groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(one, "query_id long, vec_id long, score long")
 
-    placed = stored(queries.select("id", "vector").mapInArrow(home, "id long, vector binary, route int"), "queries")
-    near = stored(run(placed.withColumn("bound", F.lit(LOW).cast("long"))), "near")
+    pairs_schema = "id long, vector binary, bound long, node string"
+    placed = descended(stored(queries.select("id", "vector").mapInArrow(home, pairs_schema), "queries"), True)
+    near = stored(run(placed), "near")
     order = Wd.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     bounds = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
-    bounded = placed.join(bounds, "id", "left").select("id", "vector", "route", F.coalesce("bound", F.lit(LOW).cast("long")).alias("bound"))
-    pairs = stored(bounded.mapInArrow(others, "id long, vector binary, bound long, route int"), "pairs")
+    bounded = queries.select("id", "vector").join(bounds, "id", "left").select("id", "vector", F.coalesce("bound", F.lit(LOW).cast("long")).alias("bound"))
+    # The pages of the first descent are not searched again.
+    pairs = descended(stored(bounded.mapInArrow(reached, pairs_schema), "pairs"), False)
+    pairs = stored(pairs.join(placed.select("id", "node"), ["id", "node"], "left_anti"), "pairs")
     return near.unionByName(run(pairs)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
