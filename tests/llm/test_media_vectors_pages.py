@@ -72,7 +72,7 @@ def test_mtree(spark, monkeypatch, page):
 
 @pytest.mark.parametrize("copies", [0, 300])
 def test_mtree_splits(spark, monkeypatch, copies):
-    """Full nodes split by their own vectors, level below level; copies of one vector fill pages by a hash; scores stay exact and most pages unseen."""
+    """Full nodes split by their own vectors, level below level; copies of one vector fill pages by a hash; scores stay exact."""
     for name, value in {"PAGE": 8, "NODE": 4, "ROUTING": 2, "SPLIT": 2, "DEALT": 64, "QUERIES": 5}.items():
         monkeypatch.setattr(mtree, name, value)
     rng = np.random.default_rng(4)
