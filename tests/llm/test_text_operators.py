@@ -171,8 +171,46 @@ def brute_components(texts, width, num, den):
     return [(i, len(s), low[root(i)]) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("width", "num", "den"), [(3, 9, 10), (5, 8, 10)])
-def test_jaccard(spark, width, num, den):
+@pytest.mark.parametrize("weak", [False, True])
+def test_windows_by_bytes(monkeypatch, weak):
+    """Windows whose hashes meet are told by their bytes; places beyond a context are no window, whatever bytes stand there."""
+    rnd = np.random.default_rng(5)
+    if weak:
+        found = repeats.window_hashes
+        monkeypatch.setattr(repeats, "window_hashes", lambda *a: found(*a) % np.uint64(3))
+    for n in (2, 3, 9):
+        rows = []
+        for i in range(n):
+            before, after = int(rnd.integers(0, 33)), int(rnd.integers(32, 65))
+            context = bytes(rnd.integers(0, 2, before + after, dtype=np.uint8)) if i % 2 else b"\0" * (before + after)
+            rows.append({"own_key": 1, "own_kind": i, "copies": 1, "low": 0, "high": 32, "before": before, "after": after, "context": context})
+        windows = [{x: r["context"][r["before"] - x : r["before"] - x + 64] for x in range(33) if r["before"] >= x and r["after"] >= 64 - x} for r in rows]
+        want = {(i, x) for i, own in enumerate(windows) for x, w in own.items() if any(j != i and other.get(x) == w for j, other in enumerate(windows))}
+        got = {(kind, x) for _, kind, a, b in repeats._windows(rows, 64) for x in range(64 - b, 1 - a)}
+        assert got == want
+
+
+def test_planted_passages(spark):
+    """Passages of over 50 words in documents of their own words: those of 400 bytes and more go, whole and alone."""
+    rnd = random.Random(11)
+
+    def prose(n):
+        return " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 9))) for _ in range(n))
+
+    passages = [(p + "q" * 400)[:size] for p, size in ((prose(51)[:300], 399), (prose(55), 400), (prose(60), 401), (prose(90), 600))]
+    texts, planted = [], []
+    for i in range(24):
+        passage = passages[i % 4] if i < 16 else ""
+        own = chr(65 + i)  # what stands beside a passage differs, so nothing longer repeats
+        texts.append(f"{prose(rnd.randint(0, 80))}{own}{passage}{own}{prose(rnd.randint(0, 80))}")
+        planted.append(len(passage) if len(passage) >= 400 else 0)
+    got = sorted((r.doc_id, r.n_removed, r.n_spans) for r in repeats.remove_repeats(table(spark, texts)).collect())
+    assert got == [(i, n, int(n > 0)) for i, n in enumerate(planted)]
+
+
+@pytest.mark.parametrize(("width", "num", "den", "hot"), [(3, 9, 10, 10_000), (5, 8, 10, 10_000), (3, 9, 10, 2), (5, 8, 10, 3)])
+def test_jaccard(spark, monkeypatch, width, num, den, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
     rnd = random.Random(width)
     voc = [f"w{i}" for i in range(60)]
     base = [[rnd.choice(voc) for _ in range(rnd.choice([1, 2, 3, 12, 25, 40, 120]))] for _ in range(7)]

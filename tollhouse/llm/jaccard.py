@@ -14,6 +14,9 @@ candidates, at most postings / l, that it would verify, times its size.
   shingles, and classes so linked are labelled by component.  Candidates are then formed
   only between components: large families of near copies take linear work, and no link
   between components is lost.
+* Shingles listed as frequent are counted by partial sums, and their postings are dealt to
+  blocks of ``HOT``, each with a pivot of its own; candidates are formed of a block and the
+  others.  A shingle that is not listed has a 65,536th of all at most.
 * Candidates are verified on their whole sets, made anew from texts that move compressed, to
   the candidate's partner; partners of many candidates are split.
 """
@@ -55,6 +58,8 @@ SKETCHED = 32
 TOGETHER = 256
 #: Up to so many ids (some 50 bytes each) or labels (16 bytes) are broadcast; beyond, a shuffle join does.
 BROADCAST_IDS = 500_000
+#: Postings of one shingle that meet in one task; those of listed shingles that have more are dealt to blocks.
+HOT = 10_000
 #: Different sets that a task remembers, so that copies that it meets again give no postings.
 REMEMBERED = 300_000
 
@@ -214,7 +219,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, steps: Step
 def _tried(marked: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """A pair for each class: of the pivots of its shingles, in another component, the one that most of them name, twice at least."""
     # Few rarer shingles before a common one: a text that others were made from, rather than one of its altered copies.
-    order = Window.partitionBy("shingle").orderBy("at", F.xxhash64("node", F.lit(turn)), "node")
+    order = Window.partitionBy("shingle", _block()).orderBy("at", F.xxhash64("node", F.lit(turn)), "node")
     own = F.struct("node", "n", "at", "component", *SKETCH)
     near = marked.withColumn("p", F.first(own).over(order)).filter("component <> p.component").filter((F.col("n") * den >= F.col("p.n") * num) & (F.col("p.n") * den >= F.col("n") * num))
     shared = F.ceil((F.col("n") + F.col("p.n")) * num / (num + den))
@@ -224,18 +229,28 @@ def _tried(marked: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     return named.groupBy("node").agg(F.max(F.struct("same", "b")).alias("p")).select(F.col("node").alias("a"), "p.b")
 
 
-def _postings(rows: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, n, at, shingle, level, parity bits) of the shingles that several rows have; level is the class's chosen l."""
+def _block(of: str = "") -> Column:
+    """The block of its shingle's postings in which a posting is."""
+    return F.pmod(F.xxhash64(f"{of}node"), F.col(f"{of}blocks")).cast("int")
+
+
+def _postings(rows: DataFrame, classes: DataFrame, listed: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, n, at, shingle, all, blocks, level, parity bits) of the shingles that several rows have.
+
+    ``all`` counts the shingle's postings, ``level`` is the class's chosen l.
+    """
     # Sets of n and n+1 shingles reach n/(n+1) at best: smaller ones link only with their equals.
     least = next(n for n in range(1, 1 << 20) if n * den >= num * (n + 1))
     places = rows.filter(F.col("n") >= least).select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "shingle"))
-    met = places.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).filter("df > 1")
+    hot = places.join(F.broadcast(listed), "shingle", "left_semi").groupBy("shingle").agg(F.count("*").alias("often")).filter(F.col("often") > HOT)
+    met = places.join(F.broadcast(hot), "shingle", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("often") / HOT), F.lit(1)).cast("int"))
+    met = met.withColumn("df", F.coalesce("often", F.count("*").over(Window.partitionBy("shingle", _block())))).filter("df > 1").drop("often")
     own = met.join(classes.select("node", *SKETCH), "node")
     n, of_node = F.col("n"), Window.partitionBy("node")
     probe = _probe(num, den)
     cost = [F.coalesce(F.sum(F.when(probe <= k, F.col("df"))).over(of_node) * (1 + n * VERIFY_COST / k), F.lit(0.0)) for k in range(1, LEVELS + 1)]
     chosen = own.withColumn("cost", F.array(*cost)).withColumn("level", F.array_position("cost", F.array_min("cost")).cast("int"))
-    return chosen.select("node", "n", "at", "shingle", "level", *[F.when(F.col("df") > SKETCHED, F.col(c)).otherwise(F.lit(0)).alias(c) for c in SKETCH])
+    return chosen.select("node", "n", "at", "shingle", F.col("df").alias("all"), "blocks", "level", *[F.when(F.col("df") > SKETCHED, F.col(c)).otherwise(F.lit(0)).alias(c) for c in SKETCH])
 
 
 def _probe(num: int, den: int, of: str = "") -> Column:
@@ -251,12 +266,14 @@ def _index(num: int, den: int, of: str = "") -> Column:
 
 
 def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
-    """The postings of shingles of several components, with component, all (postings of the shingle) and same (those of its component too)."""
+    """The postings of shingles of several components, with component and same, the postings of shingle and component (for blocks an estimate)."""
     labels = connected_components(links).select("node", F.col("component").alias("label"))
     labels = F.broadcast(labels) if labels.count() <= BROADCAST_IDS else labels
     marked = postings.join(labels, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
-    marked = marked.withColumn("same", F.count("*").over(Window.partitionBy("shingle", "component")))
-    return marked.withColumn("all", F.count("*").over(Window.partitionBy("shingle"))).filter("`all` > same")
+    whole = marked.filter("blocks > 1").groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low = high")
+    marked = marked.join(F.broadcast(whole.select("shingle")), "shingle", "left_anti")
+    inside = F.count("*").over(Window.partitionBy("shingle", "component", _block()))
+    return marked.withColumn("same", F.least("all", 1 + (inside - 1) * F.col("blocks"))).filter("blocks > 1 OR `all` > same")
 
 
 def jaccard_rows(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -267,7 +284,7 @@ def jaccard_rows(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text
     """
     steps = Steps(docs.sparkSession)
     docs = docs.select(F.col(f"`{key_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    top = _counts(docs, width).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
+    top = steps.store(_counts(docs, width).orderBy(F.desc("n"), "shingle").limit(FREQUENT), "top").orderBy(F.desc("n"), "shingle")
     frequent = top.select("shingle").toArrow()["shingle"].to_numpy().astype(np.int64).view(np.uint64)
     sets = steps.store(_sets(docs, width, num, den, frequent), "sets")
     rows = steps.store(sets.select("doc_id", "row", "n", "h1", "h2"), "rows")
@@ -277,8 +294,8 @@ def jaccard_rows(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text
         *[F.first(c).alias(c) for c in SKETCH],
     )
     classes = steps.store(classes.withColumn("node", F.col("own.node")), "classes")
-    postings = steps.store(_postings(sets, classes, num, den), "postings")
-    steps.drop("sets")
+    postings = steps.store(_postings(sets, classes, top.filter(F.col("n") > HOT).select("shingle"), num, den), "postings")
+    steps.drop("sets", "top")
 
     links, known = None, 0
     marked = postings.withColumn("component", F.col("node"))
@@ -293,7 +310,9 @@ def jaccard_rows(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text
             break
     steps.drop("postings")
 
-    s, r = marked.alias("s"), marked.filter(_index(num, den) <= LEVELS).alias("r")
+    # Each block of a shingle's postings meets all of its postings.
+    s = marked.withColumn("block", _block()).alias("s")
+    r = marked.filter(_index(num, den) <= LEVELS).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("r")
     smaller = (F.col("r.n") < F.col("s.n")) | ((F.col("r.n") == F.col("s.n")) & (F.col("r.node") < F.col("s.node")))
     # Of the shingles that a linked pair shares, the l first lie within these places of both, for its own sizes.
     shared = F.ceil((F.col("s.n") + F.col("r.n")) * num / (num + den))
@@ -302,7 +321,7 @@ def jaccard_rows(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text
     early = early & (_differ("s.", "r.") <= F.col("s.n") + F.col("r.n") - 2 * shared)
     pairs = (
         s.filter(_probe(num, den, "s.") <= F.col("s.level"))
-        .join(r, (F.col("s.shingle") == F.col("r.shingle")) & smaller & (F.col("r.n") * den >= F.col("s.n") * num) & (_index(num, den, "r.") <= F.col("s.level")) & early & (F.col("r.component") != F.col("s.component")))
+        .join(r, (F.col("s.shingle") == F.col("r.shingle")) & (F.col("s.block") == F.col("r.block")) & smaller & (F.col("r.n") * den >= F.col("s.n") * num) & (_index(num, den, "r.") <= F.col("s.level")) & early & (F.col("r.component") != F.col("s.component")))
         .groupBy(F.col("s.node").alias("a"), F.col("r.node").alias("b"), F.col("s.level").alias("level"))
         .agg(F.count("*").alias("same"))
         .filter("same >= level")

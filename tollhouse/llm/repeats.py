@@ -11,13 +11,15 @@ repeated windows.  The digits of a window are taken from the most significant on
 3. While a group has more than ``GROUP`` different contexts, its windows are halved by where
    the anchor stands in them; each half is grouped anew by the bytes that all its windows
    share, and equal halves are settled as before.  A pass only counts and joins by hash.
-4. Groups within the bound compare all their windows in one task.
+4. Groups within the bound compare all their windows in one task: hashes order them, and
+   neighbours of equal hashes are compared by their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 from collections.abc import Iterable
 from functools import reduce
 
@@ -35,8 +37,10 @@ THRESHOLD = 400
 GRAM = 32
 #: Different contexts that one task compares.
 GROUP = 256
-#: Copies of one context that a task of a shuffle may meet; above 2^16 times as many members, a 2^16th of those.
+#: Rows of one anchor, or copies of one context, that a task of a shuffle may meet; above 2^16 times as many members, a 2^16th of those.
 OFTEN = 10_000
+#: Pairs of contexts that are compared byte by byte at once.
+PAIRS = 2048
 #: Bytes that are searched for anchors at once.
 PIECE = 1 << 22
 _PLACE = np.uint64((1 << 27) - 1)
@@ -174,34 +178,63 @@ def _halved(groups: DataFrame, threshold: int) -> DataFrame:
     return groups.mapInArrow(run, groups.schema)
 
 
+def _agree(a: np.ndarray, b: np.ndarray, starts: np.ndarray, threshold: int) -> np.ndarray:
+    """For each pair of rows and each start: whether the ``threshold`` bytes from there on are the same."""
+    out = np.empty((len(a), len(starts)), dtype=bool)
+    for i in range(0, len(a), PAIRS):
+        same = a[i : i + PAIRS] == b[i : i + PAIRS]
+        sums = np.zeros((len(same), same.shape[1] + 1), dtype=np.int32)
+        np.cumsum(same, axis=1, out=sums[:, 1:])
+        out[i : i + PAIRS] = sums[:, starts + threshold] - sums[:, starts] == threshold
+    return out
+
+
+def window_hashes(table: np.ndarray, starts: np.ndarray, threshold: int) -> np.ndarray:
+    """Hashes by which windows are ordered; whether they are equal is decided by their bytes."""
+    size = table.shape[1]
+    sums = np.zeros((len(table), size + 1), dtype=np.uint64)
+    np.cumsum(table * powers(size)[:size], axis=1, out=sums[:, 1:])
+    return sums[:, starts + threshold] - sums[:, starts]
+
+
+def _repeated(table: np.ndarray, valid: np.ndarray, starts: np.ndarray, threshold: int) -> np.ndarray:
+    """Which rows' windows, for each start, are those of another row too: neighbours in the order of hashes, compared by their bytes."""
+    n = len(table)
+    hashes = window_hashes(table, starts, threshold)
+    hashes[~valid] = mix(np.arange(np.count_nonzero(~valid), dtype=np.uint64) + np.uint64(1 << 40))
+    order = np.argsort(hashes, axis=0, kind="stable")
+    ordered = np.take_along_axis(hashes, order, axis=0)
+    row, column = np.nonzero(ordered[1:] == ordered[:-1])
+    one, two = order[row, column], order[row + 1, column]
+    pairs, of = np.unique(one * n + two, return_inverse=True)
+    equal = _agree(table[pairs // n], table[pairs % n], starts, threshold)[of, column] & valid[one, column] & valid[two, column]
+    again = np.zeros_like(valid)
+    again[one, column] = True
+    again[two, column] = True
+    for k in np.unique(column[~equal]).tolist():
+        # Different windows of one hash: this start's are told by their bytes alone.
+        whole = [table[i, starts[k] : starts[k] + threshold].tobytes() if valid[i, k] else None for i in range(n)]
+        counts = Counter(whole)
+        again[:, k] = [w is not None and counts[w] > 1 for w in whole]
+    return again
+
+
 def _windows(rows: list[dict], threshold: int) -> list[tuple[int, int, int, int]]:
     """(own key, own kind, from, to) of repeated stretches around the anchors of one group, for members not settled before."""
     left = threshold - GRAM
     low, high = rows[0]["low"], rows[0]["high"]
     n, size = len(rows), left + threshold
-    table = np.zeros((n, size), dtype=np.uint64)
+    table = np.zeros((n, size), dtype=np.uint8)
     before = np.array([r["before"] for r in rows])
     after = np.array([r["after"] for r in rows])
     for i, r in enumerate(rows):
         table[i, left - r["before"] : left + r["after"]] = np.frombuffer(r["context"], dtype=np.uint8)
-    sums = np.zeros((n, size + 1), dtype=np.uint64)
-    np.cumsum(table * powers(size)[:size], axis=1, out=sums[:, 1:])
     x = np.arange(low, high + 1)
     valid = (before[:, None] >= x) & (after[:, None] >= threshold - x)
-    hashes = sums[:, left - x + threshold] - sums[:, left - x]
-    hashes[~valid] = mix(np.arange(np.count_nonzero(~valid), dtype=np.uint64) + np.uint64(1 << 40))
     if n == 2:
-        again = np.broadcast_to(hashes[0] == hashes[1], hashes.shape)
+        again = np.broadcast_to(_agree(table[:1], table[1:], left - x, threshold) & valid.all(axis=0), valid.shape)
     else:
-        order = np.argsort(hashes, axis=0)
-        ordered = np.take_along_axis(hashes, order, axis=0)
-        same = ordered[1:] == ordered[:-1]
-        marked = np.zeros_like(valid)
-        marked[1:] |= same
-        marked[:-1] |= same
-        again = np.zeros_like(valid)
-        np.put_along_axis(again, order, marked, axis=0)
-    again = again & valid
+        again = _repeated(table, valid, left - x, threshold)
     out = []
     for i in np.flatnonzero(again.any(axis=1)).tolist():
         if rows[i]["copies"] > 1:
@@ -243,9 +276,13 @@ def _spans(texts: DataFrame, threshold: int) -> DataFrame:
     """(tid, from, to) of repeated bytes of different texts, overlapping."""
     steps = Steps(texts.sparkSession)
     places = steps.store(_anchor_rows(texts, threshold), "anchors")
-    # Stored, so that the join's sides come straight from their shuffles and Spark can split the rows of a hot anchor.
-    again = steps.store(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "again")
-    shared = places.join(again, "h").groupBy("tid").agg(F.collect_list(F.struct("h", "at")).alias("places"))
+    again = steps.store(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "again")
+    # Anchors of very many rows, of which there are 65,535 at most, need no shuffle of their rows.
+    many = max(OFTEN, (again.agg(F.sum("n")).first()[0] or 0) >> 16)
+    hot_anchors = F.broadcast(again.filter(F.col("n") > many).select("h"))
+    met = places.join(hot_anchors, "h", "left_anti").join(again.filter(F.col("n") <= many).select("h"), "h")
+    met = met.unionByName(places.join(hot_anchors, "h", "left_semi"))
+    shared = met.groupBy("tid").agg(F.collect_list(F.struct("h", "at")).alias("places"))
     members = steps.store(_members(texts.join(shared, "tid").select("tid", "text", "places"), threshold), "members")
     steps.drop("anchors", "again")
     kinds = steps.store(members.groupBy("key", "kind").agg(F.count("*").alias("copies")), "kinds")
