@@ -300,14 +300,18 @@ def _spans(texts: DataFrame, threshold: int) -> DataFrame:
     rows = contexts.select("key", "kind", F.col("key").alias("own_key"), F.col("kind").alias("own_kind"), "copies", F.lit(0).alias("low"), F.lit(left).alias("high"), "before", "after", "context")
     levels: list[DataFrame] = []
     for depth in range(2 + left.bit_length()):
-        classes = rows.groupBy("key", "kind").agg(F.sum("copies").alias("all"), F.min(F.struct("own_key", "own_kind")).alias("one"))
+        classes = steps.store(rows.groupBy("key", "kind").agg(F.sum("copies").alias("all"), F.min(F.struct("own_key", "own_kind")).alias("one")), "classes")
         of_key = classes.groupBy("key").agg(F.count("*").alias("different"), F.min("all").alias("fewest"))
         if depth:
             met = rows.filter("copies = 1").drop("context").join(classes.filter("`all` > 1").drop("one"), ["key", "kind"])
             met = met.select("own_key", "own_kind", (-F.least("high", "before")).alias("from"), F.least(threshold - F.col("low"), F.col("after")).alias("to")).filter(F.col("to") - F.col("from") >= threshold)
             met = met.select(F.col("own_key").alias("key"), F.col("own_kind").alias("kind"), "from", "to")
         # Which classes are compared is settled before their contexts move.
-        wanted = classes.join(of_key.filter("different > 1 AND fewest = 1").drop("fewest"), "key")
+        of_key = steps.store(of_key.filter("different > 1"), "keys")
+        many_kinds = of_key.filter(F.col("different") > often)
+        met_keys = of_key.filter("fewest = 1").select("key", "different")
+        wanted = classes.join(F.broadcast(many_kinds.select("key")), "key", "left_anti").join(met_keys.filter(F.col("different") <= often), "key")
+        wanted = wanted.unionByName(classes.join(F.broadcast(many_kinds.filter("fewest = 1").select("key", "different")), "key"))
         ones = rows.join(wanted, ["key", "kind"]).filter((F.col("own_key") == F.col("one.own_key")) & (F.col("own_kind") == F.col("one.own_kind")))
         ones = steps.store(ones.withColumn("copies", F.col("all")).drop("all", "one"), "groups")
         small = _compared(ones.filter(F.col("different") <= GROUP).drop("different"), threshold)
@@ -316,7 +320,7 @@ def _spans(texts: DataFrame, threshold: int) -> DataFrame:
         if large.isEmpty():
             break
         rows = steps.store(_halved(large, threshold), "halves")
-    steps.drop("groups", "halves")
+    steps.drop("groups", "halves", "classes", "keys")
     found = reduce(DataFrame.unionByName, levels)
     single = cold.join(kinds.filter("copies = 1"), ["key", "kind"]).select("key", "kind", "tid", "at")
     return spans.unionByName(found.join(single, ["key", "kind"]).select("tid", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to")))
