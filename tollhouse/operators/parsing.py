@@ -147,7 +147,9 @@ def _responses_stream(e: Column) -> Column:
     counted = lambda j: zero(j["usage"]["input_tokens"]) + zero(j["usage"]["output_tokens"]) + zero(j["usage"]["total_tokens"]) > 0
 
     def read(said: Column) -> Column:
-        usage = _with(_last(F.filter(said, counted)), _responses)
+        # Without tokens anywhere, the last event with usage still says how the response ended.
+        told = F.coalesce(_last(F.filter(said, counted)), _last(F.filter(said, lambda j: j["usage"].isNotNull())))
+        usage = _with(told, _responses)
         return usage.withField("model", F.coalesce(_first(said["model"]), F.lit(""))).withField("id", F.coalesce(_first(said["id"]), F.lit("")))
 
     return _with(F.transform(F.filter(e, lambda j: j["type"].isin(*kinds)), lambda j: F.coalesce(j["response"], j["event"])), read)
@@ -210,7 +212,7 @@ def parse_sse_chat(df: DataFrame, body_col: str = "response_body") -> DataFrame:
 
 
 def parse_sse_responses(df: DataFrame, body_col: str = "response_body") -> DataFrame:
-    """Streamed responses: the last event with tokens (in ``response``, else ``event``), the first model and id; zeros without one."""
+    """Streamed responses: the last event with tokens (in ``response``, else ``event``), else with usage, the first model and id; zeros without one."""
     return _streamed(df, _read(F.col(body_col), _RESPONSE_EVENTS), _responses_stream)
 
 
