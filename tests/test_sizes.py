@@ -30,3 +30,25 @@ def test_responses_without_tokens(spark, idle, name):
     wanted = con.sql(catalog.ORACLES[name])
     rows = sorted((tuple(dict(zip(wanted.columns, r, strict=True))[c] for c in columns) for r in wanted.fetchall()), key=repr)
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == rows
+
+
+def test_a_key_is_replayed_from_packs(spark):
+    """The task of a key sorts packs, not rows; decisions stay those of rows in order, with nulls among keys and values."""
+    from tollhouse.operators import replay
+
+    rows = [(None if i % 3 == 0 else f"k{i % 3}", i // 500, i, None if i % 7 == 0 else f"v{i % 5}") for i in range(12_000)]
+    df = spark.createDataFrame(rows, "key string, stretch long, at long, value string").repartition(5)
+
+    def fresh():
+        seen = []
+
+        def decide(r):
+            seen.append(r.at)
+            return r.at, r.value if r.value == r.value else None, len(seen), seen[-2] if len(seen) > 1 else -1
+
+        return decide
+
+    schema = "at long, value string, n long, before long"
+    cut = replay.replayed(df, ["key"], ["at"], fresh, schema, ["stretch"])
+    assert sorted(cut.collect(), key=str) == sorted(replay.replayed(df, ["key"], ["at"], fresh, schema).collect(), key=str)
+    assert replay._kept_packed(df, ["key"], ["stretch"], ["at"]).count() == 3 * 24

@@ -205,7 +205,7 @@ def breaker_replay(
         return decide
 
     active = marked.filter("active").select("request_id", "ts", "us", "bucket", "provider", "model", "failure_class", "aborted")
-    decided = replayed(active, ["provider"], ["us", "request_id"], fresh, _OUT)
+    decided = replayed(active, ["provider"], ["us", "request_id"], fresh, _OUT, ["bucket"])
     passive = marked.filter("NOT active").select("request_id", "ts", "us", "bucket", "provider", "model")
     return calm.select(*COLUMNS).unionByName(_answered(decided.unionByName(passive, allowMissingColumns=True), enforce).select(*COLUMNS))
 
