@@ -8,9 +8,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from tollhouse.functions import pii
 from tollhouse.operators.replay import replayed
@@ -18,6 +20,24 @@ from tollhouse.operators.replay import replayed
 SPANS = "array<struct<start:int,end:int,entity_type:string,score:double>>"
 REGISTRY = "array<struct<placeholder:string,original:string,policy:string>>"
 MAX_BYTES = 1 << 20
+#: Rows that are Python objects at a time, whatever batches Spark makes.
+SLICE = 64
+
+
+def _rowwise(helper: Callable, returned: str, *columns: Column) -> Column:
+    """``helper`` of the values of a row, over slices of Arrow batches: a task never holds a whole batch as Python objects."""
+    made = to_arrow_type(StructType.fromDDL(f"r {returned}")["r"].dataType)
+    given = len(columns)
+
+    def run(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for arrays in parts:
+            for i in range(0, len(arrays[0]), SLICE):
+                rows = zip(*(a.slice(i, SLICE).to_pylist() for a in arrays), strict=True)
+                yield pa.array([helper(*r[:given]) for r in rows], made)
+
+    run.__name__ = helper.__name__
+    # A second column at least, as the function takes tuples.
+    return F.arrow_udf(run, returned)(*columns, *([F.lit(None).cast("boolean")] if given == 1 else []))
 
 
 def _records(x) -> list[dict]:
@@ -33,12 +53,7 @@ def entity_allowlist(requested: Column) -> Column:
 
 def pii_detect(df: DataFrame, text_col: str, entities: list[str] | None = None, extra_spans: str | None = None) -> DataFrame:
     """``df`` with spans of the pattern entities and those of the column ``extra_spans``; null texts have none."""
-
-    @F.pandas_udf(SPANS)
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pii.detect(t or "", entities))
-
-    found = spans(F.col(text_col))
+    found = _rowwise(lambda t: pii.detect(t or "", entities), SPANS, F.col(text_col))
     return df.withColumn("spans", F.concat(found, F.coalesce(F.col(extra_spans), F.array().cast(SPANS))) if extra_spans else found)
 
 
@@ -76,45 +91,30 @@ def allow_middle_ground(rows: DataFrame, allow_test_emails: bool = True) -> Data
 
 def resolve_overlaps(df: DataFrame) -> DataFrame:
     """``df`` with spans that do not overlap."""
-
-    @F.pandas_udf(SPANS)
-    def resolved(spans: pd.Series) -> pd.Series:
-        return spans.map(lambda s: pii.resolve(_records(s)))
-
-    return df.withColumn("spans", resolved("spans"))
+    return df.withColumn("spans", _rowwise(lambda s: pii.resolve(_records(s)), SPANS, F.col("spans")))
 
 
 def redact_text(df: DataFrame, text_col: str, extra_spans: str | None = None) -> DataFrame:
     """``df`` with redacted, entity_counts and changed; null texts stay null."""
 
-    @F.pandas_udf("redacted string, entity_counts map<string,int>, changed boolean")
-    def run(texts: pd.Series, extra: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, e in zip(texts, extra, strict=True):
-            if t is None:
-                rows.append((None, {}, False))
-                continue
-            spans = pii.final_spans(t, _records(e))
-            rows.append((pii.redact(t, spans), dict(Counter(s["entity_type"] for s in spans)), bool(spans)))
-        return pd.DataFrame(rows, columns=["redacted", "entity_counts", "changed"])
+    def run(text: str | None, extra: list | None) -> dict:
+        spans = [] if text is None else pii.final_spans(text, _records(extra))
+        counts = Counter(s["entity_type"] for s in spans)
+        return {"redacted": None if text is None else pii.redact(text, spans), "entity_counts": list(counts.items()), "changed": bool(spans)}
 
     extra = F.col(extra_spans) if extra_spans else F.lit(None).cast(SPANS)
-    return df.withColumn("__r", run(F.col(text_col), extra)).select(*[c for c in df.columns if c not in ("redacted", "entity_counts", "changed")], "__r.*")
+    return df.withColumn("__r", _rowwise(run, "struct<redacted:string,entity_counts:map<string,int>,changed:boolean>", F.col(text_col), extra)).select(*[c for c in df.columns if c not in ("redacted", "entity_counts", "changed")], "__r.*")
 
 
 def scrub_text(df: DataFrame, text_col: str, helper: Callable[[str, pii.Registry], str] = pii.scrub) -> DataFrame:
     """``df`` with scrubbed text and the registry of its placeholders, each row by itself."""
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            rows = []
-            for t in texts:
-                registry = pii.Registry()
-                rows.append((None if t is None else helper(t, registry), registry.rows()))
-            yield pd.DataFrame(rows, columns=["scrubbed", "registry"])
+    def run(text: str | None) -> dict:
+        registry = pii.Registry()
+        return {"scrubbed": None if text is None else helper(text, registry), "registry": registry.rows()}
 
-    udf = F.pandas_udf(run, f"scrubbed string, registry {REGISTRY}", F.PandasUDFType.SCALAR_ITER)
-    return df.withColumn("__r", udf(F.col(text_col))).select(*[c for c in df.columns if c not in ("scrubbed", "registry")], "__r.*")
+    scrubbed = _rowwise(run, f"struct<scrubbed:string,registry:{REGISTRY}>", F.col(text_col))
+    return df.withColumn("__r", scrubbed).select(*[c for c in df.columns if c not in ("scrubbed", "registry")], "__r.*")
 
 
 def scrub_json(df: DataFrame, body_col: str, provider_col: str | None = None) -> DataFrame:
@@ -127,33 +127,29 @@ def scrub_json(df: DataFrame, body_col: str, provider_col: str | None = None) ->
     provider are taken apart once.
     """
 
-    @F.pandas_udf("array<struct<at:int,text:string,object:boolean>>")
-    def leaves(bodies: pd.Series, providers: pd.Series) -> pd.Series:
-        taken = ([] if b is None else pii.json_leaves(b, p)[1] for b, p in zip(bodies, providers, strict=True))
-        return pd.Series([[{"at": i, "text": text, "object": is_object} for i, (_, _, text, is_object) in enumerate(found)] for found in taken])
+    def leaves(body: str | None, provider: str | None) -> list[dict]:
+        found = [] if body is None else pii.json_leaves(body, provider)[1]
+        return [{"at": i, "text": text, "object": is_object} for i, (_, _, text, is_object) in enumerate(found)]
 
-    @F.pandas_udf(SPANS)
-    def analysed(texts: pd.Series, objects: pd.Series) -> pd.Series:
-        return pd.Series([pii.leaf_spans(t, o) for t, o in zip(texts, objects, strict=True)])
+    def analysed(text: str, is_object: bool) -> list[dict]:
+        return pii.leaf_spans(text, is_object)
 
-    @F.pandas_udf(f"scrubbed string, registry {REGISTRY}")
-    def put(bodies: pd.Series, providers: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = []
-        for b, p, s in zip(bodies, providers, spans, strict=True):
-            registry = pii.Registry()
-            rows.append((None if b is None else pii.put_leaves(b, p, [_records(x["spans"]) for x in _records(s)], registry), registry.rows()))
-        return pd.DataFrame(rows, columns=["scrubbed", "registry"])
+    def put(body: str | None, provider: str | None, spans: list[dict]) -> dict:
+        registry = pii.Registry()
+        scrubbed = None if body is None else pii.put_leaves(body, provider, [x["spans"] for x in spans], registry)
+        return {"scrubbed": scrubbed, "registry": registry.rows()}
 
     own = [c for c in df.columns if c not in ("scrubbed", "registry")]
     provider = F.col(provider_col) if provider_col else F.lit(None).cast("string")
     key = F.sha2(F.concat(F.coalesce(provider, F.lit("")), F.lit("\x00"), F.col(body_col)), 256)
     keyed = df.select(*own).withColumns({"__body": key, "__provider": provider})
-    parts = keyed.filter(F.col(body_col).isNotNull()).select("__body", F.explode(leaves(F.col(body_col), "__provider")).alias("l"))
+    parts = keyed.filter(F.col(body_col).isNotNull()).select("__body", F.explode(_rowwise(leaves, "array<struct<at:int,text:string,object:boolean>>", F.col(body_col), F.col("__provider"))).alias("l"))
     parts = parts.select("__body", "l.at", "l.text", "l.object", F.sha2(F.concat(F.col("l.object").cast("string"), F.col("l.text")), 256).alias("__text"))
-    once = parts.select("__text", "text", "object").dropDuplicates(["__text"]).select("__text", analysed("text", "object").alias("spans"))
+    once = parts.select("__text", "text", "object").dropDuplicates(["__text"]).select("__text", _rowwise(analysed, SPANS, F.col("text"), F.col("object")).alias("spans"))
     places = parts.select("__body", "at", "__text").distinct()
     found = places.join(once, "__text").groupBy("__body").agg(F.sort_array(F.collect_list(F.struct("at", "spans"))).alias("__spans"))
-    joined = keyed.join(found, "__body", "left").withColumn("__r", put(F.col(body_col), "__provider", F.coalesce("__spans", F.array().cast(f"array<struct<at:int,spans:{SPANS}>>"))))
+    spans = F.coalesce("__spans", F.array().cast(f"array<struct<at:int,spans:{SPANS}>>"))
+    joined = keyed.join(found, "__body", "left").withColumn("__r", _rowwise(put, f"struct<scrubbed:string,registry:{REGISTRY}>", F.col(body_col), F.col("__provider"), spans))
     return joined.select(*own, "__r.*")
 
 
@@ -185,22 +181,19 @@ def scrub_conversation(df: DataFrame, conv_col: str, order_col: str, text_col: s
 def restore_text(df: DataFrame, text_col: str, registry_col: str = "registry", json_escape: bool = False) -> DataFrame:
     """``df`` with restored and restored_count."""
 
-    @F.pandas_udf("restored string, restored_count int")
-    def run(texts: pd.Series, registries: pd.Series) -> pd.DataFrame:
-        rows = [(None, 0) if t is None else pii.restore(t, _records(r), json_escape) for t, r in zip(texts, registries, strict=True)]
-        return pd.DataFrame(rows, columns=["restored", "restored_count"])
+    def run(text: str | None, registry: list | None) -> dict:
+        restored, n = (None, 0) if text is None else pii.restore(text, _records(registry), json_escape)
+        return {"restored": restored, "restored_count": n}
 
-    return df.withColumn("__r", run(F.col(text_col), F.col(registry_col))).select(*[c for c in df.columns if c not in ("restored", "restored_count")], "__r.*")
+    back = _rowwise(run, "struct<restored:string,restored_count:int>", F.col(text_col), F.col(registry_col))
+    return df.withColumn("__r", back).select(*[c for c in df.columns if c not in ("restored", "restored_count")], "__r.*")
 
 
 def leak_check(df: DataFrame, text_col: str, registry_col: str = "registry") -> DataFrame:
     """``df`` with leaked: MASK placeholders that are still there."""
 
-    @F.pandas_udf("int")
-    def run(texts: pd.Series, registries: pd.Series) -> pd.Series:
-        return pd.Series([0 if t is None else pii.leaked(t, _records(r)) for t, r in zip(texts, registries, strict=True)])
-
-    return df.withColumn("leaked", run(F.col(text_col), F.col(registry_col)))
+    left = _rowwise(lambda t, r: 0 if t is None else pii.leaked(t, _records(r)), "int", F.col(text_col), F.col(registry_col))
+    return df.withColumn("leaked", left)
 
 
 def reformat_placeholders(text: Column, open_: str, close: str, spaced: bool = False) -> Column:
@@ -238,11 +231,8 @@ def gov_id_gate(images: DataFrame, least: float = 0.4) -> DataFrame:
 def extract_images(df: DataFrame, body_col: str, max_bytes: int) -> DataFrame:
     """(request_id, index, bytes) of base64 images in request bodies."""
 
-    @F.pandas_udf("array<string>")
-    def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: pii.images(b or "", max_bytes))
-
-    return df.select("request_id", F.posexplode(run(F.col(body_col))).alias("index", "data")).select("request_id", "index", F.unbase64("data").alias("bytes"))
+    found = _rowwise(lambda b: pii.images(b or "", max_bytes), "array<string>", F.col(body_col))
+    return df.select("request_id", F.posexplode(found).alias("index", "data")).select("request_id", "index", F.unbase64("data").alias("bytes"))
 
 
 def strip_images(df: DataFrame, body_col: str) -> DataFrame:
@@ -261,11 +251,7 @@ def unstrip_images(df: DataFrame, body_col: str) -> DataFrame:
 def mask_json_metadata(df: DataFrame, body_col: str) -> DataFrame:
     """``df`` with keys and schema strings of JSON bodies blanked, offsets kept, as ``masked``."""
 
-    @F.pandas_udf("string")
-    def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: None if b is None else pii.mask_json_metadata(b))
-
-    return df.withColumn("masked", run(F.col(body_col)))
+    return df.withColumn("masked", _rowwise(lambda b: None if b is None else pii.mask_json_metadata(b), "string", F.col(body_col)))
 
 
 def tier_of(kind: Column) -> Column:
