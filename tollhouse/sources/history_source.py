@@ -13,6 +13,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -35,12 +36,17 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+#: Threads that rename the chunks of a batch.
+MOVERS = 16
+#: Partitions that a read has at most; beyond that neighbouring chunks share one.
+MAX_PARTITIONS = 1024
+
+
 @dataclass
-class Chunk(InputPartition):
-    """One file and what its place says."""
+class Chunks(InputPartition):
+    """Files, each with what its place says."""
 
-    path: str
-    fields: tuple[str, ...]
+    files: list[tuple[str, tuple[str, ...]]]
 
 
 @dataclass
@@ -52,7 +58,7 @@ class Written(WriterCommitMessage):
 
 
 class HistoryReader(DataSourceReader):
-    """A partition for each chunk that the filters leave."""
+    """The chunks that the filters leave, a partition for each or, of very many, for neighbours."""
 
     def __init__(self, base: str):
         self.base = base
@@ -69,7 +75,7 @@ class HistoryReader(DataSourceReader):
             values = {f.value} if isinstance(f, EqualTo) else set(f.value)
             self.wanted[name] = self.wanted[name] & values if name in self.wanted else values
 
-    def partitions(self) -> list[Chunk]:
+    def partitions(self) -> list[Chunks]:
         store, base = _store(self.base)
         found = []
         for day in store.get_file_info(fs.FileSelector(base, allow_not_found=True)):
@@ -80,17 +86,18 @@ class HistoryReader(DataSourceReader):
             for info in store.get_file_info(fs.FileSelector(day.path, recursive=True)):
                 place = _PLACE.search(info.path)
                 if info.is_file and place and all(place[n] in ok for n, ok in self.wanted.items()):
-                    found.append(Chunk(info.path, place.groups()))
-        return sorted(found, key=lambda c: c.path) or [Chunk("", ())]
+                    found.append((info.path, place.groups()))
+        found.sort()
+        together = -(-len(found) // MAX_PARTITIONS) or 1
+        return [Chunks(found[i : i + together]) for i in range(0, len(found), together)] or [Chunks([])]
 
-    def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
         store, _ = _store(self.base)
-        with store.open_input_stream(partition.path, compression="gzip" if partition.path.endswith(".gz") else None) as source:
-            lines = source.read().decode().splitlines()
-        columns = [pa.array(lines, pa.string()), *[pa.array([v] * len(lines), pa.string()) for v in partition.fields]]
-        yield pa.RecordBatch.from_arrays(columns, names=["line", *_FIELDS])
+        for path, fields in partition.files:
+            with store.open_input_stream(path, compression="gzip" if path.endswith(".gz") else None) as source:
+                lines = source.read().decode().splitlines()
+            columns = [pa.array(lines, pa.string()), *[pa.array([v] * len(lines), pa.string()) for v in fields]]
+            yield pa.RecordBatch.from_arrays(columns, names=["line", *_FIELDS])
 
 
 class HistoryWriter(DataSourceStreamWriter):
@@ -127,13 +134,17 @@ class HistoryWriter(DataSourceStreamWriter):
 
     def commit(self, messages: list[Written | None], batchId: int) -> None:  # noqa: N803
         store, base = _store(self.base)
+        for dt, hour in {(dt, hour) for m in filter(None, messages) for _, dt, hour, _ in m.chunks}:
+            store.create_dir(f"{base}/dt={dt}/hour={hour}", recursive=True)
+        moves = []
         for m in filter(None, messages):
             for path, dt, hour, n in m.chunks:
                 # A batch that runs again gives the same names, so it replaces what it wrote before.
                 tail = hashlib.md5(f"{batchId}/{m.task}/{n}".encode()).hexdigest()[:8]
                 name = f"{dt.replace('-', '')}T{hour}0000.000Z-{self.role}-{self.instance}-{batchId % 1_000_000:06d}-{tail}.jsonl.gz"
-                store.create_dir(f"{base}/dt={dt}/hour={hour}", recursive=True)
-                store.move(path, f"{base}/dt={dt}/hour={hour}/{name}")
+                moves.append((path, f"{base}/dt={dt}/hour={hour}/{name}"))
+        with ThreadPoolExecutor(MOVERS) as pool:
+            list(pool.map(lambda m: store.move(*m), moves))
 
     def abort(self, messages: list[Written | None], batchId: int) -> None:  # noqa: N803
         store, _ = _store(self.base)
