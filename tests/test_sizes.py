@@ -76,3 +76,28 @@ def test_very_many_chunks_share_partitions(tmp_path, monkeypatch):
     parts = h.HistoryReader(str(tmp_path)).partitions()
     lines = [x.as_py() for p in parts for b in h.HistoryReader(str(tmp_path)).read(p) for x in b["line"]]
     assert len(parts) == 4 and lines == [str(i) for i in range(10)]
+
+
+def test_history_is_appended_in_chunks(spark, tmp_path):
+    """Small files are not written by Hadoop's local client; rows, bounds, rows without a time and what was there before stay."""
+    import gzip
+
+    from tollhouse.sources import history
+
+    at = datetime.datetime(2024, 1, 1)
+    items = [(i, None if i % 50 == 0 else at + datetime.timedelta(hours=i % 30), None if i % 3 == 0 else f'"é\n{i}') for i in range(1500)]
+    df = spark.createDataFrame(items, "request_id long, ts timestamp, text string").repartition(3)
+    base = str(tmp_path)
+    for _ in range(2):
+        history.write_history(df, base, "usage", max_records=7)
+    files = [f for f in tmp_path.rglob("*") if f.is_file()]
+    assert all(f.name.endswith(".jsonl.gz") and "_staging" not in str(f) for f in files)
+    assert max(len(gzip.decompress(f.read_bytes()).splitlines()) for f in files) == 7
+    fields = "request_id long, ts timestamp, text string"
+    place = lambda t: (None, None) if t is None else (f"{t:%Y-%m-%d}", f"{t:%H}")
+    wanted = sorted([(i, s, *place(t)) for i, t, s in items] * 2, key=repr)
+    assert sorted(((r.request_id, r.text, r.dt, r.hour) for r in history.read_history(spark, base, "usage", fields).collect()), key=repr) == wanted
+    second = history.read_history(spark, base, "usage", fields, ["2024-01-02", "2024-01-09"])
+    assert {f.split("/dt=")[1][:10] for f in second.inputFiles()} == {"2024-01-02"}
+    assert second.count() == sum(r[2] == "2024-01-02" for r in wanted)
+    assert history.read_history(spark, base, "usage", fields, ["2023-01-01"]).count() == 0

@@ -12,6 +12,8 @@ def write_history(df: DataFrame, base: str, stream: str, ts_col: str = "ts", max
     """Appends rows to ``base/stream/dt=…/hour=…`` as gzip JSON lines of at most ``max_records`` rows; streams not listed are left out.
 
     Rows are dealt to their hour by a hash of the row too, so an hour of very many rows is written by many tasks.
+    Folders on a file system of the machine are written by the format ``history``, for Hadoop's own
+    client starts a process for each small file there to set its mode; other stores by Spark's JSON writer.
     """
     if stream not in STREAMS:
         raise ValueError(f"unknown stream {stream}")
@@ -19,13 +21,32 @@ def write_history(df: DataFrame, base: str, stream: str, ts_col: str = "ts", max
         return
     ts = F.col(ts_col)
     rows = df.withColumns({"dt": F.date_format(ts, "yyyy-MM-dd"), "hour": F.date_format(ts, "HH")})
-    rows.repartition("dt", "hour", F.pmod(F.xxhash64(*df.columns), F.lit(16))).write.mode("append").partitionBy("dt", "hour").option("compression", "gzip").option("maxRecordsPerFile", max_records).json(f"{base}/{stream}")
+    rows = rows.repartition("dt", "hour", F.pmod(F.xxhash64(*df.columns), F.lit(16)))
+    if "://" in base and not base.startswith("file:"):
+        rows.write.mode("append").partitionBy("dt", "hour").option("compression", "gzip").option("maxRecordsPerFile", max_records).json(f"{base}/{stream}")
+        return
+    from tollhouse.sources.history_source import register
+
+    register(df.sparkSession)
+    fields = [F.col(c) for c in df.columns if c not in ("dt", "hour")]
+    lines = rows.select(F.to_json(F.struct(*fields)).alias("line"), "dt", "hour").sortWithinPartitions("dt", "hour")
+    lines.write.format("history").mode("append").option("maxrecords", max_records).save(f"{base}/{stream}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in any Hadoop store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
 
 
 def read_history(spark: SparkSession, base: str, stream: str, schema: str, days: list[str] | None = None) -> DataFrame:
-    """Rows of a stream with dt and hour; ``days`` prunes folders."""
-    rows = spark.read.schema(schema + ", dt string, hour string").json(f"{base}/{stream}")
-    return rows if days is None else rows.filter(F.col("dt").isin(days))
+    """Rows of a stream with dt and hour; of ``days`` alone the folders are listed."""
+    root = f"{base}/{stream}"
+    reader = spark.read.schema(schema + ", dt string, hour string").option("basePath", root)
+    if days is None:
+        return reader.json(root)
+    folders = [f"{root}/dt={d}" for d in dict.fromkeys(days) if exists(spark, f"{root}/dt={d}")]
+    return reader.json(folders or root).filter(F.col("dt").isin(days))
 
 
 def write_cost_jsonl(cost: DataFrame, path: str) -> None:

@@ -1,8 +1,8 @@
 """The history of events as a data source: gzip JSON lines in chunks bounded by rows and bytes.
 
 ``history`` reads chunks with the role and instance of their names, and takes filters on day,
-hour, role and instance before it opens files; as a streaming sink it writes chunks that are
-renamed into place when their batch commits.  Rows cross as JSON text, which Spark's own
+hour, role and instance before it opens files; as a sink of batches or streams it writes chunks
+that are renamed into place when their batch commits.  Rows cross as JSON text, which Spark's own
 functions make and parse.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
 from tollhouse.sources.history import STREAMS
 
@@ -36,6 +37,8 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+#: Folder name of Spark's writers for null.
+_NONE = "__HIVE_DEFAULT_PARTITION__"
 #: Threads that rename the chunks of a batch.
 MOVERS = 16
 #: Partitions that a read has at most; beyond that neighbouring chunks share one.
@@ -153,8 +156,79 @@ class HistoryWriter(DataSourceStreamWriter):
                 store.delete_file(path)
 
 
+@dataclass
+class Appended(WriterCommitMessage):
+    """A task's staging folder and (day, hour, chunks) of its runs of an hour; its chunks are numbered through."""
+
+    task: int
+    folder: str
+    runs: list[tuple[str, str, int]]
+
+
+class HistoryAppender(DataSourceArrowWriter):
+    """Appends rows (line, dt, hour) as chunks; rows of an hour should follow one another, as a task holds one chunk.
+
+    A write names its chunks by an instance of its own, so none replaces another's.
+    """
+
+    def __init__(self, options: dict):
+        self.base, self.instance = options["path"], uuid.uuid4().hex
+        self.most_rows = int(options.get("maxrecords", MAX_RECORDS))
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Appended:
+        store, base = _store(self.base)
+        folder = f"{base}/_staging/{self.instance}/{uuid.uuid4().hex}"
+        store.create_dir(folder, recursive=True)
+        counts, held, n, own = [], [], 0, None
+
+        def flush() -> None:
+            nonlocal n
+            with store.open_output_stream(f"{folder}/{n}", compression=None) as out:
+                out.write(gzip.compress("".join(f"{x}\n" for x in held).encode(), compresslevel=6, mtime=0))
+            held.clear()
+            n += 1
+            counts[-1][1] += 1
+
+        for batch in iterator:
+            for line, dt, hour in zip(*(batch.column(c).to_pylist() for c in ("line", "dt", "hour")), strict=True):
+                if held and ((dt, hour) != own or len(held) == self.most_rows):
+                    flush()
+                if not counts or (dt, hour) != own:
+                    own = (dt, hour)
+                    counts.append([own, 0])
+                held.append(line)
+        if held:
+            flush()
+        return Appended(TaskContext.get().partitionId(), folder, [(*place, chunks) for place, chunks in counts])
+
+    def commit(self, messages: list[Appended | None]) -> None:
+        store, base = _store(self.base)
+        moves = []
+        for m in filter(None, messages):
+            number = itertools.count()
+            for dt, hour, chunks in m.runs:
+                # Rows without a time lie where Spark's own writer puts them.
+                day, at = (dt.replace("-", ""), hour) if dt is not None else ("00000000", "00")
+                place = f"{base}/dt={dt or _NONE}/hour={hour or _NONE}"
+                for n in itertools.islice(number, chunks):
+                    moves.append((f"{m.folder}/{n}", f"{place}/{day}T{at}0000.000Z-spark-{self.instance}-{n % 10**6:06d}-{m.task:05x}{n // 10**6:03x}.jsonl.gz"))
+        with ThreadPoolExecutor(MOVERS) as pool:
+            list(pool.map(lambda f: store.create_dir(f, recursive=True), {to.rpartition("/")[0] for _, to in moves}))
+            list(pool.map(lambda m: store.move(*m), moves))
+        self._clean()
+
+    def abort(self, messages: list[Appended | None]) -> None:
+        self._clean()
+
+    def _clean(self) -> None:
+        """Removes the write's staging folder with what failed attempts of tasks left there."""
+        store, base = _store(self.base)
+        if store.get_file_info(f"{base}/_staging/{self.instance}").type == fs.FileType.Directory:
+            store.delete_dir(f"{base}/_staging/{self.instance}")
+
+
 class HistorySource(DataSource):
-    """``spark.read.format("history").load(folder)`` and ``writeStream.format("history")``."""
+    """``spark.read.format("history").load(folder)``, ``write`` in append mode and ``writeStream`` with it."""
 
     @classmethod
     def name(cls) -> str:
@@ -166,6 +240,11 @@ class HistorySource(DataSource):
     def reader(self, schema) -> HistoryReader:
         return HistoryReader(self.options["path"])
 
+    def writer(self, schema, overwrite: bool) -> HistoryAppender:
+        if overwrite:
+            raise ValueError("the history is only appended to")
+        return HistoryAppender(self.options)
+
     def streamWriter(self, schema, overwrite: bool) -> HistoryWriter:  # noqa: N802
         return HistoryWriter(self.options)
 

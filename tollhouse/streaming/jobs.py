@@ -18,6 +18,7 @@ from tollhouse.operators.pricing import price_tiered, price_with_fallback, reque
 from tollhouse.operators.redact import redact_text
 from tollhouse.operators.rollups import MEASURES, measures
 from tollhouse.sources import history_source
+from tollhouse.sources.history import exists
 from tollhouse.streaming.ordered import in_order
 
 
@@ -77,7 +78,7 @@ def archive_batch(batch: DataFrame, number: int, path: str, writer: str) -> None
     spark = batch.sparkSession
     ledger = f"{path}/ledger"
     fields = "metric string, day date, writer string, batch long"
-    known = spark.read.schema(fields).parquet(ledger) if _exists(spark, ledger) else spark.createDataFrame([], fields)
+    known = spark.read.schema(fields).parquet(ledger) if exists(spark, ledger) else spark.createDataFrame([], fields)
     theirs = known.filter((F.col("writer") != writer) | (F.col("batch") != number))
     rows = batch.join(theirs, ["metric", "day"], "left_anti").persist()
     rows.repartition("metric", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric", "day").parquet(f"{path}/days")
@@ -87,11 +88,6 @@ def archive_batch(batch: DataFrame, number: int, path: str, writer: str) -> None
     rows.unpersist()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
-
-
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """The days that ``stream_day_archive`` has closed; both filters on metric and day prune folders."""
     fields = ", ".join(f"{m} long" for m in MEASURES)
