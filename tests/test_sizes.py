@@ -101,3 +101,16 @@ def test_history_is_appended_in_chunks(spark, tmp_path):
     assert {f.split("/dt=")[1][:10] for f in second.inputFiles()} == {"2024-01-02"}
     assert second.count() == sum(r[2] == "2024-01-02" for r in wanted)
     assert history.read_history(spark, base, "usage", fields, ["2023-01-01"]).count() == 0
+
+
+def test_a_batch_has_more_files_of_a_larger_log(spark, sf, tmp_path, monkeypatch):
+    """Two files a batch let two tasks redact a log of any size."""
+    from tollhouse.plans import queries_stream
+    from tollhouse.plans.adapter import Tables
+
+    monkeypatch.setattr(queries_stream, "FILE_EVENTS", 100)
+    monkeypatch.setattr(queries_stream, "_base", lambda t: str(tmp_path))
+    found = catalog.QUERIES["stream_redact"](spark, sf)
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 10
+    assert len(list((tmp_path / "state" / "commits").glob("[0-9]*"))) == 2
+    assert {r.redacted for r in found.collect()} == {"mail [REDACTED:EMAIL_ADDRESS] now"} and found.count() == Tables(spark, sf).events.count()

@@ -26,6 +26,17 @@ def _base(t: Tables) -> str:
 LATE_S = 60 * 86_400
 
 
+#: Events by which the files of a batch grow, and the batches that a log is cut into.
+FILE_EVENTS, BATCHES = 250_000, 2
+
+
+def _written(t: Tables, rows: DataFrame, base: str) -> int:
+    """Writes the log as files that share it by their ids' hash; the number of files that makes a batch: two at least, more for larger tables."""
+    each = max(2, -(-t.events.count() // (FILE_EVENTS * BATCHES)))
+    rows.repartition(BATCHES * each, "request_id").write.parquet(f"{base}/in")
+    return each
+
+
 def _close(t: Tables, rows: DataFrame, base: str) -> None:
     """Adds two files of one later row without an id each: the watermark passes all others."""
     for i in range(2):
@@ -36,15 +47,16 @@ def _close(t: Tables, rows: DataFrame, base: str) -> None:
 def streamed(t: Tables, rows: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str, closed: bool = False) -> DataFrame:
     """What a job makes of rows that come as a stream, in batches of files.
 
-    Rows are dealt to the files by their id's hash, so times jump back and forth.  If ``closed``, two
+    Rows are dealt to the files by their id's hash, so times jump back and forth; a batch has more files the
+    larger the table is, so its tasks do not grow.  If ``closed``, two
     files of one later row without an id follow: the watermark passes all others.  In append mode the result goes to files.  In update mode each batch replaces the rows
     of its groups: batches are written with their number, and the last row of a group counts.
     """
     base = _base(t)
-    rows.repartition(4, "request_id").write.parquet(f"{base}/in")
+    each = _written(t, rows, base)
     if closed:
         _close(t, rows, base)
-    source = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    source = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(f"{base}/in")
     out = job(source)
     writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
@@ -118,10 +130,10 @@ _DIMS = " UNION ALL ".join(f"SELECT 'cost' AS metric, day, '{dim}' AS dim, {memb
 def stream_day_archive(t: Tables) -> DataFrame:
     """All days of the log are closed by later rows without an id; a second job over the same log finds them archived."""
     base, rows = _base(t), _cost_log(t)
-    rows.repartition(4, "request_id").write.parquet(f"{base}/in")
+    each = _written(t, rows, base)
     _close(t, rows, base)
     for job in "ab":
-        source = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+        source = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(f"{base}/in")
         days = J.day_deltas(_costs(t, source), f"{LATE_S} seconds")
         J.stream_day_archive(days, f"{base}/archive", f"{base}/state-{job}").trigger(availableNow=True).start().awaitTermination()
     last = t.usage.agg(F.to_date(F.max("ts")).alias("last"))
