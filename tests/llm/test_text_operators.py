@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -149,6 +149,26 @@ def test_repeats(spark, monkeypatch, size, group, weak):
     assert repeats.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_rows_of_a_common_text(spark, monkeypatch):
+    """Rows of a text of very many copies do not meet in one task, and lose what the others do."""
+    monkeypatch.setattr(repeats, "COMMON", 50, raising=False)
+    large = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # as larger tables are joined
+    held = {k: spark.conf.get(k) for k in large}
+    rnd = random.Random(3)
+    texts = ["a line of all " * 40] * 300 + [""] * 200 + ["two of a kind " * 40] * 2 + ["".join(rnd.choice("abcd ") for _ in range(500)) for _ in range(20)]
+    texts += [texts[-1][:450] + "|", None]
+    try:
+        for k, v in large.items():
+            spark.conf.set(k, v)
+        got = repeats.remove_repeats(table(spark, texts)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(texts, 400)
+    for a, b in ((0, 300), (300, 500)):
+        assert max(Counter(r.task for r in got if a <= r.doc_id < b).values()) < (b - a) / 2
+
+
 def brute_components(texts, width, num, den):
     sets = []
     for t in texts:
